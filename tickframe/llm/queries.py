@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import sharding, simhash
+from tickframe.llm import quality, sharding, simhash
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -27,5 +27,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op6_simhash": op6_simhash}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_quality": op4_quality, "op6_simhash": op6_simhash}
 ORACLE_SQL: dict[str, str] = {}
