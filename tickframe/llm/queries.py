@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import quality, sharding, simhash
+from tickframe.llm import bpe, quality, sharding, simhash
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -31,5 +31,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_quality": op4_quality, "op6_simhash": op6_simhash}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {}
