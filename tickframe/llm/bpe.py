@@ -23,8 +23,7 @@ import codecs
 import json
 import re
 import unicodedata
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +34,13 @@ from pyspark.sql import DataFrame
 from tickframe.llm import text as T
 
 END = "</w>"
-#: Entries in each of the two generations of a worker's caches of words and pieces.
-CACHE = 120_000
 NEVER = (1 << 60, 0)
+LATE = np.int32(2**31 - 1)
+SPACE, LETTER, NUMBER, OTHER = range(4)
+_SPACES = "\t-\r \x85\xa0  -     　"  # Unicode's White_Space
+NEVER = (1 << 60, 0)
+LATE = np.int32(2**31 - 1)
+SPACE, LETTER, NUMBER, OTHER = range(4)
 _SPACES = "\t-\r \x85\xa0  -     　"  # Unicode's White_Space
 _SPLIT = re.compile(f"[{_SPACES}]+")
 _PYTHON_ONLY = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
@@ -56,6 +59,20 @@ def byte_letters() -> list[str]:
     return letters
 
 
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Of each code point: white space, letter, number or other."""
+    first = {"L": LETTER, "N": NUMBER}
+    out = np.array([first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+    spaces = regex.compile(f"[{_SPACES}]")
+    out[[c for c in range(0x3001) if spaces.match(chr(c))]] = SPACE
+    return out
+
+
+def plain(text: str) -> str:
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Merges:
     """A merge list over token ids, with its sufficient lookahead."""
 
@@ -71,6 +88,78 @@ class Merges:
             chain[b] = max(chain.get(b, 0), here)
             longest = max(longest, here)
         self.lookahead = longest + max(length.values(), default=1)
+        self._hashed()
+
+    def _hashed(self) -> None:
+        """The pairs as an open hash table of arrays, for many lookups at once."""
+        self.mask = (1 << max(4, 2 + len(self.rank).bit_length())) - 1
+        self.keys = np.full(self.mask + 1, -1, np.int64)
+        self.ranks = np.full(self.mask + 1, LATE, np.int32)
+        self.result = np.zeros(len(self.rank), np.int32)
+        order = sorted(self.rank.items(), key=lambda x: x[1])
+        for at, ((a, b), (_, made)) in enumerate(order):
+            key = a << 32 | b
+            slot = self._slot(key)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.ranks[slot], self.result[at] = key, at, made
+
+    def _slot(self, key):
+        return (key ^ (key >> 27)) * 0x2545F491 >> 5 & self.mask
+
+    def found(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, LATE if it has none."""
+        key = a.astype(np.int64) << 32 | b
+        slot = self._slot(key)
+        seen = self.keys[slot]
+        out = np.where(seen == key, self.ranks[slot], LATE).astype(np.int32)
+        open_ = np.flatnonzero((seen != key) & (seen >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            seen = self.keys[slot[open_]]
+            hit = seen == key[open_]
+            out[open_[hit]] = self.ranks[slot[open_[hit]]]
+            open_ = open_[~hit & (seen >= 0)]
+        return out
+
+    def apply_all(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of many runs of symbols (of the given sizes, 1 at least) and their counts."""
+        runs = len(size)
+        own = np.repeat(np.arange(runs), size)
+        late = np.full(len(symbols), LATE, np.int32)
+        near = np.flatnonzero(own[:-1] == own[1:]) if len(own) else own
+        late[near] = self.found(symbols[near], symbols[near + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(own):
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            least = np.minimum.reduceat(late, begin)
+            count = np.diff(begin, append=len(own))
+            if (least == LATE).any():
+                rest = np.repeat(least == LATE, count)
+                done.append((own[rest], symbols[rest]))
+                own, symbols, late = own[~rest], symbols[~rest], late[~rest]
+                count, least = count[least != LATE], least[least != LATE]
+                if not len(own):
+                    break
+            at = np.flatnonzero(late == np.repeat(least, count))
+            at = at[np.diff(own[at], prepend=-1) != 0]  # the leftmost of each run
+            symbols[at] = self.result[late[at]]
+            keep = np.ones(len(own), bool)
+            keep[at + 1] = False
+            own, symbols, late = own[keep], symbols[keep], late[keep]
+            at -= np.arange(len(at))
+            late[at] = LATE
+            right = at[at + 1 < len(own)]
+            right = right[own[right] == own[right + 1]]
+            late[right] = self.found(symbols[right], symbols[right + 1])
+            left = at[at > 0]
+            left = left[own[left] == own[left - 1]] - 1
+            late[left] = self.found(symbols[left], symbols[left + 1])
+        if not done:
+            return symbols, np.zeros(runs, np.int64)
+        own = np.concatenate([d[0] for d in done])
+        order = np.argsort(own, kind="stable")
+        return np.concatenate([d[1] for d in done])[order], np.bincount(own, minlength=runs)
 
     def apply(self, symbols: list[int]) -> list[int]:
         """Tokens of a run of symbols: the merge of lowest rank first, leftmost first."""
@@ -90,23 +179,6 @@ class Merges:
         return out
 
 
-class Cache:
-    """A dictionary of two generations: what was asked for lately stays, the size is bounded."""
-
-    def __init__(self, make: Callable[[str], tuple], size: int = CACHE):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
-
-    def get(self, key: str) -> tuple:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key) or self.make(key)
-            if len(key) < 64:
-                if len(self.young) >= self.size:
-                    self.young, self.old = {}, self.young
-                self.young[key] = found
-        return found
-
-
 class Transducer:
     """Symbols in, stable tokens out; holds at most 4 lookaheads of symbols."""
 
@@ -150,8 +222,11 @@ class Codec:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(split.replace(r"\s", _SPACES))
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.pieces = Cache(lambda piece: self.kept(self.piece_ids(piece)))
-        self.words = Cache(self.made_word)
+        self.inner_table, self.last_table = np.array(self.inner, np.int32), np.array(self.last, np.int32)
+        names = [(" " + self.token.get(i, "")).encode() for i in range(max(self.token) + 1)]
+        self.spaced = np.frombuffer(b"".join(names), np.uint8)
+        self.spaced_size = np.array([len(n) for n in names])
+        self.spaced_at = np.cumsum(self.spaced_size) - self.spaced_size
 
     def piece_ids(self, piece: str) -> list[int]:
         data = piece.encode()
@@ -161,26 +236,86 @@ class Codec:
         out += run.close()
         return out
 
-    def kept(self, ids: list[int]) -> tuple[bytes, str]:
-        """Ids as 32-bit numbers, and the text decoded from them."""
-        decoder = Decoder(self)
-        return array("i", ids).tobytes(), "".join(map(decoder.push, ids))
-
-    def made_word(self, word: str) -> tuple[bytes, str]:
-        """The same of a text without white space."""
-        found = []
-        for part in self.marks.split(word) if "<|" in word else [word]:
+    def text_ids(self, text: str) -> list[int]:
+        """Ids of one text, which may hold the special tokens' own texts."""
+        out: list[int] = []
+        for part in self.marks.split(text):
             if part in self.special:
-                found.append(self.kept([self.special[part]]))
+                out.append(self.special[part])
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                found += map(self.pieces.get, self.piece.findall(plain))
-        return (b"".join([p[0] for p in found]), " ".join([p[1] for p in found])) if len(found) != 1 else found[0]
+                for piece in self.piece.findall(plain(part)):
+                    out += self.piece_ids(piece)
+        return out
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        words = _SPLIT.split(text) if _PYTHON_ONLY.search(text) else text.split()
-        pieces = list(map(self.words.get, words))
-        return b"".join([p[0] for p in pieces]), " ".join([p[1] for p in pieces if p[1]])
+    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the normalised texts, each with a line end; byte
+        bounds of their pieces; and the index of each text's first piece."""
+        whole = "\n".join([*texts, ""])
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = kinds()[points]
+        before = np.concatenate([[SPACE], kind[:-1]])
+        start = (kind != SPACE) & ((kind != before) | (kind == NUMBER))
+        padded = np.concatenate([points, [10, 10]])
+        one, two = padded[1:-1], padded[2:]
+        mark = (points == ord("'")) & (before != OTHER)
+        short = mark & np.isin(one, [ord(c) for c in "stmd"])
+        long = mark & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        for found, size in ((short, 2), (long, 3)):
+            at = np.flatnonzero(found)
+            for inside in range(1, size):
+                start[at + inside] = False
+            start[(at + size)[kind[at + size] != SPACE]] = True
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        place = np.concatenate([[0], np.cumsum(width)])
+        first = np.flatnonzero(start)
+        stop = np.flatnonzero(np.append(start[1:] | (kind[1:] == SPACE), True) & (kind != SPACE))
+        lines = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        return np.frombuffer(whole.encode(), np.uint8), place[first], place[stop + 1], np.searchsorted(first, lines)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        marked = {i: self.text_ids(t) for i, t in enumerate(texts) if self.marks.search(t)}
+        data, begin, end, first = self.split(["" if i in marked else plain(t) for i, t in enumerate(texts)])
+        hashed = T.span_hashes(T._BYTE[data], begin, end)
+        _, some, which = np.unique(hashed, return_index=True, return_inverse=True)
+        size = (end - begin)[some]
+        bytes_at = np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        symbols = self.inner_table[data[bytes_at]]
+        tail = np.cumsum(size) - 1
+        symbols[tail] = self.last_table[data[bytes_at[tail]]]
+        long = np.flatnonzero(size > 2 * self.merges.lookahead)
+        size_short = size.copy()
+        whole = {int(i): self.piece_ids(data[begin[some[i]] : end[some[i]]].tobytes().decode()) for i in long}
+        if whole:  # long pieces pass the transducer; here they leave one symbol
+            keep = np.ones(len(symbols), bool)
+            for i in long:
+                keep[tail[i] - size[i] + 1 : tail[i]] = False
+            symbols, size_short[long] = symbols[keep], 1
+        tokens, count = self.merges.apply_all(symbols, size_short)
+        if whole:
+            at = np.cumsum(count) - count
+            tokens = np.concatenate([x for i, (a, n) in enumerate(zip(at, count)) for x in [np.array(whole[i], np.int32) if i in whole else tokens[a : a + n]]])
+            for i, ids in whole.items():
+                count[i] = len(ids)
+        at = np.cumsum(count) - count
+        many = count[which]
+        flat = tokens[np.repeat(at[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        total = np.concatenate([[0], np.cumsum(many)])[first]
+        sizes = np.diff(total)
+        if marked:
+            parts = [np.array(marked[i], np.int32) if i in marked else flat[total[i] : total[i + 1]] for i in range(len(texts))]
+            flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        return flat.astype(np.int32), sizes
+
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the spaced decoder gives for each list of ids: UTF-8 bytes and their counts."""
+        width = self.spaced_size[ids]
+        data = self.spaced[np.repeat(self.spaced_at[ids] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        bounds = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(sizes)])]
+        some = np.flatnonzero(sizes)
+        keep = np.ones(len(data), bool)
+        keep[bounds[some]] = False  # no space before the first token
+        return data[keep], np.diff(bounds) - (sizes > 0)
 
 
 class Decoder:
@@ -227,11 +362,12 @@ def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids", decoded:
 
             where = public_tokenizers.path("word_bpe_49k.json")
         c = codec(where)
-        for part in T.chunks(batches, size=1 << 20):
-            pieces = [c.encode(t or "") for t in part.column("text").to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(p[0]) // 4 for p in pieces])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join([p[0] for p in pieces]), np.int32))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, values), pa.array([p[1] for p in pieces], pa.string())], [*part.schema.names, ids, decoded])
+        for part in T.chunks(batches):
+            flat, sizes = c.encode_all([t or "" for t in part.column("text").to_pylist()])
+            data, lengths = c.decode_all(flat, sizes)
+            at, to = (pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()) for n in (sizes, lengths))
+            text = pa.StringArray.from_buffers(part.num_rows, to.buffers()[1], pa.py_buffer(data))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.array(flat)), text], [*part.schema.names, ids, decoded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>, `{decoded}` string")
