@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, quality, sharding, simhash
+from tickframe.llm import bpe, decontamination, quality, sharding, simhash
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -27,6 +27,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.tiled(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +47,5 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {}

@@ -19,6 +19,9 @@ CHUNK_BYTES = 4 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space, control and punctuation bytes of ASCII: all but letters, digits and what is beyond ASCII.
+SIGNS = np.ones(256, bool)
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
@@ -90,10 +93,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words(texts: pa.Array) -> Words:
+def words(texts: pa.Array, gaps: np.ndarray = SPACE) -> Words:
+    """Words of the texts; gaps marks the bytes that belong to none."""
     data, bounds = buffers(texts)
     inside = np.zeros(len(data) + 2, bool)
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(gaps[data], out=inside[1:-1])
     rise, fall = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     cut = bounds[1:-1]  # a document's bound also ends a word
     cut = cut[inside[cut] & inside[cut + 1]]
