@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, decontamination, quality, sharding, simhash
+from tickframe.llm import bpe, decontamination, lines, quality, sharding, simhash
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -47,5 +47,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe}
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines}
 ORACLE_SQL: dict[str, str] = {}
