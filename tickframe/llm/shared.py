@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,38 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by key, cut anew so that no group of a key is parted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        at = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+        if at or (held and held[-1].column(key)[-1] != batch.column(key)[0]):
+            if whole := [*held, *([batch.slice(0, at)] if at else [])]:
+                yield pa.concat_batches(whole)
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the links between 0 .. n-1: members and their smallest index."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+    member = np.flatnonzero(root != np.arange(n))
+    return member, root[member]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import text as T
-from tickframe.llm.shared import components, cut
+from tickframe.llm.shared import components, cut, spanning, whole_groups
 
 THRESHOLD = 2
 WIDTH = 31
@@ -130,43 +130,12 @@ def linked(fp: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarra
     return spanning(np.concatenate(a), np.concatenate(b), len(fp))
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links: member and smallest index."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-        open_ = root[a] != root[b]
-        a, b = a[open_], b[open_]
-    member = np.flatnonzero(root != np.arange(n))
-    return member, root[member]
-
-
 def _compared(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (anchor, fp) that are sorted by anchor; a group may span batches."""
-    held: list[np.ndarray] = []
-
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        member, root = linked(rows[1].view(np.uint64), rows[0], threshold)
-        return pa.RecordBatch.from_arrays([pa.array(rows[1][member]), pa.array(rows[1][root])], ["a", "b"])
-
-    for batch in batches:
-        rows = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)])
-        if not rows.shape[1]:
-            continue
-        cut_at = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
-        if cut_at:
-            yield out(np.concatenate([*held, rows[:, :cut_at]], axis=1))
-            held = []
-        held.append(rows[:, cut_at:])
-    if held:
-        yield out(np.concatenate(held, axis=1))
+    """Links of rows (anchor, fp) that are sorted by anchor."""
+    for part in whole_groups(batches, "anchor"):
+        anchor, fp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        member, root = linked(fp.view(np.uint64), anchor, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[member]), pa.array(fp[root])], ["a", "b"])
 
 
 def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
