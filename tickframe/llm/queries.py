@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, decontamination, embeddings, lines, quality, sharding, simhash
+from tickframe.llm import bpe, decontamination, embeddings, lines, quality, sharding, simhash, substrings
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -37,6 +37,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,5 +61,5 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines}
 ORACLE_SQL: dict[str, str] = {}
