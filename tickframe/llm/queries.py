@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, decontamination, embeddings, lines, quality, sharding, simhash, substrings
+from tickframe.llm import bpe, decontamination, embeddings, language, lines, quality, sharding, simhash, substrings
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -61,5 +61,11 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = language.identified(docs.select("doc_id", "text"), language.learn(docs))
+    return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
