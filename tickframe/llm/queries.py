@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, decontamination, embeddings, language, lines, quality, sharding, simhash, substrings
+from tickframe.llm import bpe, decontamination, embeddings, language, lines, quality, secrets, sharding, simhash, substrings
 from tickframe.llm.shared import table
 
 SHARDS = 24
@@ -46,6 +46,27 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = secrets.scanned(docs.select("doc_id", "text"), secrets.learn(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    return rows.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -67,5 +88,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language}
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
