@@ -36,6 +36,9 @@ BITS = 16
 #: Texts to learn from, about: chosen by the hash of doc_id and text.
 SAMPLE = 6000
 
+#: Bytes of text that are tagged at once; the features take some 40 bytes for each.
+CHUNK_BYTES = 1 << 20
+
 _GAPS = np.ones(256, bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *b"+/_-"]] = False
 _KIND = np.full(256, 3, np.int64)  # digit, capital, letter, sign, beyond ASCII
@@ -245,7 +248,7 @@ def scanned(docs: DataFrame, tagger: Tagger | None, name: str = "spans") -> Data
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, size=CHUNK_BYTES):
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in own] for own in found(part.column("text"), shared.value)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], [*part.schema.names, name])
 
