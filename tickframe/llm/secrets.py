@@ -183,20 +183,31 @@ class Tagger:
 
 
 def _trained(texts: list[str]) -> Tagger:
-    w = T.words(pa.array(texts, pa.string()), _GAPS)
-    tags = _silver(w, texts, base_all(texts, w.data, w.bounds))
-    first, size = crf.chains(_breaks(w), len(w.start))
-    _, templates = _context(w)
-    buckets = _buckets(templates)
-    holds = np.add.reduceat(tags > 0, first) > 0 if len(first) else np.zeros(0, bool)
-    rest = np.flatnonzero(~holds)
-    chosen = np.concatenate([np.repeat(np.flatnonzero(holds), 3), rest[:: max(1, len(rest) // 6000)]])
-    begin = np.cumsum(size[chosen]) - size[chosen]
-    token = np.repeat(first[chosen] - begin, size[chosen]) + np.arange(size[chosen].sum())
-    bucket = buckets[token]
-    owner = np.repeat(np.arange(len(token)), bucket.shape[1])
+    """Tagger from all chains that hold a base span's value (three times each) and some of the others."""
+    buckets, tags, sizes = [], [], []
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for part in T.chunks(iter([batch]), size=CHUNK_BYTES):
+        own = part.column("text").to_pylist()
+        w = T.words(part.column("text"), _GAPS)
+        if not len(w.start):
+            continue
+        tag = _silver(w, own, base_all(own, w.data, w.bounds))
+        first, size = crf.chains(_breaks(w), len(w.start))
+        holds = np.add.reduceat(tag > 0, first) > 0
+        rest = np.flatnonzero(~holds)
+        chosen = np.concatenate([np.repeat(np.flatnonzero(holds), 3), rest[:: max(1, len(rest) * len(texts) // (6000 * len(own)))]])
+        n = size[chosen]
+        token = np.repeat(first[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        _, templates = _context(w)
+        buckets.append(_buckets([v[token] for v in templates]))
+        tags.append(tag[token])
+        sizes.append(n)
+    if not sizes:
+        return Tagger(crf.Field(np.zeros((3, 3)), np.array([0.0, -30.0, -30.0])), np.zeros((1 << BITS, 3)))
+    bucket, size = np.concatenate(buckets), np.concatenate(sizes)
+    owner = np.repeat(np.arange(len(bucket)), bucket.shape[1])
     never = ((OUT, INSIDE),)
-    field, weights = crf.fit(bucket.ravel(), owner, tags[token], begin, size[chosen], 3, 1 << BITS, epochs=6, forbid=never)
+    field, weights = crf.fit(bucket.ravel(), owner, np.concatenate(tags), np.cumsum(size) - size, size, 3, 1 << BITS, epochs=6, forbid=never)
     field.start[INSIDE] = -30.0
     return Tagger(field, weights)
 
