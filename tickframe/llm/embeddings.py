@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.llm import text as T
 from tickframe.llm.shared import components, cut, spanning, whole_groups
 
 THRESHOLD = 0.93
@@ -42,7 +43,7 @@ def rotations(size: int, count: int) -> np.ndarray:
 
 def banding(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a band and the number of bands for labels of so many rows."""
-    bits = min(24, max(4, math.ceil(math.log2(max(2, rows))) - 2))
+    bits = min(24, max(4, math.ceil(math.log2(max(2, rows))) + 1))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-agree))
 
@@ -72,17 +73,18 @@ def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "band", "vec", "copies", "embedding"]
+    """The buckets of each vector, without the vector itself."""
     for whole in batches:
         sizes = whole.column("embedding").value_lengths().to_numpy()
         for size in np.unique(sizes):
             batch = whole.filter(pa.array(sizes == size))
             raw, norm = _unit(batch)
             *_, keys = coded(raw / norm[:, None], bits, bands)
-            label = batch.column("label").to_numpy().astype(np.int64)
+            label = batch.column("label").to_numpy().astype(np.int64).view(np.uint64)
+            base = T.mixed(label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
             for band in range(bands):
-                bucket = ((label * 4099 + int(size)) * 4099 + band << bits) + keys[:, band]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(label), band, np.int32)), *(batch.column(n) for n in names[2:])], names)
+                bucket = T.mixed(base + ((np.uint64(band) << np.uint64(bits)) | keys[:, band].astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(label), band, np.int32)), batch.column("vec")], ["bucket", "band", "vec"])
 
 
 def _met(batches: Iterator[pa.RecordBatch], bits: int, bands: int, threshold: float) -> Iterator[pa.RecordBatch]:
@@ -151,9 +153,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     vectors of different sizes never link; repeated rows are vectors of their
     own that link with each other; an empty table gives an empty result.
     """
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select("vec_id", "label", "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     valid = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & (length > 0) & (length < float("inf")), F.lit(False))
     named = cut(rows.select("vec_id", "label", "embedding", valid.alias("valid"), F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2")))
     same = named.where("valid").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
@@ -161,17 +163,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     most = same.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, bands = banding(most, threshold, miss)
 
-    placed = same.select("vec", "copies", "embedding", "label").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long, copies long, embedding array<double>")
+    placed = same.select("vec", "embedding", "label").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
-    columns = ("band", "vec", "copies", "embedding")
-    small = shared.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("meets"), *columns, F.lit(0).alias("block"), F.lit(False).alias("cross"))
+    small = shared.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("meets"), "band", "vec", F.lit(0).alias("block"), F.lit(False).alias("cross"))
     large = shared.where(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meets"), *columns, "block", (F.col("block") != F.col("other")).alias("cross")
+        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("meets"), "band", "vec", "block", (F.col("block") != F.col("other")).alias("cross")
     )
     # A pair of two blocks compares across only; the pair of a block with itself compares within.
-    found = cut(small.unionByName(large).repartition("meets").sortWithinPartitions("meets").mapInArrow(lambda x: _met(x, bits, bands, threshold), "vec long, links long, root long"))
+    # Vectors join those rows alone that meet another one.
+    met = small.unionByName(large).join(same.select("vec", "copies", "embedding"), "vec")
+    met = met.select("meets", "band", "vec", "copies", "embedding", "block", "cross")
+    found = cut(met.repartition("meets").sortWithinPartitions("meets").mapInArrow(lambda x: _met(x, bits, bands, threshold), "vec long, links long, root long"))
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     parts = components(found.where("root is not null").select(F.col("vec").alias("a"), F.col("root").alias("b")))
     owner = (
