@@ -273,7 +273,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", _row_id().alias("rid"))
     every = rows.where("doc_id is not null").mapInArrow(_cut, "key long, content long, doc_id long, rid long, start int, count int")
-    twice = every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    # Cut here, so that both sides of the join come from exchanges of its own and Spark can split a hot key.
+    twice = cut(every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"))
     shared = cut(every.join(twice, "key"))
     shards = max(1, shared.count() // SHARD)
 
