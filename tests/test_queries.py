@@ -2,6 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import tickframe.plans.detectors  # noqa: F401
 import tickframe.plans.reports  # noqa: F401
 from tickframe.plans.queries import ORACLE_SQL, QUERIES
 
