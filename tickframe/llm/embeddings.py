@@ -121,8 +121,8 @@ def _links(part: pa.RecordBatch, bits: int, bands: int, threshold: float) -> pa.
         apart = np.bitwise_count(packed[a] ^ packed[b]).sum(1)
         near = apart < signs.shape[1] * 0.45
         a, b = a[near], b[near]
-        for low in range(0, len(a), 1 << 14):
-            x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
+        for low in range(0, len(a), 1 << 11):
+            x, y = a[low : low + (1 << 11)], b[low : low + (1 << 11)]
             corner = np.where(signs[x], 1.0, -1.0)
             estimate = np.einsum("ij,ij->i", corner, turned[y]) * scale / factor[x]
             open_ = estimate + bound[x] >= threshold
