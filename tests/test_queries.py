@@ -4,6 +4,7 @@ import pytest
 
 import tickframe.plans.detectors  # noqa: F401
 import tickframe.plans.reports  # noqa: F401
+import tickframe.plans.scalar_queries  # noqa: F401
 from tickframe.plans.queries import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.01"
