@@ -12,6 +12,7 @@ anchor, by the bits in which all 64 differ. No pair is missed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -188,15 +189,27 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = THRESHOLD) ->
     return prints.join(name, "fp")
 
 
-#: Wide fingerprints for a similarity of word shingles: BANDS bands of BAND bits.
-#: Two sets of Jaccard similarity 0.8 have a cosine of 0.89 and differ in 15 % of
-#: the bits; they agree in at least one band with probability 0.98.
-BAND, BANDS = 17, 62
+#: Numbers of the count sketch that wide fingerprints project.
 SKETCH = 2048
 
 
-def wide_fingerprints(texts: pa.Array, k: int) -> np.ndarray:
-    """Signs of BAND * BANDS random projections of each text's set of k-word shingles, as bytes.
+def banding(rows: int, least: float = 0.8, miss: float = 0.02) -> tuple[int, int]:
+    """Bits of a band and number of bands of wide fingerprints for so many rows.
+
+    Two sets of one size and Jaccard similarity s have a cosine of
+    2 s / (1 + s); they differ in a bit with the probability angle / pi. Bands
+    lengthen with the rows, so that the share of rows that meet another by
+    chance does not grow, and are as many as bring a pair of similarity
+    `least` together but for the probability `miss`, and 1024 bits in all at least,
+    for the similarity that is taken from them.
+    """
+    bits = max(8, math.ceil(math.log2(max(2, rows))) + 2)
+    agree = (1 - math.acos(2 * least / (1 + least)) / math.pi) ** bits
+    return bits, max(math.ceil(math.log(miss) / math.log1p(-agree)), -(-1024 // bits))
+
+
+def wide_fingerprints(texts: pa.Array, k: int, width: int) -> np.ndarray:
+    """Signs of `width` random projections of each text's set of k-word shingles, as bytes.
 
     Case and ASCII punctuation do not count. A text of fewer words is one
     shingle. The projections are products of a signed count sketch of SKETCH
@@ -212,8 +225,8 @@ def wide_fingerprints(texts: pa.Array, k: int) -> np.ndarray:
     row, shingle = _distinct(row, shingle)
     place = (shingle & np.uint64(SKETCH - 1)).astype(np.int64)
     sign = np.where(shingle >> np.uint64(63), 1.0, -1.0)
-    out = np.zeros((len(texts), BAND * BANDS // 8 + 1), np.uint8)
-    matrix = _matrix()
+    out = np.zeros((len(texts), -(-width // 8)), np.uint8)
+    matrix = _matrix(width)
     for low in range(0, len(texts), 512):
         inside = slice(*np.searchsorted(row, [low, low + 512]))
         n = min(512, len(texts) - low)
@@ -231,26 +244,26 @@ def _distinct(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 @lru_cache(maxsize=1)
-def _matrix() -> np.ndarray:
-    return np.random.default_rng(41).choice(np.array([-1, 1], np.float32), (SKETCH, BAND * BANDS))
+def _matrix(width: int) -> np.ndarray:
+    return np.random.default_rng(41).choice(np.array([-1, 1], np.float32), (SKETCH, width))
 
 
-def similarity(bits: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity of sets of one size whose fingerprints differ in so many bits."""
-    cosine = np.cos(np.pi * bits / (BAND * BANDS))
+def similarity(bits: np.ndarray, width: int) -> np.ndarray:
+    """The Jaccard similarity of sets of one size whose fingerprints of that width differ in so many bits."""
+    cosine = np.cos(np.pi * bits / width)
     return cosine / (2 - cosine)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wide = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("wide").to_pylist()]) if batch.num_rows else np.zeros((0, 1), np.uint8)
         if not len(wide):
             continue
-        bits = np.unpackbits(wide, axis=1, bitorder="little")[:, : BAND * BANDS].reshape(len(wide), BANDS, BAND)
-        keys = bits @ (1 << np.arange(BAND))
+        bits = np.unpackbits(wide, axis=1, bitorder="little")[:, : size * bands].reshape(len(wide), bands, size)
+        keys = bits.astype(np.float64) @ (2.0 ** np.arange(size))  # exact below 2**53
         fp = np.ascontiguousarray(wide[:, :8]).view(np.int64)[:, 0]
-        for band in range(BANDS):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].astype(np.int64) | band << BAND), batch.column("node"), pa.array(fp)], ["anchor", "node", "fp"])
+        for band in range(bands):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].astype(np.int64) | band << size), batch.column("node"), pa.array(fp)], ["anchor", "node", "fp"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -296,12 +309,12 @@ def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch], least: float, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (np.stack([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()]) for c in ("x", "y"))
-        keep = similarity(np.bitwise_count(x ^ y).sum(1)) >= least
+        keep = similarity(np.bitwise_count(x ^ y).sum(1), width) >= least
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -317,21 +330,23 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     stays only if its group has no other.
     """
     fields = docs.schema
+    size, bands = banding(docs.count(), least)
+    width = size * bands
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.chunks(batches):
-            wide = wide_fingerprints(part.column("text"), k)
+            wide = wide_fingerprints(part.column("text"), k, width)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), pa.array([x.tobytes() for x in wide], pa.binary())], ["doc_id", "row_hash", "wide"])
 
     hashed = docs.withColumn("row_hash", F.xxhash64(*fields.names))
     rows = cut(hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, wide binary"))
     rows = rows.withColumn("node", F.xxhash64("wide"))
     nodes = cut(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low")))
-    placed = nodes.select("node", "wide").mapInArrow(_banded, "anchor long, node long, fp long")
+    placed = nodes.select("node", "wide").mapInArrow(lambda x: _banded(x, size, bands), "anchor long, node long, fp long")
     pairs = _together(placed, "node").mapInArrow(lambda x: _forest(x, 20), "a long, b long").distinct()
     wide = nodes.select("node", "wide")
     both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
-    parts = components(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, least), "a long, b long"))
+    parts = components(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, least, width), "a long, b long"))
     named = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "low")
     kept = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("kept_id"), F.col("low.row_hash").alias("kept_hash"))
     found = hashed.join(kept, (F.col("row_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
