@@ -30,6 +30,36 @@ def test_representatives_against_brute_force(spark):
     assert {r.doc_id for r in got} == set(low)
 
 
+def varied(rnd, base, times, word):
+    words = base[:]
+    for at in rnd.sample(range(len(base)), times):
+        words[at] = word()
+    return words
+
+
+def jaccard(a, b):
+    a, b = shingles(" ".join(a)), shingles(" ".join(b))
+    return len(a & b) / len(a | b)
+
+
+def kept(spark, texts):
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id for r in simhash.representatives(rows).collect()}
+
+
+def test_copies_within_a_large_templated_group(spark):
+    """Texts of one template (similarity about 0.7) do not hide the near copies among them."""
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abcdefgh") + rnd.choice("mnop") + str(rnd.randrange(10**6))
+    base = [word() for _ in range(200)]
+    texts = [varied(rnd, base, 4, word) for _ in range(1000)]
+    copies = [c for t in texts[:200] for c in [varied(rnd, t, 4, word)] if jaccard(c, t) >= 0.8]
+    assert len(copies) > 150
+    got = kept(spark, texts + copies)
+    assert not got & set(range(1000, 1000 + len(copies)))
+    assert len(got) > 300
+
+
 def folder(spark, tmp_path, docs):
     labels = [(i, 1) for i in range(40)]
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -13,7 +13,7 @@ anchor, by the bits in which all 64 differ. No pair is missed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,8 @@ THRESHOLD = 2
 WIDTH = 31
 #: Members of one anchor that are compared in one task; more are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Takes the bodies of some nodes; what it returns takes one index and others, and says which of these are alike.
+Compare = Callable[[list[bytes]], Callable[[int, np.ndarray], np.ndarray]]
 
 
 def fingerprints(texts: pa.Array, k: int = 3, seed: int = 42) -> np.ndarray:
@@ -189,31 +191,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = THRESHOLD) ->
     return prints.join(name, "fp")
 
 
-#: Numbers of the count sketch that wide fingerprints project.
-SKETCH = 2048
+#: Minima in a key of a band.
+MINIMA = 5
 
 
-def banding(rows: int, least: float = 0.8, miss: float = 0.02) -> tuple[int, int]:
-    """Bits of a band and number of bands of wide fingerprints for so many rows.
-
-    Two sets of one size and Jaccard similarity s have a cosine of
-    2 s / (1 + s); they differ in a bit with the probability angle / pi. Bands
-    lengthen with the rows, so that the share of rows that meet another by
-    chance does not grow, and are as many as bring a pair of similarity
-    `least` together but for the probability `miss`, and 1024 bits in all at least,
-    for the similarity that is taken from them.
-    """
-    bits = max(8, math.ceil(math.log2(max(2, rows))) + 2)
-    agree = (1 - math.acos(2 * least / (1 + least)) / math.pi) ** bits
-    return bits, max(math.ceil(math.log(miss) / math.log1p(-agree)), -(-1024 // bits))
+def bands(least: float, miss: float = 1e-5) -> int:
+    """So many keys of MINIMA minima that sets of similarity `least` have none in common with the probability `miss`."""
+    return math.ceil(math.log(miss) / math.log1p(-(least**MINIMA)))
 
 
-def wide_fingerprints(texts: pa.Array, k: int, width: int) -> np.ndarray:
-    """Signs of `width` random projections of each text's set of k-word shingles, as bytes.
+def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the distinct k-word shingles of each text, sorted.
 
-    Case and ASCII punctuation do not count. A text of fewer words is one
-    shingle. The projections are products of a signed count sketch of SKETCH
-    numbers and a fixed random matrix, so that they run as one matrix product.
+    Case and ASCII punctuation do not count. A text of fewer words is one shingle.
     """
     w = T.words(texts, T.SIGNS)
     hashes = w.hashes(lower=True)
@@ -222,17 +212,7 @@ def wide_fingerprints(texts: pa.Array, k: int, width: int) -> np.ndarray:
     short = np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < k))
     row = np.concatenate([row, short])
     shingle = np.concatenate([shingle, T.span_hashes(hashes, w.first[short], w.first[short + 1])])
-    row, shingle = _distinct(row, shingle)
-    place = (shingle & np.uint64(SKETCH - 1)).astype(np.int64)
-    sign = np.where(shingle >> np.uint64(63), 1.0, -1.0)
-    out = np.zeros((len(texts), -(-width // 8)), np.uint8)
-    matrix = _matrix(width)
-    for low in range(0, len(texts), 512):
-        inside = slice(*np.searchsorted(row, [low, low + 512]))
-        n = min(512, len(texts) - low)
-        sketch = np.bincount((row[inside] - low) * SKETCH + place[inside], sign[inside], n * SKETCH).reshape(n, SKETCH)
-        out[low : low + n] = np.packbits(sketch.astype(np.float32) @ matrix > 0, axis=1, bitorder="little")
-    return out
+    return _distinct(row, shingle)
 
 
 def _distinct(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,110 +223,165 @@ def _distinct(row: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row[new], shingle[new]
 
 
-@lru_cache(maxsize=1)
-def _matrix(width: int) -> np.ndarray:
-    return np.random.default_rng(41).choice(np.array([-1, 1], np.float32), (SKETCH, width))
+def identities(row: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """128 bits of each of n sets, from its exact shingles; an empty set has 0."""
+    out = np.zeros((n, 2), np.uint64)
+    if len(row):
+        begin = np.flatnonzero(np.diff(row, prepend=-1))
+        for side, salt in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+            out[row[begin], side] = np.add.reduceat(T.mixed(shingle ^ np.uint64(salt)), begin)
+    return out
+
 
+@lru_cache(maxsize=1)
+def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(41)
+    return rng.integers(0, 2**32, n, dtype=np.uint32), rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-def similarity(bits: np.ndarray, width: int) -> np.ndarray:
-    """The Jaccard similarity of sets of one size whose fingerprints of that width differ in so many bits."""
-    cosine = np.cos(np.pi * bits / width)
-    return cosine / (2 - cosine)
 
+def band_keys(row: np.ndarray, shingle: np.ndarray, n: int, number: int) -> list[np.ndarray]:
+    """For each of n sets `number` keys, each of the minima of MINIMA random orders; an empty set has none.
 
-def _banded(batches: Iterator[pa.RecordBatch], size: int, bands: int) -> Iterator[pa.RecordBatch]:
+    Two sets agree in a minimum with the probability of their Jaccard similarity.
+    """
+    low = (shingle >> np.uint64(16)).astype(np.uint32)
+    turn, times = _orders(number * MINIMA)
+    keys = np.zeros((n, number), np.uint64)
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    some = row[begin]
+    for i in range(number * MINIMA if len(row) else 0):
+        least = np.minimum.reduceat((low ^ turn[i]) * times[i], begin)
+        band = i // MINIMA
+        keys[some, band] = T.mixed(keys[some, band] + least + np.uint64(i + 1))
+    full = np.zeros(n, bool)
+    full[some] = True
+    return [x if y else x[:0] for x, y in zip(keys.view(np.int64), full)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, as bodies are long."""
     for batch in batches:
-        wide = np.stack([np.frombuffer(x, np.uint8) for x in batch.column("wide").to_pylist()]) if batch.num_rows else np.zeros((0, 1), np.uint8)
-        if not len(wide):
-            continue
-        bits = np.unpackbits(wide, axis=1, bitorder="little")[:, : size * bands].reshape(len(wide), bands, size)
-        keys = bits.astype(np.float64) @ (2.0 ** np.arange(size))  # exact below 2**53
-        fp = np.ascontiguousarray(wide[:, :8]).view(np.int64)[:, 0]
-        for band in range(bands):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].astype(np.int64) | band << size), batch.column("node"), pa.array(fp)], ["anchor", "node", "fp"])
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
 
 
-def _forest(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each anchor: a forest of least bits over the pairs that differ in `most` of 64 bits or less."""
-    for part in whole_groups(batches, "anchor"):
-        group, node, fp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        fp = fp.view(np.uint64)
-        at, step, ups, downs, bits = np.arange(len(fp)), 1, [], [], []
-        while True:
-            at = at[at + step < len(fp)]
-            at = at[group[at] == group[at + step]]
-            if not len(at):
-                break
-            apart = np.bitwise_count(fp[at] ^ fp[at + step])
-            near = apart <= most
-            ups.append(at[near])
-            downs.append(at[near] + step)
-            bits.append(apart[near])
-            step += 1
-        if not ups:
-            continue
-        a, b, apart = (np.concatenate(x) for x in (ups, downs, bits))
-        order = np.argsort(apart, kind="stable")
-        a, b = a[order], b[order]
-        root, chosen = np.arange(len(fp)), []
-        while True:  # each part takes its first pair to another part, until none is left
-            open_ = np.flatnonzero(root[a] != root[b])
-            if not len(open_):
-                break
-            a, b = a[open_], b[open_]
-            first = np.full(len(fp), len(a))
-            rank = np.arange(len(a))
-            np.minimum.at(first, root[a], rank)
-            np.minimum.at(first, root[b], rank)
-            take = np.unique(first[first < len(a)])
-            chosen.append((a[take], b[take]))
-            member, least = spanning(root[a[take]], root[b[take]], len(fp))
-            move = np.arange(len(fp))
-            move[member] = least
-            root = move[root]
-        if chosen:
-            a, b = (np.concatenate(x) for x in zip(*chosen))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch], least: float, width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
+def _alike(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose bodies x and y are alike."""
+    for batch in _slices(batches):
+        keep = [bool(compare([x, y])(0, np.array([1]))[0]) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def joined(part: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different parts that are alike, enough to span what all such links connect.
+
+    Each row is compared with all later ones that are not yet in its part.
+    """
+    part, out = part.copy(), []
+    for i in range(len(part) - 1):
+        others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        if not len(others):
             continue
-        x, y = (np.stack([np.frombuffer(v, np.uint8) for v in batch.column(c).to_pylist()]) for c in ("x", "y"))
-        keep = similarity(np.bitwise_count(x ^ y).sum(1), width) >= least
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        near = others[alike(i, others)]
+        met, first = np.unique(part[near], return_index=True)
+        out += [(i, j) for j in near[first].tolist()]
+        part[np.isin(part, met)] = part[i]
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """Links of rows (anchor, node, component, body) that are sorted by anchor."""
+    for rows in whole_groups(_slices(batches), "anchor"):
+        anchor, node, part = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        bounds = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1, append=anchor[-1] - 1))
+        bounds[-1] = len(anchor)
+        a, b = [], []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            links = joined(part[low:high], compare(rows.column(3).slice(low, high - low).to_pylist())) if high - low > 1 else []
+            a += [low + i for i, _ in links]
+            b += [low + j for _, j in links]
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+
+def _links(placed: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
+    """Links (a, b) that span the components of all alike pairs of nodes with a common anchor.
+
+    First every node is compared with the least one of each of its anchors.
+    Anchors whose nodes are then still in several components have all pairs
+    of different components compared; anchors of the same nodes count once.
+    No pair is passed over unless it is connected already.
+    """
+    counts = placed.groupBy("anchor").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    met = cut(placed.join(counts, "anchor").select("anchor", "node", "least"))
+    body = cut(bodies(met.select("node").distinct()))
+    pairs = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    both = pairs.join(body.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    stars = cut(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, compare), "a long, b long"))
+    part = met.join(components(stars), "node", "left").select("anchor", "node", F.coalesce("component", "node").alias("component"))
+    several = part.groupBy("anchor").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")
+    )
+    once = several.where("low <> high").groupBy("n", "s", "t").agg(F.min("anchor").alias("anchor"))
+    open_ = cut(part.join(once.select("anchor"), "anchor", "left_semi"))
+    rest = _together(open_.join(body, "node").select("anchor", "node", "component", "body"), "node")
+    return stars.unionByName(rest.mapInArrow(lambda x: _joined(x, compare), "a long, b long"))
+
+
+def by_sets(bodies: list[bytes], least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Exact Jaccard similarity of sets of 64-bit hashes of at least `least`."""
+    sets = [np.frombuffer(x, np.uint64) for x in bodies]
+    sizes = np.array([len(x) for x in sets])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        own = np.zeros(len(values), np.int64)
+        own[place[begin[i] : begin[i + 1]]] = 1
+        first = int(others[0])
+        both = np.add.reduceat(own[place[begin[first] :]], begin[first:-1] - begin[first])[others - first]
+        return both >= least * (sizes[i] + sizes[others] - both)
+
+    return alike
 
 
 def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """The row of the smallest doc_id of each component of texts of similarity `least` or more.
 
-    Similarity is what wide fingerprints of the sets of k-word shingles say.
-    Here anchors are all words of a band (a covering code of radius 0) and
-    the threshold within a band is 0: at this similarity fingerprints differ
-    in so many bits that wider balls would meet nearly every anchor.
+    Similarity is the Jaccard similarity of the sets of k-word shingles (as
+    64-bit hashes). Keys of minima only propose pairs (one of similarity
+    `least` is missed with probability 1e-5); the exact sets decide.
     Defined cases: null and empty texts and texts without a word are one
     group; of equal rows of one doc_id one stays; a row with a null doc_id
     stays only if its group has no other.
     """
     fields = docs.schema
-    size, bands = banding(docs.count(), least)
-    width = size * bands
+    number = bands(least)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.chunks(batches):
-            wide = wide_fingerprints(part.column("text"), k, width)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), pa.array([x.tobytes() for x in wide], pa.binary())], ["doc_id", "row_hash", "wide"])
+            n = part.num_rows
+            row, shingle = shingle_sets(part.column("text"), k)
+            known = identities(row, shingle, n).view(np.int64)
+            keys = pa.array(band_keys(row, shingle, n, number), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), pa.array(known[:, 0]), pa.array(known[:, 1]), keys], ["doc_id", "row_hash", "upper", "lower", "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.chunks(batches):
+            row, shingle = shingle_sets(part.column("text"), k)
+            bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "body"])
 
     hashed = docs.withColumn("row_hash", F.xxhash64(*fields.names))
-    rows = cut(hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, wide binary"))
-    rows = rows.withColumn("node", F.xxhash64("wide"))
-    nodes = cut(rows.groupBy("node").agg(F.first("wide").alias("wide"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low")))
-    placed = nodes.select("node", "wide").mapInArrow(lambda x: _banded(x, size, bands), "anchor long, node long, fp long")
-    pairs = _together(placed, "node").mapInArrow(lambda x: _forest(x, 20), "a long, b long").distinct()
-    wide = nodes.select("node", "wide")
-    both = pairs.join(wide.select(F.col("node").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("node").alias("b"), F.col("wide").alias("y")), "b")
-    parts = components(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, least, width), "a long, b long"))
+    rows = hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, upper long, lower long, keys array<long>")
+    nodes = rows.groupBy("upper", "lower").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "keys", "low"))
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        at = nodes.join(wanted, "node", "left_semi").select("node", F.col("low.doc_id").alias("of_id"), F.col("low.row_hash").alias("of_hash"))
+        own = hashed.join(at, (F.col("row_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
+        return own.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, body binary")
+
+    parts = components(_links(nodes.select(F.explode("keys").alias("anchor"), "node"), bodies, lambda x: by_sets(x, least)))
     named = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "low")
     kept = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("kept_id"), F.col("low.row_hash").alias("kept_hash"))
     found = hashed.join(kept, (F.col("row_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
