@@ -60,6 +60,11 @@ def test_copies_within_a_large_templated_group(spark):
     assert len(got) > 300
 
 
+def test_short_texts_are_told_apart(spark):
+    texts = [[f"a{i}", f"b{i}"] for i in range(2000)]
+    assert kept(spark, texts) == set(range(2000))
+
+
 def folder(spark, tmp_path, docs):
     labels = [(i, 1) for i in range(40)]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
