@@ -65,6 +65,19 @@ def test_short_texts_are_told_apart(spark):
     assert kept(spark, texts) == set(range(2000))
 
 
+def test_similarity_is_exact_near_the_threshold(spark):
+    rnd = random.Random(8)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(10**8))
+    texts, low = [], set()
+    for i in range(300):
+        one = [word() for _ in range(180)]
+        two = varied(rnd, one, 4 + i % 2, word)
+        low |= {len(texts)} if jaccard(one, two) >= 0.8 else {len(texts), len(texts) + 1}
+        texts += [one, two]
+    assert 320 < len(low) < 580
+    assert kept(spark, texts) == low
+
+
 def folder(spark, tmp_path, docs):
     labels = [(i, 1) for i in range(40)]
     docs.write.parquet(f"{tmp_path}/documents.parquet")
