@@ -64,6 +64,12 @@ def test_against_brute_force(spark):
     assert next(r for r in rows if r.doc_id == 41).text == ""
 
 
+def test_line_of_many_documents_among_unlike_neighbours(spark):
+    docs = [(i, f"above {i}\nthe shared passage\nbelow {i}") for i in range(80)]
+    rows = lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {i: t if i == 0 else f"above {i}\nbelow {i}" for i, t in docs}
+
+
 def test_odd_rows(spark):
     docs = cases.odd(spark)
     rows = lines.deduplicated(docs).collect()

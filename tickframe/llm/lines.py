@@ -1,8 +1,7 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Lines are compared without white space at their ends. Two documents overlap
-if they share a seed: a rare line (in at most RARE documents), two
-neighbouring lines, or all lines. For each seed every document is paired with
+if they share a seed: a line, two neighbouring lines, or all lines. For each seed every document is paired with
 the first one (smallest doc_id) that holds it, so that pairs grow with the
 documents and not with the square of a group, and no shared seed is passed
 over. A pair is aligned by patience diff, and what the later document has in
@@ -22,8 +21,6 @@ from pyspark.sql import functions as F
 
 from tickframe.llm.shared import cut
 
-RARE = 64
-
 
 def aligned(a: list[int], b: list[int]) -> list[int]:
     """Indices of a that patience diff puts in blocks common with b."""
@@ -80,8 +77,11 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("d_id"), F.xxhash64("text").alias("d_hash"), hashes.alias("lines"))
 
 
-def dropped_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
-    """(d_id, d_hash, dropped): for each document that loses any, the places of its lines that go."""
+def dropped_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
+    """(d_id, d_hash, dropped): for each document that loses any, the places of its lines that go.
+
+    With rare, a line in more documents is no seed on its own.
+    """
     rows = cut(_with_lines(docs.where("doc_id is not null")).distinct())
     solid = F.filter("lines", lambda x: x != 0)
     pairs = F.when(
@@ -99,10 +99,11 @@ def dropped_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
             )
         ).alias("s"),
     ).select("d_id", "d_hash", "s.seed", "s.single")
+    allowed = F.lit(True) if rare is None else ~F.col("single") | (F.col("n") <= rare)
     first = (
         seeds.groupBy("seed", "single")
         .agg(F.min(F.struct("d_id", "d_hash")).alias("p"), F.count("*").alias("n"))
-        .where((F.col("n") > 1) & (~F.col("single") | (F.col("n") <= rare)))
+        .where((F.col("n") > 1) & allowed)
         .select("seed", "single", F.col("p.d_id").alias("p_id"), F.col("p.d_hash").alias("p_hash"))
     )
     met = seeds.join(first, ["seed", "single"]).where("d_id <> p_id or d_hash <> p_hash").select("d_id", "d_hash", "p_id", "p_hash").distinct()
@@ -112,7 +113,7 @@ def dropped_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     return found.groupBy("d_id", "d_hash").agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("dropped")).where("size(dropped) > 0")
 
 
-def deduplicated(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def deduplicated(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """docs with `text` without the deleted lines, `n_lines` and `n_removed` (long).
 
     Lines are what line ends (0x0A) part; blank lines are never deleted and
