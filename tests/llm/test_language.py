@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tests.llm import cases
 from tickframe.llm import crf, language
@@ -62,3 +63,17 @@ def test_field_against_all_paths():
         assert tuple(best[a : a + n]) == paths[score.argmax()]
     assert np.isclose(log, total) and np.isclose(moves.sum(), 5)
     assert np.allclose(field.posteriors(emission, first, sizes), both, atol=1e-5)
+
+
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_blocks_carry_the_state(monkeypatch, block):
+    rng = np.random.default_rng(3)
+    field = crf.Field(rng.standard_normal((3, 3)) * 2, rng.standard_normal(3))
+    sizes = rng.integers(1, 14, 60)
+    first = np.cumsum(sizes) - sizes
+    emission = rng.standard_normal((sizes.sum(), 3))
+    both, _, _ = field.marginals(emission, first, sizes)
+    best = field.best(emission, first, sizes)
+    monkeypatch.setattr(crf, "BLOCK", block)
+    assert np.allclose(field.posteriors(emission, first, sizes), both, atol=1e-5)
+    assert (field.best(emission, first, sizes) == best).all()

@@ -42,7 +42,7 @@ def made(n=60):
         if i % 7 == 3 and rows:
             words = rows[i // 2][1].split()
         rows.append((i * 3 % n, " \n".join(words)))
-    return rows
+    return rows + rows[1:40:3] * 2
 
 
 @pytest.mark.parametrize("hot", [2, 2000])
@@ -55,6 +55,27 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert sum(r.n_removed for r in got) > 500
 
 
+@pytest.mark.parametrize("hot", [2, 2000])
+def test_repeated_rows_around_one_passage(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "SHARD", 5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(d, " ".join([f"a{d}x{i}" for i in range(40)] + passage + [f"b{d}x{i}" for i in range(40)])) for d in range(12)]
+    rows += rows[3:8] + rows[5:6] * 3
+    got = S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_collide_modulo_powers_of_two(spark, size):
+    turn = [bin(i).count("1") % 2 for i in range(size)]
+    words = ["".join("ab"[x ^ flip] for x in turn) for flip in (0, 1)]
+    rest = [f"w{i}" for i in range(49)]
+    rows = [(d, " ".join([words[d], *rest])) for d in range(2)]
+    got = S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 0)]
+
+
 def test_index_finds_intervals():
     rng = np.random.default_rng(2)
     pieces = [rng.integers(0, 3, n) for n in (60, 55, 80, 51, 50)]

@@ -16,15 +16,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.llm import crf
 from tickframe.llm import text as T
+from tickframe.llm.shared import bare, fields_of
 
 BITS = 18
-#: Labelled rows to learn from, about: chosen by the hash of doc_id, evenly over the languages.
-SAMPLE = 2400
+#: Labelled rows to learn from, at most: chosen by the hash of doc_id and text, evenly over the languages; of texts of more bytes than LONGEST none.
+SAMPLE, LONGEST = 2400, 1 << 16
 CHAINS = 4000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -129,14 +130,18 @@ def held_out() -> Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model from the text and lang of docs that are not held out; None if no row teaches anything."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    turn = F.xxhash64("doc_id", "text", F.lit(11))
+    known = docs.select("doc_id", "text", "lang", turn.alias("turn")).where(F.col("lang").isNotNull() & ~held_out()).where(F.trim("text") != "").where(F.octet_length("text") <= LONGEST)
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
-    share = F.lit(0.0)
+    each, share = sample / len(sizes), F.lit(0.0)
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / len(sizes) / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)).where(F.trim("text") != "")
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * each / n))).otherwise(share)
+    # Few rows pass the share; repeated rows are one, and each language gives its bound at most.
+    few = known.where(F.pmod("turn", F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "turn").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("turn", F.lit(1 << 30)), "turn"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= max(1, int(each))).select("doc_id", "text", "lang")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"])
@@ -144,7 +149,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         at = np.flatnonzero(np.abs(m.weights).sum(1))
         return pd.DataFrame({"languages": [m.languages], "move": [m.field.move.ravel()], "start": [m.field.start], "at": [at], "w": [m.weights[at].ravel()]})
 
-    # The sample is bounded, so one task may hold it.
+    # At most SAMPLE rows of at most LONGEST bytes: one task may hold them.
     fitted = chosen.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(train, "languages array<string>, move array<double>, start array<double>, at array<long>, w array<float>").collect()
     if not fitted:
         return None
@@ -169,5 +174,4 @@ def identified(docs: DataFrame, model: Model | None, lang: str = "lang_pred", sc
             names, scores = shared.value.predict(texts) if shared.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, lang, score])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{lang}` string, `{score}` double")

@@ -5,14 +5,21 @@ tagged as beginning a secret, inside one or outside. Features are a token's
 shape (length, kinds of its characters, how often they change, what stands
 before it), the words around it and the shape of the file (its share of
 digits, whether it looks like code). The field is trained on the values that
-the base patterns find in a bounded sample of the texts; Viterbi then tags
-every text. Its spans that meet no base span are added under the kind `crf`.
+the base patterns find in a bounded sample of the texts, and on altered copies
+of their lines: the key word is masked by another word or left out, and the
+value is drawn anew over other alphabets, or is a plain number, word, address
+or mail name, which is no secret. So it learns shape and surroundings instead
+of the patterns themselves. Viterbi then tags every text; its spans that meet
+no base span are added under the kind `crf`.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pandas as pd
@@ -22,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tickframe.llm import crf
 from tickframe.llm import text as T
+from tickframe.llm.shared import bare, fields_of, sampled
 
 #: The base patterns, fixed values: pattern, group whose length counts, least length.
 PATTERNS = {
@@ -33,8 +41,14 @@ KINDS = [*PATTERNS, "crf"]
 KEYS = ("passw", "secret", "token", "apikey", "api_key")
 OUT, BEGIN, INSIDE = range(3)
 BITS = 16
-#: Texts to learn from, about: chosen by the hash of doc_id and text.
-SAMPLE = 6000
+#: Texts to learn from, at most, chosen by the hash of doc_id and text; of texts of more bytes than LONGEST none.
+SAMPLE, LONGEST = 6000, 1 << 16
+#: Chains without a base span that teach, at most; taken at even distances.
+OUTSIDE = 6000
+#: Altered copies of each line with a base span.
+ALTERED = 4
+_LOW, _UP, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+ALPHABETS = (_NUM + _UP, _NUM + _LOW + _UP, _NUM + _LOW + _UP + "+/", _NUM + _LOW + _UP + "_-", _NUM + "abcdef", _NUM + "ABCDEF")
 
 #: Bytes of text that are tagged at once; the features take some 40 bytes for each.
 CHUNK_BYTES = 1 << 20
@@ -73,29 +87,30 @@ def base_all(texts: list[str], data: np.ndarray, bounds: np.ndarray) -> list[lis
     return out
 
 
-def _shapes(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The shape of each token as a number, exact and coarse."""
+def _shapes(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shape of each token as a number: exact, coarse, and the kinds of characters with the rough length alone."""
     size = w.end - w.start
     kind = _KIND[w.data]
-    parts = np.zeros(len(size), np.uint64)
     change = np.zeros(len(kind) + 1, np.int64)
     change[1:-1] = kind[1:] != kind[:-1]
     changes = np.concatenate([[0], np.cumsum(change)])
     parts = np.minimum(size, 40) // 4 + 16 * np.minimum(changes[w.end] - changes[np.minimum(w.start + 1, w.end)], 12)
+    broad = np.minimum(size, 40) // 8 * 4 + np.minimum(changes[w.end] - changes[np.minimum(w.start + 1, w.end)], 7) // 2
     for k in range(5):
         sums = np.concatenate([[0], np.cumsum(kind == k)])
+        broad = broad * 2 + (sums[w.end] > sums[w.start])
         share = (sums[w.end] - sums[w.start]) * 4 // np.maximum(size, 1)
         parts = parts * 6 + share + ((sums[w.end] - sums[w.start]) > 0)
     before = np.where((w.start > 0) & (w.start > w.bounds[w.row]), w.data[np.maximum(w.start - 1, 0)], 0)
     quoted = np.select([(before == 34) | (before == 39), before == 61, before == 58], [1, 2, 3], 0)
     mixes = (np.minimum(size, 40) // 8 * 4 + np.minimum(changes[w.end] - changes[np.minimum(w.start + 1, w.end)], 12) // 4) * 2
     digits = np.concatenate([[0], np.cumsum(kind == 0)])
-    return (parts * 4 + quoted).astype(np.uint64), (mixes + (digits[w.end] > digits[w.start])).astype(np.uint64)
+    return (parts * 4 + quoted).astype(np.uint64), (mixes + (digits[w.end] > digits[w.start])).astype(np.uint64), broad.astype(np.uint64)
 
 
 def _context(w: T.Words) -> tuple[np.ndarray, list[np.ndarray]]:
     """Shape of each token, and hashes for the feature templates."""
-    shape, coarse = _shapes(w)
+    shape, coarse, broad = _shapes(w)
     word = w.hashes(lower=True)
     n = len(word)
 
@@ -111,7 +126,7 @@ def _context(w: T.Words) -> tuple[np.ndarray, list[np.ndarray]]:
     length = np.maximum(np.diff(w.bounds), 1)
     file = np.minimum(np.diff(digits[w.bounds]) * 20 // length, 5) * 6 + np.minimum(np.diff(signs[w.bounds]) * 50 // length, 5)
     file = file.astype(np.uint64)[w.row]
-    return shape, [shape, near(word, -1), near(word, -2), near(word, 1), near(shape, -1), near(shape, 1), shape * np.uint64(64) + file, near(word, -1) + shape * np.uint64(0x9E3779B97F4A7C15), coarse, near(word, -1) + coarse * np.uint64(0x9E3779B97F4A7C15)]
+    return shape, [shape, near(word, -1), near(word, -2), near(word, 1), near(shape, -1), near(shape, 1), shape * np.uint64(64) + file, near(word, -1) + shape * np.uint64(0x9E3779B97F4A7C15), coarse, near(word, -1) + coarse * np.uint64(0x9E3779B97F4A7C15), broad]
 
 
 def _buckets(templates: list[np.ndarray]) -> np.ndarray:
@@ -126,22 +141,60 @@ def _breaks(w: T.Words) -> np.ndarray:
     return out
 
 
-def _silver(w: T.Words, texts: list[str], spans: list[list[tuple[int, int, str]]]) -> np.ndarray:
-    """Tags of the tokens from the values of base spans."""
+def _places(text: str) -> np.ndarray | None:
+    """Byte place of each code point of text and of its end; None if they are the same."""
+    if text.isascii():
+        return None
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))])
+
+
+def _silver(w: T.Words, texts: list[str], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Tags of the tokens from the secrets' places (code points) in each text."""
     tags = np.zeros(len(w.start), np.int64)
     for i, own in enumerate(spans):
-        for a, b, kind in own:
-            pattern, group, _ = PATTERNS[kind]
-            match = pattern.match(texts[i], a)
-            a, b = match.span(group) if match else (a, b)
-            low = int(w.bounds[i]) + len(texts[i][:a].encode())
-            high = low + len(texts[i][a:b].encode())
-            x, y = np.searchsorted(w.end, low, "right"), np.searchsorted(w.start, high)
+        place = _places(texts[i]) if own else None
+        for a, b in own:
+            if place is not None:
+                a, b = place[a], place[b]
+            x, y = np.searchsorted(w.end, w.bounds[i] + a, "right"), np.searchsorted(w.start, w.bounds[i] + b)
             tags[x:y] = INSIDE
             tags[x : x + 1] = BEGIN
     return tags
 
 
+def _values(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Of base spans the places of the secrets themselves, without the key words."""
+    out = []
+    for a, _, kind in spans:
+        pattern, group, _ = PATTERNS[kind]
+        out.append(pattern.match(text, a).span(group))
+    return out
+
+
+def altered(text: str, span: tuple[int, int, str], value: tuple[int, int], rnd: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """The line of a base span with another key word and another value, and where it then holds a secret."""
+    low, high = text.rfind("\n", 0, value[0]) + 1, text.find("\n", value[1])
+    high = len(text) if high < 0 else high
+    before, after = text[low : value[0]][-400:], text[value[1] : high][:400]
+    masked = "".join(rnd.choice(_LOW) for _ in range(rnd.randint(3, 10)))
+    if span[2] == "assign":
+        head = before[: len(before) - (value[0] - span[0])] if value[0] - span[0] <= len(before) else ""
+        link = text[span[0] : value[0]]
+        key = re.match("[A-Za-z_]+", link)
+        link = link[key.end() :] if key else link
+        before = head + (masked + link if rnd.random() < 0.7 else "")
+    if rnd.random() < 0.6:
+        size = rnd.randint(16, 48)
+        alphabet = rnd.choice(ALPHABETS)
+        new = "".join(rnd.choice(alphabet) for _ in range(size))
+        return before + new + after, [(len(before), len(before) + size)]
+    digits = "".join(rnd.choice(_NUM) for _ in range(rnd.randint(4, 20)))
+    word = "".join(rnd.choice(_LOW) for _ in range(rnd.randint(4, 14)))
+    new = rnd.choice([digits, word, word.upper(), word.capitalize(), f"{word}.{digits[:2]}@mail{digits[0]}.example.com", ".".join(str(rnd.randrange(256)) for _ in range(4)), f"{word}-{word[::-1]}", f"https://{word}.example/{word[:3]}/{digits[:4]}"])
+    return before + new + after, []
+
+
 class Tagger:
     def __init__(self, field: crf.Field, weights: np.ndarray):
         self.field, self.weights = field, weights
@@ -182,20 +235,38 @@ class Tagger:
         return out
 
 
+def _lessons(texts: list[str]) -> Iterator[tuple[pa.Array, list[str], list[list[tuple[int, int]]], bool]]:
+    """Parts of the texts with the places of their secrets, then altered lines; the last says which."""
+    rnd = random.Random(20240501)
+    lines: list[tuple[str, list[tuple[int, int]]]] = []
+    for part in T.chunks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), size=CHUNK_BYTES):
+        column, own = part.column("text"), part.column("text").to_pylist()
+        data, bounds = T.buffers(column)
+        spans = base_all(own, data, bounds)
+        values = [_values(t, s) for t, s in zip(own, spans)]
+        yield column, own, values, False
+        for text, some, places in zip(own, spans, values):
+            for span, value in zip(some[:8], places[:8]):
+                lines += [altered(text, span, value, rnd) for _ in range(ALTERED)]
+    for at in range(0, len(lines), 4000):
+        own = [t for t, _ in lines[at : at + 4000]]
+        yield pa.array(own, pa.string()), own, [v for _, v in lines[at : at + 4000]], True
+
+
 def _trained(texts: list[str]) -> Tagger:
-    """Tagger from all chains that hold a base span's value (three times each) and some of the others."""
+    """Tagger from all chains with a base span's value, altered copies of their lines and some of the other chains."""
     buckets, tags, sizes = [], [], []
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    for part in T.chunks(iter([batch]), size=CHUNK_BYTES):
-        own = part.column("text").to_pylist()
-        w = T.words(part.column("text"), _GAPS)
+    for column, own, places, made in _lessons(texts):
+        w = T.words(column, _GAPS)
         if not len(w.start):
             continue
-        tag = _silver(w, own, base_all(own, w.data, w.bounds))
-        first, size = crf.chains(_breaks(w), len(w.start))
+        tag = _silver(w, own, places)
+        first, size, _ = crf.blocks(*crf.chains(_breaks(w), len(w.start)), crf.BLOCK)
         holds = np.add.reduceat(tag > 0, first) > 0
         rest = np.flatnonzero(~holds)
-        chosen = np.concatenate([np.repeat(np.flatnonzero(holds), 3), rest[:: max(1, len(rest) * len(texts) // (6000 * len(own)))]])
+        if not made:
+            rest = rest[:: max(1, len(rest) * len(texts) // (OUTSIDE * len(own)))]
+        chosen = np.concatenate([np.flatnonzero(holds), rest])
         n = size[chosen]
         token = np.repeat(first[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum())
         _, templates = _context(w)
@@ -213,19 +284,15 @@ def _trained(texts: list[str]) -> Tagger:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """Tagger from about `sample` rows of docs; None if they hold no text."""
-    n = docs.count()
-    if not n:
-        return None
-    share = int(min(1.0, sample / n) * (1 << 30))
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) < share).where("length(text) > 0")
+    """Tagger from at most `sample` rows of docs, of at most LONGEST bytes each; None if there is none."""
+    chosen = sampled(docs.select("doc_id", "text").where(F.octet_length("text").between(1, LONGEST)), sample, "doc_id", "text")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         t = _trained(sorted(rows["text"]))
         at = np.flatnonzero(np.abs(t.weights).sum(1))
         return pd.DataFrame({"move": [t.field.move.ravel()], "start": [t.field.start], "at": [at], "w": [t.weights[at].ravel()]})
 
-    # The sample is bounded, so one task may hold it.
+    # At most SAMPLE rows and, nearly always far under it, SAMPLE * LONGEST bytes: one task may hold them.
     fitted = chosen.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(train, "move array<double>, start array<double>, at array<long>, w array<double>").collect()
     if not fitted:
         return None
@@ -240,21 +307,33 @@ def found(texts: pa.Array, tagger: Tagger | None) -> list[list[tuple[int, int, s
     w = T.words(texts, _GAPS)
     plain = [t or "" for t in texts.to_pylist()]
     out = base_all(plain, w.data, w.bounds)
-    for row, a, b in tagger.spans(w) if tagger else ():
-        at = int(w.bounds[row])
-        low = len(w.data[at:a].tobytes().decode())
-        high = low + len(w.data[a:b].tobytes().decode())
-        if not any(low < y and x < high for x, y, _ in out[row]):
-            out[row].append((low, high, "crf"))
-    return [sorted(s, key=lambda x: (x[0], KINDS.index(x[2]))) for s in out]
+    tagged = tagger.spans(w) if tagger else []
+    if not tagged:
+        return out
+    points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # code points before each byte
+    for row, group in groupby(tagged, key=lambda x: x[0]):
+        base = out[row]
+        starts, ends = [s for s, *_ in base], list(accumulate((e for _, e, _ in base), max))
+        new = []
+        for _, a, b in group:
+            low, high = (int(points[x] - points[w.bounds[row]]) for x in (a, b))
+            before = bisect_left(starts, high)
+            if not before or ends[before - 1] <= low:
+                new.append((low, high, "crf"))
+        out[row] = sorted([*base, *new], key=lambda x: (x[0], KINDS.index(x[2])))
+    return out
 
 
 def scanned(docs: DataFrame, tagger: Tagger | None, name: str = "spans") -> DataFrame:
     """docs with the list of spans (kind, start, end; code points, end exclusive) of each whole text.
 
     Defined cases: null and empty texts have no span; without a tagger only
-    base spans are given. Other columns stay as they are.
+    base spans are given; repeated rows have the same spans; a span that both
+    a base pattern and the field find is the base one; long lines are one
+    chain each. Other columns stay as they are, but one named as the output
+    (in any case of letters) gives way to it.
     """
+    docs = bare(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # 2**BITS rows of three numbers
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -263,5 +342,4 @@ def scanned(docs: DataFrame, tagger: Tagger | None, name: str = "spans") -> Data
             spans = [[{"kind": k, "start": a, "end": b} for a, b, k in own] for own in found(part.column("text"), shared.value)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], [*part.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` array<struct<kind:string,start:int,end:int>>")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{name}` array<struct<kind:string,start:int,end:int>>")

@@ -18,15 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df from files in spark.checkpoint.dir, without its lineage.
 
-    The folder that the session names is used; only where it names none
-    (tests, local runs) a temporary one is set.
+    The folder that the session names is used; see shared_folder.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where the session names none, a temporary folder in local mode (tests) and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def bare(docs: DataFrame, *outputs: str) -> DataFrame:
+    """docs without columns of the outputs' names, in any case of letters: an operator's output takes their place."""
+    taken = {o.lower() for o in outputs}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
+
+
+def fields_of(docs: DataFrame) -> str:
+    """The schema of docs as text for mapInArrow."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+
+def sampled(rows: DataFrame, sample: int, *by: str) -> DataFrame:
+    """At most `sample` different rows of rows, the ones of the least hashes of the columns `by`.
+
+    A first pass lets through those whose hash is under a bound that the row
+    count gives, so that few rows are sorted; rows that agree in `by` are one.
+    """
+    n = rows.count()
+    turn = "_turn"
+    while turn in rows.columns:
+        turn += "_"
+    share = int(min(1.0, 1.5 * sample / max(1, n)) * (1 << 30))
+    few = rows.withColumn(turn, F.xxhash64(*by, F.lit(5))).where(F.pmod(turn, F.lit(1 << 30)) < share)
+    one = few.groupBy(turn).agg(F.min(F.struct(*rows.columns)).alias("row"))
+    return one.orderBy(F.pmod(turn, F.lit(1 << 30)), turn).limit(sample).select("row.*")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rows (node, component).
 

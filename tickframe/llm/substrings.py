@@ -10,9 +10,10 @@ packed bits over the Burrows-Wheeler transform of its pieces. All pieces are
 then streamed through it from their last word to the first: backward search
 keeps the matching statistic, cut at W words, and the suffix interval of each
 window; the smallest doc_id in the interval says whether an earlier document
-has the window. Keys with more than HOT distinct pieces (a passage in many
-surroundings) are parted into single windows, equal ones merged, before they
-are dealt out by the windows' own hashes, so that no shard grows with a key.
+has the window. Pieces of a key with more than HOT distinct ones (a passage in
+many surroundings) are dealt over many shards, so that no shard grows with a
+key; each shard's index gives its own smallest doc_id of a window, and the
+least over the shards is the window's.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tickframe.llm.shared import cut, whole_groups
 W = 50
 K = 20
 HOT = 2000
-#: Pieces of a shard, about.
+#: Pieces of a shard, about. Keys with more than HOT distinct pieces are dealt over several; results are the same.
 SHARD = 6000
 
 
@@ -69,14 +70,14 @@ class Index:
         _, symbol = np.unique(numbers, return_inverse=True)
         n, m = len(numbers) + len(size), len(size)
         self.end = np.cumsum(size + 1) - 1  # places of the separators
-        text = np.zeros(n, np.int64)
+        text = np.zeros(n, np.int32)
         inside = np.ones(n, bool)
         inside[self.end] = False
         text[inside] = symbol + 1
         self.text = text
         owner = np.repeat(np.arange(m), size + 1)
         # Suffixes are sorted by doubling; separators are all different, so ranks are soon unique.
-        rank = np.where(inside, text + m, 0)
+        rank = np.where(inside, text.astype(np.int64) + m, 0)
         rank[self.end] = np.arange(m)
         depth, at_half, half = 1, None, 1
         while half * 2 <= w:
@@ -99,15 +100,11 @@ class Index:
         a, b = at_half[suffix], at_half[rest]
         differs = np.ones(n + 1, bool)
         differs[1:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        edge = np.flatnonzero(differs)
-        block = np.cumsum(differs[:-1]) - 1
-        self.low, self.high = edge[:-1][block], edge[1:][block]
+        self.edge = np.flatnonzero(differs)
+        self.block = (np.cumsum(differs[:-1]) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(value[owner[suffix]], self.edge[:-1])  # of each interval of w words
         self._wavelet(text[suffix - 1])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text))])  # counts of smaller symbols
-        self.least = [value[owner[suffix]]]
-        while 2 << (len(self.least) - 1) <= n:
-            last, step = self.least[-1], 1 << (len(self.least) - 1)
-            self.least.append(np.minimum(last[:-step], last[step:]))
 
     def _wavelet(self, row: np.ndarray) -> None:
         """Bits of each level, packed in words, with the ones before each word."""
@@ -136,14 +133,6 @@ class Index:
         base = self.before[symbol] - self.origin[symbol]
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
-    def minimum(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        level = np.frexp((high - low).astype(float))[1] - 1
-        out = np.empty(len(low), np.int64)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.least[k][low[at]], self.least[k][high[at] - (1 << int(k))])
-        return out
-
     def windows(self) -> list[np.ndarray]:
         """For each piece, the least value of the pieces that hold each of its windows."""
         order = np.argsort(-self.size, kind="stable")
@@ -157,8 +146,9 @@ class Index:
                 lanes -= 1
             low, high = self.extend(self.text[end[:lanes] - step], low[:lanes], high[:lanes])
             if step >= self.w:  # longer matches are cut back to w words
-                low, high = self.low[low], self.high[low]
-                out[first[order[:lanes]] + size[:lanes] - step] = self.minimum(low, high)
+                block = self.block[low]
+                low, high = self.edge[block], self.edge[block + 1]
+                out[first[order[:lanes]] + size[:lanes] - step] = self.least[block]
         return [out[first[i] : first[i + 1]] for i in range(len(order))]
 
 
@@ -192,37 +182,28 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of pieces, with the piece's name and the window's place."""
-    for batch in batches:
-        lists = batch.column("words")
-        size = lists.value_lengths().to_numpy().astype(np.int64)
-        flat = lists.flatten().to_numpy().view(np.uint64)
-        count = size - W + 1
-        row = np.repeat(np.arange(len(size)), count)
-        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        start = (np.cumsum(size) - size)[row] + place
-        window = T.span_hashes(flat, start, start + W).view(np.int64)
-        words = flat[start[:, None] + np.arange(W)].view(np.int64).ravel()
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key").take(take), batch.column("content").take(take), pa.array(place.astype(np.int32)), batch.column("least").take(take), pa.array(window), pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * W), pa.array(words))],
-            ["key", "content", "place", "least", "window", "words"],
-        )
-
-
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, key, content, least, words) sorted by shard in, the windows' minima out."""
+    """Rows (shard, key, content, hot, least, words) sorted by shard in, the windows' minima within the shard out.
+
+    Pieces of hot keys also get the hashes of their windows, by which shards are compared.
+    """
     for part in whole_groups(batches, "shard"):
         shard = part.column("shard").to_numpy()
         edges = [*np.flatnonzero(np.diff(shard, prepend=shard[0] - 1)).tolist(), len(shard)]
         for a, b in zip(edges, edges[1:]):
             own = part.slice(a, b - a)
             lists = own.column("words")
-            index = Index(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), own.column("least").to_numpy())
-            found = index.windows()
-            at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([own.column("key"), own.column("content"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))], ["key", "content", "minima"])
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            found = Index(flat, size, own.column("least").to_numpy()).windows()
+            at = np.concatenate([[0], np.cumsum(size - W + 1)])
+            row = np.flatnonzero(own.column("hot").to_numpy(zero_copy_only=False))
+            count = np.zeros(len(size), np.int64)
+            count[row] = size[row] - W + 1
+            start = np.repeat((np.cumsum(size) - size)[row] - (np.cumsum(count[row]) - count[row]), count[row]) + np.arange(count.sum())
+            windows = T.span_hashes(flat.view(np.uint64), start, start + W).view(np.int64)
+            names = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(windows))
+            minima = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([own.column("key"), own.column("content"), minima, names], ["key", "content", "minima", "windows"])
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +250,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Defined cases: a null text has no words; texts of fewer than W words lose
     none; rows of one doc_id are not earlier than one another, so repeated
     rows lose the same words; a row with a null doc_id loses nothing and is
-    no other row's earlier document; an empty table gives an empty result.
+    no other row's earlier document; an empty table gives an empty result. Of
+    docs only doc_id and text are read, so other columns cannot clash; a text
+    of any length is read whole.
     """
     rows = docs.select("doc_id", "text", _row_id().alias("rid"))
     every = rows.where("doc_id is not null").mapInArrow(_cut, "key long, content long, doc_id long, rid long, start int, count int")
@@ -278,23 +261,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     shared = cut(every.join(twice, "key"))
     shards = max(1, shared.count() // SHARD)
 
-    distinct = shared.groupBy("key", "content").agg(F.min(F.struct("doc_id", "rid", "start", "count")).alias("x"))
-    often = distinct.groupBy("key").agg((F.count("*") > HOT).alias("hot"))
-    wanted = distinct.join(often, "key").select("x.rid", F.struct("key", "content", "x.start", "x.count", "hot").alias("w")).groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    fetched = rows.join(wanted, "rid").select("doc_id", "text", "wanted").mapInArrow(_fetched, "key long, content long, hot boolean, least long, words array<long>")
-    fetched = cut(fetched)
-
-    def searched(df: DataFrame, by: Column) -> DataFrame:
-        dealt = df.withColumn("shard", F.pmod(by, F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
-        return dealt.select("shard", "key", "content", "least", "words").mapInArrow(_searched, "key long, content long, minima array<long>")
-
-    few = searched(fetched.where("not hot"), F.xxhash64("key"))
-    single = cut(fetched.where("hot").select("key", "content", "least", "words").mapInArrow(_parted, "key long, content long, place int, least long, window long, words array<long>"))
-    merged = single.groupBy(F.col("window").alias("key")).agg(F.min("least").alias("least"), F.first("words").alias("words")).withColumn("content", F.col("key"))
-    one = searched(merged, F.xxhash64("key")).select(F.col("key").alias("window"), F.get("minima", F.lit(0)).alias("low"))
+    distinct = cut(shared.groupBy("key", "content").agg(F.min(F.struct("doc_id", "rid", "start", "count")).alias("x")))
+    hot = cut(distinct.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("is_hot")))
+    named = distinct.join(hot, "key", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
+    wanted = named.select("x.rid", F.struct("key", "content", "x.start", "x.count", "hot").alias("w")).groupBy("rid").agg(F.collect_list("w").alias("wanted"))
+    one = rows.join(wanted, "rid").dropDuplicates(["rid"])  # a row that is repeated is read once
+    fetched = cut(one.select("doc_id", "text", "wanted").mapInArrow(_fetched, "key long, content long, hot boolean, least long, words array<long>"))
+
+    deal = F.when(F.col("hot"), F.xxhash64("key", "content")).otherwise(F.xxhash64("key"))
+    dealt = fetched.withColumn("shard", F.pmod(deal, F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
+    searched = cut(dealt.select("shard", "key", "content", "hot", "least", "words").mapInArrow(_searched, "key long, content long, minima array<long>, windows array<long>"))
+    few = searched.where(F.size("windows") == 0).select("key", "content", "minima")
+    single = searched.where(F.size("windows") > 0).select("key", "content", F.posexplode(F.arrays_zip("windows", "minima")).alias("place", "x")).select("key", "content", "place", "x.windows", "x.minima")
+    least = single.groupBy("key", "windows").agg(F.min("minima").alias("low"))
     many = (
-        single.select("key", "content", "place", "window")
-        .join(one, "window")
+        single.select("key", "content", "place", "windows")
+        .join(cut(least), ["key", "windows"])
         .groupBy("key", "content")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "low"))), lambda x: x["low"]).alias("minima"))
     )

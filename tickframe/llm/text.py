@@ -2,8 +2,11 @@
 
 A word is a run of bytes other than space and 0x09-0x0D, as in
 ``[^\\x20\\x09-\\x0D]+``; UTF-8 never uses these bytes inside a character.
-Hashes are polynomial over a fixed random byte table modulo 2**64 and
-finished by a mixing step, so any run of words is hashed from prefix sums.
+Hashes are two polynomials over random values of the bytes, modulo the prime
+2**31 - 1 and with different random bases, finished by a mixing step, so any
+run of words is hashed from prefix sums. Two different runs of n bytes agree
+with a probability of (n / 2**31)**2, whatever they hold: a prime modulus has
+no strings that collide for every base, as a power of two has.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,24 +27,35 @@ SIGNS = np.ones(256, bool)
 SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BYTE = np.random.default_rng(20240501).integers(1, 2**64, 256, dtype=np.uint64)
+_PRIME = np.uint64(2**31 - 1)
+_BASES = (1_290_845_327, 834_106_259)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, not fully reduced: under 2**33, and under 2**31 + 4 if x is under 2**33."""
+    out = x >> np.uint64(31)
+    out += x & _PRIME
+    return out
 
 
 @lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     def run(base: int) -> np.ndarray:
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        return np.multiply.accumulate(steps)
+        out = np.ones(n, np.uint32)
+        have, step = 1, base
+        while have < n:
+            more = min(have, n - have)
+            out[have : have + more] = out[:more].astype(np.uint64) * np.uint64(step) % _PRIME
+            have, step = have + more, step * step % int(_PRIME)
+        return out
 
-    return run(_BASE), run(pow(_BASE, -1, 2**64))
+    return [(run(b), run(pow(b, -1, int(_PRIME)))) for b in _BASES]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, at least n of each."""
-    size = 1 << max(22, int(n + 1).bit_length())
-    return _powers(size)
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers and those of its inverse, at least n of each."""
+    return _powers(1 << max(20, int(n + 1).bit_length()))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,10 +69,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each pair of bounds."""
-    up, down = powers(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    n, halves = len(values), []
+    for side, (up, down) in enumerate(powers(n)):
+        part = values >> np.uint64(33) if side else values & _PRIME
+        part *= up[:n]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_folded(part), out=sums[1:])
+        half = _folded(_folded(sums[end] - sums[start]))
+        half = _folded(_folded(half * down[start]))
+        halves.append(np.where(half >= _PRIME, half - _PRIME, half))
+    return mixed((halves[0] << np.uint64(33)) ^ halves[1] ^ mixed((end - start).astype(np.uint64)))
 
 
 @dataclass
