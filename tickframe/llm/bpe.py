@@ -8,13 +8,17 @@ chain of merges in which each one takes the left part of the one before as
 its right part and has a later rank; the longest such chain, measured in
 symbols, plus the longest token is a sufficient lookahead of the merge list.
 Tokens that end at least that far before the last symbol read are stable: no
-continuation changes them. The transducer emits them and forgets their
-symbols, so its memory is bounded by the merge list, whatever a piece's
-length.
-
-Decoding. A state machine takes token ids one at a time: it either returns
-token texts joined by spaces, as a tokenizer file without a decoder has it,
-or the text behind the tokens, holding back bytes until a character is whole.
+continuation changes them. A step of the transducer reads a window of each
+open piece, emits its stable tokens (all, where the piece ends) and goes on
+from the first symbol that no emitted token covers. All pieces of a block of
+text pass it together, each in a lane of its own, so that a lane's memory is
+bounded by the merge list, whatever a piece's length, and short pieces take
+one step. Long texts are read in blocks that end before white space.
+
+Decoding. A state machine takes token ids block by block and gives text: either
+token texts joined by spaces, as a tokenizer file without a decoder has it, or
+the text behind the tokens, holding back bytes until a character is whole. Its
+state is whether a text has begun, and up to three bytes.
 """
 
 from __future__ import annotations
@@ -32,18 +36,22 @@ import regex
 from pyspark.sql import DataFrame
 
 from tickframe.llm import text as T
+from tickframe.llm.shared import bare, fields_of
 
 END = "</w>"
-NEVER = (1 << 60, 0)
-LATE = np.int32(2**31 - 1)
-SPACE, LETTER, NUMBER, OTHER = range(4)
-_SPACES = "\t-\r \x85\xa0  -     　"  # Unicode's White_Space
-NEVER = (1 << 60, 0)
 LATE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = range(4)
+#: Characters of a long text that are read at once.
+BLOCK = 1 << 19
+#: The parts of a tokenizer file that this encoder knows; files with others are refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": END, "fuse_unk": False, "byte_fallback": False}
 _SPACES = "\t-\r \x85\xa0  -     　"  # Unicode's White_Space
-_SPLIT = re.compile(f"[{_SPACES}]+")
-_PYTHON_ONLY = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space
+_GAP = re.compile("[ \t\n\r]")
 
 
 def byte_letters() -> list[str]:
@@ -161,46 +169,94 @@ class Merges:
         order = np.argsort(own, kind="stable")
         return np.concatenate([d[1] for d in done])[order], np.bincount(own, minlength=runs)
 
-    def apply(self, symbols: list[int]) -> list[int]:
-        """Tokens of a run of symbols: the merge of lowest rank first, leftmost first."""
-        out, rank = list(symbols), self.rank.get
-        ranks = [rank(p, NEVER) for p in zip(out, out[1:])]
-        while ranks:
-            best = min(ranks)
-            if best is NEVER:
-                break
-            at = ranks.index(best)
-            out[at : at + 2] = [best[1]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rank((out[at - 1], out[at]), NEVER)
-            if at < len(ranks):
-                ranks[at] = rank((out[at], out[at + 1]), NEVER)
-        return out
+    def stable(self, symbols: np.ndarray, size: np.ndarray, ends: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step over many windows (symbols of the given sizes): their stable tokens, the
+        counts of these and the symbols they cover. ends: the window is the piece's last one.
+        length: the symbols of each token."""
+        tokens, count = self.apply_all(symbols.copy(), size)
+        if ends.all():
+            return tokens, count, size
+        row = np.repeat(np.arange(len(size)), count)
+        to = np.cumsum(length[tokens])
+        to -= (np.cumsum(size) - size)[row]
+        keep = ends[row] | (to <= size[row] - self.lookahead)
+        used = np.where(ends, size, 0)
+        np.maximum.at(used, row[keep], to[keep])
+        return tokens[keep], np.bincount(row[keep], minlength=len(size)), used
 
 
 class Transducer:
-    """Symbols in, stable tokens out; holds at most 4 lookaheads of symbols."""
+    """Symbols of one piece in, stable tokens out, a block at a time; holds less than 4 lookaheads of symbols."""
 
-    def __init__(self, merges: Merges, length: dict[int, int]):
-        self.merges, self.length, self.held = merges, length, []
+    def __init__(self, merges: Merges, length: np.ndarray):
+        self.merges, self.length, self.held = merges, length, np.zeros(0, np.int32)
 
-    def push(self, symbols: list[int]) -> Iterator[int]:
-        look = self.merges.lookahead
+    def _step(self, ends: bool) -> np.ndarray:
+        tokens, _, used = self.merges.stable(self.held, np.array([len(self.held)]), np.array([ends]), self.length)
+        self.held = self.held[int(used[0]) :]
+        return tokens
+
+    def push(self, symbols: np.ndarray) -> np.ndarray:
+        out, look = [], self.merges.lookahead
         for a in range(0, len(symbols), 2 * look):
-            self.held += symbols[a : a + 2 * look]
-            if len(self.held) > 2 * look:
-                done = 0
-                for token in self.merges.apply(self.held):
-                    if done + self.length[token] > len(self.held) - look:
-                        break
-                    done += self.length[token]
-                    yield token
-                self.held = self.held[done:]
+            self.held = np.concatenate([self.held, symbols[a : a + 2 * look]])
+            if len(self.held) >= 2 * look:
+                out.append(self._step(False))
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def close(self) -> np.ndarray:
+        return self._step(True) if len(self.held) else self.held
+
+
+def lanes(merges: Merges, symbols: np.ndarray, size: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many pieces (runs of symbols of the given sizes) and their counts: all pass the transducer together."""
+    window = 4 * merges.lookahead
+    base, done = np.cumsum(size) - size, np.zeros(len(size), np.int64)
+    lane = np.arange(len(size))
+    owners, emitted = [], []
+    while len(lane):
+        width = np.minimum(size[lane] - done[lane], window)
+        at = np.repeat(base[lane] + done[lane] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+        tokens, count, used = merges.stable(symbols[at], width, done[lane] + width == size[lane], length)
+        owners.append(np.repeat(lane, count))
+        emitted.append(tokens)
+        done[lane] += used
+        lane = lane[done[lane] < size[lane]]
+    if len(emitted) == 1:
+        return emitted[0], np.bincount(owners[0], minlength=len(size))
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    order = np.argsort(owner, kind="stable")
+    return (np.concatenate(emitted)[order] if emitted else np.zeros(0, np.int32)), np.bincount(owner, minlength=len(size))
+
+
+def blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts, long ones cut before white space, in lists of about so many characters; with each its text's number.
+
+    A run without any white space is not cut.
+    """
+    rows, parts, have = [], [], 0
+    for row, text in enumerate(texts):
+        at = 0
+        while True:
+            gap = _GAP.search(text, at + size) if len(text) - at > size else None
+            to = gap.start() if gap else len(text)
+            rows.append(row)
+            parts.append(text[at:to])
+            have += to - at
+            at = to
+            if have >= size:
+                yield rows, parts
+                rows, parts, have = [], [], 0
+            if not gap:
+                break
+    if rows:
+        yield rows, parts
+
 
-    def close(self) -> Iterator[int]:
-        yield from self.merges.apply(self.held)
-        self.held = []
+def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All parts in one buffer, their sizes and places."""
+    size = np.array([len(p) for p in parts])
+    return np.frombuffer(b"".join(parts), np.uint8), size, np.cumsum(size) - size
 
 
 class Codec:
@@ -209,32 +265,34 @@ class Codec:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        known = {"normalizer": NORMALIZER, "decoder": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": SPLITTER}}
+        for part, want in known.items():
+            if spec.get(part) != want:
+                raise ValueError(f"{path}: {part} {spec.get(part)} is not handled")
+        if any(model.get(k) != v for k, v in MODEL.items()) or model.get("ignore_merges"):
+            raise ValueError(f"{path}: model options are not handled")
         self.vocabulary: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in self.vocabulary.items()} | {i: t for t, i in self.special.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = Merges(self.vocabulary, merges)
         letters = byte_letters()
-        self.inner = [self.vocabulary[c] for c in letters]
-        self.last = [self.vocabulary[c + END] for c in letters]
-        self.byte = {c: b for b, c in enumerate(letters)}
-        self.symbols = {i: len(t.removesuffix(END)) for t, i in self.vocabulary.items()}
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.piece = regex.compile(split.replace(r"\s", _SPACES))
+        byte = {c: bytes([b]) for b, c in enumerate(letters)}
+        self.symbols = np.array([len(self.token.get(i, "").removesuffix(END)) for i in range(max(self.token) + 1)])
+        self.piece = regex.compile(SPLITTER[0]["pattern"]["Regex"].replace(r"\s", _SPACES))
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.inner_table, self.last_table = np.array(self.inner, np.int32), np.array(self.last, np.int32)
-        names = [(" " + self.token.get(i, "")).encode() for i in range(max(self.token) + 1)]
-        self.spaced = np.frombuffer(b"".join(names), np.uint8)
-        self.spaced_size = np.array([len(n) for n in names])
-        self.spaced_at = np.cumsum(self.spaced_size) - self.spaced_size
+        self.inner = np.array([self.vocabulary[c] for c in letters], np.int32)
+        self.last = np.array([self.vocabulary[c + END] for c in letters], np.int32)
+        names = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        special = set(self.special.values())
+        behind = [n.encode() if i in special else b"".join(byte.get(c, b"") for c in n.removesuffix(END)) + b" " * n.endswith(END) for i, n in enumerate(names)]
+        self.shown = {True: _table([(" " + n).encode() for n in names]), False: _table(behind)}
 
     def piece_ids(self, piece: str) -> list[int]:
-        data = piece.encode()
-        run = Transducer(self.merges, self.symbols)
-        out = list(run.push([self.inner[b] for b in data[:-1]]))
-        out += run.push([self.last[data[-1]]])
-        out += run.close()
-        return out
+        data = np.frombuffer(piece.encode(), np.uint8)
+        symbols = self.inner[data]
+        symbols[-1] = self.last[data[-1]]
+        return lanes(self.merges, symbols, np.array([len(symbols)]), self.symbols)[0].tolist()
 
     def text_ids(self, text: str) -> list[int]:
         """Ids of one text, which may hold the special tokens' own texts."""
@@ -276,27 +334,13 @@ class Codec:
         """Ids of all texts, and how many each has."""
         marked = {i: self.text_ids(t) for i, t in enumerate(texts) if self.marks.search(t)}
         data, begin, end, first = self.split(["" if i in marked else plain(t) for i, t in enumerate(texts)])
-        hashed = T.span_hashes(T._BYTE[data], begin, end)
-        _, some, which = np.unique(hashed, return_index=True, return_inverse=True)
+        some, which = _different(data, begin, end)
         size = (end - begin)[some]
         bytes_at = np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        symbols = self.inner_table[data[bytes_at]]
+        symbols = self.inner[data[bytes_at]]
         tail = np.cumsum(size) - 1
-        symbols[tail] = self.last_table[data[bytes_at[tail]]]
-        long = np.flatnonzero(size > 2 * self.merges.lookahead)
-        size_short = size.copy()
-        whole = {int(i): self.piece_ids(data[begin[some[i]] : end[some[i]]].tobytes().decode()) for i in long}
-        if whole:  # long pieces pass the transducer; here they leave one symbol
-            keep = np.ones(len(symbols), bool)
-            for i in long:
-                keep[tail[i] - size[i] + 1 : tail[i]] = False
-            symbols, size_short[long] = symbols[keep], 1
-        tokens, count = self.merges.apply_all(symbols, size_short)
-        if whole:
-            at = np.cumsum(count) - count
-            tokens = np.concatenate([x for i, (a, n) in enumerate(zip(at, count)) for x in [np.array(whole[i], np.int32) if i in whole else tokens[a : a + n]]])
-            for i, ids in whole.items():
-                count[i] = len(ids)
+        symbols[tail] = self.last[data[bytes_at[tail]]]
+        tokens, count = lanes(self.merges, symbols, size, self.symbols)
         at = np.cumsum(count) - count
         many = count[which]
         flat = tokens[np.repeat(at[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]
@@ -307,39 +351,48 @@ class Codec:
             flat, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
         return flat.astype(np.int32), sizes
 
-    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What the spaced decoder gives for each list of ids: UTF-8 bytes and their counts."""
-        width = self.spaced_size[ids]
-        data = self.spaced[np.repeat(self.spaced_at[ids] - np.cumsum(width) + width, width) + np.arange(width.sum())]
-        bounds = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(sizes)])]
-        some = np.flatnonzero(sizes)
-        keep = np.ones(len(data), bool)
-        keep[bounds[some]] = False  # no space before the first token
-        return data[keep], np.diff(bounds) - (sizes > 0)
-
 
-class Decoder:
-    """Ids in, text out. spaced: token texts as they are, joined by spaces;
-    else the text behind them, where the end of a word gives one space."""
+def _different(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each different piece, and for each piece the number of its like; hashes group them, bytes decide."""
+    _, some, which = np.unique(T.span_hashes(T._BYTE[data], begin, end), return_index=True, return_inverse=True)
+    size, like = end - begin, some[which]
+    same = size == size[like]
+    at = np.flatnonzero(same)
+    step = np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+    differs = data[np.repeat(begin[at], size[at]) + step] != data[np.repeat(begin[like[at]], size[at]) + step]
+    if len(at):
+        same[at[np.add.reduceat(differs, np.cumsum(size[at]) - size[at]) > 0]] = False
+    odd = np.flatnonzero(~same)  # of one hash, but another piece: each stands for itself
+    which[odd] = len(some) + np.arange(len(odd))
+    return np.concatenate([some, odd]), which
 
-    def __init__(self, codec: Codec, spaced: bool = True):
-        self.codec, self.spaced, self.first = codec, spaced, True
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def push(self, token: int) -> str:
-        name = self.codec.token[token]
+class Decoder:
+    """Ids of many texts in, their text out, a block at a time. spaced: token texts as they
+    are, joined by spaces; else the text behind them, where the end of a word gives one space."""
+
+    def __init__(self, codec: Codec, texts: int = 1, spaced: bool = True):
+        self.table, self.spaced = codec.shown[spaced], spaced
+        self.begun = np.zeros(texts, bool)
+        self.utf8 = [] if spaced else [codecs.getincrementaldecoder("utf-8")("replace") for _ in range(texts)]
+
+    def push(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next ids of each text, sizes of them: UTF-8 bytes of what they add, and their counts."""
+        data, size, place = self.table
+        width = size[ids]
+        out = data[np.repeat(place[ids] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        bounds = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], np.cumsum(sizes)])]
         if self.spaced:
-            out = name if self.first else " " + name
-            self.first = False
-            return out
-        if token in self.codec.special.values():
-            return self.utf8.decode(b"", True) + name
-        body = name.removesuffix(END)
-        out = self.utf8.decode(bytes(self.codec.byte[c] for c in body))
-        return out + self.utf8.decode(b"", True) + " " if name.endswith(END) else out
+            keep, fresh = np.ones(len(out), bool), (sizes > 0) & ~self.begun
+            keep[bounds[:-1][fresh]] = False  # no space before the first token
+            self.begun |= sizes > 0
+            return out[keep], np.diff(bounds) - fresh
+        parts = [u.decode(out[a:b].tobytes()).encode() for u, a, b in zip(self.utf8, bounds, bounds[1:])]
+        return np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
 
-    def close(self) -> str:
-        return "" if self.spaced else self.utf8.decode(b"", True)
+    def close(self) -> list[str]:
+        """What each text still holds."""
+        return [u.decode(b"", True) for u in self.utf8] or [""] * len(self.begun)
 
 
 @lru_cache(maxsize=1)
@@ -351,9 +404,14 @@ def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids", decoded:
     """docs with the ids (array<int>) of each whole text and the text decoded from them.
 
     path is a tokenizer file that executors can read; with None it is the
-    word-level file of the installed `public_tokenizers` package. A null or
-    empty text has no ids and decodes to an empty text. Other columns stay.
+    word-level file of the installed `public_tokenizers` package. A file with
+    another normaliser, splitter, decoder or model options is refused by a
+    ValueError. A null or empty text has no ids and decodes to an empty text;
+    repeated rows have the same ids; of merges of one rank the leftmost goes
+    first; a long text is read in blocks. Other columns stay, but those named
+    as an output (in any case of letters) give way to it.
     """
+    docs = bare(docs, ids, decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path
@@ -363,11 +421,20 @@ def encoded(docs: DataFrame, path: str | None = None, ids: str = "ids", decoded:
             where = public_tokenizers.path("word_bpe_49k.json")
         c = codec(where)
         for part in T.chunks(batches):
-            flat, sizes = c.encode_all([t or "" for t in part.column("text").to_pylist()])
-            data, lengths = c.decode_all(flat, sizes)
-            at, to = (pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()) for n in (sizes, lengths))
-            text = pa.StringArray.from_buffers(part.num_rows, to.buffers()[1], pa.py_buffer(data))
+            n = part.num_rows
+            sizes, lengths = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            tokens, shown = [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)]
+            machine = Decoder(c, n)
+            for rows, parts in blocks([t or "" for t in part.column("text").to_pylist()]):
+                some, count = c.encode_all(parts)
+                own = np.bincount(np.array(rows), count, n).astype(np.int64)
+                out, width = machine.push(some, own)
+                sizes, lengths = sizes + own, lengths + width
+                tokens.append(some)
+                shown.append(out)
+            flat, data = np.concatenate(tokens), np.concatenate(shown)
+            at, to = (pa.array(np.concatenate([[0], np.cumsum(x)]), pa.int32()) for x in (sizes, lengths))
+            text = pa.StringArray.from_buffers(n, to.buffers()[1], pa.py_buffer(data))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(at, pa.array(flat)), text], [*part.schema.names, ids, decoded])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>, `{decoded}` string")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{ids}` array<int>, `{decoded}` string")
