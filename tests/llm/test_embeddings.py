@@ -44,13 +44,24 @@ def test_estimates_are_unbiased_and_bounded():
     x, y = (rng.standard_normal((400, 64)) for _ in range(2))
     y = 0.8 * x + 0.6 * y
     x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
-    _, signs, factor, _ = E.coded(x, 8, 32)
-    count = signs.shape[1] // 64
-    estimate = (np.where(signs, 1, -1) * (y @ E.rotations(64, count))).sum(1) / (8 * count) / factor
+    codes, factor = E.coded(x, 8, 32)
+    count = E.turns(64, 8, 32)
+    estimate = (E.decoded(codes, factor, 64, count) * y).sum(1)
     error = estimate - (x * y).sum(1)
     assert abs(error.mean()) < 0.01 and (np.abs(error) <= E.estimate_bound(factor, 64, count)).all()
 
 
+def test_codes_apart_more_than_the_bound_are_far(monkeypatch):
+    rng = np.random.default_rng(4)
+    for size in (2, 3, 64):
+        x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 3000, size)))
+        y = y - (x * y).sum(1)[:, None] * x
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        y = 0.93 * x + (1 - 0.93**2) ** 0.5 * y
+        a, b = (E.coded(v, 14, 63)[0] for v in (x, y))
+        assert np.bitwise_count(a ^ b).sum(1).max() <= E.far(0.93, size * E.turns(size, 14, 63))
+
+
 def test_empty_and_repeated(spark):
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]

@@ -2,14 +2,17 @@
 
 Each vector is scaled to length 1 and turned by random rotations; the signs
 are its code, and the inner product of the turned vector with the corner of
-the cube that its code names is stored as a correction factor: the inner
-product of two vectors is estimated without bias from a code and the factor,
-with a confidence bound that shrinks with the code's length. Runs of code
-bits are the bands: vectors of one label that agree in a band meet there. So
-many bands are used that a pair at the threshold meets with probability
-1 - MISS. Where a pair first meets, the estimate plus its bound rejects it or
-else the cosine is computed in double precision; each pair is counted once
-and only links that span components leave the task.
+the cube that its code names is its correction factor. Both are computed once
+and stored beside the vector: with them the inner product of a coded vector
+and another one is estimated without bias, with a confidence bound that
+shrinks with the code's length. Runs of code bits are the bands: vectors of
+one label that agree in a band meet there. So many bands are used that a pair
+at the threshold meets with probability 1 - MISS. Of the pairs that meet, the
+distance of their codes (an estimate of the angle) with its bound rejects
+nearly all that are far; those left are taken where they first meet, so each
+pair once; the corrected estimate plus its bound rejects again, and only the
+rest is recomputed in double precision. Only links that span components leave
+the task.
 """
 
 from __future__ import annotations
@@ -43,21 +46,41 @@ def rotations(size: int, count: int) -> np.ndarray:
 
 def banding(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
     """Bits of a band and the number of bands for labels of so many rows."""
-    bits = min(24, max(4, math.ceil(math.log2(max(2, rows))) + 1))
+    bits = max(4, math.ceil(math.log2(max(2, rows))) + 1)
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-agree))
 
 
-def coded(vectors: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of unit vectors: turned by the rotations, signs, correction factors and band keys."""
+def turns(size: int, bits: int, bands: int) -> int:
+    """Rotations of vectors of this size that give all bands their bits."""
+    return -(-bits * bands // size)
+
+
+def coded(vectors: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (packed bits) and correction factors of unit vectors."""
     size = vectors.shape[1]
-    count = -(-bits * bands // size)
+    count = turns(size, bits, bands)
     turned = vectors @ rotations(size, count)
-    signs = turned >= 0
     factor = np.abs(turned).sum(1) / math.sqrt(size) / count  # mean over the rotations of <corner, vector>
-    weights = 1 << np.arange(bits)
-    keys = signs[:, : bits * bands].reshape(len(vectors), bands, bits) @ weights
-    return turned, signs, factor, keys.astype(np.int32)
+    return np.packbits(turned >= 0, axis=1), factor
+
+
+def decoded(codes: np.ndarray, factor: np.ndarray, size: int, count: int) -> np.ndarray:
+    """For each code of `count` rotations the vector whose inner product with a unit vector is the estimate."""
+    signs = np.unpackbits(codes, axis=1, count=count * size)
+    corners = np.where(signs, 1.0, -1.0) @ rotations(size, count).T
+    return corners / (math.sqrt(size) * count * factor)[:, None]
+
+
+def band_keys(codes: np.ndarray, bits: int, bands: int) -> np.ndarray:
+    signs = np.unpackbits(codes, axis=1, count=bits * bands)
+    return signs.reshape(len(codes), bands, bits) @ (1 << np.arange(bits))
+
+
+def far(threshold: float, length: int) -> float:
+    """Bits of a code of this length beyond which two vectors at the threshold differ in next to no case."""
+    share = math.acos(threshold) / math.pi
+    return length * share + SURE * math.sqrt(length * share * (1 - share))
 
 
 def estimate_bound(factor: np.ndarray, size: int, count: int) -> np.ndarray:
@@ -72,18 +95,32 @@ def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return raw, norm
 
 
-def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
-    """The buckets of each vector, without the vector itself."""
+def _coded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """Each vector with its code and correction factor."""
     for whole in batches:
         sizes = whole.column("embedding").value_lengths().to_numpy()
         for size in np.unique(sizes):
             batch = whole.filter(pa.array(sizes == size))
             raw, norm = _unit(batch)
-            *_, keys = coded(raw / norm[:, None], bits, bands)
+            codes, factor = coded(raw / norm[:, None], bits, bands)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)], [*batch.schema.names, "code", "factor"])
+
+
+def _codes(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def _banded(batches: Iterator[pa.RecordBatch], bits: int, bands: int) -> Iterator[pa.RecordBatch]:
+    """The buckets of each code, without the vector itself."""
+    for whole in batches:
+        sizes = whole.column("size").to_numpy()
+        for size in np.unique(sizes):
+            batch = whole.filter(pa.array(sizes == size))
+            keys = band_keys(_codes(batch), bits, bands)
             label = batch.column("label").to_numpy().astype(np.int64).view(np.uint64)
             base = T.mixed(label * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
             for band in range(bands):
-                bucket = T.mixed(base + ((np.uint64(band) << np.uint64(bits)) | keys[:, band].astype(np.uint64)))
+                bucket = T.mixed(T.mixed(base + np.uint64(band)) + keys[:, band].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(np.full(len(label), band, np.int32)), batch.column("vec")], ["bucket", "band", "vec"])
 
 
@@ -97,17 +134,13 @@ def _met(batches: Iterator[pa.RecordBatch], bits: int, bands: int, threshold: fl
 
 def _links(part: pa.RecordBatch, bits: int, bands: int, threshold: float) -> pa.RecordBatch:
     group, band, block, cross = (part.column(n).to_numpy(zero_copy_only=False) for n in ("meets", "band", "block", "cross"))
-    vec, copies = part.column("vec"), part.column("copies").to_numpy()
+    vec, copies, factor = part.column("vec"), part.column("copies").to_numpy(), part.column("factor").to_numpy()
+    codes = _codes(part)
     raw, norm = _unit(part)
-    unit = raw / norm[:, None]
-    turned, signs, factor, keys = coded(unit, bits, bands)
-    size = unit.shape[1]
-    count = signs.shape[1] // size
-    packed = np.packbits(signs, axis=1)
-    scale = 1 / (math.sqrt(size) * count)
-    bound = estimate_bound(factor, size, count)
+    size = raw.shape[1]
+    count = turns(size, bits, bands)
+    most = far(threshold, count * size)
     ups, downs = [], []
-    links = np.zeros(len(group), np.int64)
     at, step = np.arange(len(group)), 1
     while True:
         at = at[at + step < len(group)]
@@ -117,26 +150,32 @@ def _links(part: pa.RecordBatch, bits: int, bands: int, threshold: float) -> pa.
         a, b = at, at + step
         fit = ~cross[a] | (block[a] != block[b])
         a, b = a[fit], b[fit]
-        # Cheapest first: the codes' distance bounds the cosine of the corners from above.
-        apart = np.bitwise_count(packed[a] ^ packed[b]).sum(1)
-        near = apart < signs.shape[1] * 0.45
-        a, b = a[near], b[near]
-        for low in range(0, len(a), 1 << 11):
-            x, y = a[low : low + (1 << 11)], b[low : low + (1 << 11)]
-            corner = np.where(signs[x], 1.0, -1.0)
-            estimate = np.einsum("ij,ij->i", corner, turned[y]) * scale / factor[x]
-            open_ = estimate + bound[x] >= threshold
-            x, y = x[open_], y[open_]
-            cosine = np.einsum("ij,ij->i", raw[x], raw[y]) / (norm[x] * norm[y])
-            x, y = x[cosine >= threshold], y[cosine >= threshold]
-            first = np.argmax(keys[x] == keys[y], axis=1) == band[x]
-            x, y = x[first], y[first]
-            np.add.at(links, x, copies[y])
-            np.add.at(links, y, copies[x])
-            ups.append(x)
-            downs.append(y)
+        for low in range(0, len(a), 1 << 14):  # cheapest first: the codes' distance, then whether the pair meets here first
+            x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
+            near = np.bitwise_count(codes[x] ^ codes[y]).sum(1) <= most
+            x, y = x[near], y[near]
+            apart = np.unpackbits(codes[x] ^ codes[y], axis=1, count=bits * bands).reshape(len(x), bands, bits).any(2)
+            first = apart.argmin(1) == band[x]
+            ups.append(x[first])
+            downs.append(y[first])
         step += 1
-    member, root = spanning(np.concatenate(ups), np.concatenate(downs), len(group)) if ups else (np.zeros(0, int), np.zeros(0, int))
+    links = np.zeros(len(group), np.int64)
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (ups, downs))
+    if len(x):
+        some, own = np.unique(x, return_inverse=True)
+        guess = decoded(codes[some], factor[some], size, count)
+        bound = estimate_bound(factor, size, count)
+        keep = np.zeros(len(x), bool)
+        for low in range(0, len(x), 1 << 14):
+            i = np.arange(low, min(len(x), low + (1 << 14)))
+            estimate = np.einsum("ij,ij->i", guess[own[i]], raw[y[i]]) / norm[y[i]]
+            i = i[estimate + bound[x[i]] >= threshold]
+            cosine = np.einsum("ij,ij->i", raw[x[i]], raw[y[i]]) / (norm[x[i]] * norm[y[i]])
+            keep[i[cosine >= threshold]] = True
+        x, y = x[keep], y[keep]
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
+    member, root = spanning(x, y, len(group))
     some = np.flatnonzero(links)
     return pa.RecordBatch.from_arrays(
         [pa.concat_arrays([vec.take(pa.array(some)), vec.take(pa.array(member))]), pa.array(np.concatenate([links[some], np.zeros(len(member), np.int64)])), pa.concat_arrays([pa.nulls(len(some), pa.int64()), vec.take(pa.array(root)).cast(pa.int64())])],
@@ -151,7 +190,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     come. Defined cases: a row whose vector is null, empty, zero or holds a
     null or non-finite component, or whose label is null, links with nothing;
     vectors of different sizes never link; repeated rows are vectors of their
-    own that link with each other; an empty table gives an empty result.
+    own that link with each other; an empty table gives an empty result. Of
+    vectors only those three columns are read, so others cannot clash.
     """
     rows = vectors.select("vec_id", "label", "embedding")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -160,10 +200,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     named = cut(rows.select("vec_id", "label", "embedding", valid.alias("valid"), F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(1)).alias("h2")))
     same = named.where("valid").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     same = cut(same)
+    kind, part = (t.simpleString() for t in (vectors.schema["label"].dataType, vectors.schema["embedding"].dataType.elementType))
     most = same.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, bands = banding(most, threshold, miss)
 
-    placed = same.select("vec", "embedding", "label").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long")
+    stored = cut(same.select("label", "vec", "copies", "embedding").mapInArrow(lambda x: _coded(x, bits, bands), f"label {kind}, vec long, copies long, embedding array<{part}>, code binary, factor double"))
+    placed = stored.select("vec", "label", F.size("embedding").alias("size"), "code").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
     small = shared.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("meets"), "band", "vec", F.lit(0).alias("block"), F.lit(False).alias("cross"))
@@ -173,8 +215,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     )
     # A pair of two blocks compares across only; the pair of a block with itself compares within.
     # Vectors join those rows alone that meet another one.
-    met = small.unionByName(large).join(same.select("vec", "copies", "embedding"), "vec")
-    met = met.select("meets", "band", "vec", "copies", "embedding", "block", "cross")
+    met = small.unionByName(large).join(stored.select("vec", "copies", "embedding", "code", "factor"), "vec")
     found = cut(met.repartition("meets").sortWithinPartitions("meets").mapInArrow(lambda x: _met(x, bits, bands, threshold), "vec long, links long, root long"))
     links = found.groupBy("vec").agg(F.sum("links").alias("links"))
     parts = components(found.where("root is not null").select(F.col("vec").alias("a"), F.col("root").alias("b")))
