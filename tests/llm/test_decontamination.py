@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -27,6 +28,57 @@ def test_tiles_never_overlap():
         assert not runs[0] & runs[1]
 
 
+def longest_first(text, item, k):
+    """Greedy string tiling by comparing all places of both word lists."""
+    free_a, free_b, out = [True] * len(text), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(text)):
+            for b in range(len(item)):
+                n = 0
+                while a + n < len(text) and b + n < len(item) and free_a[a + n] and free_b[b + n] and text[a + n] == item[b + n]:
+                    n += 1
+                best = max(best, (n, -a, -b))
+        n, a, b = best[0], -best[1], -best[2]
+        if n < k:
+            return out
+        out.append((a, b, n))
+        free_a[a : a + n] = [False] * n
+        free_b[b : b + n] = [False] * n
+
+
+def test_tiles_against_brute_force():
+    rnd = random.Random(16)
+    for _ in range(60):
+        text, item = (np.array([rnd.randrange(1, rnd.choice([3, 5])) for _ in range(n)], np.uint64) for n in (45, 30))
+        assert sorted(D.tiles(text, item, 3, rnd.choice([3, 6, 20]))) == sorted(longest_first(text.tolist(), item.tolist(), 3))
+
+
+def test_both_ways_against_brute_force(spark):
+    rnd = random.Random(18)
+    pool = [f"w{i}" for i in range(25)]
+    text = lambda n: " ".join(rnd.choice(pool[: rnd.choice([4, 25])]) for _ in range(n))
+    items = [(i, text(rnd.choice([3, 12, 30]))) for i in range(12)]
+    docs = []
+    for i in range(40):
+        a, b = (rnd.choice(items)[1].split() for _ in range(2))
+        docs.append((i, " ".join([text(10), " ".join(a[len(a) // 2 :]).upper(), text(rnd.choice([0, 6])), " ".join(a[: len(a) // 2]), "- ".join(b[:9])])))
+    docs += docs[:3]
+    want = []
+    for d, t in docs:
+        words = [re.sub(r"\W", "", w).lower() for w in t.split() if w != "-"]
+        for i, x in items:
+            own = x.split()
+            laid = longest_first(words, own, 5)
+            size = sum(n for *_, n in laid)
+            if len(own) >= 5 and size / len(own) >= 0.5:
+                want.append((d, i, len(laid), size, len(own)))
+    assert len(want) > 30
+    for way in (D._tiled, D._joined):
+        rows = way(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 5, 0.5, "found").collect()
+        assert sorted((r.doc_id, x.item_id, x.n_tiles, x.matched_words, x.item_words) for r in rows for x in r.found) == sorted(want)
+
+
 def made(spark):
     rnd = random.Random(8)
     word = lambda: rnd.choice("abcdefgh") + rnd.choice("klmnop") + str(rnd.randrange(90))
@@ -61,4 +113,7 @@ def test_odd_rows(spark):
         rows = way(cases.odd(spark), items, D.K, D.COVERAGE, "found").collect()
         assert len(rows) == 9 and {(r.doc_id, x.item_id) for r in rows for x in r.found} == want
         assert way(cases.none(spark), items, D.K, D.COVERAGE, "found").count() == 0
+    clash = spark.createDataFrame([(1, cases.LONG, "x", 5, 6)], "doc_id long, text string, FOUND string, _key int, key int")
+    assert D.tiled(clash, items).columns == ["doc_id", "text", "_key", "key", "found"]
+    assert [len(r.found) for r in D._joined(clash.drop("FOUND"), items, D.K, D.COVERAGE, "found").collect()] == [1]
     assert D.tiled(cases.odd(spark), items.limit(0)).where("size(found) > 0").count() == 0

@@ -57,6 +57,31 @@ def test_tagger_adds_what_patterns_miss(spark):
     assert [text[a:b] for a, b, k in first if k == "crf"] == [f"{value[:23]}Z{value[24:]}"]
 
 
+def test_kinds_that_no_pattern_taught(spark):
+    """Learned from hex tokens alone: values over other alphabets, under other words, are found; plain words and numbers are not."""
+    tagger = secrets.learn(made(spark))
+    rnd = random.Random(31)
+    hit = extra = 0
+    for i in range(200):
+        words = [rnd.choice(cases.WORDS) for _ in range(40)] + [str(rnd.randrange(10**9)), "mail7@example.com", "192.0.2.17"]
+        value = "".join(rnd.choice(rnd.choice(secrets.ALPHABETS[:4])) for _ in range(rnd.randint(24, 40)))
+        words[20:20] = rnd.choice([["credential", "=", f'"{value}"'], ["auth:", value], ["bearer", value]])
+        text = " ".join(words)
+        low = text.index(value)
+        spans = [(a, b) for a, b, k in secrets.found(pa.array([text]), tagger)[0] if k == "crf"]
+        hit += (low, low + len(value)) in spans
+        extra += sum(s != (low, low + len(value)) for s in spans)
+    assert hit >= 140 and extra <= 10
+
+
+def test_spans_of_texts_beyond_ascii_and_long_lines(spark):
+    tagger = secrets.learn(made(spark))
+    value = "Zk3" + "9fQ0aB7c" * 4
+    text = "é " * 3000 + f'credential = "{value}" ' + "日 " * 50 + "token = 0123abcdef99"
+    spans = secrets.found(pa.array(["x", text, None]), tagger)[1]
+    assert [(text[a:b], k) for a, b, k in spans] == [(value, "crf"), ("token = 0123abcdef99", "assign")]
+
+
 def test_odd_rows(spark):
     tagger = secrets.learn(made(spark))
     rows = secrets.scanned(cases.odd(spark), tagger).collect()

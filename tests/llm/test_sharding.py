@@ -1,6 +1,9 @@
+import math
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm import cases
@@ -14,6 +17,44 @@ def test_permutation(spark, n):
     assert n < 10 or got != list(range(n))
 
 
+def brute(x, n, key):
+    """The place of x by plain integers: six rounds on the two halves, again until it is below n."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def hashed(value, k):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", value), 42)
+        for part in (key, k):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", part), h)
+        return h - (h >> 63 << 64)
+
+    while True:
+        left, right = divmod(x, b)
+        for k in range(6):
+            if k % 2:
+                right = (right + hashed(left, k) % b) % b
+            else:
+                left = (left + hashed(right, k) % a) % a
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [2, 3, 50, 97, 1003])
+def test_against_plain_integers(spark, n):
+    docs = spark.range(n).selectExpr("id * 5 as doc_id").repartition(5)
+    for r in sharding.shards(docs, 7, ["doc_id"], key=99).collect():
+        place = brute(r.doc_id // 5, n, 99)
+        assert (r.row_number, r.place, r.shard, r.slot) == (r.doc_id // 5, place, place % 7, place // 7)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(3, "b", 1, 2, 9, 0), (1, "a", 3, 4, 9, 0)], "doc_id long, Shard string, tie int, slot int, part int, row_number int")
+    rows = sharding.shards(docs, 2, ["Shard", "doc_id"])
+    assert rows.columns == ["doc_id", "tie", "part", "row_number", "place", "shard", "slot"]
+    assert sorted((r.doc_id, r.tie, r.row_number) for r in rows.collect()) == [(1, 3, 0), (3, 1, 1)]
+
+
 def test_shards_are_even_and_gapless(spark):
     docs = spark.range(1003).selectExpr("id * 3 as doc_id", "cast(id as string) as text")
     rows = sharding.shards(docs.repartition(7), 24, ["doc_id"]).collect()

@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm import text as T
+from tickframe.llm.shared import bare, fields_of, sampled
 
 BITS = 20
-#: Labelled rows to learn from, at most: chosen by the hash of doc_id. The list of ids that is broadcast has no more rows.
-SAMPLE = 12_000
+#: Labelled rows to learn from, at most, chosen by the hash of doc_id (the list of ids that is broadcast has no more rows); of texts of more bytes than LONGEST none.
+SAMPLE, LONGEST = 12_000, 1 << 18
 SLICES = 8
 EPOCHS = 4
 
@@ -94,18 +95,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     """Weights from docs (doc_id, text) and labels (doc_id, quality).
 
     Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Labels that are
-    null or not 0 or 1 and rows with a null doc_id teach nothing. With no
+    null or not 0 or 1 and rows with a null doc_id teach nothing; of several
+    labels of a doc_id the smaller counts, of several texts the first. With no
     labelled row all weights are 0 and every score is 0.5.
     """
-    chosen = (
-        labels.select("doc_id", F.col("quality").cast("int").alias("y"))
-        .where("y in (0, 1)")
-        .where(~held_out())
-        .orderBy(F.xxhash64("doc_id", F.lit(7)), "y")
-        .limit(sample)
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").where(~held_out())
+    chosen = sampled(known, sample, "doc_id")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.chunks(batches):
@@ -123,7 +118,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": [at], "w": [w[at]]})
 
-    sliced = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
+    taught = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    once = taught.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("row")).select("doc_id", "row.*")  # rows of one doc_id teach once
+    sliced = once.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)).cast("int"))
     fitted = sliced.mapInArrow(sparse, "slice int, doc_id long, y int, at array<int>, x array<float>").groupBy("slice").applyInPandas(fit, "at array<long>, w array<double>")
     weights, slices = np.zeros((1 << BITS) + 1), 0
     for r in fitted.toLocalIterator():
@@ -139,9 +136,12 @@ def held_out(column: str = "doc_id"):
 def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
     """docs with the probability of label 1 of each whole text, as a double.
 
-    Null and empty texts have no features and get the bias alone. Columns of
-    docs stay as they are; an empty table stays empty.
+    Null and empty texts have no features and get the bias alone; repeated
+    rows have the same score; a text is read whole, whatever its length.
+    Columns of docs stay as they are, but one named as the output (in any case
+    of letters) gives way to it; an empty table stays empty.
     """
+    docs = bare(docs, name)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # of fixed size: 2**BITS + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +151,7 @@ def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFra
             logit = w[-1] + np.bincount(row, w[bucket] * value, part.num_rows)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-logit)))], [*part.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.mapInArrow(run, f"{fields_of(docs)}, `{name}` double")
 
 
 def predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:

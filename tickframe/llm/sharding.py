@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.shared import cut
+from tickframe.llm.shared import bare, cut, fresh
 
 ROUNDS = 6
 
@@ -27,22 +27,17 @@ def numbered(df: DataFrame, by: list[str], name: str = "row_number") -> DataFram
 
     Rows that agree in all of them may swap numbers. Range partitions are
     sorted on their own; a partition's offset is the sum of the counts
-    before it. Those counts, a number for each shuffle partition, are all that
-    the driver sees.
+    before it, a row for each shuffle partition, which is joined by broadcast.
     """
-    tie = "_tie"
-    while tie in df.columns:
-        tie += "_"
+    tie, part, offset = (fresh(df.columns, x) for x in ("tie", "part", "offset"))
     rows = df.withColumn(tie, F.monotonically_increasing_id())
-    rows = cut(rows.repartitionByRange(*by, tie).sortWithinPartitions(*by, tie).drop(tie))
-    part, low = F.spark_partition_id(), F.monotonically_increasing_id()
-    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    starts, total = {}, 0
-    for at, n in sizes:
-        starts[at] = total
-        total += n
-    before = F.element_at(F.array(*(F.lit(starts.get(at, 0)) for at in range(max(starts, default=0) + 1))), part + 1)
-    return rows.withColumn(name, (before + low.bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
+    columns = [F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()]
+    order = [F.col(f"`{c}`") for c in by]
+    rows = cut(rows.repartitionByRange(*order, tie).sortWithinPartitions(*order, tie).drop(tie))
+    placed = rows.withColumns({part: F.spark_partition_id(), tie: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).select(F.col("p").alias(part), F.coalesce(before, F.lit(0)).alias(offset))
+    return placed.join(F.broadcast(starts), part).select(*columns, (F.col(offset) + F.col(tie)).cast("long").alias(name))
 
 
 def permuted(number: Column, n: int, key: int) -> Column:
@@ -71,9 +66,14 @@ def shards(df: DataFrame, count: int, by: list[str], key: int = 1) -> DataFrame:
     """df with row_number, place, shard (int) and slot (long).
 
     Defined cases: an empty table stays empty; rows with nulls in `by` are
-    numbered first; repeated rows each get a place of their own.
+    numbered first; repeated rows each get a place of their own; columns of df
+    named as an output (in any case of letters) may be in `by` and give way to
+    the output; texts are not read unless they are in `by`.
     """
-    rows = numbered(df, by)
+    number = fresh(df.columns, "row_number")
+    rows = numbered(df, by, number)
     n = rows.count()
-    rows = rows.withColumn("place", permuted(F.col("row_number"), n, key))
-    return rows.withColumns({"shard": F.pmod("place", F.lit(count)).cast("int"), "slot": F.expr(f"place div {count}")})
+    place = permuted(F.col(number), n, key)
+    kept = bare(df, "row_number", "place", "shard", "slot").columns
+    out = rows.select(*(F.col(f"`{c}`") for c in kept), F.col(number).alias("row_number"), place.alias("place"))
+    return out.withColumns({"shard": F.pmod("place", F.lit(count)).cast("int"), "slot": F.expr(f"place div {count}")})

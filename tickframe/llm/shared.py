@@ -40,6 +40,14 @@ def bare(docs: DataFrame, *outputs: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
 
 
+def fresh(columns: list[str], stem: str) -> str:
+    """A name like stem that is none of the columns', in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def fields_of(docs: DataFrame) -> str:
     """The schema of docs as text for mapInArrow."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
@@ -52,9 +60,7 @@ def sampled(rows: DataFrame, sample: int, *by: str) -> DataFrame:
     count gives, so that few rows are sorted; rows that agree in `by` are one.
     """
     n = rows.count()
-    turn = "_turn"
-    while turn in rows.columns:
-        turn += "_"
+    turn = fresh(rows.columns, "turn")
     share = int(min(1.0, 1.5 * sample / max(1, n)) * (1 << 30))
     few = rows.withColumn(turn, F.xxhash64(*by, F.lit(5))).where(F.pmod(turn, F.lit(1 << 30)) < share)
     one = few.groupBy(turn).agg(F.min(F.struct(*rows.columns)).alias("row"))
