@@ -2,10 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-import tickframe.plans.detectors  # noqa: F401
-import tickframe.plans.reports  # noqa: F401
-import tickframe.plans.scalar_queries  # noqa: F401
-from tickframe.plans.queries import ORACLE_SQL, QUERIES
+from tickframe.plans.catalog import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -19,13 +19,10 @@ def nearest_round(price: Column) -> Column:
 
 
 def sentiment(text: Column, bad: list[str], good: list[str]) -> Column:
-    """-1 if text has a bad word, else 1 if it has a good one, else 0; case does not count."""
+    """-1 if text has a bad word, else 1 if it has a good one, else 0: whole words, case does not count."""
 
     def any_of(words: list[str]) -> Column:
-        found = F.lit(False)
-        for w in words:
-            found = found | F.contains(F.lower(text), F.lit(w.lower()))
-        return found
+        return F.rlike(F.lower(text), F.lit(r"(^|[^\p{L}])(" + "|".join(w.lower() for w in words) + r")($|[^\p{L}])"))
 
     return F.when(any_of(bad), -1).when(any_of(good), 1).otherwise(0)
 

@@ -55,13 +55,21 @@ def auc(rows: DataFrame, score: str, label: str, by: str) -> DataFrame:
     return sums.select(by, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), (F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
-def false_discovery(tests: DataFrame, p: str = "p", q: float = 0.1) -> DataFrame:
-    """Benjamini-Hochberg: tests (one row for each hypothesis) with rank, limit and verdict."""
-    every = Window.partitionBy(F.lit(0))
-    ranked = tests.withColumns({"rank": F.row_number().over(every.orderBy(p, "test")), "m": F.count("*").over(every)})
+def false_discovery(tests: DataFrame, p: str = "p", q: float = 0.1, parts: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg: tests (one row for each hypothesis) with rank, limit and verdict.
+
+    p falls into `parts` even intervals; ranks are counted within an interval
+    and start after the tests of the intervals before, a table of `parts` rows
+    at most, so no task sorts all tests.
+    """
+    placed = tests.withColumn("_part", F.least(F.floor(F.col(p) * parts), F.lit(parts - 1)).cast("int"))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"), F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
+    ranked = placed.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(p, "test")))
     ranked = ranked.withColumn("limit", F.col("rank") / F.col("m") * q)
-    best = F.max(F.when(F.col(p) <= F.col("limit"), F.col("rank"))).over(every)
-    return ranked.withColumn("passes", F.coalesce(F.col("rank") <= best, F.lit(False)))
+    best = ranked.agg(F.max(F.when(F.col(p) <= F.col("limit"), F.col("rank"))).alias("_best"))  # one row
+    return ranked.join(F.broadcast(best), F.lit(True)).withColumn("passes", F.coalesce(F.col("rank") <= F.col("_best"), F.lit(False))).drop("_part", "_start", "_best")
 
 
 def transitions(bars: DataFrame, state: str) -> DataFrame:

@@ -19,7 +19,7 @@ def sweeps(bars: DataFrame, far: int = 20, near: int = 6) -> DataFrame:
 def gaps(bars: DataFrame) -> DataFrame:
     """Three-bar price gaps with their bounds; filled: a later bar reaches into the gap's far side."""
     old_high, old_low = F.lag("high", 2).over(order()), F.lag("low", 2).over(order())
-    later = order().rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("symbol").orderBy(F.desc("bar")).rowsBetween(Window.unboundedPreceding, -1)  # a frame that only grows
     out = bars.withColumns(
         {
             "side": F.when(F.col("low") > old_high, 1).when(F.col("high") < old_low, -1),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import joins as J
+from tickframe.operators import recursive as R
 from tickframe.sources.tables import bars, hourly, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,7 +116,7 @@ frame("run_length", W.run_lengths, ["dir", "run"], f", d AS (SELECT *, sign(clos
 frame("forward_returns", W.forward_returns, ["fwd"], f"SELECT symbol, bar, round(lead(close, 4) OVER {OVER} / lead(open) OVER {OVER} - 1, 6) AS fwd FROM bars")
 frame("excursions", W.excursions, ["mfe", "mae"], "SELECT symbol, bar, CASE WHEN count(*) OVER w = 12 THEN round(max(high) OVER w / close - 1, 6) END AS mfe, CASE WHEN count(*) OVER w = 12 THEN round(min(low) OVER w / close - 1, 6) END AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)")
 frame("cross_section_z", W.cross_section_z, ["m", "xz"], f", r AS (SELECT *, ln(close / lag(close) OVER {OVER}) AS ret FROM bars), q AS (SELECT symbol, bar, ret, count(*) OVER w AS c, sum(ret) OVER w AS s, sum(ret * ret) OVER w AS q FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY bar)), z AS (SELECT *, CASE WHEN c > 1 THEN (s - ret) / (c - 1) END AS m, CASE WHEN c > 1 THEN (q - ret * ret) / (c - 1) END AS e FROM q) SELECT symbol, bar, round(m, 4) AS m, CASE WHEN sqrt(greatest(0, e - m * m)) > 1e-9 THEN round((ret - m) / sqrt(greatest(0, e - m * m)), 4) END AS xz FROM z", to=4)
-frame("ema_20", lambda b: J.ema(b, 20), ["ema20"], ", l AS (SELECT symbol, bar, list(close) OVER (PARTITION BY symbol ORDER BY bar) AS c FROM bars) SELECT symbol, bar, round(list_reduce(c, lambda a, x: a + (x - a) * (2.0::DOUBLE / 21)), 6) AS ema20 FROM l")
+frame("ema_20", lambda b: R.ema(b, 20), ["ema20"], ", l AS (SELECT symbol, bar, list(close) OVER (PARTITION BY symbol ORDER BY bar) AS c FROM bars) SELECT symbol, bar, round(list_reduce(c, lambda a, x: a + (x - a) * (2.0::DOUBLE / 21)), 6) AS ema20 FROM l")
 
 
 # Joins and races
@@ -144,8 +145,7 @@ RACE = f"""WITH {BARS}, n AS (SELECT *, row_number() OVER {OVER} AS i FROM bars)
 
 
 def race(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = hourly(spark, sf_dir)
-    return J.first_touch(own, own.where("n >= 4"), 24, 0.5, 0.25)
+    return J.first_touch(hourly(spark, sf_dir), F.col("n") >= 4, 24, 0.5, 0.25)
 
 
 @query("first_touch", f"{RACE} SELECT symbol, bar, entry, hit, lost, result, r FROM trades")
@@ -192,7 +192,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as trades whose result is the price against the mean of their priority."""
     rows = table(spark, sf_dir, "orders")
     mean = rows.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"))
-    return rows.join(F.broadcast(mean), "o_orderpriority").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") - F.col("mean")).alias("pnl"))
+    return rows.join(mean, "o_orderpriority").select("o_orderkey", F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), (F.col("o_totalprice") - F.col("mean")).alias("pnl"))
 
 
 @query("performance_summary", f"WITH {PNL} SELECT count(*) AS n, count(*) FILTER (pnl > 0) AS wins, count(*) FILTER (pnl < 0) AS losses, round(sum(greatest(pnl, 0)), 2) AS gross_profit, round(sum(greatest(-pnl, 0)), 2) AS gross_loss, round(avg(pnl), 2) AS expectancy, round(sum(greatest(pnl, 0)) / sum(greatest(-pnl, 0)), 2) AS profit_factor FROM p")
@@ -250,10 +250,3 @@ def volume_profile(spark, sf_dir):
 def json_props(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
     return rounded(rows.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "event_type", "k", "n", "total", to=4)
-
-
-@query("cooldown")
-def cooldown(spark, sf_dir):
-    """Ticks at least six hours after the last kept one of their symbol."""
-    events = ticks(spark, sf_dir).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("at"), "id")
-    return J.cooled(events, 6 * 3600.0)

@@ -78,10 +78,11 @@ def xsec_rank(spark, sf_dir):
 
 @query("losing_streak", f"{RACE}, k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY bar DESC) AS rn FROM trades) SELECT symbol, coalesce(min(rn) FILTER (r > 0) - 1, count(*)) AS streak FROM k GROUP BY 1")
 def losing_streak(spark, sf_dir):
-    """Trades without a win since the last one."""
-    rows = race(spark, sf_dir).groupBy("symbol").agg(F.max(F.when(F.col("r") > 0, F.col("bar"))).alias("win"), F.collect_list("bar").alias("bars"))
-    streak = F.size(F.filter("bars", lambda b: F.coalesce(b > F.col("win"), F.lit(True))))
-    return rows.select("symbol", streak.cast("long").alias("streak"))
+    """Trades without a win since the last one: a row for each symbol is joined back and counted against."""
+    trades = race(spark, sf_dir).select("symbol", "bar", "r")
+    wins = trades.groupBy("symbol").agg(F.max(F.when(F.col("r") > 0, F.col("bar"))).alias("win"))
+    since = F.count_if(F.col("win").isNull() | (F.col("bar") > F.col("win")))
+    return trades.join(wins, "symbol").groupBy("symbol").agg(since.alias("streak"))
 
 
 @query("calendar_tz", "SELECT strftime(o_orderdate + INTERVAL 330 minutes, '%Y-%m-%d') AS day, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2")
@@ -132,22 +133,4 @@ RSI = f"WITH {BARS}, d AS (SELECT symbol, bar, close - lag(close) OVER {OVER} AS
 
 @query("wilder_rsi", RSI)
 def wilder_rsi(spark, sf_dir):
-    out = rounded(R.wilder_rsi(hourly(spark, sf_dir)), "symbol", "bar", "rsi", to=4)
-    return out.withColumn("rsi", F.when(~F.isnan("rsi"), F.col("rsi")))
-
-
-@query("kalman_trend")
-def kalman_trend(spark, sf_dir):
-    return R.kalman_trend(hourly(spark, sf_dir)).select("symbol", "bar", "z")
-
-
-@query("zigzag")
-def zigzag(spark, sf_dir):
-    return R.zigzag(hourly(spark, sf_dir))
-
-
-@query("non_overlap")
-def non_overlap(spark, sf_dir):
-    hours = F.coalesce(F.least("hit", "lost"), F.lit(24))
-    trades = race(spark, sf_dir).select("symbol", F.col("bar").alias("entry"), (F.col("bar") + F.make_dt_interval(F.lit(0), hours)).alias("exit"), "r")
-    return R.without_overlap(trades)
+    return rounded(R.wilder_rsi(hourly(spark, sf_dir)), "symbol", "bar", "rsi", to=4)

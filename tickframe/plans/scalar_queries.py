@@ -14,7 +14,10 @@ def price_grid(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.to_step(price, 2.5).alias("low"), S.to_step(price, 2.5, "ceil").alias("high"), F.round(S.nearest_round(price), 4).alias("near"))
 
 
-@query("keyword_sentiment", "SELECT lang, CASE WHEN contains(lower(text), 'worthless') OR contains(lower(text), 'trash') THEN -1 WHEN contains(lower(text), 'and') OR contains(lower(text), 'und') THEN 1 ELSE 0 END AS mood, count(*) AS n FROM documents GROUP BY 1, 2")
+WORDS = r"(^|[^\p{{L}}])({})($|[^\p{{L}}])"
+
+
+@query("keyword_sentiment", f"SELECT lang, CASE WHEN regexp_matches(lower(text), '{WORDS.format('worthless|trash')}') THEN -1 WHEN regexp_matches(lower(text), '{WORDS.format('and|und')}') THEN 1 ELSE 0 END AS mood, count(*) AS n FROM documents GROUP BY 1, 2")
 def keyword_sentiment(spark, sf_dir):
     mood = S.sentiment(F.col("text"), ["worthless", "trash"], ["and", "und"])
     return table(spark, sf_dir, "documents").groupBy("lang", mood.alias("mood")).agg(F.count("*").alias("n"))
