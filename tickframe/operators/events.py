@@ -79,3 +79,36 @@ def volume_nodes(profile: DataFrame, times: float = 1.2, most: int = 5) -> DataF
     marked = profile.withColumns({"a": F.coalesce(F.lag("volume").over(near), F.lit(0.0)), "b": F.coalesce(F.lead("volume").over(near), F.lit(0.0)), "mean": F.avg("volume").over(Window.partitionBy("symbol"))})
     peaks = marked.where((F.col("volume") > F.col("a")) & (F.col("volume") > F.col("b")) & (F.col("volume") > times * F.col("mean")))
     return peaks.withColumn("rk", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("volume"), "bin"))).where(F.col("rk") <= most)
+
+
+def breadth_entropy(bars: DataFrame, k: int = 16) -> DataFrame:
+    """Of each bar: entropy of the shares of rises, falls and flats over its maximum, and the change of the share of rises in k bars.
+
+    The window runs over one row for each bar, whatever the number of symbols.
+    """
+    r = bars.withColumn("way", F.signum(F.col("close") - F.lag("close").over(order()))).where("way is not null")
+    shares = r.groupBy("bar").agg(F.count("*").alias("n"), F.avg((F.col("way") > 0).cast("double")).alias("u"), F.avg((F.col("way") < 0).cast("double")).alias("d"))
+    parts = [F.when(p > 1e-12, p * F.log(p)).otherwise(0.0) for p in (F.col("u"), F.col("d"), 1 - F.col("u") - F.col("d"))]
+    return shares.withColumns({"entropy": -(parts[0] + parts[1] + parts[2]) / F.log(F.lit(3.0)), "shift": F.col("u") - F.lag("u", k).over(Window.orderBy("bar"))})
+
+
+def _met(bars: DataFrame) -> DataFrame:
+    r = bars.withColumn("ret", F.log(F.col("close") / F.lag("close").over(order()))).where("ret is not null")
+    a, b = (r.select(F.col("symbol").alias(n), "bar", F.col("ret").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    return a.join(b, "bar").where("a < b")
+
+
+def pairs(bars: DataFrame, n: int = 64) -> DataFrame:
+    """Rolling correlation of returns of each pair of symbols over n common bars."""
+    frame = Window.partitionBy("a", "b").orderBy("bar").rowsBetween(-(n - 1), 0)
+    return _met(bars).withColumn("rho", F.when(F.count(F.lit(1)).over(frame) >= n, F.corr("x", "y").over(frame)))
+
+
+def daily_beta(bars: DataFrame, days: int = 10) -> DataFrame:
+    """Slope of a on b over the last days, from each day's sums."""
+    x, y = F.col("x"), F.col("y")
+    sums = _met(bars).groupBy("a", "b", F.to_date("bar").alias("day")).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
+    frame = Window.partitionBy("a", "b").orderBy("day").rowsBetween(-(days - 1), 0)
+    over = sums.select("a", "b", F.col("day").cast("string").alias("day"), F.count("*").over(frame).alias("days"), *(F.sum(c).over(frame).alias(c) for c in ("n", "sx", "sy", "sxy", "syy")))
+    spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    return over.where((F.col("days") == days) & (spread > 1e-12)).withColumn("beta", (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread)

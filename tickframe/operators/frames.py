@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +24,9 @@ def before(n: int) -> Window:
     return order().rowsBetween(-n, -1)
 
 
-def full(value: Column, n: int, frame: Window) -> Column:
-    """value where the frame has n rows, else null."""
-    return F.when(F.count(F.lit(1)).over(frame) >= n, value)
+def full(value: Column, n: int, frame: Window, of: str | None = None) -> Column:
+    """value where the frame has n rows (or n known values of a column), else null."""
+    return F.when(F.count(F.lit(1) if of is None else of).over(frame) >= n, value)
 
 
 def returns(bars: DataFrame, k: int = 1) -> DataFrame:
@@ -150,3 +154,212 @@ def cross_section_z(bars: DataFrame) -> DataFrame:
     out = r.withColumns({"m": F.when(n > 1, (s - F.col("ret")) / (n - 1)), "q": F.when(n > 1, (q - F.col("ret") * F.col("ret")) / (n - 1))})
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m")))
     return out.withColumn("xz", F.when(spread > 1e-9, (F.col("ret") - F.col("m")) / spread))
+
+
+# Frames over arrays: the window is bounded, so the array is.
+
+
+def middle(values: Column) -> Column:
+    """Median of an array; null if it is empty."""
+    ordered, n = F.array_sort(values), F.size(values)
+    at = F.call_function("div", n, F.lit(2)).cast("int")
+    return F.when(n > 0, F.when(n % 2 == 1, F.get(ordered, at)).otherwise((F.get(ordered, at - 1) + F.get(ordered, at)) / 2))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def windowed(column: str, n: int) -> Column:
+    """The known values of the last n rows, in order."""
+    return F.collect_list(column).over(last(n))
+
+
+def rolling(bars: DataFrame, column: str, n: int, least: int) -> DataFrame:
+    """Mean and deviation over the last n rows, where at least `least` values are known."""
+    return bars.withColumns({"mean": full(F.avg(column).over(last(n)), least, last(n), column), "sd": full(F.stddev_pop(column).over(last(n)), least, last(n), column)})
+
+
+def relative_volume(bars: DataFrame, n: int = 100) -> DataFrame:
+    """Volume against the mean of the n bars before, as many as there are."""
+    return bars.withColumn("rel", F.col("volume") / F.nullif(F.avg("volume").over(before(n)), F.lit(0.0)))
+
+
+def robust_z(bars: DataFrame, column: str = "close", n: int = 48) -> DataFrame:
+    """Distance from the median of the last n in units of 1.4826 median absolute deviations."""
+    out = bars.withColumn("_v", windowed(column, n)).withColumn("med", middle(F.col("_v")))
+    out = out.withColumn("_mad", middle(F.transform("_v", lambda x: F.abs(x - F.col("med")))))
+    return out.withColumn("rz", full(F.when(F.col("_mad") > 0, (F.col(column) - F.col("med")) / (1.4826 * F.col("_mad"))), n, last(n))).drop("_v", "_mad")
+
+
+def day_quantile(bars: DataFrame, column: str = "volume", days: int = 5, q: float = 0.9) -> DataFrame:
+    """Quantile of the days before the bar's own, the same for all bars of a day; each bar counts for the days after it."""
+    day = F.to_date("bar")
+    spread = bars.select("symbol", F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days))).alias("day"), column)
+    cuts = spread.groupBy("symbol", "day").agg(F.percentile(column, F.lit(q)).alias("cut"))
+    return bars.withColumn("day", day).join(cuts, ["symbol", "day"], "left").drop("day")
+
+
+def vwap(bars: DataFrame, n: int = 24) -> DataFrame:
+    """Volume-weighted price of the last n bars, and of the day so far with its weighted deviation."""
+    day = Window.partitionBy("symbol", F.to_date("bar")).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    v = F.col("volume")
+    out = bars.withColumn("tp", typical)
+    mean = F.sum(F.col("tp") * v).over(day) / F.nullif(F.sum(v).over(day), F.lit(0.0))
+    square = F.sum(F.col("tp") * F.col("tp") * v).over(day) / F.nullif(F.sum(v).over(day), F.lit(0.0))
+    rolled = F.sum(F.col("close") * v).over(last(n)) / F.nullif(F.sum(v).over(last(n)), F.lit(0.0))
+    return out.withColumns({"day_vwap": mean, "day_sd": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), "vwap_n": full(rolled, n, last(n))})
+
+
+def williams(bars: DataFrame, n: int = 14) -> DataFrame:
+    out = stochastic(bars, n)
+    return out.withColumn("wr", F.col("pct_k") - 100)
+
+
+def channel_index(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Typical price's distance from its mean in 0.015 mean absolute deviations."""
+    out = bars.withColumn("tp", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("_v", windowed("tp", n)).withColumn("_m", F.avg("tp").over(last(n)))
+    apart = total(F.transform("_v", lambda x: F.abs(x - F.col("_m")))) / F.size("_v")
+    return out.withColumn("cci", full((F.col("tp") - F.col("_m")) / F.greatest(0.015 * apart, F.lit(1e-12)), n, last(n))).drop("_v", "_m")
+
+
+def ichimoku(bars: DataFrame, short: int = 9, mid: int = 26, long: int = 52) -> DataFrame:
+    """Conversion and base lines, and the cloud's bounds shifted by `mid` bars."""
+
+    def centre(n: int) -> Column:
+        return full((F.max("high").over(last(n)) + F.min("low").over(last(n))) / 2, n, last(n))
+
+    out = bars.withColumns({"turn": centre(short), "base": centre(mid), "_long": centre(long)})
+    out = out.withColumns({"_a": F.lag((F.col("turn") + F.col("base")) / 2, mid).over(order()), "_b": F.lag("_long", mid).over(order())})
+    return out.withColumns({"cloud_top": F.greatest("_a", "_b"), "cloud_floor": F.least("_a", "_b")}).drop("_a", "_b", "_long")
+
+
+def trend_residual(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Where close lies against the regression on the bar's number over the last n: residual in residual deviations, and the channel's width."""
+    out = bars.withColumn("i", F.row_number().over(order()).cast("double"))
+    slope, base = F.regr_slope("close", "i").over(last(n)), F.regr_intercept("close", "i").over(last(n))
+    left = F.sqrt(F.greatest(F.lit(0.0), (F.regr_syy("close", "i").over(last(n)) - slope * F.regr_sxy("close", "i").over(last(n))) / n))
+    fitted = base + slope * F.col("i")
+    return out.withColumns({"resid_z": full(F.when(left > 1e-9, (F.col("close") - fitted) / left), n, last(n)), "channel": full(4 * left / F.abs(fitted), n, last(n))})
+
+
+def tail_index(bars: DataFrame, n: int = 100, k: int = 10) -> DataFrame:
+    """Hill estimate from the k largest moves of the last n."""
+    out = returns(bars).withColumn("_r", F.abs("ret")).withColumn("_v", F.slice(F.sort_array(windowed("_r", n), False), 1, k + 1))
+    least = F.get("_v", F.lit(k))
+    mean = total(F.transform(F.slice("_v", 1, k), lambda x: F.log(x / least))) / k
+    return out.withColumn("hill", F.when((F.count("_r").over(last(n)) >= n) & (least > 0) & (mean > 0), 1 / mean)).drop("_r", "_v")
+
+
+def fractal_dimension(bars: DataFrame, n: int = 48) -> DataFrame:
+    """Katz dimension of the path of the last n closes."""
+    out = bars.withColumn("_s", F.abs(F.col("close") - F.lag("close", 1).over(order()))).withColumn("_first", F.first("close").over(last(n))).withColumn("_v", windowed("close", n))
+    path, reach = F.sum("_s").over(order().rowsBetween(-(n - 2), 0)), F.array_max(F.transform("_v", lambda x: F.abs(x - F.col("_first"))))
+    steps = F.log(F.lit(float(n - 1)))
+    return out.withColumns({"_path": path, "_reach": reach}).withColumn("katz", full(F.when((F.col("_path") > 0) & (F.col("_reach") > 0), steps / (steps + F.log(F.col("_reach") / F.col("_path")))), n, last(n))).drop("_s", "_first", "_v", "_path", "_reach")
+
+
+def reversion(bars: DataFrame, n: int = 60) -> DataFrame:
+    """First-order autoregression of close over the last n: speed of return, half-life in bars, and distance from the mean it returns to in deviations of the window."""
+    out = bars.withColumn("_old", F.lag("close").over(order()))
+    b, a = F.regr_slope("close", "_old").over(last(n)), F.regr_intercept("close", "_old").over(last(n))
+    out = out.withColumns({"_b": F.when(F.count("_old").over(last(n)) >= n, b), "_a": a, "_sd": F.stddev_pop("close").over(last(n))})
+    kappa = F.when((F.col("_b") > 0) & (F.col("_b") < 1), -F.log("_b"))
+    away = (F.col("close") - F.col("_a") / (1 - F.col("_b"))) / F.col("_sd")
+    return out.withColumns({"kappa": kappa, "half_life": F.log(F.lit(2.0)) / kappa, "ou_z": F.when(kappa.isNotNull() & (F.col("_sd") > 0), away)}).drop("_old", "_b", "_a", "_sd")
+
+
+def end_weights(n: int, degree: int, derivative: int) -> list[float]:
+    """Weights of the last n values that give a derivative, at the last one, of their least-squares polynomial."""
+    at = np.arange(-(n - 1), 1.0)[:, None] ** np.arange(degree + 1)
+    return [float(w) for w in np.linalg.pinv(at)[derivative] * math.factorial(derivative)]
+
+
+def motion(bars: DataFrame, n: int = 11, degree: int = 3) -> DataFrame:
+    """Velocity, acceleration and jerk of close at its end: fixed weights of the last n closes."""
+
+    def weighted(derivative: int) -> Column:
+        terms = [F.lag("close", n - 1 - i).over(order()) * w for i, w in enumerate(end_weights(n, degree, derivative))]
+        return sum(terms[1:], terms[0])
+
+    return bars.withColumns({"velocity": weighted(1), "acceleration": weighted(2), "jerk": weighted(3)})
+
+
+def autocorrelation(bars: DataFrame, k: int = 1, n: int = 60) -> DataFrame:
+    out = returns(bars).withColumn("_old", F.lag("ret", k).over(order()))
+    return out.withColumn("acf", F.when(F.count("_old").over(last(n)) >= n, F.corr("ret", "_old").over(last(n)))).drop("_old")
+
+
+def place_in_range(bars: DataFrame, n: int = 48) -> DataFrame:
+    low, high = F.min("low").over(last(n)), F.max("high").over(last(n))
+    return bars.withColumn("place", full(F.when(high > low, (F.col("close") - low) / (high - low)), n, last(n)))
+
+
+def last_pivots(bars: DataFrame, k: int = 3) -> DataFrame:
+    """The latest top and floor that are confirmed, k bars after they stand, carried forward."""
+    left, right = order().rowsBetween(-k, -1), order().rowsBetween(1, k)
+    done = (F.count(F.lit(1)).over(left) == k) & (F.count(F.lit(1)).over(right) == k)
+    top = F.when(done & (F.col("high") > F.max("high").over(left)) & (F.col("high") > F.max("high").over(right)), F.col("high"))
+    floor = F.when(done & (F.col("low") < F.min("low").over(left)) & (F.col("low") < F.min("low").over(right)), F.col("low"))
+    seen = order().rowsBetween(Window.unboundedPreceding, 0)
+    out = bars.withColumns({"_t": top, "_f": floor}).withColumns({"_t": F.lag("_t", k).over(order()), "_f": F.lag("_f", k).over(order())})
+    return out.withColumns({"last_top": F.last("_t", ignorenulls=True).over(seen), "last_floor": F.last("_f", ignorenulls=True).over(seen)}).drop("_t", "_f")
+
+
+def session_range(bars: DataFrame, begin: int = 0, end: int = 7) -> DataFrame:
+    """High and low of the day's hours from begin to end, known from end on."""
+    day = Window.partitionBy("symbol", F.to_date("bar"))
+    inside = (F.hour("bar") >= begin) & (F.hour("bar") < end)
+    after = F.hour("bar") >= end
+    return bars.withColumns({"range_high": F.when(after, F.max(F.when(inside, F.col("high"))).over(day)), "range_low": F.when(after, F.min(F.when(inside, F.col("low"))).over(day))})
+
+
+def crossings(bars: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Bars where a passes b: cross 1 upwards, -1 downwards."""
+    out = bars.withColumns({"_a": a, "_b": b}).withColumns({"_oa": F.lag("_a").over(order()), "_ob": F.lag("_b").over(order())})
+    cross = F.when((F.col("_a") > F.col("_b")) & (F.col("_oa") <= F.col("_ob")), 1).when((F.col("_a") < F.col("_b")) & (F.col("_oa") >= F.col("_ob")), -1)
+    return out.withColumn("cross", cross).where("cross is not null").drop("_a", "_b", "_oa", "_ob")
+
+
+def momentum_field(bars: DataFrame, scales: tuple[int, ...] = (2, 4, 8, 16), n: int = 48) -> DataFrame:
+    """Mean of tanh(return / deviation) over several scales, and how far the scales agree."""
+    out = bars
+    for k in scales:
+        out = out.withColumn(f"_r{k}", F.log(F.col("close") / F.lag("close", k).over(order())))
+        out = out.withColumn(f"_s{k}", F.when(F.count(f"_r{k}").over(last(n)) >= n, F.stddev_pop(f"_r{k}").over(last(n))))
+    parts = [F.when(F.col(f"_s{k}") > 0, F.tanh(F.col(f"_r{k}") / F.col(f"_s{k}"))) for k in scales]
+    field = sum(parts[1:], parts[0]) / len(parts)
+    signs = [F.signum(p) for p in parts]
+    out = out.withColumns({"field": field, "coherence": F.abs(sum(signs[1:], signs[0])) / len(signs)})
+    return out.drop(*(f"_{c}{k}" for k in scales for c in "rs"))
+
+
+def realised(bars: DataFrame, n: int = 24) -> DataFrame:
+    return returns(bars).withColumn("vol", F.when(F.count("ret").over(last(n)) >= n, F.stddev_samp("ret").over(last(n))))
+
+
+def weighted_means(bars: DataFrame, n: int = 10) -> DataFrame:
+    """Linearly weighted mean of n, and the lag-reduced one made of three of them."""
+
+    def wma(column: str, m: int) -> Column:
+        terms = [F.lag(column, k).over(order()) * (m - k) for k in range(m)]
+        return sum(terms[1:], terms[0]) / (m * (m + 1) / 2)
+
+    out = bars.withColumns({"wma": wma("close", n), "_d": 2 * wma("close", n // 2) - wma("close", n)})
+    return out.withColumn("hma", wma("_d", round(math.sqrt(n)))).drop("_d")
+
+
+def spectral(bars: DataFrame, n: int = 32) -> DataFrame:
+    """Entropy of the power spectrum of the last n returns, as a share of its maximum, and the period of the strongest frequency."""
+    out = returns(bars).withColumn("_v", windowed("ret", n)).withColumn("_m", total(F.col("_v")) / F.size("_v"))
+    half = range(1, n // 2 + 1)
+
+    def part(k: int, wave: Callable[[float], float]) -> Column:
+        weights = F.array(*(F.lit(wave(2 * math.pi * k * t / n)) for t in range(n)))
+        return total(F.zip_with("_v", weights, lambda x, w: (x - F.col("_m")) * w))
+
+    powers = out.where(F.size("_v") == n).withColumn("_p", F.array(*(part(k, math.cos) ** 2 + part(k, math.sin) ** 2 for k in half)))
+    powers = powers.withColumn("_sum", total(F.col("_p"))).where("_sum > 0")
+    entropy = -total(F.transform("_p", lambda p: F.when(p > 0, p / F.col("_sum") * F.log(p / F.col("_sum"))).otherwise(0.0))) / math.log(len(half))
+    return powers.withColumns({"spectral_entropy": entropy, "period": F.lit(float(n)) / F.array_position("_p", F.array_max("_p"))}).drop("_v", "_m", "_p", "_sum")

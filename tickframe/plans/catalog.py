@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tickframe.plans.decision_queries
 import tickframe.plans.detectors
+import tickframe.plans.feature_queries
 import tickframe.plans.recurrences
+import tickframe.plans.relation_queries
 import tickframe.plans.reports
 import tickframe.plans.scalar_queries  # noqa: F401
 from tickframe.plans.queries import ORACLE_SQL, QUERIES
