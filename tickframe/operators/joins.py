@@ -89,6 +89,36 @@ def outcome() -> Column:
     return F.when((lost < never) & (lost <= hit) & (lost <= gone), "LOSS").when((hit < never) & (hit <= gone), "WIN").when(gone < never, "GONE").otherwise("OPEN")
 
 
+def judged(bars: DataFrame, horizon: int, entry: Column, stop: Column, first: Column, second: Column, invalid: Column) -> DataFrame:
+    """Status of a long setup over the next bars: it enters when a high reaches the entry, is void if a low reaches the
+    invalidation before, and then meets its stop, its first or its second target, in which a stop wins ties."""
+    out = bars.withColumn("_path", ahead(horizon, "high", "low"))
+    out = out.withColumns({"_entry": entry, "_stop": stop, "_one": first, "_two": second, "_void": invalid})
+    out = out.withColumns({"entered": first_at(F.col("_path"), lambda x: x["high"] >= F.col("_entry")), "void": first_at(F.col("_path"), lambda x: x["low"] <= F.col("_void"))})
+    never = F.lit(1 << 30).cast("long")
+    begins = F.coalesce("entered", never)
+    out = out.withColumn("_in", (begins < never) & (begins <= F.coalesce("void", never)))
+    rest = F.when(F.col("_in"), F.slice("_path", F.col("entered").cast("int"), F.lit(horizon)))
+    out = out.withColumn("_rest", rest)
+    out = out.withColumns({"_s": F.coalesce(first_at(F.col("_rest"), lambda x: x["low"] <= F.col("_stop")), never), "_t": F.coalesce(first_at(F.col("_rest"), lambda x: x["high"] >= F.col("_one")), never), "_u": F.coalesce(first_at(F.col("_rest"), lambda x: x["high"] >= F.col("_two")), never)})
+    after = F.when(F.col("_t") < never, F.slice("_rest", F.col("_t").cast("int") + 1, F.lit(horizon)))
+    out = out.withColumn("_after", after).withColumn("_s2", F.coalesce(first_at(F.col("_after"), lambda x: x["low"] <= F.col("_stop")), never))
+    won = (F.col("_t") < F.col("_s")) & (F.col("_u") < never) & ((F.col("_u") <= F.col("_t")) | (F.col("_u") - F.col("_t") < F.col("_s2")))
+    status = (
+        F.when(~F.col("_in") & F.col("void").isNotNull(), "INVALIDATED")
+        .when(~F.col("_in"), F.when(F.size("_path") == horizon, "EXPIRED").otherwise("WAITING"))
+        .when((F.col("_s") < never) & (F.col("_s") <= F.col("_t")), "STOPPED")
+        .when(won, "TP2 HIT")
+        .when((F.col("_t") < never) & (F.col("_s2") < never), "STOPPED AFTER TP1")
+        .when(F.col("_t") < never, "TP1 HIT")
+        .otherwise("ENTERED")
+    )
+    ends = F.when(F.col("_s") <= F.col("_t"), F.col("_s")).when(won, F.greatest("_u", "_t")).otherwise(F.col("_t") + F.col("_s2"))
+    best = F.array_max(F.transform(F.slice("_rest", F.lit(1), F.least(ends, F.lit(horizon)).cast("int")), lambda x: x["high"]))
+    out = out.withColumns({"status": status, "best_r": F.when(F.col("_in"), F.greatest(F.lit(0.0), (best - F.col("_entry")) / (F.col("_entry") - F.col("_stop"))))})
+    return out.drop("_path", "_entry", "_stop", "_one", "_two", "_void", "_in", "_rest", "_after", "_s", "_t", "_u", "_s2")
+
+
 def first_touch(bars: DataFrame, signals: Column, horizon: int, target: float, stop: float) -> DataFrame:
     """WIN, LOSS or OPEN for long entries at the close of bars where `signals` holds: whichever of target and stop,
     shares of the entry, is met first in the next bars; a bar that meets both is a LOSS."""

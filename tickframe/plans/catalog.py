@@ -5,6 +5,7 @@ from __future__ import annotations
 import tickframe.plans.decision_queries
 import tickframe.plans.detectors
 import tickframe.plans.feature_queries
+import tickframe.plans.outcome_queries
 import tickframe.plans.recurrences
 import tickframe.plans.relation_queries
 import tickframe.plans.reports
