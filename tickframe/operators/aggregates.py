@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +79,43 @@ def transitions(bars: DataFrame, state: str) -> DataFrame:
     step = bars.withColumn("prev", F.lag(state).over(Window.partitionBy("symbol").orderBy("bar"))).where("prev is not null")
     counts = step.groupBy("prev", F.col(state).alias("cur")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("prev")))
+
+
+def two_sided_p(t: Column) -> Column:
+    """Two-sided p-value of a normal t by the usual five-term polynomial."""
+    # Fixed values of the approximation (Abramowitz and Stegun 26.2.17).
+    z, k = F.abs(t), 1 / (1 + 0.2316419 * F.abs(t))
+    terms = [0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429]
+    poly = sum((F.lit(b) * F.pow(k, F.lit(i + 1)) for i, b in enumerate(terms)), F.lit(0.0))
+    return 2 * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+
+
+def verdict(t: Column, mean: Column, first: Column, second: Column, cost: float) -> Column:
+    """One word: insufficient, not_significant, inconsistent (the halves differ in sign), under_cost or survives."""
+    steady = (F.signum(first) == F.signum(second)) & (F.signum(first) == F.signum(mean))
+    return (
+        F.when(t.isNull(), "insufficient")
+        .when(F.abs(t) < 2, "not_significant")
+        .when(~F.coalesce(steady, F.lit(False)), "inconsistent")
+        .when(F.abs(mean) <= cost, "under_cost")
+        .otherwise("survives")
+    )
+
+
+def block_bootstrap(rows: DataFrame, by: str, order: str, value: str, block: int, rounds: int) -> DataFrame:
+    """p of the mean of each key against its own spread over resampled blocks of consecutive rows.
+
+    Starts come from a fixed linear congruence, so runs agree. Block sums are
+    differences of prefix sums, looked up by row number: a resample costs a
+    row for each block, not for each value.
+    """
+    number = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    prefix = rows.select(by, number.alias("i"), (F.sum(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)).alias("s"), F.col(value).alias("v"))
+    whole = rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).where(F.col("n") > 2 * block)
+    blocks = whole.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") / block).cast("int") - 1)))
+    seed = (F.col("round").cast("long") * 7919 + F.col("j") * 104729 + 12345) % 2147483647 * 48271 % 2147483647
+    starts = blocks.withColumn("i", (seed % (F.col("n") - block)).cast("int"))
+    low = starts.join(prefix.select(by, "i", F.col("s").alias("low")), [by, "i"]).withColumn("i", F.col("i") + block)
+    sums = low.join(prefix.select(by, "i", F.col("s").alias("high")), [by, "i"])
+    means = sums.groupBy(by, "round", "mean").agg((F.sum(F.col("high") - F.col("low")) / (F.count("*") * block)).alias("m"))
+    return means.groupBy(by, "mean").agg(((F.count_if(F.abs(F.col("m") - F.col("mean")) >= F.abs("mean")) + 1) / (rounds + 1)).alias("p"))
