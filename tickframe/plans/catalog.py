@@ -10,7 +10,8 @@ import tickframe.plans.recurrences
 import tickframe.plans.relation_queries
 import tickframe.plans.reports
 import tickframe.plans.scalar_queries
-import tickframe.plans.statistic_queries  # noqa: F401
+import tickframe.plans.statistic_queries
+import tickframe.plans.trigger_queries  # noqa: F401
 from tickframe.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
