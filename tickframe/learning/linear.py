@@ -49,7 +49,7 @@ def fit(rows: DataFrame, features: list[str], target: str, penalty: float) -> Ri
 
 
 def pair_weights(sums: DataFrame, penalty: float) -> DataFrame:
-    """Of sums for two features (as gram names them) the slopes a, b and base: the two equations solved as expressions, a model a row."""
+    """Of sums for two features (as gram names them) the slopes _a, _b and _base: the two equations solved as expressions, a model a row."""
     c, n = F.col, F.col("n")
     m0, m1, my = c("s0") / n, c("s1") / n, c("y") / n
     v0, v1, v01 = c("g0_0") / n - m0 * m0, c("g1_1") / n - m1 * m1, c("g0_1") / n - m0 * m1
@@ -57,7 +57,12 @@ def pair_weights(sums: DataFrame, penalty: float) -> DataFrame:
     p0, p1 = v0 * (1 + penalty / n), v1 * (1 + penalty / n)
     det = p0 * p1 - v01 * v01
     a, b = (r0 * p1 - r1 * v01) / det, (r1 * p0 - r0 * v01) / det
-    return sums.withColumns({"a": a, "b": b}).withColumn("base", my - F.col("a") * m0 - F.col("b") * m1)
+    return sums.withColumns({"_a": a, "_b": b}).withColumn("_base", my - F.col("_a") * m0 - F.col("_b") * m1)
+
+
+def _scored(rows: DataFrame, models: DataFrame, on: str, features: list[str]) -> DataFrame:
+    own = models.select(on, "_a", "_b", "_base")
+    return rows.join(own, on).withColumn("score", F.col("_a") * F.col(features[0]) + F.col("_b") * F.col(features[1]) + F.col("_base")).drop("_a", "_b", "_base")
 
 
 def walked_forward(rows: DataFrame, period: str, features: list[str], target: str, penalty: float, least: int) -> DataFrame:
@@ -65,8 +70,7 @@ def walked_forward(rows: DataFrame, period: str, features: list[str], target: st
     sums = summed(rows, [period], features, target)
     before = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, -1)  # a row for each period
     past = sums.select(period, *(F.sum(n).over(before).alias(n) for n in gram(features, target))).where(F.col("n") >= least)
-    models = pair_weights(past, penalty).select(period, "a", "b", "base")
-    return rows.join(models, period).withColumn("score", F.col("a") * F.col(features[0]) + F.col("b") * F.col(features[1]) + F.col("base"))
+    return _scored(rows, pair_weights(past, penalty), period, features)
 
 
 def out_of_fold(rows: DataFrame, fold: str, features: list[str], target: str, penalty: float) -> DataFrame:
@@ -74,5 +78,4 @@ def out_of_fold(rows: DataFrame, fold: str, features: list[str], target: str, pe
     sums = summed(rows, [fold], features, target)
     every = Window.partitionBy(F.lit(0))  # a row for each fold
     rest = sums.select(fold, *((F.sum(n).over(every) - F.col(n)).alias(n) for n in gram(features, target)))
-    models = pair_weights(rest, penalty).select(fold, "a", "b", "base")
-    return rows.join(models, fold).withColumn("score", F.col("a") * F.col(features[0]) + F.col("b") * F.col(features[1]) + F.col("base"))
+    return _scored(rows, pair_weights(rest, penalty), fold, features)
