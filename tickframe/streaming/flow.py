@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def tick_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -20,9 +22,57 @@ def minute_flow(ticks: DataFrame, late: str = "10 minutes", width: str = "1 minu
     return once.groupBy("symbol", F.window("ts", width).alias("w")).agg(F.sum(F.col("price") * F.col("size")).alias("value"), F.count("*").alias("n")).select("symbol", F.col("w.start").alias("minute"), "value", "n")
 
 
-def upserted(batch: DataFrame, old: DataFrame, keys: list[str], final: str, states: list[str]) -> DataFrame:
-    """old with the rows of batch by key: a row in a final state is never revised, otherwise the new one holds."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-    rank = F.when((F.col("_new") == 0) & F.col(final).isin(states), 2).otherwise(F.col("_new"))
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*old.columns), rank).alias("r"))
-    return best.select("r.*")
+def with_snapshot(minutes: DataFrame, snapshot: DataFrame, on: list[str]) -> DataFrame:
+    """Closed minutes with the columns of a static side table by key; minutes without a row keep nulls."""
+    return minutes.join(snapshot, on, "left")
+
+
+BAR_STATE = "last timestamp, mean double, n long"
+
+
+def running_means(bars: DataFrame, weight: float) -> DataFrame:
+    """Exponential mean of each symbol over bars as they come, one row out for each new bar.
+
+    The state is the last bar's time and the mean: a bar at or before that
+    time was seen already (a replay), so it is passed over.
+    """
+
+    def step(key, frames, state):
+        last, mean, n = state.get if state.exists else (pd.Timestamp.min, float("nan"), 0)
+        out = []
+        for rows in frames:
+            for at, close in rows.sort_values("bar")[["bar", "close"]].itertuples(index=False):
+                if n and at <= last:
+                    continue
+                mean = close if n == 0 else mean + weight * (close - mean)
+                last, n = at, n + 1
+                out.append((key[0], at, mean, n))
+        if n:
+            state.update((last, mean, n))
+        yield pd.DataFrame(out, columns=["symbol", "bar", "mean", "n"])
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, bar timestamp, mean double, n long", BAR_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def expired_orders(orders: DataFrame, life: str, late: str = "0 seconds") -> DataFrame:
+    """Orders (id, ts, kind: armed, filled) that no fill closed within `life`: emitted once the watermark has passed their end."""
+    seconds = int(pd.Timedelta(life).total_seconds())
+
+    def step(key, frames, state):
+        armed = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "armed": [armed], "ended": [armed + pd.Timedelta(seconds=seconds)]})
+            return
+        for rows in frames:
+            if (rows["kind"] == "filled").any():
+                if state.exists:
+                    state.remove()
+                return
+            first = rows["ts"].min()
+            armed = first if armed is None else min(armed, first)
+        state.update((armed,))
+        state.setTimeoutTimestamp(int(armed.timestamp() * 1000) + seconds * 1000)
+
+    timed = orders.withWatermark("ts", late)
+    return timed.groupBy("id").applyInPandasWithState(step, "id long, armed timestamp, ended timestamp", "armed timestamp", "append", GroupStateTimeout.EventTimeTimeout)
