@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators.frames import before, full, last, order
+from tickframe.operators.frames import atr, before, full, last, order
 
 
 def sweeps(bars: DataFrame, far: int = 20, near: int = 6) -> DataFrame:
@@ -33,14 +33,13 @@ def gaps(bars: DataFrame) -> DataFrame:
     return out.withColumn("filled", F.coalesce(filled, F.lit(False)))
 
 
-def absorption(bars: DataFrame, n: int = 50, volume: float = 1.8, share: float = 0.25, move: float = 0.6) -> DataFrame:
-    """Heavy one-sided volume that does not move price: the other side follows."""
+def absorption(bars: DataFrame, n: int = 50, volume: float = 1.8, share: float = 0.25, move: float = 0.35) -> DataFrame:
+    """Heavy one-sided volume that does not move price its own way by more than `move` mean ranges: the other side follows."""
+    ranged = atr(bars)
     middle = F.percentile("volume", F.lit(0.5)).over(before(n))
-    delta = 2 * F.col("buy") - F.col("volume")
-    ranged = F.avg(F.col("high") - F.col("low")).over(before(n))
-    marked = bars.withColumns({"usual": full(middle, n, before(n)), "span": full(ranged, n, before(n)), "delta": delta})
-    heavy = (F.col("volume") >= volume * F.col("usual")) & (F.abs("delta") >= share * F.col("volume"))
-    still = F.abs(F.col("close") - F.col("open")) <= move * F.col("span")
+    marked = ranged.withColumns({"usual": full(middle, n, before(n)), "delta": 2 * F.col("buy") - F.col("volume"), "progress": F.when(F.col("atr") > 0, (F.col("close") - F.col("open")) / F.col("atr"))})
+    heavy = (F.col("volume") > 0) & (F.col("usual") > 0) & (F.col("volume") >= volume * F.col("usual")) & (F.abs("delta") >= share * F.col("volume"))
+    still = F.signum("delta") * F.col("progress") <= move
     return marked.where(heavy & still).withColumn("side", F.when(F.col("delta") > 0, -1).otherwise(1))
 
 
@@ -77,7 +76,7 @@ def volume_nodes(profile: DataFrame, times: float = 1.2, most: int = 5) -> DataF
     """Local maxima of a profile (symbol, bin, volume) above `times` its mean, the largest `most` of each symbol."""
     near = Window.partitionBy("symbol").orderBy("bin")
     marked = profile.withColumns({"a": F.coalesce(F.lag("volume").over(near), F.lit(0.0)), "b": F.coalesce(F.lead("volume").over(near), F.lit(0.0)), "mean": F.avg("volume").over(Window.partitionBy("symbol"))})
-    peaks = marked.where((F.col("volume") > F.col("a")) & (F.col("volume") > F.col("b")) & (F.col("volume") > times * F.col("mean")))
+    peaks = marked.where((F.col("volume") >= F.col("a")) & (F.col("volume") >= F.col("b")) & (F.col("volume") >= times * F.col("mean")))
     return peaks.withColumn("rk", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("volume"), "bin"))).where(F.col("rk") <= most)
 
 

@@ -496,3 +496,61 @@ def threshold_bars(ticks: DataFrame, threshold: str, value: str = "value") -> Da
         return step
 
     return scanned(ticks, start, [value, threshold], "number long", on=("ts", "id"))
+
+
+def structure(bars: DataFrame) -> DataFrame:
+    """Breaks of structure on bars with last_top and last_floor: a close beyond the latest confirmed extreme, once for
+    each. `event` is BOS with the trend so far and CHOCH against it (the first break has no trend: BOS); `trend` is what
+    holds after the bar; `place` is where the close lies between the two extremes."""
+
+    def start() -> Step:
+        trend, done_top, done_floor = 0, None, None
+
+        def step(close, top, floor):
+            nonlocal trend, done_top, done_floor
+            way = 1 if top is not None and top != done_top and close > top else -1 if floor is not None and floor != done_floor and close < floor else 0
+            event = None if not way else "CHOCH" if trend == -way else "BOS"
+            if way > 0:
+                done_top, trend = top, 1
+            elif way < 0:
+                done_floor, trend = floor, -1
+            place = (close - floor) / (top - floor) if top is not None and floor is not None and top > floor else None
+            return event, trend, place
+
+        return step
+
+    return scanned(bars, start, ["close", "last_top", "last_floor"], "event string, trend int, place double")
+
+
+def normed(bars: DataFrame, span: int = 50, column: str = "ret") -> DataFrame:
+    """A series over the root of the exponential mean of its squares; nulls are passed over."""
+
+    def start() -> Step:
+        mean = _mean(2 / (span + 1))
+
+        def step(x):
+            square = mean(None if x is None else x * x)
+            return (x / math.sqrt(square) if x is not None and square > 0 else None,)
+
+        return step
+
+    return scanned(bars, start, [column], "normed double")
+
+
+def positions(bars: DataFrame) -> DataFrame:
+    """Position held after each bar by a channel rule: 1 after a close above `top`, -1 after one below `floor`, else as before."""
+
+    def start() -> Step:
+        held = 0
+
+        def step(close, top, floor):
+            nonlocal held
+            if top is not None and close > top:
+                held = 1
+            elif floor is not None and close < floor:
+                held = -1
+            return (held,)
+
+        return step
+
+    return scanned(bars, start, ["close", "top", "floor"], "held int")
