@@ -139,7 +139,7 @@ def _links(part: pa.RecordBatch, bits: int, bands: int, threshold: float) -> pa.
     raw, norm = _unit(part)
     size = raw.shape[1]
     count = turns(size, bits, bands)
-    most = far(threshold, count * size)
+    most, keys = far(threshold, count * size), band_keys(codes, bits, bands)
     ups, downs = [], []
     at, step = np.arange(len(group)), 1
     while True:
@@ -154,8 +154,7 @@ def _links(part: pa.RecordBatch, bits: int, bands: int, threshold: float) -> pa.
             x, y = a[low : low + (1 << 14)], b[low : low + (1 << 14)]
             near = np.bitwise_count(codes[x] ^ codes[y]).sum(1) <= most
             x, y = x[near], y[near]
-            apart = np.unpackbits(codes[x] ^ codes[y], axis=1, count=bits * bands).reshape(len(x), bands, bits).any(2)
-            first = apart.argmin(1) == band[x]
+            first = (keys[x] == keys[y]).argmax(1) == band[x]
             ups.append(x[first])
             downs.append(y[first])
         step += 1
