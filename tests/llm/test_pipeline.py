@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline as P
 from tests.llm import cases
 from tickframe.llm import simhash
@@ -10,7 +12,9 @@ def shingles(text, k=5):
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
-def test_representatives_against_brute_force(spark):
+@pytest.mark.parametrize("block", [6, 2048])
+def test_representatives_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rnd = random.Random(2)
     word = lambda: rnd.choice("abcdefgh") + rnd.choice("mnop") + str(rnd.randrange(60))
     docs, base = [], [[word() for _ in range(300)] for _ in range(20)]

@@ -89,4 +89,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language}
-ORACLE_SQL: dict[str, str] = {}
+
+#: SQL of the queries that SQL can state: windows by value, and links with everything they reach.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substrings": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ k AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+ f AS (SELECT h, min(doc_id) AS least FROM k GROUP BY 1),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM k JOIN f USING (h) WHERE least < doc_id),
+ e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w),
+ t AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.j) AS kept, count(*) AS n FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.j = e.j WHERE c.j IS NULL GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(t.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)""",
+    "op5_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum([x * x FOR x IN e]) > 0),
+ l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+ n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), m AS (SELECT a, min(b) AS m FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id, vec_id <= coalesce(m.m, vec_id) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
+}
