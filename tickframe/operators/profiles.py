@@ -47,6 +47,47 @@ def value_area(profile: DataFrame, bins: int, share: float, *by: str) -> DataFra
     return area.select(*by, (price + (F.col("poc") + 0.5) * F.col("width")).alias("poc"), (price + (F.col("a.hi") + 1) * F.col("width")).alias("vah"), (price + F.col("a.lo") * F.col("width")).alias("val"))
 
 
+def paired_area(profile: DataFrame, bins: int, share: float, *by: str) -> DataFrame:
+    """The same area grown by two bins at a time on the side whose two hold more; of equal controls the one nearest the middle."""
+    filled = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("int")), F.lit(0.0)))
+    rows = profile.groupBy(*by, "base", "width").agg(F.map_from_entries(F.collect_list(F.struct("bin", "v"))).alias("m")).withColumn("v", filled)
+    top = F.array_max("v")
+    peaks = F.filter(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.get("v", i) >= top * (1 - 1e-12))
+    nearest = F.get(F.array_sort(F.transform(peaks, lambda i: F.struct(F.abs(i - (bins - 1) / 2).alias("d"), i.alias("i")))), 0)["i"]
+    rows = rows.withColumn("poc", nearest).withColumn("goal", F.aggregate("v", F.lit(0.0), lambda s, x: s + x) * share - 1e-12)
+
+    def at(i: Column) -> Column:
+        return F.when((i >= 0) & (i < bins), F.get("v", i)).otherwise(0.0)
+
+    def grown(s: Column, _: Column) -> Column:
+        up, down = at(s["hi"] + 1) + at(s["hi"] + 2), at(s["lo"] - 1) + at(s["lo"] - 2)
+        done = (s["acc"] >= F.col("goal")) | ((s["hi"] + 1 >= bins) & (s["lo"] <= 0))
+        rise = ~done & (((up >= down) & (s["hi"] + 1 < bins)) | (s["lo"] <= 0))
+        fall = ~done & ~rise
+        return F.struct(F.when(fall, F.greatest(s["lo"] - 2, F.lit(0))).otherwise(s["lo"]).alias("lo"), F.when(rise, F.least(s["hi"] + 2, F.lit(bins - 1))).otherwise(s["hi"]).alias("hi"), (s["acc"] + F.when(rise, up).when(fall, down).otherwise(0.0)).alias("acc"))
+
+    start = F.struct(F.col("poc").alias("lo"), F.col("poc").alias("hi"), F.get("v", F.col("poc")).alias("acc"))
+    area = rows.withColumn("a", F.aggregate(F.sequence(F.lit(1), F.lit(bins)), start, grown))
+    return area.select(*by, (F.col("base") + (F.col("a.hi") + 1) * F.col("width")).alias("vah"), (F.col("base") + F.col("a.lo") * F.col("width")).alias("val"))
+
+
+def density(rows: DataFrame, window: str, price: str, bins: int) -> DataFrame:
+    """rows with, of an array column of (p, v) binned evenly over its range: slope and curvature of volume at the
+    price's bin, and away, the distance in bins to the fullest one. Bounds and bins are columns, so each is computed once."""
+    bounds = rows.withColumns({"_lo": F.array_min(F.transform(window, lambda x: x["p"])), "_hi": F.array_max(F.transform(window, lambda x: x["p"]))})
+
+    def bin_of(p: Column) -> Column:
+        return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((p - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins))).cast("int")
+
+    binned = bounds.withColumns({"_b": bin_of(F.col(price)), "_x": F.transform(window, lambda x: F.struct(bin_of(x["p"]).alias("b"), x["v"].alias("v")))})
+    sums = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.aggregate("_x", F.lit(0.0), lambda s, x: s + F.when(x["b"] == b, x["v"]).otherwise(0.0)))
+    out = binned.withColumn("_v", sums)
+    up, own = F.coalesce(F.get("_v", F.col("_b") + 1), F.lit(0.0)), F.get("_v", F.col("_b"))
+    down = F.when(F.col("_b") > 0, F.get("_v", F.col("_b") - 1)).otherwise(0.0)
+    away = (F.col("_b") - (F.array_position("_v", F.array_max("_v")) - 1)).cast("int")
+    return out.withColumns({"slope": up - down, "curve": up - 2 * own + down, "away": away}).drop("_lo", "_hi", "_b", "_x", "_v")
+
+
 def control_point(bars: DataFrame, bins: int, price: Column, *by: str) -> DataFrame:
     """The bin with the most volume when each bar counts at one price (its middle, say); the lowest on a tie."""
     sums = ranged(bars, bins, *by).groupBy(*by, "base", "width", place(price, bins).alias("bin")).agg(F.sum("volume").alias("v"))

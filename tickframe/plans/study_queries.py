@@ -296,3 +296,90 @@ def event_context(spark, sf_dir):
     events = race(spark, sf_dir).select("symbol", "bar", (F.date_trunc("day", "bar") - F.expr("interval 1 day")).alias("day"))
     both = events.join(hours, ["symbol", "bar"], "left").join(days, ["symbol", "day"], "left")
     return both.select("symbol", "bar", "hour_close", "hour_volume", "day_close", "day_span", F.hour("bar").alias("hour"))
+
+
+SHUFFLED = "k AS (SELECT symbol, buy * 2 > volume AS pred, fwd > 0 AS y, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i, row_number() OVER (PARTITION BY symbol ORDER BY md5(symbol || strftime(bar, '%Y-%m-%d %H:%M:%S'))) AS j FROM x)"
+
+
+@query("shuffle_control", f"WITH {BARS}, {NEXT}, {SHUFFLED} SELECT a.symbol, count(*) AS n, round(avg((a.pred = a.y)::INT), 6) AS hit, round(avg((a.pred = b.y)::INT), 6) AS control FROM k a JOIN k b ON a.symbol = b.symbol AND a.i = b.j GROUP BY 1")
+def shuffle_control(spark, sf_dir):
+    """Hit rate of a rule against that with labels shuffled within the symbol (by a hash, so runs agree)."""
+    turn = F.md5(F.concat("symbol", F.date_format("bar", "yyyy-MM-dd HH:mm:ss")).cast("binary"))
+    k = ahead(spark, sf_dir).select("symbol", (F.col("buy") * 2 > F.col("volume")).alias("pred"), (F.col("fwd") > 0).alias("y"), F.row_number().over(W.order()).alias("i"), F.row_number().over(Window.partitionBy("symbol").orderBy(turn)).alias("j"))
+    both = k.select("symbol", "i", "pred", "y").join(k.select("symbol", F.col("j").alias("i"), F.col("y").alias("other")), ["symbol", "i"])
+    return rounded(both.groupBy("symbol").agg(F.count("*").alias("n"), A.share(F.col("pred") == F.col("y")).alias("hit"), A.share(F.col("pred") == F.col("other")).alias("control")), "symbol", "n", "hit", "control")
+
+
+@query("triple_conjunctions", f"WITH {BARS}, {NEXT}, i AS (SELECT symbol, bar, fwd, unnest([CASE WHEN hour(bar) < 8 THEN 'asia' ELSE 'day' END, CASE WHEN close > open THEN 'up' ELSE 'down' END, CASE WHEN n >= 4 THEN 'busy' ELSE 'calm' END, CASE WHEN buy * 2 > volume THEN 'bought' ELSE 'sold' END]) AS item FROM x) SELECT a.item AS a, b.item AS b, c.item AS c, count(*) AS n, round(avg(a.fwd), 6) AS mean FROM i a JOIN i b ON a.symbol = b.symbol AND a.bar = b.bar AND a.item < b.item JOIN i c ON a.symbol = c.symbol AND a.bar = c.bar AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) >= 100")
+def triple_conjunctions(spark, sf_dir):
+    """Sets of three items that hold together in 100 bars at least."""
+    c = F.col
+    items = F.sort_array(F.array(F.when(F.hour("bar") < 8, "asia").otherwise("day"), F.when(c("close") > c("open"), "up").otherwise("down"), F.when(c("n") >= 4, "busy").otherwise("calm"), F.when(c("buy") * 2 > c("volume"), "bought").otherwise("sold")))
+    choices = [(i, j, k) for i in range(4) for j in range(i + 1, 4) for k in range(j + 1, 4)]
+    rows = ahead(spark, sf_dir).withColumn("i", items)
+    sets = F.array(*(F.struct(*(F.get("i", F.lit(p)).alias(x) for p, x in zip(t, "abc"))) for t in choices))
+    g = rows.select("fwd", F.explode(sets).alias("s")).groupBy("s.a", "s.b", "s.c").agg(F.count("*").alias("n"), F.round(F.avg("fwd"), 6).alias("mean"))
+    return g.where("n >= 100")
+
+
+WHATIF = paths("close AS e", {"early": "b.i <= a.i + 6 AND (b.high >= a.e * 6::DOUBLE OR b.low <= a.e * 0.08::DOUBLE)", "hit": "b.i > a.i + 6 AND b.high >= a.e * 6::DOUBLE", "lost": "b.i > a.i + 6 AND b.low <= a.e * 0.08::DOUBLE"}, 24)
+
+
+@query("after_exit", f"WITH {BARS}, {NUMBERED}, {WHATIF}, o AS (SELECT symbol, bar, lead(close, 6) OVER {OVER} / close - 1 AS made FROM bars) SELECT symbol, bar, CASE WHEN lost IS NOT NULL AND lost <= coalesce(hit, 99) THEN 'STOP' WHEN hit IS NOT NULL THEN 'TARGET' ELSE 'PENDING' END AS later, round(made / 0.25::DOUBLE, 6) AS r FROM m JOIN o USING (symbol, bar) WHERE early IS NULL AND made IS NOT NULL")
+def after_exit(spark, sf_dir):
+    """Trades forced out after six bars: their result then, and what they would have met later."""
+    c = F.col("close")
+    rows = hourly(spark, sf_dir).withColumn("_p", J.ahead(24, "high", "low")).withColumn("made", F.lead("close", 6).over(W.order()) / c - 1).where("made is not null")
+    rows = rows.withColumns({"hit": J.first_at(F.col("_p"), lambda x: x["high"] >= c * 6), "lost": J.first_at(F.col("_p"), lambda x: x["low"] <= c * 0.08)})
+    rows = rows.where((F.coalesce("hit", F.lit(99)) > 6) & (F.coalesce("lost", F.lit(99)) > 6))
+    later = F.when(F.col("lost").isNotNull() & (F.col("lost") <= F.coalesce("hit", F.lit(99))), "STOP").when(F.col("hit").isNotNull(), "TARGET").otherwise("PENDING")
+    return rows.select("symbol", "bar", later.alias("later"), F.round(F.col("made") / 0.25, 6).alias("r"))
+
+
+@query("leader_against", f"{RACE}, lead_ AS (SELECT bar, close FROM bars WHERE symbol = 'view'), z AS (SELECT arg_max(close, bar) AS now FROM lead_) SELECT t.symbol, t.bar, round((z.now / lead_.close - 1) / 0.25::DOUBLE, 6) AS against FROM trades t JOIN lead_ USING (bar), z WHERE t.symbol <> 'view'")
+def leader_against(spark, sf_dir):
+    """The leading symbol's move since each entry, in risks of the trade."""
+    lead = hourly(spark, sf_dir).where("symbol = 'view'").select("bar", F.col("close").alias("then"))
+    now = lead.agg(F.max_by("then", "bar").alias("now"))  # one row
+    rows = race(spark, sf_dir).where("symbol <> 'view'").join(lead, "bar").join(F.broadcast(now), F.lit(True))
+    return rows.select("symbol", "bar", F.round((F.col("now") / F.col("then") - 1) / 0.25, 6).alias("against"))
+
+
+@query("evidence", f"{RACE}, e AS (SELECT *, 'symbol' AS section, symbol AS key FROM trades UNION ALL SELECT *, 'session', CASE WHEN hour(bar) < 8 THEN 'asia' WHEN hour(bar) < 16 THEN 'europe' ELSE 'america' END FROM trades UNION ALL SELECT *, 'weekday', strftime(bar, '%a') FROM trades) SELECT section, key, count(*) AS n, round(avg((r > 0)::INT), 6) AS win, round(avg(r), 6) AS mean, arg_max(result, (bar, symbol)) AS last FROM e GROUP BY 1, 2")
+def evidence(spark, sf_dir):
+    """What is known for a candidate by section (symbol, session, weekday), in one pass: each trade opens a row for each section."""
+    rows = race(spark, sf_dir)
+    phase = F.when(F.hour("bar") < 8, "asia").when(F.hour("bar") < 16, "europe").otherwise("america")
+    parts = F.array(*(F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in (("symbol", F.col("symbol")), ("session", phase), ("weekday", F.date_format("bar", "EEE")))))
+    g = rows.withColumn("x", F.explode(parts)).groupBy("x.section", "x.key")
+    return rounded(g.agg(F.count("*").alias("n"), A.share(F.col("r") > 0).alias("win"), F.avg("r").alias("mean"), F.max_by("result", F.struct("bar", "symbol")).alias("last")), "section", "key", "n", "win", "mean", "last")
+
+
+@query("post_mortem", f"{RACE}, n2 AS (SELECT symbol, bar, max(high) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) / close - 1 AS mfe FROM bars) SELECT symbol, CASE WHEN lost <= 3 THEN 'stopped_at_once' WHEN mfe < 0.1 THEN 'no_progress' WHEN mfe >= 0.25 THEN 'gave_back' ELSE 'drifted' END AS cause, count(*) AS n, round(avg(mfe), 6) AS mfe FROM trades JOIN n2 USING (symbol, bar) WHERE result = 'LOSS' GROUP BY 1, 2")
+def post_mortem(spark, sf_dir):
+    """Losses by cause."""
+    after = W.order().rowsBetween(1, 24)
+    best = hourly(spark, sf_dir).select("symbol", "bar", (F.max("high").over(after) / F.col("close") - 1).alias("mfe"))
+    rows = race(spark, sf_dir).where("result = 'LOSS'").join(best, ["symbol", "bar"])
+    cause = F.when(F.col("lost") <= 3, "stopped_at_once").when(F.col("mfe") < 0.1, "no_progress").when(F.col("mfe") >= 0.25, "gave_back").otherwise("drifted")
+    return rows.groupBy("symbol", cause.alias("cause")).agg(F.count("*").alias("n"), F.round(F.avg("mfe"), 6).alias("mfe"))
+
+
+@query("derivative_z", f"WITH {BARS}, d AS (SELECT symbol, date_trunc('day', bar)::TIMESTAMP + INTERVAL 1 day AS bar, sum(buy) / sum(volume) AS share FROM bars GROUP BY symbol, date_trunc('day', bar)), j AS (SELECT b.symbol, b.bar, d.share FROM bars b ASOF LEFT JOIN d ON b.symbol = d.symbol AND b.bar >= d.bar) SELECT symbol, bar, CASE WHEN count(share) OVER w >= 60 AND stddev_pop(share) OVER w > 1e-9 THEN round((share - avg(share) OVER w) / stddev_pop(share) OVER w, 4) END AS z FROM j WINDOW w AS {before(120)}")
+def derivative_z(spark, sf_dir):
+    """A daily series brought to hours as of its end, and its z against the 120 hours before."""
+    own = hourly(spark, sf_dir)
+    days = own.groupBy("symbol", F.date_trunc("day", "bar").alias("day")).agg((F.sum("buy") / F.sum("volume")).alias("share"))
+    days = days.select("symbol", (F.col("day") + F.expr("interval 1 day")).alias("bar"), "share")
+    rows = J.as_of(own.select("symbol", "bar"), days, "bar", "symbol", ["share"])
+    mean, sd = F.avg("share").over(W.before(120)), F.stddev_pop("share").over(W.before(120))
+    z = F.when((F.count("share").over(W.before(120)) >= 60) & (sd > 1e-9), (F.col("share") - mean) / sd)
+    return rounded(rows.withColumn("z", z), "symbol", "bar", "z", to=4)
+
+
+@query("settled_suggestions", f"{RACE}, e AS (SELECT max(bar) AS now FROM bars) SELECT symbol, bar, result FROM trades, e WHERE bar <= now - INTERVAL 2 hours AND result <> 'OPEN'")
+def settled_suggestions(spark, sf_dir):
+    """Suggestions that are two hours old and resolved."""
+    now = hourly(spark, sf_dir).agg(F.max("bar").alias("now"))  # one row
+    rows = race(spark, sf_dir).where("result <> 'OPEN'").join(F.broadcast(now), F.lit(True))
+    return rows.where(F.col("bar") <= F.col("now") - F.expr("interval 2 hours")).select("symbol", "bar", "result")

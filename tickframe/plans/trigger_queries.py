@@ -30,6 +30,27 @@ def value_area(spark, sf_dir):
     return rounded(V.value_area(V.overlap_profile(hourly(spark, sf_dir), B, "symbol"), B, 0.7, "symbol"), "symbol", "poc", "vah", "val", to=4)
 
 
+PAIRED = f"""c AS (SELECT symbol, v, list_max(v) AS top FROM l), z AS (SELECT symbol, v, [i FOR i IN range(1, {B + 1}) IF v[i] >= top * (1 - 1e-12)] AS ps FROM c), s AS (SELECT symbol, v, list_sort([{{'d': abs(i - 1 - {(B - 1) / 2}), 'i': i}} FOR i IN ps])[1].i::INT AS poc FROM z),
+ rec AS (SELECT symbol, v, poc AS lo, poc AS hi, v[poc] AS acc, 0 AS k FROM s UNION ALL SELECT symbol, v, CASE WHEN rise THEN lo ELSE greatest(lo - 2, 1) END, CASE WHEN rise THEN least(hi + 2, {B}) ELSE hi END, acc + CASE WHEN rise THEN up ELSE down END, k + 1 FROM (SELECT *, (up >= down AND hi < {B}) OR lo <= 1 AS rise FROM (SELECT *, coalesce(v[hi + 1], 0) + coalesce(v[hi + 2], 0) AS up, CASE WHEN lo > 1 THEN v[lo - 1] ELSE 0 END + CASE WHEN lo > 2 THEN v[lo - 2] ELSE 0 END AS down FROM rec)) WHERE acc < 0.7::DOUBLE * list_sum(v) - 1e-12 AND (hi < {B} OR lo > 1))"""
+
+
+@query("paired_value_area", f"WITH RECURSIVE {BARS}, {OVERLAP}, {AREA.split(', rec AS')[0].split(' rec AS')[0].rstrip().rstrip(',')}, {PAIRED} SELECT symbol, round(base + hi * width, 4) AS vah, round(base + (lo - 1) * width, 4) AS val FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY k DESC) AS rn FROM rec) JOIN g USING (symbol) WHERE rn = 1")
+def paired_value_area(spark, sf_dir):
+    return rounded(V.paired_area(V.overlap_profile(hourly(spark, sf_dir), B, "symbol"), B, 0.7, "symbol"), "symbol", "vah", "val", to=4)
+
+
+def dense(b):
+    out = b.withColumn("_w", F.collect_list(F.struct(F.col("close").alias("p"), F.col("volume").alias("v"))).over(W.last(48))).where(F.size("_w") == 48)
+    return V.density(out, "_w", "close", 12)
+
+
+frame(
+    "volume_density",
+    dense,
+    ["slope", "curve", "away"],
+    f", w AS (SELECT symbol, bar, close, list({{'p': close, 'v': volume}}) OVER {last(48)} AS w FROM bars), r AS (SELECT *, list_min([x.p FOR x IN w]) AS lo, list_max([x.p FOR x IN w]) AS hi FROM w WHERE len(w) = 48), b AS (SELECT symbol, bar, least(11, greatest(0, floor((close - lo) / nullif(hi - lo, 0) * 12)))::INT AS b, [coalesce(list_sum([x.v FOR x IN w IF least(11, greatest(0, floor((x.p - lo) / nullif(hi - lo, 0) * 12)))::INT = k]), 0) FOR k IN range(12)] AS v FROM r) SELECT symbol, bar, (coalesce(v[b + 2], 0) - CASE WHEN b > 0 THEN v[b] ELSE 0 END)::DOUBLE AS slope, (coalesce(v[b + 2], 0) - 2 * v[b + 1] + CASE WHEN b > 0 THEN v[b] ELSE 0 END)::DOUBLE AS curve, (b - (list_position(v, list_max(v)) - 1))::INT AS away FROM b",
+)
+
 DAILY = "dx AS (SELECT *, date_trunc('day', bar)::TIMESTAMP AS day FROM bars), dg AS (SELECT symbol, day, count(*) AS n, max(high) AS h, min(low) AS l, arg_max(close, bar) AS c, max(high) FILTER (hour(bar) < 8) AS ah, min(low) FILTER (hour(bar) < 8) AS al, min(low) AS base, (max(high) - min(low)) / 12 AS width FROM dx GROUP BY 1, 2), db AS (SELECT symbol, day, base, width, greatest(0, least(11, floor(((dx.high + dx.low) / 2 - base) / width)))::INT AS bin, sum(volume) AS v FROM dx JOIN dg USING (symbol, day) WHERE width > 0 GROUP BY 1, 2, 3, 4, 5), dp AS (SELECT symbol, day, any_value(base) + (arg_max(bin, (v, -bin)) + 0.5) * any_value(width) AS poc FROM db GROUP BY 1, 2)"
 
 
@@ -154,8 +175,20 @@ BOOK = {
     "pin": ("(least(open, close) - low) > 2 * abs(close - open) AND (high - greatest(open, close)) < abs(close - open)", "(high - greatest(open, close)) > 2 * abs(close - open) AND (least(open, close) - low) < abs(close - open)"),
     "momentum": ("close / c12 - 1 > 1", "close / c12 - 1 < -0.5"),
     "volume_push": ("volume > 2 * vm AND close > open", "volume > 2 * vm AND close < open"),
+    "inside_break": ("high < lh AND low > ll AND close > (lh + ll) / 2", "high < lh AND low > ll AND close < (lh + ll) / 2"),
+    "failed_break": ("low < floor_ AND close > floor_", "high > top AND close < top"),
+    "mean_pullback": ("e20 > e50 AND low <= e20 AND close > e20", "e20 < e50 AND high >= e20 AND close < e20"),
+    "three_in_row": ("close > open AND lc > lo AND c2 > o2", "close < open AND lc < lo AND c2 < o2"),
+    "gap_away": ("low > lh", "high < ll"),
+    "doji_turn": ("abs(lc - lo) < 0.1 * (lh - ll) AND close > lh", "abs(lc - lo) < 0.1 * (lh - ll) AND close < ll"),
+    "wide_close": ("close > low + 0.9 * (high - low) AND high - low > 2 * (lh - ll)", "close < low + 0.1 * (high - low) AND high - low > 2 * (lh - ll)"),
+    "band_walk": ("close > mid + sd AND lc > mid", "close < mid - sd AND lc < mid"),
+    "spring": ("low < floor_ AND close > floor_ AND volume > vm", "high > top AND close < top AND volume > vm"),
+    "climax": ("volume > 3 * vm AND close < mid - 2 * sd", "volume > 3 * vm AND close > mid + 2 * sd"),
+    "vacuum": ("volume < 0.5 * vm AND close > top", "volume < 0.5 * vm AND close < floor_"),
+    "retest": ("lc > top AND low <= top AND close > top", "lc < floor_ AND high >= floor_ AND close < floor_"),
 }
-INPUTS = f"i AS (SELECT b.*, e20, e50, lag(e20) OVER w AS le20, lag(e50) OVER w AS le50, avg(b.close) OVER v AS mid, stddev_pop(b.close) OVER v AS sd, max(b.high) OVER p AS top, min(b.low) OVER p AS floor_, lag(b.open) OVER w AS lo, lag(b.close) OVER w AS lc, lag(b.high) OVER w AS lh, lag(b.low) OVER w AS ll, lag(b.close, 12) OVER w AS c12, avg(b.volume) OVER p AS vm FROM bars b JOIN rec USING (symbol, bar) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.bar), v AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), p AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+INPUTS = f"i AS (SELECT b.*, e20, e50, lag(e20) OVER w AS le20, lag(e50) OVER w AS le50, avg(b.close) OVER v AS mid, stddev_pop(b.close) OVER v AS sd, max(b.high) OVER p AS top, min(b.low) OVER p AS floor_, lag(b.open) OVER w AS lo, lag(b.close) OVER w AS lc, lag(b.high) OVER w AS lh, lag(b.low) OVER w AS ll, lag(b.close, 12) OVER w AS c12, lag(b.close, 2) OVER w AS c2, lag(b.open, 2) OVER w AS o2, avg(b.volume) OVER p AS vm FROM bars b JOIN rec USING (symbol, bar) WINDOW w AS (PARTITION BY b.symbol ORDER BY b.bar), v AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), p AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
 
 
 @query("rule_book", f"WITH RECURSIVE {BARS}, {recursion(N, {k: E[k] for k in ('e20', 'e50')})}, {INPUTS} " + " UNION ALL ".join(f"SELECT symbol, '{k}' AS rule, count(*) FILTER ({a}) AS longs, count(*) FILTER ({b}) AS shorts FROM i GROUP BY 1" for k, (a, b) in BOOK.items()))
@@ -163,7 +196,7 @@ def rule_book(spark, sf_dir):
     """A book of textbook rules, each a long and a short condition on shared columns; their signals by symbol, in one pass."""
     b = R.ema(R.ema(hourly(spark, sf_dir), 20), 50).withColumnsRenamed({"ema20": "e20", "ema50": "e50"})
     w = W.order()
-    columns = {"le20": F.lag("e20").over(w), "le50": F.lag("e50").over(w), "mid": F.avg("close").over(W.last(20)), "sd": F.stddev_pop("close").over(W.last(20)), "top": F.max("high").over(W.before(20)), "floor_": F.min("low").over(W.before(20)), "lo": F.lag("open").over(w), "lc": F.lag("close").over(w), "lh": F.lag("high").over(w), "ll": F.lag("low").over(w), "c12": F.lag("close", 12).over(w), "vm": F.avg("volume").over(W.before(20))}
+    columns = {"le20": F.lag("e20").over(w), "le50": F.lag("e50").over(w), "mid": F.avg("close").over(W.last(20)), "sd": F.stddev_pop("close").over(W.last(20)), "top": F.max("high").over(W.before(20)), "floor_": F.min("low").over(W.before(20)), "lo": F.lag("open").over(w), "lc": F.lag("close").over(w), "lh": F.lag("high").over(w), "ll": F.lag("low").over(w), "c12": F.lag("close", 12).over(w), "c2": F.lag("close", 2).over(w), "o2": F.lag("open", 2).over(w), "vm": F.avg("volume").over(W.before(20))}
     sums = b.withColumns(columns).groupBy("symbol").agg(*(F.count_if(F.expr(c)).alias(f"{k}_{s}") for k, sides in BOOK.items() for s, c in zip("ls", sides)))
     return sums.select("symbol", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(f"{k}_l").alias("longs"), F.col(f"{k}_s").alias("shorts")) for k in BOOK))).alias("x")).select("symbol", "x.*")
 
