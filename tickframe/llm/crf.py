@@ -103,7 +103,7 @@ class Field:
             product[:, np.arange(states), np.arange(states)] = local[steps[0]]
             for at in steps[1:]:
                 m = len(at)
-                now = (product[:m] @ move) * local[at][:, None, :]
+                now = (product[:m].reshape(-1, states) @ move).reshape(m, states, states) * local[at][:, None, :]
                 product[:m] = now / now.max((1, 2), keepdims=True)
             whole[several[order]] = product
             for own in ranks:

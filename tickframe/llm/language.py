@@ -33,16 +33,16 @@ _LETTER = regex.compile(r"\p{L}")
 
 def word_features(w: T.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and owners (indices into at) of the features of words at, sorted by owner."""
-    data, values = w.data, T._BYTE[T.LOWER[w.data]]
+    hashes = T.Prefix(T._BYTE[T.LOWER[w.data]]).hashes
     start, end = w.start[at], w.end[at]
-    kinds, owners = [T.span_hashes(values, start, end)], [np.arange(len(at))]
+    kinds, owners = [hashes(start, end)], [np.arange(len(at))]
     for n in range(1, 5):
         some = np.flatnonzero(end - start >= n)
-        kinds += [T.span_hashes(values, start[some], start[some] + n) + np.uint64(2 * n), T.span_hashes(values, end[some] - n, end[some]) + np.uint64(2 * n + 1)]
+        kinds += [hashes(start[some], start[some] + n) + np.uint64(2 * n), hashes(end[some] - n, end[some]) + np.uint64(2 * n + 1)]
         owners += [some, some]
     size = np.maximum(0, end - start - 2)
     inside = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    kinds.append(T.span_hashes(values, inside, inside + 3) + np.uint64(77))
+    kinds.append(hashes(inside, inside + 3) + np.uint64(77))
     owners.append(np.repeat(np.arange(len(at)), size))
     bucket, owner = np.concatenate(kinds), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")

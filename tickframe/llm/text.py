@@ -67,18 +67,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Prefix:
+    """Prefix sums of values, from which any run of them is hashed."""
+
+    def __init__(self, values: np.ndarray):
+        n, self.powers, self.sums = len(values), powers(len(values)), []
+        for side, (up, _) in enumerate(self.powers):
+            part = values >> np.uint64(33) if side else values & _PRIME
+            part *= up[:n]
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_folded(part), out=sums[1:])
+            self.sums.append(sums)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of values[start:end] for each pair of bounds."""
+        halves = []
+        for sums, (_, down) in zip(self.sums, self.powers):
+            half = _folded(_folded(sums[end] - sums[start]))
+            half = _folded(_folded(half * down[start]))
+            halves.append(np.where(half >= _PRIME, half - _PRIME, half))
+        return mixed((halves[0] << np.uint64(33)) ^ halves[1] ^ mixed((end - start).astype(np.uint64)))
+
+
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair of bounds."""
-    n, halves = len(values), []
-    for side, (up, down) in enumerate(powers(n)):
-        part = values >> np.uint64(33) if side else values & _PRIME
-        part *= up[:n]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_folded(part), out=sums[1:])
-        half = _folded(_folded(sums[end] - sums[start]))
-        half = _folded(_folded(half * down[start]))
-        halves.append(np.where(half >= _PRIME, half - _PRIME, half))
-    return mixed((halves[0] << np.uint64(33)) ^ halves[1] ^ mixed((end - start).astype(np.uint64)))
+    return Prefix(values).hashes(start, end)
 
 
 @dataclass
