@@ -110,12 +110,12 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array((anchor[a:b] | np.uint64(side << WIDTH)).view(np.int64)), pa.array(fp[index[a:b]].view(np.int64))], ["anchor", "fp"])
 
 
-def linked(fp: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def linked(fp: np.ndarray, group: np.ndarray, block: np.ndarray, cross: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups of sorted rows, enough to span each group's components.
 
     Each row is met with the next one, the one after it and so on to the end
-    of its group, for all groups at once; of the links found, a star for each
-    component is kept.
+    of its group, for all groups at once (in a cross group only with rows of
+    the other block); of the links found, a star for each component is kept.
     """
     a, b = [], []
     at = np.arange(len(fp))
@@ -125,7 +125,8 @@ def linked(fp: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarra
         at = at[group[at] == group[at + step]]
         if not len(at):
             break
-        hit = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= threshold]
+        fit = at[~cross[at] | (block[at] != block[at + step])]
+        hit = fit[np.bitwise_count(fp[fit] ^ fp[fit + step]) <= threshold]
         a.append(hit)
         b.append(hit + step)
         step += 1
@@ -135,10 +136,10 @@ def linked(fp: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarra
 
 
 def _compared(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows (anchor, fp) that are sorted by anchor."""
+    """Links of rows (anchor, fp, block, cross) that are sorted by anchor."""
     for part in whole_groups(batches, "anchor"):
-        anchor, fp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-        member, root = linked(fp.view(np.uint64), anchor, threshold)
+        anchor, fp, block, cross = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        member, root = linked(fp.view(np.uint64), anchor, block, cross, threshold)
         yield pa.RecordBatch.from_arrays([pa.array(fp[member]), pa.array(fp[root])], ["a", "b"])
 
 
@@ -154,21 +155,22 @@ def _together(placed: DataFrame, node: str) -> DataFrame:
     """Rows of placed whose anchor holds others, brought together by anchor and sorted.
 
     A group of more than BLOCK rows is dealt out as pairs of blocks, each of
-    which is compared as a group of its own.
+    which is compared as a group of its own: a pair of two blocks across only
+    (cross), the pair of a block with itself within.
     """
     columns = [c for c in placed.columns if c != "anchor"]
     counts = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     rows = placed.join(counts, "anchor")
-    small = rows.where(F.col("n") <= BLOCK).select("anchor", *columns)
+    small = rows.where(F.col("n") <= BLOCK).select("anchor", *columns, F.lit(0).alias("own"), F.lit(False).alias("cross"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int")
-    own = F.pmod(F.xxhash64(node), F.col("blocks"))
+    own = F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")
     pair = F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other"))
     large = (
         rows.where(F.col("n") > BLOCK)
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(pair.alias("anchor"), *columns)
+        .select(pair.alias("anchor"), *columns, "own", (F.col("own") != F.col("other")).alias("cross"))
     )
     return small.unionByName(large).repartition("anchor").sortWithinPartitions("anchor")
 
@@ -272,14 +274,16 @@ def _alike(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.R
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def joined(part: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def joined(part: np.ndarray, block: np.ndarray, cross: bool, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
     """Links between rows of different parts that are alike, enough to span what all such links connect.
 
-    Each row is compared with all later ones that are not yet in its part.
+    Each row is compared with all later ones that are not yet in its part and,
+    in a cross group, are of the other block.
     """
     part, out = part.copy(), []
     for i in range(len(part) - 1):
-        others = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        open_ = part[i + 1 :] != part[i]
+        others = np.flatnonzero(open_ & (block[i + 1 :] != block[i]) if cross else open_) + i + 1
         if not len(others):
             continue
         near = others[alike(i, others)]
@@ -290,14 +294,14 @@ def joined(part: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) ->
 
 
 def _joined(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
-    """Links of rows (anchor, node, component, body) that are sorted by anchor."""
+    """Links of rows (anchor, node, component, body, own, cross) that are sorted by anchor."""
     for rows in whole_groups(_slices(batches), "anchor"):
-        anchor, node, part = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        anchor, node, part, block, cross = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
         bounds = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1, append=anchor[-1] - 1))
         bounds[-1] = len(anchor)
         a, b = [], []
         for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            links = joined(part[low:high], compare(rows.column(3).slice(low, high - low).to_pylist())) if high - low > 1 else []
+            links = joined(part[low:high], block[low:high], bool(cross[low]), compare(rows.column(3).slice(low, high - low).to_pylist())) if high - low > 1 else []
             a += [low + i for i, _ in links]
             b += [low + j for _, j in links]
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
