@@ -39,6 +39,8 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in rows if r.doc_id in (3, 4, 7)} <= {"xx", "yy", "zz"}
     signs = language.identified(spark.createDataFrame([("12 34 !?",), ("— “”",)], "text string"), model).collect()
     assert [r.lang_pred for r in signs] == ["und", "und"]
+    clash = spark.createDataFrame([(1, "babo bilbum", "x", 9.0)], "doc_id long, text string, LANG_pred string, score double")
+    assert [tuple(r)[:3] for r in language.identified(clash, model).collect()] == [(1, "babo bilbum", "xx")]
     assert language.identified(cases.none(spark), model).count() == 0
     assert language.learn(cases.none(spark)) is None
     assert {r.lang_pred for r in language.identified(cases.odd(spark), None).collect()} == {"und"}

@@ -34,6 +34,13 @@ def test_representatives_against_brute_force(spark, monkeypatch, block):
     assert {r.doc_id for r in got} == set(low)
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(2, "one two three", 7, 8, 9, 1.5), (1, "One, two; three", 7, 8, 9, 2.5), (3, "other", 1, 2, 3, 4.5)], "doc_id long, text string, row_hash long, node long, `row` int, `a.b` double")
+    rows = simhash.representatives(docs)
+    assert rows.columns == docs.columns
+    assert sorted(map(tuple, rows.collect())) == [(1, "One, two; three", 7, 8, 9, 2.5), (3, "other", 1, 2, 3, 4.5)]
+
+
 def varied(rnd, base, times, word):
     words = base[:]
     for at in rnd.sample(range(len(base)), times):

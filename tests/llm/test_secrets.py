@@ -86,6 +86,8 @@ def test_odd_rows(spark):
     tagger = secrets.learn(made(spark))
     rows = secrets.scanned(cases.odd(spark), tagger).collect()
     assert len(rows) == 9 and not any(r.spans for r in rows if not (r.text or "").strip())
+    clash = spark.createDataFrame([(1, "token = abcdef99", 5)], "doc_id long, text string, Spans int")
+    assert [(s.kind, s.start, s.end) for r in secrets.scanned(clash, tagger).collect() for s in r.spans] == [("assign", 0, 16)]
     assert secrets.scanned(cases.none(spark), tagger).count() == 0
     assert secrets.learn(cases.none(spark)) is None
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")

@@ -87,6 +87,14 @@ def test_index_finds_intervals():
         assert found.tolist() == want
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    words = [f"w{i * 7919 % 9973}x{i}" for i in range(120_000)]
+    rows = [(2, " ".join(words), 1, 2), (1, " ".join(words[50_000:70_000]), 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid long, n_removed long")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in S.deduplicated(docs).collect()}
+    assert got == {1: (20_000, 0), 2: (120_000, 20_000)}
+
+
 def test_odd_rows(spark):
     docs = cases.odd(spark)
     got = S.deduplicated(docs).collect()

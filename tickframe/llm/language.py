@@ -164,8 +164,12 @@ def identified(docs: DataFrame, model: Model | None, lang: str = "lang_pred", sc
     """docs with the language of each whole text and its score.
 
     Defined cases: `und` and 0 for a null text, a text without a letter, and
-    for all texts if there is no model. Other columns stay as they are.
+    for all texts if there is no model; of languages with equal sums the first
+    by name; repeated rows have the same result; a long line is one chain.
+    Other columns stay as they are, but those named as an output (in any case
+    of letters) give way to it.
     """
+    docs = bare(docs, lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of a number for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -356,10 +356,13 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     `least` is missed with probability 1e-5); the exact sets decide.
     Defined cases: null and empty texts and texts without a word are one
     group; of equal rows of one doc_id one stays; a row with a null doc_id
-    stays only if its group has no other.
+    stays only if its group has no other; texts are read whole; all columns of
+    docs stay as they are, whatever their names.
     """
-    fields = docs.schema
     number = bands(least)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    # Only these names are used below: the caller's columns lie in `row`, so none can clash.
+    hashed = docs.select("doc_id", "text", F.xxhash64(*every).alias("row_hash"), F.struct(*every).alias("row"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.chunks(batches):
@@ -375,7 +378,6 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "body"])
 
-    hashed = docs.withColumn("row_hash", F.xxhash64(*fields.names))
     rows = hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, upper long, lower long, keys array<long>")
     nodes = rows.groupBy("upper", "lower").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low"))
     nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "keys", "low"))
@@ -389,4 +391,4 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     named = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "low")
     kept = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("kept_id"), F.col("low.row_hash").alias("kept_hash"))
     found = hashed.join(kept, (F.col("row_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "row_hash"]).select(*fields.names)
+    return found.dropDuplicates(["doc_id", "row_hash"]).select("row.*")
