@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickframe.functions import scalars as S
+from tickframe.functions.registered import register
 from tickframe.plans.queries import query, rounded, table, ticks
 
 
@@ -127,3 +128,27 @@ def quantile_buckets(spark, sf_dir):
 def raised_sizing(spark, sf_dir):
     units = S.raised_size(F.col("o_totalprice"), 0.001, F.lit(120.0), F.lit(112.5), 0.5, 3000.0, 0.02)
     return table(spark, sf_dir, "orders").select("o_orderkey", units.alias("units"))
+
+
+@query("sql_functions", "SELECT l_orderkey, l_linenumber, floor(round(l_quantity / 2.5::DOUBLE, 9)) * 2.5::DOUBLE AS step, round(round(l_extendedprice / (pow(10.0, floor(log10(l_extendedprice))) / 2)) * (pow(10.0, floor(log10(l_extendedprice))) / 2), 4) AS near, round((l_extendedprice * 1.1::DOUBLE - l_extendedprice) / (l_extendedprice - l_extendedprice * 0.95::DOUBLE), 6) AS r FROM lineitem")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions in a SQL statement: they are inlined, so the plan has no call."""
+    register(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("tf_lines")
+    return spark.sql("SELECT l_orderkey, l_linenumber, to_step(l_quantity, 2.5D) AS step, round(nearest_round(l_extendedprice), 4) AS near, round(in_risks(l_extendedprice, l_extendedprice * 0.95D, l_extendedprice * 1.1D), 6) AS r FROM tf_lines")
+
+
+@query("table_function", "SELECT p_partkey, unnest(range(floor(p_retailprice / 100)::INT, floor((p_retailprice + p_size * 10) / 100)::INT + 1))::INT AS bin FROM part")
+def table_function(spark, sf_dir):
+    """A row for each price bin that an item's range touches, by a registered table function."""
+    register(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("tf_parts")
+    return spark.sql("SELECT p_partkey, b.bin FROM tf_parts, LATERAL price_bins(p_retailprice, p_retailprice + p_size * 10, 100D) b")
+
+
+@query("aggregate_function", "WITH s AS (SELECT l_suppkey, l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey) AS p FROM lineitem) SELECT l_suppkey, round(-sum(p * ln(p)), 6) AS entropy FROM s GROUP BY 1")
+def aggregate_function(spark, sf_dir):
+    """Entropy of each supplier's quantities by a registered aggregate."""
+    register(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("tf_lines")
+    return spark.sql("SELECT l_suppkey, round(share_entropy(l_quantity), 6) AS entropy FROM tf_lines GROUP BY l_suppkey")

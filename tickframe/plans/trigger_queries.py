@@ -9,7 +9,7 @@ from tickframe.operators import frames as W
 from tickframe.operators import profiles as V
 from tickframe.operators import recursive as R
 from tickframe.plans.queries import BARS, OVER, before, frame, hourly, last, query, rounded
-from tickframe.plans.recurrences import N, mean, recursion
+from tickframe.plans.recurrences import N, SWING, mean, recursion
 
 B = 24
 BINS = f"g AS (SELECT symbol, min(low) AS base, (max(high) - min(low)) / {B} AS width FROM bars GROUP BY 1 HAVING max(high) > min(low)), x AS (SELECT b.*, base, width, greatest(0, least({B - 1}, floor((low - base) / width)))::INT AS b0, greatest(0, least({B - 1}, floor((high - base) / width)))::INT AS b1 FROM bars b JOIN g USING (symbol))"
@@ -210,7 +210,10 @@ def estimator_votes(spark, sf_dir):
     return b.select("symbol", "bar", sum(signs[1:], signs[0]).cast("int").alias("votes"))
 
 
-@query("market_legs")
+LEGS = "tu AS (SELECT r.symbol, n.bar, CASE WHEN r.turn > 0 THEN r.tt ELSE r.ff END AS price, r.turn::INT AS kind FROM rec r JOIN n ON n.symbol = r.symbol AND n.i = CASE WHEN r.turn > 0 THEN r.ti ELSE r.fi END WHERE r.turn <> 0), lg AS (SELECT t.*, x.unit, lead(t.bar) OVER w AS until, lead(t.price) OVER w AS goal FROM tu t JOIN rec x ON x.symbol = t.symbol AND x.bar = t.bar WINDOW w AS (PARTITION BY t.symbol ORDER BY t.bar))"
+
+
+@query("market_legs", f"WITH RECURSIVE {BARS}, {recursion(N, SWING)}, {LEGS} SELECT symbol, kind, count(*) AS n, round(avg(date_diff('hour', bar, until)), 6) AS hours, round(avg(goal / price - 1), 6) AS move, round(avg(abs(goal - price) / unit), 6) AS units FROM lg WHERE until IS NOT NULL GROUP BY 1, 2")
 def market_legs(spark, sf_dir):
     """Legs between confirmed turns: how long they last, how far they go in percent and in units, by symbol and direction."""
     from tickframe.plans.recurrences import with_unit
