@@ -43,3 +43,14 @@ def test_trees_and_clusters_learn(spark):
     assert 15 <= kept <= 25
     groups = M.situations(rows.where("id < 400"), rows, ["a", "b", "c"], 4).groupBy("cluster").count().collect()
     assert len(groups) == 4 and sum(r["count"] for r in groups) == 600
+
+
+def test_risk_separates_failures(spark):
+    _, y, rows = made(spark)
+    marked = rows.withColumn("failed", (F.col("y") < 1.0).cast("double"))
+    scored = M.failing(marked.where("id < 400"), marked, ["a", "b", "c"], "failed")
+    late = scored.where("id >= 400")
+    means = {r.failed: r.m for r in late.groupBy("failed").agg(F.avg("risk").alias("m")).collect()}
+    assert means[1.0] > means[0.0] + 0.3
+    kept = M.vetoed(late, scored.where("id < 400"), 0.8)
+    assert 100 < kept.count() < 200 and kept.where("failed = 1").count() < late.where("failed = 1").count()

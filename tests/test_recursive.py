@@ -1,6 +1,9 @@
 import datetime as dt
+import math
 import random
 
+import numpy as np
+
 from tickframe.operators import recursive as R
 from tickframe.plans.queries import hourly
 from tickframe.plans.recurrences import with_unit
@@ -78,6 +81,28 @@ def test_state_passes_between_batches(spark):
             assert abs(got[str(k), i] - mean) < 1e-12
 
 
+def test_acceleration_filter_is_the_weighted_least_squares(spark):
+    """With no noise in the acceleration and the same noise at all bars, the filter's end is the prior-weighted parabola fit."""
+    n = 160
+    rows = [("a", i, math.exp(1e-5 * i * i - 1e-3 * i + (0.01 if i % 2 else -0.01))) for i in range(n)]
+    got = R.kalman_acceleration(spark.createDataFrame(rows, "symbol string, bar long, close double"), process=0.0, span=10).orderBy("bar").collect()
+    y = np.log([c for *_, c in rows])
+    change, mean = np.diff(y) ** 2, None
+    noise = []
+    for v in change:
+        mean = v if mean is None else mean + 2 / 11 * (v - mean)
+        noise.append(max(mean, 1e-10))
+    start = np.array([y[0], 0.0, 0.0])
+    h = np.array([[1.0, i, i * i / 2] for i in range(1, n)])
+    weight = 1 / np.array(noise)
+    cov = np.linalg.inv(np.eye(3) + (h * weight[:, None]).T @ h)
+    x = cov @ (start + (h * weight[:, None]).T @ y[1:])
+    end = np.array([[1, n - 1, (n - 1) ** 2 / 2], [0, 1, n - 1], [0, 0, 1]])
+    x, cov = end @ x, end @ cov @ end.T
+    assert got[5].slope_z is None
+    assert np.isclose(got[-1].slope_z, x[1] / cov[1, 1] ** 0.5, rtol=1e-6) and np.isclose(got[-1].accel_z, x[2] / cov[2, 2] ** 0.5, rtol=1e-6)
+
+
 def test_one_trade_at_a_time(spark):
     rows = spark.createDataFrame([("a", 1, 5, 0.1), ("a", 2, 3, 0.2), ("a", 5, 6, 0.3), ("b", 2, 9, 0.4)], "symbol string, entry int, exit int, r double")
     assert sorted(r.r for r in R.without_overlap(rows).collect()) == [0.1, 0.3, 0.4]

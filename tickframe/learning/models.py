@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,3 +35,16 @@ def tail(scored: DataFrame, train: DataFrame, share: float = 0.9) -> DataFrame:
     """Rows whose score reaches the quantile that train's scores have."""
     cut = train.agg(F.percentile("score", F.lit(share)).alias("cut"))  # one row
     return scored.join(F.broadcast(cut), F.lit(True)).where("score >= cut")
+
+
+def failing(train: DataFrame, rows: DataFrame, features: list[str], failed: str) -> DataFrame:
+    """rows with the probability `risk` that the 0/1 column `failed` is 1, by a logistic regression on train."""
+    model = LogisticRegression(featuresCol="features", labelCol=failed, regParam=0.01, maxIter=50).fit(assembled(train, features).select("features", failed))
+    scored = model.transform(assembled(rows, features))
+    return scored.withColumn("risk", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def vetoed(scored: DataFrame, train: DataFrame, share: float = 0.8) -> DataFrame:
+    """Rows whose risk is under the quantile that train's risks have."""
+    cut = train.agg(F.percentile("risk", F.lit(share)).alias("_cut"))  # one row
+    return scored.join(F.broadcast(cut), F.lit(True)).where("risk < _cut").drop("_cut")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators.frames import atr, before, full, last, order
+from tickframe.operators.joins import as_of
 
 
 def sweeps(bars: DataFrame, far: int = 20, near: int = 6) -> DataFrame:
@@ -111,3 +112,48 @@ def daily_beta(bars: DataFrame, days: int = 10) -> DataFrame:
     over = sums.select("a", "b", F.col("day").cast("string").alias("day"), F.count("*").over(frame).alias("days"), *(F.sum(c).over(frame).alias(c) for c in ("n", "sx", "sy", "sxy", "syy")))
     spread = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     return over.where((F.col("days") == days) & (spread > 1e-12)).withColumn("beta", (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / spread)
+
+
+def trend_lines(bars: DataFrame, turns: DataFrame) -> DataFrame:
+    """bars with the lines through the last two confirmed tops and floors, as they are known at each bar, and the bars that close through one (cross 1 over the top line, -1 under the floor line)."""
+    hours = F.unix_seconds(F.col("bar").cast("timestamp")) / 3600
+    out = bars
+    for kind, name in ((1, "top"), (-1, "floor")):
+        own = Window.partitionBy("symbol").orderBy("bar")
+        ends = turns.where(F.col("kind") == kind).withColumn("h", hours)
+        ends = ends.withColumns({"old_p": F.lag("price").over(own), "old_h": F.lag("h").over(own)}).where("old_p is not null")
+        known = ends.select("symbol", F.col("confirmed").alias("bar"), F.struct("price", "h", ((F.col("price") - F.col("old_p")) / (F.col("h") - F.col("old_h"))).alias("slope")).alias(name))
+        out = as_of(out, known, "bar", "symbol", [name])
+        out = out.withColumn(f"{name}_line", F.col(f"{name}.price") + F.col(f"{name}.slope") * (hours - F.col(f"{name}.h"))).drop(name)
+    old = {c: F.lag(c).over(order()) for c in ("close", "top_line", "floor_line")}
+    up = (F.col("close") > F.col("top_line")) & (old["close"] <= old["top_line"])
+    down = (F.col("close") < F.col("floor_line")) & (old["close"] >= old["floor_line"])
+    return out.withColumn("cross", F.when(up, 1).when(down, -1))
+
+
+def double_bottoms(bars: DataFrame, tolerance: float = 0.1, least: int = 5, k: int = 3) -> DataFrame:
+    """Floors (lowest of k bars on both sides) within the tolerance of the floor before, `least` bars after it at least."""
+    numbered = bars.withColumn("i", F.row_number().over(order()))
+    left, right = order().rowsBetween(-k, -1), order().rowsBetween(1, k)
+    whole = (F.count(F.lit(1)).over(left) == k) & (F.count(F.lit(1)).over(right) == k)
+    floors = numbered.withColumn("ok", whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") < F.min("low").over(right))).where("ok")
+    floors = floors.withColumns({"first_low": F.lag("low").over(order()), "apart": F.col("i") - F.lag("i").over(order())})
+    return floors.where((F.col("apart") >= least) & (F.abs(F.col("low") / F.col("first_low") - 1) <= tolerance))
+
+
+def setup_flags(bars: DataFrame) -> DataFrame:
+    """Flags of a bar: a wick of over 60 % of its range, a gap left by three bars, a close back over the mean it fell under, and a block (the last opposite bar before a wide one)."""
+    o = order()
+    span = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
+    lower, upper = F.least("open", "close") - F.col("low"), F.col("high") - F.greatest("open", "close")
+    wide = (F.col("high") - F.col("low")) > 1.5 * F.avg(F.col("high") - F.col("low")).over(before(20))
+    mean = F.avg("close").over(last(20))
+    marked = bars.withColumn("mean20", mean)
+    return marked.withColumns(
+        {
+            "wick": F.when(lower / span > 0.6, 1).when(upper / span > 0.6, -1).otherwise(0),
+            "gap": F.when(F.col("low") > F.lag("high", 2).over(o), 1).when(F.col("high") < F.lag("low", 2).over(o), -1).otherwise(0),
+            "reclaim": F.when((F.lag("close").over(o) < F.lag("mean20").over(o)) & (F.col("close") > F.col("mean20")), 1).when((F.lag("close").over(o) > F.lag("mean20").over(o)) & (F.col("close") < F.col("mean20")), -1).otherwise(0),
+            "block": F.when(wide & (F.col("close") > F.col("open")) & (F.lag("close").over(o) < F.lag("open").over(o)), 1).when(wide & (F.col("close") < F.col("open")) & (F.lag("close").over(o) > F.lag("open").over(o)), -1).otherwise(0),
+        }
+    )

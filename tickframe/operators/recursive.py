@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,6 +302,39 @@ def kalman_trend(bars: DataFrame, process: float = 1e-4, span: int = 100) -> Dat
     return scanned(bars, start, ["close"], "z double, level double")
 
 
+def kalman_acceleration(bars: DataFrame, process: float = 1e-6, span: int = 100) -> DataFrame:
+    """Level, slope and acceleration of log close: slope and acceleration over their standard errors (null for the first `span` bars).
+
+    As kalman_trend, with noise in the acceleration alone; three numbers and their covariance are the state.
+    """
+    move = np.array([[1.0, 1.0, 0.5], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
+
+    def start() -> Step:
+        count, y, x, p = -1, 0.0, np.zeros(3), np.eye(3)
+        change = _mean(2 / (span + 1))
+
+        def step(close):
+            nonlocal count, y, x, p
+            count += 1
+            old, y = y, math.log(close)
+            if count == 0:
+                x[0] = y
+                return None, None
+            noise = max(change((y - old) ** 2), 1e-10)
+            x, p = move @ x, move @ p @ move.T
+            p[2, 2] += process * noise
+            gain = p[:, 0] / (p[0, 0] + noise)
+            x = x + gain * (y - x[0])
+            p = p - np.outer(gain, p[0])
+            if count <= span:
+                return None, None
+            return float(x[1] / math.sqrt(max(p[1, 1], 1e-18))), float(x[2] / math.sqrt(max(p[2, 2], 1e-18)))
+
+        return step
+
+    return scanned(bars, start, ["close"], "slope_z double, accel_z double")
+
+
 def zigzag(bars: DataFrame, times: float = 3.0, unit: str = "unit") -> DataFrame:
     """Turning points of highs and lows that a close confirms: it must lie `times` the column `unit` off the extreme.
 

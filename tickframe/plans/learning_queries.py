@@ -98,3 +98,11 @@ def loss_similarity(spark, sf_dir):
     last = rows.groupBy("l_partkey").agg(F.max_by(F.struct("setup", "side", "regime"), F.struct("l_orderkey", "l_linenumber")).alias("k"))
     points = sum((F.when(F.col(c) == F.col(f"k.{c}"), w).otherwise(0) for c, w in (("setup", 3), ("side", 2), ("regime", 1))), F.lit(0))
     return rows.join(last, "l_partkey").select("l_orderkey", "l_linenumber", points.cast("int").alias("likeness"))
+
+
+@query("failure_veto")
+def failure_veto(spark, sf_dir):
+    """Later bars that a model of falls, learned from earlier ones, does not veto."""
+    rows = features(spark, sf_dir).where("push is not null").withColumn("fell", (F.col("y") < -0.5).cast("double"))
+    scored = M.failing(rows.where(early()), rows, ["mom", "flow", "push"], "fell")
+    return M.vetoed(scored.where(~early()), scored.where(early())).select("symbol", "bar", "risk", "y")

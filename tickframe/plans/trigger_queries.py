@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickframe.operators import events as events_of
 from tickframe.operators import frames as W
 from tickframe.operators import profiles as V
 from tickframe.operators import recursive as R
@@ -252,3 +253,34 @@ def formula_library(spark, sf_dir):
     out = rows.select("symbol", "bar", *(F.expr(e).alias(k) for k, e in FORMULAS.items())).withColumn("ensemble", F.expr("(f1 + f2 + f3 + f4 + f5) / 5"))
     return rounded(out, "symbol", "bar", *FORMULAS, "ensemble")
 
+
+
+@query("kalman_acceleration")
+def kalman_acceleration(spark, sf_dir):
+    return R.kalman_acceleration(hourly(spark, sf_dir)).select("symbol", "bar", "slope_z", "accel_z")
+
+
+def lined(kind: int, name: str) -> str:
+    return f"""{name}0 AS (SELECT symbol, bar, price, confirmed, epoch(bar) / 3600 AS h, lag(price) OVER w AS op, lag(epoch(bar) / 3600) OVER w AS oh FROM turns WHERE kind = {kind} WINDOW w AS (PARTITION BY symbol ORDER BY bar)), {name}1 AS (SELECT symbol, confirmed, price, h, (price - op) / (h - oh) AS slope FROM {name}0 WHERE op IS NOT NULL)"""
+
+
+TURNS = "turns AS (SELECT r.symbol, n.bar, CASE WHEN r.turn > 0 THEN r.tt ELSE r.ff END AS price, r.turn::INT AS kind, r.bar AS confirmed FROM rec r JOIN n ON n.symbol = r.symbol AND n.i = CASE WHEN r.turn > 0 THEN r.ti ELSE r.fi END WHERE r.turn <> 0)"
+LINES = f"{TURNS}, {lined(1, 't')}, {lined(-1, 'f')}, a AS (SELECT b.symbol, b.bar, b.close, t1.price + t1.slope * (epoch(b.bar) / 3600 - t1.h) AS top_line FROM bars b ASOF LEFT JOIN t1 ON b.symbol = t1.symbol AND b.bar >= t1.confirmed), c AS (SELECT a.*, f1.price + f1.slope * (epoch(a.bar) / 3600 - f1.h) AS floor_line FROM a ASOF LEFT JOIN f1 ON a.symbol = f1.symbol AND a.bar >= f1.confirmed), d AS (SELECT *, lag(close) OVER w AS oc, lag(top_line) OVER w AS ot, lag(floor_line) OVER w AS ofl FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bar))"
+
+
+@query("trend_lines", f"WITH RECURSIVE {BARS}, {recursion(N, SWING)}, {LINES} SELECT symbol, bar, round(top_line, 7) AS top_line, round(floor_line, 7) AS floor_line, CASE WHEN close > top_line AND oc <= ot THEN 1 WHEN close < floor_line AND oc >= ofl THEN -1 END AS \"cross\" FROM d")
+def trend_lines(spark, sf_dir):
+    from tickframe.plans.recurrences import with_unit
+
+    turns = R.swings(with_unit(spark, sf_dir))
+    return rounded(events_of.trend_lines(hourly(spark, sf_dir).select("symbol", "bar", "close"), turns), "symbol", "bar", "top_line", "floor_line", "cross", to=7)
+
+
+frame("double_bottoms", lambda b: events_of.double_bottoms(b), ["low", "first_low", "apart"], f", i AS (SELECT *, row_number() OVER {OVER} AS i, count(*) OVER l = 3 AND count(*) OVER r = 3 AND low < min(low) OVER l AND low < min(low) OVER r AS ok FROM bars WINDOW l AS {before(3)}, r AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), f AS (SELECT symbol, bar, low, lag(low) OVER {OVER} AS first_low, (i - lag(i) OVER {OVER})::INT AS apart FROM i WHERE ok) SELECT symbol, bar, round(low, 6) AS low, round(first_low, 6) AS first_low, apart FROM f WHERE apart >= 5 AND abs(low / first_low - 1) <= 0.1::DOUBLE")
+WIDE = f"(high - low > 1.5::DOUBLE * avg(high - low) OVER {before(20)})"
+frame(
+    "setup_flags",
+    lambda b: events_of.setup_flags(b),
+    ["wick", "gap", "reclaim", "block"],
+    f", m AS (SELECT *, avg(close) OVER {last(20)} AS m, lag(close) OVER {OVER} AS lc, lag(open) OVER {OVER} AS lo, {WIDE} AS wide, lag(high, 2) OVER {OVER} AS h2, lag(low, 2) OVER {OVER} AS l2 FROM bars), k AS (SELECT *, lag(m) OVER {OVER} AS lm FROM m) SELECT symbol, bar, CASE WHEN (least(open, close) - low) / nullif(high - low, 0) > 0.6 THEN 1 WHEN (high - greatest(open, close)) / nullif(high - low, 0) > 0.6 THEN -1 ELSE 0 END AS wick, CASE WHEN low > h2 THEN 1 WHEN high < l2 THEN -1 ELSE 0 END AS gap, CASE WHEN lc < lm AND close > m THEN 1 WHEN lc > lm AND close < m THEN -1 ELSE 0 END AS reclaim, CASE WHEN wide AND close > open AND lc < lo THEN 1 WHEN wide AND close < open AND lc > lo THEN -1 ELSE 0 END AS block FROM k",
+)
