@@ -71,17 +71,29 @@ def paired_area(profile: DataFrame, bins: int, share: float, *by: str) -> DataFr
     return area.select(*by, (F.col("base") + (F.col("a.hi") + 1) * F.col("width")).alias("vah"), (F.col("base") + F.col("a.lo") * F.col("width")).alias("val"))
 
 
-def density(rows: DataFrame, window: str, price: str, bins: int) -> DataFrame:
-    """rows with, of an array column of (p, v) binned evenly over its range: slope and curvature of volume at the
-    price's bin, and away, the distance in bins to the fullest one. Bounds and bins are columns, so each is computed once."""
+def _binned(rows: DataFrame, window: str, bins: int) -> DataFrame:
+    """rows with the bounds of an array column of (p, v) and its volume by bin; each is a column, so computed once."""
     bounds = rows.withColumns({"_lo": F.array_min(F.transform(window, lambda x: x["p"])), "_hi": F.array_max(F.transform(window, lambda x: x["p"]))})
+    binned = bounds.withColumn("_x", F.transform(window, lambda x: F.struct(_bin(x["p"], bins).alias("b"), x["v"].alias("v"))))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.aggregate("_x", F.lit(0.0), lambda s, x: s + F.when(x["b"] == b, x["v"]).otherwise(0.0)))
+    return binned.withColumn("_v", sums)
 
-    def bin_of(p: Column) -> Column:
-        return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((p - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins))).cast("int")
 
-    binned = bounds.withColumns({"_b": bin_of(F.col(price)), "_x": F.transform(window, lambda x: F.struct(bin_of(x["p"]).alias("b"), x["v"].alias("v")))})
-    sums = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.aggregate("_x", F.lit(0.0), lambda s, x: s + F.when(x["b"] == b, x["v"]).otherwise(0.0)))
-    out = binned.withColumn("_v", sums)
+def _bin(p: Column, bins: int) -> Column:
+    return F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((p - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins))).cast("int")
+
+
+def trailing_control(rows: DataFrame, window: str, bins: int) -> DataFrame:
+    """rows with the fullest bin's middle of an array column of (p, v), and its share of the volume."""
+    out = _binned(rows, window, bins).withColumn("_sum", F.aggregate("_v", F.lit(0.0), lambda s, x: s + x))
+    at = F.array_position("_v", F.array_max("_v")) - 0.5
+    return out.withColumns({"poc": F.col("_lo") + at * (F.col("_hi") - F.col("_lo")) / bins, "share": F.array_max("_v") / F.nullif(F.col("_sum"), F.lit(0.0))}).drop("_lo", "_hi", "_x", "_v", "_sum")
+
+
+def density(rows: DataFrame, window: str, price: str, bins: int) -> DataFrame:
+    """rows with, of an array column of (p, v) binned evenly over its range: slope and curvature of volume at the
+    price's bin, and away, the distance in bins to the fullest one."""
+    out = _binned(rows, window, bins).withColumn("_b", _bin(F.col(price), bins))
     up, own = F.coalesce(F.get("_v", F.col("_b") + 1), F.lit(0.0)), F.get("_v", F.col("_b"))
     down = F.when(F.col("_b") > 0, F.get("_v", F.col("_b") - 1)).otherwise(0.0)
     away = (F.col("_b") - (F.array_position("_v", F.array_max("_v")) - 1)).cast("int")

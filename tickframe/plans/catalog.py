@@ -12,6 +12,7 @@ import tickframe.plans.relation_queries
 import tickframe.plans.reports
 import tickframe.plans.scalar_queries
 import tickframe.plans.statistic_queries
+import tickframe.plans.stream_queries
 import tickframe.plans.study_queries
 import tickframe.plans.trigger_queries  # noqa: F401
 from tickframe.plans.queries import ORACLE_SQL, QUERIES

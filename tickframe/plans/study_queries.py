@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import joins as J
+from tickframe.operators import profiles as V
 from tickframe.operators import recursive as R
 from tickframe.plans.outcome_queries import ATR, NUMBERED, paths
 from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, RACE, before, frame, hourly, last, query, race, rounded, table
@@ -383,3 +384,22 @@ def settled_suggestions(spark, sf_dir):
     now = hourly(spark, sf_dir).agg(F.max("bar").alias("now"))  # one row
     rows = race(spark, sf_dir).where("result <> 'OPEN'").join(F.broadcast(now), F.lit(True))
     return rows.where(F.col("bar") <= F.col("now") - F.expr("interval 2 hours")).select("symbol", "bar", "result")
+
+
+@query("leave_one_out", f"WITH {BARS}, s AS (SELECT symbol, count(*)::DOUBLE AS n, sum(ln(1 + volume)) AS s, sum(pow(ln(1 + volume), 2)) AS q FROM bars GROUP BY 1), t AS (SELECT sum(n) AS n, sum(s) AS s, sum(q) AS q FROM s), o AS (SELECT symbol, (t.s - s.s) / (t.n - s.n) AS m, sqrt(greatest(0, (t.q - s.q) / (t.n - s.n) - pow((t.s - s.s) / (t.n - s.n), 2))) AS sd FROM s, t) SELECT symbol, bar, round((ln(1 + volume) - m) / sd, 6) AS z FROM bars JOIN o USING (symbol) WHERE sd > 0")
+def leave_one_out(spark, sf_dir):
+    """A feature scaled by the mean and deviation of all other symbols: the whole sums less the symbol's own."""
+    rows = hourly(spark, sf_dir).withColumn("x", F.log1p("volume"))
+    own = rows.groupBy("symbol").agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    whole = own.agg(*(F.sum(c).alias(f"t{c}") for c in "nsq"))  # one row
+    rest = own.join(F.broadcast(whole), F.lit(True)).select("symbol", ((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("m"), ((F.col("tq") - F.col("q")) / (F.col("tn") - F.col("n"))).alias("e"))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("e") - F.col("m") * F.col("m")))
+    return rows.join(rest.withColumn("sd", sd).where("sd > 0"), "symbol").select("symbol", "bar", F.round((F.col("x") - F.col("m")) / F.col("sd"), 6).alias("z"))
+
+
+@query("trailing_control", f"WITH {BARS}, w AS (SELECT symbol, bar, close, list({{'p': (high + low + close) / 3, 'v': volume}}) OVER {last(60)} AS w FROM bars), r AS (SELECT *, list_min([x.p FOR x IN w]) AS lo, list_max([x.p FOR x IN w]) AS hi FROM w WHERE len(w) = 60), b AS (SELECT *, [coalesce(list_sum([x.v FOR x IN w IF least(9, greatest(0, floor((x.p - lo) / nullif(hi - lo, 0) * 10)))::INT = k]), 0) FOR k IN range(10)] AS v FROM r) SELECT symbol, bar, round(lo + (list_position(v, list_max(v)) - 0.5) * (hi - lo) / 10, 5) AS poc, round(list_max(v) / nullif(list_sum(v), 0), 6) AS share FROM b")
+def trailing_control(spark, sf_dir):
+    """Point of control of the last 60 bars by typical price, and the share of volume in its bin."""
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    rows = hourly(spark, sf_dir).withColumn("tp", typical).withColumn("_w", F.collect_list(F.struct(F.col("tp").alias("p"), F.col("volume").alias("v"))).over(W.last(60))).where(F.size("_w") == 60)
+    return rounded(V.trailing_control(rows, "_w", 10), "symbol", "bar", "poc", "share").select("symbol", "bar", F.round("poc", 5).alias("poc"), "share")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,11 @@ def bars(ticks: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(ticks(spark, sf_dir))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own files: under spark.checkpoint.dir, which executors share, or a temporary one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or tempfile.mkdtemp(prefix='spark-scratch-')}/{name}-{uuid.uuid4().hex}"
