@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tickframe.operators import recursive as R
 from tickframe.plans.queries import hourly
@@ -103,6 +104,15 @@ def test_acceleration_filter_is_the_weighted_least_squares(spark):
     assert np.isclose(got[-1].slope_z, x[1] / cov[1, 1] ** 0.5, rtol=1e-6) and np.isclose(got[-1].accel_z, x[2] / cov[2, 2] ** 0.5, rtol=1e-6)
 
 
+def test_slices_give_the_same_mean(spark):
+    bars = hourly(spark, DIR).select("symbol", "bar", "close")
+    gaps = bars.withColumn("close", F.when(F.hour("bar") > 3, F.col("close")))
+    for rows in (bars, gaps):
+        for unit in ("day", "week"):
+            a, b = keyed(R.ema(rows, 9), "ema9"), keyed(R.sliced_ema(rows, 9, unit=unit), "ema9")
+            assert a.keys() == b.keys() and all((v is None and b[k] is None) or abs(v - b[k]) < 1e-9 for k, v in a.items())
+
+
 def test_one_trade_at_a_time(spark):
     rows = spark.createDataFrame([("a", 1, 5, 0.1), ("a", 2, 3, 0.2), ("a", 5, 6, 0.3), ("b", 2, 9, 0.4)], "symbol string, entry int, exit int, r double")
     assert sorted(r.r for r in R.without_overlap(rows).collect()) == [0.1, 0.3, 0.4]

@@ -68,6 +68,45 @@ def ema(bars: DataFrame, n: int, column: str = "close") -> DataFrame:
     return scanned(bars, start, [column], f"ema{n} double")
 
 
+def sliced_ema(bars: DataFrame, n: int, column: str = "close", unit: str = "day") -> DataFrame:
+    """The same mean for keys too long for one task: slices of time pass on their own, and one row a slice is carried on.
+
+    Within a slice the mean runs from 0; what came before it adds its own mean
+    times the weight's complement to the power of the values since. Only the
+    slices' ends, a row each, pass one after the other.
+    """
+    keep = 1 - 2 / (n + 1)
+
+    def local() -> Step:
+        held, count = 0.0, 0
+
+        def step(x):
+            nonlocal held, count
+            if x is not None:
+                held, count = keep * held + (1 - keep) * x, count + 1
+            return held, count
+
+        return step
+
+    def carry() -> Step:
+        held = None
+
+        def step(first, end, count):
+            nonlocal held
+            before, known = (first if held is None else held), held is not None
+            held = end + keep**count * before if count else held
+            return before, known
+
+        return step
+
+    slices = bars.withColumn("slice_", F.date_trunc(unit, "bar")).withColumn("key_", F.concat_ws("|", "symbol", F.col("slice_").cast("string")))
+    inner = scanned(slices, local, [column], "local_ double, i_ long", by="key_")
+    ends = inner.groupBy("symbol", "slice_").agg(F.min_by(column, F.struct(F.col(column).isNull(), "bar")).alias("first_"), F.max_by("local_", "i_").alias("end_"), F.max("i_").alias("count_"))
+    carried = scanned(ends, carry, ["first_", "end_", "count_"], "carry_ double, known_ boolean", on=("slice_",)).select("symbol", "slice_", "carry_", "known_")
+    out = inner.join(carried, ["symbol", "slice_"]).withColumn(f"ema{n}", F.when((F.col("i_") > 0) | F.col("known_"), F.col("local_") + F.pow(F.lit(keep), "i_") * F.col("carry_")))
+    return out.select(*bars.columns, f"ema{n}")
+
+
 def seeded_ema(bars: DataFrame, n: int, column: str = "close") -> DataFrame:
     """Exponential mean from the simple mean of the first n values on, which is also what the first n rows get; null for shorter symbols."""
     number = F.row_number().over(order())

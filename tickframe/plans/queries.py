@@ -116,7 +116,7 @@ frame("run_length", W.run_lengths, ["dir", "run"], f", d AS (SELECT *, sign(clos
 frame("forward_returns", W.forward_returns, ["fwd"], f"SELECT symbol, bar, round(lead(close, 4) OVER {OVER} / lead(open) OVER {OVER} - 1, 6) AS fwd FROM bars")
 frame("excursions", W.excursions, ["mfe", "mae"], "SELECT symbol, bar, CASE WHEN count(*) OVER w = 12 THEN round(max(high) OVER w / close - 1, 6) END AS mfe, CASE WHEN count(*) OVER w = 12 THEN round(min(low) OVER w / close - 1, 6) END AS mae FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)")
 frame("cross_section_z", W.cross_section_z, ["m", "xz"], f", r AS (SELECT *, ln(close / lag(close) OVER {OVER}) AS ret FROM bars), q AS (SELECT symbol, bar, ret, count(*) OVER w AS c, sum(ret) OVER w AS s, sum(ret * ret) OVER w AS q FROM r WHERE ret IS NOT NULL WINDOW w AS (PARTITION BY bar)), z AS (SELECT *, CASE WHEN c > 1 THEN (s - ret) / (c - 1) END AS m, CASE WHEN c > 1 THEN (q - ret * ret) / (c - 1) END AS e FROM q) SELECT symbol, bar, round(m, 4) AS m, CASE WHEN sqrt(greatest(0, e - m * m)) > 1e-9 THEN round((ret - m) / sqrt(greatest(0, e - m * m)), 4) END AS xz FROM z", to=4)
-frame("ema_20", lambda b: R.ema(b, 20), ["ema20"], ", l AS (SELECT symbol, bar, list(close) OVER (PARTITION BY symbol ORDER BY bar) AS c FROM bars) SELECT symbol, bar, round(list_reduce(c, lambda a, x: a + (x - a) * (2.0::DOUBLE / 21)), 6) AS ema20 FROM l")
+frame("ema_20", lambda b: R.sliced_ema(b, 20), ["ema20"], ", l AS (SELECT symbol, bar, list(close) OVER (PARTITION BY symbol ORDER BY bar) AS c FROM bars) SELECT symbol, bar, round(list_reduce(c, lambda a, x: a + (x - a) * (2.0::DOUBLE / 21)), 6) AS ema20 FROM l")
 
 
 # Joins and races
