@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.operators.frames import atr, before, full, last, order
+from tickframe.operators.frames import before, full, last, order
 from tickframe.operators.joins import as_of
+from tickframe.operators.recursive import atr_kinds
 
 
 def sweeps(bars: DataFrame, far: int = 20, near: int = 6) -> DataFrame:
@@ -34,14 +35,47 @@ def gaps(bars: DataFrame) -> DataFrame:
     return out.withColumn("filled", F.coalesce(filled, F.lit(False)))
 
 
-def absorption(bars: DataFrame, n: int = 50, volume: float = 1.8, share: float = 0.25, move: float = 0.35) -> DataFrame:
-    """Heavy one-sided volume that does not move price its own way by more than `move` mean ranges: the other side follows."""
-    ranged = atr(bars)
+# Fixed values of the absorption rule: volume against its median, share of one side, progress in ranges, nearness of a
+# node in ranges, bars and bins of the profile, and what a node holds against the mean bin.
+VOLUME, SHARE, PROGRESS, NEAR, PROFILE_BARS, PROFILE_BINS, NODE = 1.8, 0.25, 0.35, 0.5, 300, 60, 1.5
+
+
+def absorption(bars: DataFrame, n: int = 50) -> DataFrame:
+    """Heavy one-sided volume that does not move price its own way: the other side follows. `node` says whether the close
+    lies near one of the six largest volume nodes of the bars before.
+
+    The profile is made for the bars that pass the rule alone, of a bounded array.
+    """
+    ranged = atr_kinds(bars).withColumn("i", F.row_number().over(order()))
     middle = F.percentile("volume", F.lit(0.5)).over(before(n))
-    marked = ranged.withColumns({"usual": full(middle, n, before(n)), "delta": 2 * F.col("buy") - F.col("volume"), "progress": F.when(F.col("atr") > 0, (F.col("close") - F.col("open")) / F.col("atr"))})
-    heavy = (F.col("volume") > 0) & (F.col("usual") > 0) & (F.col("volume") >= volume * F.col("usual")) & (F.abs("delta") >= share * F.col("volume"))
-    still = F.signum("delta") * F.col("progress") <= move
-    return marked.where(heavy & still).withColumn("side", F.when(F.col("delta") > 0, -1).otherwise(1))
+    marked = ranged.withColumns(
+        {
+            "usual": full(middle, n, before(n)),
+            "delta": 2 * F.col("buy") - F.col("volume"),
+            "progress": F.when((F.col("i") >= 14) & (F.col("rma") > 0), (F.col("close") - F.col("open")) / F.col("rma")),
+            "_w": F.collect_list(F.struct("low", "high", "volume")).over(before(PROFILE_BARS)),
+        }
+    )
+    heavy = (F.col("volume") > 0) & (F.col("usual") > 0) & (F.col("volume") >= VOLUME * F.col("usual")) & (F.abs("delta") >= SHARE * F.col("volume"))
+    found = marked.where(heavy & (F.signum("delta") * F.col("progress") <= PROGRESS)).withColumn("side", F.when(F.col("delta") > 0, -1).otherwise(1))
+    return near_node(found, "_w").drop("_w", "i")
+
+
+def near_node(rows: DataFrame, window: str) -> DataFrame:
+    """rows with `node`: whether close lies within NEAR mean ranges (rma) of one of the six largest nodes of an array of (low, high, volume)."""
+    bounds = rows.withColumns({"_lo": F.array_min(F.transform(window, lambda x: x["low"])), "_hi": F.array_max(F.transform(window, lambda x: x["high"]))})
+    step = (F.col("_hi") - F.col("_lo")) / PROFILE_BINS
+
+    def at(price: Column) -> Column:
+        return F.least(F.lit(PROFILE_BINS - 1), F.floor((price - F.col("_lo")) / F.nullif(F.col("_step"), F.lit(0.0)))).cast("int")
+
+    spread = bounds.withColumn("_step", step).withColumn("_x", F.transform(window, lambda x: F.struct(at(x["low"]).alias("a"), at(x["high"]).alias("b"), (x["volume"] / (at(x["high"]) - at(x["low"]) + 1)).alias("v"))))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(PROFILE_BINS - 1)), lambda i: F.aggregate("_x", F.lit(0.0), lambda s, x: s + F.when((x["a"] <= i) & (x["b"] >= i), x["v"]).otherwise(0.0)))
+    profile = spread.withColumn("_v", sums).withColumn("_mean", F.aggregate("_v", F.lit(0.0), lambda s, x: s + x) / PROFILE_BINS)
+    peak = F.filter(F.sequence(F.lit(0), F.lit(PROFILE_BINS - 1)), lambda i: (F.get("_v", i) >= NODE * F.col("_mean")) & (F.get("_v", i) >= F.coalesce(F.when(i > 0, F.get("_v", i - 1)), F.lit(0.0))) & (F.get("_v", i) >= F.coalesce(F.get("_v", i + 1), F.lit(0.0))))
+    largest = F.slice(F.array_sort(F.transform(peak, lambda i: F.struct(F.negate(F.get("_v", i)).alias("v"), i.alias("i")))), 1, 6)
+    node = F.exists(largest, lambda x: F.abs(F.col("close") - (F.col("_lo") + (x["i"] + 0.5) * F.col("_step"))) <= NEAR * F.col("rma"))
+    return profile.withColumn("node", F.coalesce((F.col("_step") > 0) & node, F.lit(False))).drop("_lo", "_hi", "_step", "_x", "_v", "_mean")
 
 
 def order_patterns(bars: DataFrame, n: int = 48) -> DataFrame:

@@ -12,7 +12,6 @@ frame(
     ["side", "bottom", "top", "filled"],
     f", g AS (SELECT *, lag(high, 2) OVER {OVER} AS oh, lag(low, 2) OVER {OVER} AS ol, min(low) OVER l AS al, max(high) OVER l AS ah FROM bars WINDOW l AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT symbol, bar, CASE WHEN low > oh THEN 1 ELSE -1 END AS side, round(CASE WHEN low > oh THEN oh ELSE high END, 6) AS bottom, round(CASE WHEN low > oh THEN low ELSE ol END, 6) AS top, coalesce(CASE WHEN low > oh THEN al <= oh ELSE ah >= ol END, FALSE) AS filled FROM g WHERE low > oh OR high < ol",
 )
-frame("absorption", E.absorption, ["usual", "delta", "progress", "side"], f", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {OVER}), abs(low - lag(close) OVER {OVER})) AS tr FROM bars), m AS (SELECT *, CASE WHEN count(*) OVER w >= 50 THEN quantile_cont(volume, 0.5) OVER w END AS usual, 2 * buy - volume AS delta, CASE WHEN count(*) OVER a >= 14 AND avg(tr) OVER a > 0 THEN (close - open) / avg(tr) OVER a END AS progress FROM t WINDOW w AS {before(50)}, a AS {last(14)}) SELECT symbol, bar, round(usual, 6) AS usual, delta, round(progress, 6) AS progress, CASE WHEN delta > 0 THEN -1 ELSE 1 END AS side FROM m WHERE volume > 0 AND usual > 0 AND volume >= 1.8::DOUBLE * usual AND abs(delta) >= 0.25::DOUBLE * volume AND sign(delta) * progress <= 0.35::DOUBLE")
 PARTS = " + ".join(f"CASE WHEN sum((code = {k})::INT) OVER w > 0 THEN -(sum((code = {k})::INT) OVER w / count(code) OVER w) * ln(sum((code = {k})::INT) OVER w / count(code) OVER w) ELSE 0 END" for k in (0, 2, 3, 4, 5, 7))
 frame("permutation_entropy", E.order_patterns, ["entropy"], f", c AS (SELECT symbol, bar, (lag(close, 2) OVER {OVER} < lag(close) OVER {OVER})::INT * 4 + (lag(close) OVER {OVER} < close)::INT * 2 + (lag(close, 2) OVER {OVER} < close)::INT AS code FROM bars) SELECT symbol, bar, CASE WHEN count(code) OVER w >= 48 THEN round(({PARTS}) / ln(6), 6) END AS entropy FROM c WINDOW w AS {last(48)}")
 frame("market_beta", lambda b: E.market_beta(b, "view"), ["beta", "rho"], f", r AS (SELECT symbol, bar, ln(close / lag(close) OVER {OVER}) AS ret FROM bars), j AS (SELECT r.symbol, r.bar, r.ret, m.ret AS mkt FROM r JOIN r m ON m.symbol = 'view' AND m.bar = r.bar WHERE r.symbol <> 'view' AND r.ret IS NOT NULL AND m.ret IS NOT NULL) SELECT symbol, bar, CASE WHEN count(*) OVER w >= 48 THEN round(regr_slope(ret, mkt) OVER w, 6) END AS beta, CASE WHEN count(*) OVER w >= 48 THEN round(corr(ret, mkt) OVER w, 6) END AS rho FROM j WINDOW w AS {last(48)}")

@@ -284,3 +284,16 @@ frame(
     ["wick", "gap", "reclaim", "block"],
     f", m AS (SELECT *, avg(close) OVER {last(20)} AS m, lag(close) OVER {OVER} AS lc, lag(open) OVER {OVER} AS lo, {WIDE} AS wide, lag(high, 2) OVER {OVER} AS h2, lag(low, 2) OVER {OVER} AS l2 FROM bars), k AS (SELECT *, lag(m) OVER {OVER} AS lm FROM m) SELECT symbol, bar, CASE WHEN (least(open, close) - low) / nullif(high - low, 0) > 0.6 THEN 1 WHEN (high - greatest(open, close)) / nullif(high - low, 0) > 0.6 THEN -1 ELSE 0 END AS wick, CASE WHEN low > h2 THEN 1 WHEN high < l2 THEN -1 ELSE 0 END AS gap, CASE WHEN lc < lm AND close > m THEN 1 WHEN lc > lm AND close < m THEN -1 ELSE 0 END AS reclaim, CASE WHEN wide AND close > open AND lc < lo THEN 1 WHEN wide AND close < open AND lc > lo THEN -1 ELSE 0 END AS block FROM k",
 )
+
+
+RANGES = {"rma": ("tr", mean("n.tr", "(1.0::DOUBLE / 14)", "rma"))}
+ABSORBED = f"""m AS (SELECT b.symbol, b.bar, b.close, rma, volume, quantile_cont(volume, 0.5) OVER p AS med, count(*) OVER p AS c, 2 * buy - volume AS delta, CASE WHEN rec.i >= 14 AND rma > 0 THEN (b.close - b.open) / rma END AS progress, list({{'l': b.low, 'h': b.high, 'v': volume}}) OVER q AS w FROM bars b JOIN rec USING (symbol, bar) WINDOW p AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), q AS (PARTITION BY b.symbol ORDER BY b.bar ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING)),
+ e AS (SELECT *, list_min([x.l FOR x IN w]) AS lo, (list_max([x.h FOR x IN w]) - list_min([x.l FOR x IN w])) / 60 AS step FROM m WHERE c >= 50 AND volume > 0 AND med > 0 AND volume >= 1.8::DOUBLE * med AND abs(delta) >= 0.25::DOUBLE * volume AND sign(delta) * progress <= 0.35::DOUBLE),
+ x AS (SELECT *, [{{'a': least(59, floor((x.l - lo) / step))::INT, 'b': least(59, floor((x.h - lo) / step))::INT, 'v': x.v}} FOR x IN w] AS xs FROM e),
+ v AS (SELECT *, [coalesce(list_sum([x.v / (x.b - x.a + 1) FOR x IN xs IF x.a <= k AND x.b >= k]), 0) FOR k IN range(60)] AS vs FROM x),
+ k AS (SELECT *, list_sort([{{'v': -vs[k + 1], 'i': k}} FOR k IN range(60) IF vs[k + 1] >= 1.5::DOUBLE * list_sum(vs) / 60 AND vs[k + 1] >= CASE WHEN k > 0 THEN vs[k] ELSE 0 END AND vs[k + 1] >= coalesce(vs[k + 2], 0)])[1:6] AS top FROM v)"""
+
+
+@query("absorption", f"WITH RECURSIVE {BARS}, {recursion(N, RANGES)}, {ABSORBED} SELECT symbol, bar, round(med, 6) AS usual, delta, round(progress, 6) AS progress, CASE WHEN delta > 0 THEN -1 ELSE 1 END AS side, coalesce(len([t FOR t IN top IF abs(close - (lo + (t.i + 0.5) * step)) <= 0.5 * rma]) > 0, FALSE) AS node FROM k")
+def absorption(spark, sf_dir):
+    return rounded(events_of.absorption(hourly(spark, sf_dir)), "symbol", "bar", "usual", "delta", "progress", "side", "node")
