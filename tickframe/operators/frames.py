@@ -363,3 +363,35 @@ def spectral(bars: DataFrame, n: int = 32) -> DataFrame:
     powers = powers.withColumn("_sum", total(F.col("_p"))).where("_sum > 0")
     entropy = -total(F.transform("_p", lambda p: F.when(p > 0, p / F.col("_sum") * F.log(p / F.col("_sum"))).otherwise(0.0))) / math.log(len(half))
     return powers.withColumns({"spectral_entropy": entropy, "period": F.lit(float(n)) / F.array_position("_p", F.array_max("_p"))}).drop("_v", "_m", "_p", "_sum")
+
+
+def fib_zone(bars: DataFrame, low: float = 0.5, high: float = 0.618) -> DataFrame:
+    """Bars whose close lies in the part of the latest confirmed swing that a pullback should hold: depth is how far it came back from the top."""
+    out = last_pivots(bars)
+    depth = F.when(F.col("last_top") > F.col("last_floor"), (F.col("last_top") - F.col("close")) / (F.col("last_top") - F.col("last_floor")))
+    return out.withColumn("depth", depth).where((F.col("depth") >= low) & (F.col("depth") <= high))
+
+
+def anchored_vwap(bars: DataFrame, k: int = 3) -> DataFrame:
+    """Volume-weighted price since the latest confirmed floor; null before there is one. Each anchor is a group of its own."""
+    out = last_pivots(bars, k)
+    new = F.coalesce(F.col("last_floor") != F.lag("last_floor").over(order()), F.col("last_floor").isNotNull())
+    out = out.withColumn("_new", new.cast("int")).withColumn("anchor", F.sum("_new").over(order().rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy("symbol", "anchor").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    typical = (F.col("high") + F.col("low") + F.col("close")) / 3
+    price = F.sum(typical * F.col("volume")).over(since) / F.nullif(F.sum("volume").over(since), F.lit(0.0))
+    return out.withColumn("avwap", F.when(F.col("anchor") > 0, price)).drop("_new")
+
+
+def divergences(bars: DataFrame, column: str, k: int = 3) -> DataFrame:
+    """Floors that lie lower than the floor before while the column stands higher (side 1), and tops the other way round (side -1)."""
+    left, right = order().rowsBetween(-k, -1), order().rowsBetween(1, k)
+    whole = (F.count(F.lit(1)).over(left) == k) & (F.count(F.lit(1)).over(right) == k)
+    top = whole & (F.col("high") > F.max("high").over(left)) & (F.col("high") > F.max("high").over(right))
+    floor = whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") < F.min("low").over(right))
+    marked = bars.withColumns({"_t": top, "_f": floor})
+    ends = marked.withColumn("_e", F.filter(F.array(F.struct(F.lit(1).alias("side"), F.col("_f").alias("ok"), F.col("low").alias("p")), F.struct(F.lit(-1).alias("side"), F.col("_t").alias("ok"), F.col("high").alias("p"))), lambda x: x["ok"]))
+    rows = ends.select("symbol", "bar", F.col(column).alias("v"), F.explode("_e").alias("e")).select("symbol", "bar", "v", "e.side", "e.p")
+    own = Window.partitionBy("symbol", "side").orderBy("bar")
+    rows = rows.withColumns({"old_p": F.lag("p").over(own), "old_v": F.lag("v").over(own)})
+    return rows.where((F.col("side") * (F.col("p") - F.col("old_p")) < 0) & (F.col("side") * (F.col("v") - F.col("old_v")) > 0)).select("symbol", "bar", "side", "p", "v")

@@ -403,3 +403,13 @@ def trailing_control(spark, sf_dir):
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     rows = hourly(spark, sf_dir).withColumn("tp", typical).withColumn("_w", F.collect_list(F.struct(F.col("tp").alias("p"), F.col("volume").alias("v"))).over(W.last(60))).where(F.size("_w") == 60)
     return rounded(V.trailing_control(rows, "_w", 10), "symbol", "bar", "poc", "share").select("symbol", "bar", F.round("poc", 5).alias("poc"), "share")
+
+LASTS = PIVOTS.split(", n AS MATERIALIZED")[0] + f", z AS (SELECT symbol, bar, close, last_value(t IGNORE NULLS) OVER {OVER} AS top, last_value(f IGNORE NULLS) OVER {OVER} AS fl FROM k)"
+frame("fib_zone", W.fib_zone, ["depth"], f", {LASTS}, d AS (SELECT symbol, bar, CASE WHEN top > fl THEN (top - close) / (top - fl) END AS depth FROM z) SELECT symbol, bar, round(depth, 6) AS depth FROM d WHERE depth BETWEEN 0.5 AND 0.618::DOUBLE")
+frame("anchored_vwap", W.anchored_vwap, ["anchor", "avwap"], f", {LASTS}, g AS (SELECT z.symbol, z.bar, coalesce(fl <> lag(fl) OVER w, fl IS NOT NULL)::INT AS new FROM z WINDOW w AS (PARTITION BY z.symbol ORDER BY z.bar)), a AS (SELECT symbol, bar, sum(new) OVER {OVER} AS anchor FROM g) SELECT symbol, bar, anchor::BIGINT AS anchor, CASE WHEN anchor > 0 THEN round(sum((high + low + close) / 3 * volume) OVER s / nullif(sum(volume) OVER s, 0), 6) END AS avwap FROM a JOIN bars USING (symbol, bar) WINDOW s AS (PARTITION BY symbol, anchor ORDER BY bar)")
+STRENGTH = {"up": ("NULL", "coalesce(r.up + (1.0::DOUBLE / 14) * (greatest(n.close - n.pc, 0) - r.up), greatest(n.close - n.pc, 0))"), "down": ("NULL", "coalesce(r.down + (1.0::DOUBLE / 14) * (greatest(n.pc - n.close, 0) - r.down), greatest(n.pc - n.close, 0))")}
+
+
+@query("rsi_divergence", f"WITH RECURSIVE {BARS}, {recursion(N, STRENGTH)}, v AS (SELECT b.*, CASE WHEN up + down > 0 THEN 100 * up / (up + down) END AS rsi FROM bars b JOIN rec USING (symbol, bar)), p AS (SELECT *, count(*) OVER l = 3 AND count(*) OVER r = 3 AS ok, high > max(high) OVER l AND high > max(high) OVER r AS t, low < min(low) OVER l AND low < min(low) OVER r AS f FROM v WINDOW l AS {before(3)}, r AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), e AS (SELECT symbol, bar, 1 AS side, low AS p, rsi FROM p WHERE ok AND f UNION ALL SELECT symbol, bar, -1, high, rsi FROM p WHERE ok AND t), o AS (SELECT *, lag(p) OVER w AS op, lag(rsi) OVER w AS ov FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY bar)) SELECT symbol, bar, side, round(p, 6) AS p, round(rsi, 6) AS v FROM o WHERE side * (p - op) < 0 AND side * (rsi - ov) > 0")
+def rsi_divergence(spark, sf_dir):
+    return rounded(W.divergences(R.wilder_rsi(hourly(spark, sf_dir)), "rsi"), "symbol", "bar", "side", "p", "v")
