@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tickframe.operators import events as E
-from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, QUERIES, before, frame, hourly, last, query, rounded
+from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, QUERIES, frame, hourly, last, query, rounded
 
 frame("liquidity_sweep", E.sweeps, ["side"], "SELECT symbol, bar, side FROM (SELECT *, CASE WHEN count(*) OVER w = 15 THEN CASE WHEN low < min(low) OVER w AND close > min(low) OVER w THEN 1 WHEN high > max(high) OVER w AND close < max(high) OVER w THEN -1 END END AS side FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 20 PRECEDING AND 6 PRECEDING)) WHERE side IS NOT NULL")
 frame(

@@ -11,7 +11,7 @@ from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import joins as J
 from tickframe.operators import recursive as R
-from tickframe.sources.tables import bars, hourly, table, ticks
+from tickframe.sources.tables import hourly, table, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

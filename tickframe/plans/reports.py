@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import recursive as R
-from tickframe.plans.queries import BARS, OVER, RACE, TICKS, frame, hourly, last, query, race, rounded, table, ticks
+from tickframe.plans.queries import BARS, OVER, RACE, TICKS, hourly, query, race, rounded, table, ticks
 
 NEXT = f"r AS (SELECT *, lead(close) OVER {OVER} / close - 1 AS fwd FROM bars), x AS (SELECT * FROM r WHERE fwd IS NOT NULL)"
 
