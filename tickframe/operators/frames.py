@@ -395,3 +395,26 @@ def divergences(bars: DataFrame, column: str, k: int = 3) -> DataFrame:
     own = Window.partitionBy("symbol", "side").orderBy("bar")
     rows = rows.withColumns({"old_p": F.lag("p").over(own), "old_v": F.lag("v").over(own)})
     return rows.where((F.col("side") * (F.col("p") - F.col("old_p")) < 0) & (F.col("side") * (F.col("v") - F.col("old_v")) > 0)).select("symbol", "bar", "side", "p", "v")
+
+
+def fitted_lines(bars: DataFrame, n: int = 24) -> DataFrame:
+    """Support and resistance lines over the n bars before, as they stand at the bar: through the bar that lies furthest
+    off the regression of close, with the least-squares slope, held to slopes that no bar of the window violates."""
+    numbered = bars.withColumn("_i", F.row_number().over(order()).cast("double"))
+    middle_x = (n - 1) / 2
+    out = numbered.withColumns({"_b": F.regr_slope("close", "_i").over(before(n)), "_m": F.avg("close").over(before(n)), "_n": F.count("*").over(before(n))})
+    for side, column, name in ((1, "low", "support"), (-1, "high", "resistance")):
+        # Seen from below, a resistance is the support of the negated highs.
+        fit = lambda k: side * (F.col("_m") + F.col("_b") * (k - middle_x))  # noqa: B023, E731
+        out = out.withColumn("_y", F.transform(F.collect_list(column).over(before(n)), lambda v: side * v))  # noqa: B023
+        out = out.withColumn("_p", F.array_min(F.transform("_y", lambda v, k: F.struct((v - fit(k)).alias("d"), k.alias("k"))))["k"])  # noqa: B023
+        out = out.withColumn("_d", F.transform("_y", lambda v, k: F.struct((k - F.col("_p")).cast("double").alias("x"), (v - F.get("_y", F.col("_p"))).alias("y"))))
+        top = F.aggregate("_d", F.lit(0.0), lambda s, e: s + e["x"] * e["y"])
+        base = F.aggregate("_d", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])
+        least = F.array_max(F.transform(F.filter("_d", lambda e: e["x"] < 0), lambda e: e["y"] / e["x"]))
+        most = F.array_min(F.transform(F.filter("_d", lambda e: e["x"] > 0), lambda e: e["y"] / e["x"]))
+        out = out.withColumns({"_s": F.try_divide(top, base), "_least": least, "_most": most})
+        clamped = F.least(F.greatest("_s", "_least"), F.col("_most"))
+        slope = F.when(F.col("_least").isNotNull() & (F.col("_least") > F.col("_most")), F.col("_least")).otherwise(clamped)
+        out = out.withColumn(name, F.when(F.col("_n") == n, side * (F.get("_y", F.col("_p")) + slope * (n - F.col("_p")))))
+    return out.drop("_i", "_b", "_m", "_n", "_y", "_p", "_d", "_s", "_least", "_most")

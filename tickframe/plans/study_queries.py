@@ -413,3 +413,20 @@ STRENGTH = {"up": ("NULL", "coalesce(r.up + (1.0::DOUBLE / 14) * (greatest(n.clo
 @query("rsi_divergence", f"WITH RECURSIVE {BARS}, {recursion(N, STRENGTH)}, v AS (SELECT b.*, CASE WHEN up + down > 0 THEN 100 * up / (up + down) END AS rsi FROM bars b JOIN rec USING (symbol, bar)), p AS (SELECT *, count(*) OVER l = 3 AND count(*) OVER r = 3 AS ok, high > max(high) OVER l AND high > max(high) OVER r AS t, low < min(low) OVER l AND low < min(low) OVER r AS f FROM v WINDOW l AS {before(3)}, r AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)), e AS (SELECT symbol, bar, 1 AS side, low AS p, rsi FROM p WHERE ok AND f UNION ALL SELECT symbol, bar, -1, high, rsi FROM p WHERE ok AND t), o AS (SELECT *, lag(p) OVER w AS op, lag(rsi) OVER w AS ov FROM e WINDOW w AS (PARTITION BY symbol, side ORDER BY bar)) SELECT symbol, bar, side, round(p, 6) AS p, round(rsi, 6) AS v FROM o WHERE side * (p - op) < 0 AND side * (rsi - ov) > 0")
 def rsi_divergence(spark, sf_dir):
     return rounded(W.divergences(R.wilder_rsi(hourly(spark, sf_dir)), "rsi"), "symbol", "bar", "side", "p", "v")
+
+
+def line_sql(name: str, side: int, column: str) -> str:
+    """SQL of one fitted line over 24 bars: p the bar furthest off the fit, d the distances from it."""
+    return f"""{name}p AS (SELECT symbol, t, arg_min(x, ({side} * ({column} - f), x)) AS px, arg_min({side} * {column}, ({side} * ({column} - f), x)) AS py FROM g GROUP BY 1, 2),
+ {name}d AS (SELECT symbol, t, px, py, x - px AS dx, {side} * {column} - py AS dy FROM g JOIN {name}p USING (symbol, t)),
+ {name}s AS (SELECT symbol, t, any_value(px) AS px, any_value(py) AS py, sum(dx * dy) / sum(dx * dx) AS s, max(dy / dx) FILTER (dx < 0) AS lo, min(dy / dx) FILTER (dx > 0) AS hi FROM {name}d GROUP BY 1, 2),
+ {name} AS (SELECT symbol, t, {side} * (py + CASE WHEN lo > hi THEN lo ELSE least(greatest(s, lo), hi) END * (24 - px)) AS v FROM {name}s)"""
+
+
+frame(
+    "fitted_lines",
+    W.fitted_lines,
+    ["support", "resistance"],
+    f", {NUMBERED}, w AS (SELECT a.symbol, a.bar AS t, (b.i - a.i + 24)::DOUBLE AS x, b.close, b.low, b.high FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 24 AND a.i - 1 WHERE a.i > 24), r AS (SELECT symbol, t, regr_slope(close, x) AS sl, avg(close) AS mc FROM w GROUP BY 1, 2), g AS (SELECT w.*, mc + sl * (x - 11.5) AS f FROM w JOIN r USING (symbol, t)), {line_sql('su', 1, 'low')}, {line_sql('re', -1, 'high')} SELECT b.symbol, b.bar, round(su.v, 7) AS support, round(re.v, 7) AS resistance FROM bars b LEFT JOIN su ON su.symbol = b.symbol AND su.t = b.bar LEFT JOIN re ON re.symbol = b.symbol AND re.t = b.bar",
+    to=7,
+)
