@@ -89,6 +89,15 @@ def order_patterns(bars: DataFrame, n: int = 48) -> DataFrame:
     return out.withColumn("entropy", F.when(total >= n, entropy))
 
 
+def ordered_states(bars: DataFrame, n: int = 48, ref: int = 100, share: float = 0.2) -> DataFrame:
+    """Permutation entropy with its rank among the last `ref` values, and whether that is in the lowest part: an ordered state."""
+    out = order_patterns(bars, n).withColumn("entropy", F.round("entropy", 9))  # so that equal patterns are equal
+    out = out.withColumn("_e", F.collect_list("entropy").over(last(ref)))
+    rank = F.size(F.filter("_e", lambda x: x <= F.col("entropy"))) / F.size("_e")
+    out = out.withColumn("rank", F.when(F.size("_e") == ref, rank))
+    return out.withColumn("ordered", F.col("rank") <= share).drop("_e")
+
+
 def market_beta(bars: DataFrame, market: str, n: int = 48) -> DataFrame:
     """Rolling slope and correlation of returns on one symbol's returns at the same bar.
 

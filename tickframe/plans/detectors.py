@@ -14,6 +14,7 @@ frame(
 )
 PARTS = " + ".join(f"CASE WHEN sum((code = {k})::INT) OVER w > 0 THEN -(sum((code = {k})::INT) OVER w / count(code) OVER w) * ln(sum((code = {k})::INT) OVER w / count(code) OVER w) ELSE 0 END" for k in (0, 2, 3, 4, 5, 7))
 frame("permutation_entropy", E.order_patterns, ["entropy"], f", c AS (SELECT symbol, bar, (lag(close, 2) OVER {OVER} < lag(close) OVER {OVER})::INT * 4 + (lag(close) OVER {OVER} < close)::INT * 2 + (lag(close, 2) OVER {OVER} < close)::INT AS code FROM bars) SELECT symbol, bar, CASE WHEN count(code) OVER w >= 48 THEN round(({PARTS}) / ln(6), 6) END AS entropy FROM c WINDOW w AS {last(48)}")
+frame("ordered_states", E.ordered_states, ["rank", "ordered"], f", c AS (SELECT symbol, bar, (lag(close, 2) OVER {OVER} < lag(close) OVER {OVER})::INT * 4 + (lag(close) OVER {OVER} < close)::INT * 2 + (lag(close, 2) OVER {OVER} < close)::INT AS code FROM bars), e AS (SELECT symbol, bar, CASE WHEN count(code) OVER w >= 48 THEN round(({PARTS}) / ln(6), 9) END AS e FROM c WINDOW w AS {last(48)}), l AS (SELECT symbol, bar, e, list(e) FILTER (e IS NOT NULL) OVER v AS v FROM e WINDOW v AS {last(100)}) SELECT symbol, bar, CASE WHEN len(v) = 100 THEN round(len([x FOR x IN v IF x <= e]) / 100.0::DOUBLE, 6) END AS rank, CASE WHEN len(v) = 100 THEN len([x FOR x IN v IF x <= e]) / 100.0::DOUBLE <= 0.2 END AS ordered FROM l")
 frame("market_beta", lambda b: E.market_beta(b, "view"), ["beta", "rho"], f", r AS (SELECT symbol, bar, ln(close / lag(close) OVER {OVER}) AS ret FROM bars), j AS (SELECT r.symbol, r.bar, r.ret, m.ret AS mkt FROM r JOIN r m ON m.symbol = 'view' AND m.bar = r.bar WHERE r.symbol <> 'view' AND r.ret IS NOT NULL AND m.ret IS NOT NULL) SELECT symbol, bar, CASE WHEN count(*) OVER w >= 48 THEN round(regr_slope(ret, mkt) OVER w, 6) END AS beta, CASE WHEN count(*) OVER w >= 48 THEN round(corr(ret, mkt) OVER w, 6) END AS rho FROM j WINDOW w AS {last(48)}")
 
 
