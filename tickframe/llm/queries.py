@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm import bpe, decontamination, embeddings, language, lines, quality, secrets, sharding, simhash, substrings
-from tickframe.llm.shared import table
+from tickframe.llm import bpe, codes, decontamination, divergence, embeddings, language, lines, packing, quality, secrets, sharding, simhash, substrings
+from tickframe.llm.shared import cut, table
 
 SHARDS = 24
 
@@ -88,7 +88,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = codes.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = codes.with_label_error(rows)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    placed = packing.placed(cut(pieces.drop("ids")), ["doc_id", "piece"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_decontamination": op2_decontamination, "op3_substrings": op3_substrings, "op4_quality": op4_quality, "op5_embeddings": op5_embeddings, "op6_simhash": op6_simhash, "op7_secrets": op7_secrets, "op8_bpe": op8_bpe, "op9_lines": op9_lines, "op10_language": op10_language, "op11_codes": op11_codes, "op12_packing": op12_packing, "op13_divergence": op13_divergence}
 
 #: SQL of the queries that SQL can state: windows by value, and links with everything they reach.
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +123,32 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddi
  r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
  n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), m AS (SELECT a, min(b) AS m FROM r GROUP BY 1)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.m, vec_id)) AS component_id, vec_id <= coalesce(m.m, vec_id) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id""",
+    "op11_codes": """
+WITH v AS MATERIALIZED (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, k, e[k * (len(e) // 16) + 1 : (k + 1) * (len(e) // 16)] AS x FROM v, range(16) t(k)),
+ s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+ c0 AS MATERIALIZED (SELECT k, j, x AS c FROM p JOIN s USING (vec_id)),
+ a0 AS MATERIALIZED (SELECT vec_id, k, any_value(x) AS x, min((list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j))[2] AS j FROM p JOIN c0 USING (k) GROUP BY 1, 2),
+ m1 AS (SELECT k, j, list(m ORDER BY i) AS c FROM (SELECT k, j, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a0, range(1, 1 + (SELECT max(len(x)) FROM p)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ c1 AS MATERIALIZED (SELECT k, j, coalesce(m1.c, c0.c) AS c FROM c0 LEFT JOIN m1 USING (k, j)),
+ a1 AS MATERIALIZED (SELECT vec_id, k, any_value(x) AS x, min((list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j))[2] AS j FROM p JOIN c1 USING (k) GROUP BY 1, 2),
+ m2 AS (SELECT k, j, list(m ORDER BY i) AS c FROM (SELECT k, j, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a1, range(1, 1 + (SELECT max(len(x)) FROM p)) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ c2 AS MATERIALIZED (SELECT k, j, coalesce(m2.c, c1.c) AS c FROM c1 LEFT JOIN m2 USING (k, j)),
+ a2 AS MATERIALIZED (SELECT vec_id, k, min((list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), j)) AS b FROM p JOIN c2 USING (k) GROUP BY 1, 2),
+ r AS (SELECT vec_id, string_agg(lower(printf('%02x', b[2])), '' ORDER BY k) AS code, sum(b[1])::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, j)) FROM c2) AS codebooks_sha256 FROM r JOIN v USING (vec_id)""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+ w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+ k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+ g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+ c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+ v AS (SELECT lang, count(*) AS v, sum(n)::BIGINT AS n FROM k GROUP BY 1),
+ t AS (SELECT g.lang, g.source, coalesce(max(v.v), 0) AS v, coalesce(sum(c.n), 0)::BIGINT AS n FROM g LEFT JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+ p AS MATERIALIZED (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (t.n + 5 * t.v) AS p FROM t JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+ q AS (SELECT k.lang, k.term, 1 + (1000000000 * (k.n + 5)::HUGEINT) // (v.n + 5 * v.v) AS q FROM k JOIN v USING (lang)),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }
