@@ -10,6 +10,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.operators.quantiles import percentiles
+
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows)
@@ -33,7 +35,7 @@ def situations(train: DataFrame, rows: DataFrame, features: list[str], k: int =
 
 def tail(scored: DataFrame, train: DataFrame, share: float = 0.9) -> DataFrame:
     """Rows whose score reaches the quantile that train's scores have."""
-    cut = train.agg(F.percentile("score", F.lit(share)).alias("cut"))  # one row
+    cut = percentiles(train, [], "score", [share]).select(F.col("value").alias("cut"))  # one row
     return scored.join(F.broadcast(cut), F.lit(True)).where("score >= cut")
 
 
@@ -46,5 +48,5 @@ def failing(train: DataFrame, rows: DataFrame, features: list[str], failed: str)
 
 def vetoed(scored: DataFrame, train: DataFrame, share: float = 0.8) -> DataFrame:
     """Rows whose risk is under the quantile that train's risks have."""
-    cut = train.agg(F.percentile("risk", F.lit(share)).alias("_cut"))  # one row
+    cut = percentiles(train, [], "risk", [share]).select(F.col("value").alias("_cut"))  # one row
     return scored.join(F.broadcast(cut), F.lit(True)).where("risk < _cut").drop("_cut")

@@ -192,14 +192,6 @@ def robust_z(bars: DataFrame, column: str = "close", n: int = 48) -> DataFrame:
     return out.withColumn("rz", full(F.when(F.col("_mad") > 0, (F.col(column) - F.col("med")) / (1.4826 * F.col("_mad"))), n, last(n))).drop("_v", "_mad")
 
 
-def day_quantile(bars: DataFrame, column: str = "volume", days: int = 5, q: float = 0.9) -> DataFrame:
-    """Quantile of the days before the bar's own, the same for all bars of a day; each bar counts for the days after it."""
-    day = F.to_date("bar")
-    spread = bars.select("symbol", F.explode(F.sequence(F.date_add(day, 1), F.date_add(day, days))).alias("day"), column)
-    cuts = spread.groupBy("symbol", "day").agg(F.percentile(column, F.lit(q)).alias("cut"))
-    return bars.withColumn("day", day).join(cuts, ["symbol", "day"], "left").drop("day")
-
-
 def vwap(bars: DataFrame, n: int = 24) -> DataFrame:
     """Volume-weighted price of the last n bars, and of the day so far with its weighted deviation."""
     day = Window.partitionBy("symbol", F.to_date("bar")).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)

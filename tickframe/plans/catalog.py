@@ -6,6 +6,7 @@ import tickframe.plans.decision_queries
 import tickframe.plans.detectors
 import tickframe.plans.feature_queries
 import tickframe.plans.learning_queries
+import tickframe.plans.order_queries
 import tickframe.plans.outcome_queries
 import tickframe.plans.recurrences
 import tickframe.plans.relation_queries

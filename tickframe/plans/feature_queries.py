@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickframe.operators import events as E
 from tickframe.operators import frames as W
+from tickframe.operators import quantiles as Q
 from tickframe.operators import recursive as R
 from tickframe.plans.queries import BARS, OVER, before, frame, hourly, last, query, rounded
 from tickframe.plans.recurrences import N, W14, mean, recursion
@@ -18,7 +19,7 @@ for name, least in (("rolling_strict", 20), ("rolling_tolerant", 10)):
     frame(name, lambda b, least=least: W.rolling(W.returns(b), "ret", 20, least), ["mean", "sd"], f", {RET} SELECT symbol, bar, CASE WHEN count(ret) OVER w >= {least} THEN round(avg(ret) OVER w, 6) END AS mean, CASE WHEN count(ret) OVER w >= {least} THEN round(stddev_pop(ret) OVER w, 6) END AS sd FROM r WINDOW w AS {last(20)}")
 frame("relative_volume", W.relative_volume, ["rel"], f"SELECT symbol, bar, round(volume / nullif(avg(volume) OVER {before(100)}, 0), 6) AS rel FROM bars")
 frame("robust_z", W.robust_z, ["med", "rz"], f"SELECT symbol, bar, round(med, 6) AS med, CASE WHEN c >= 48 AND d > 0 THEN round((close - med) / (1.4826::DOUBLE * d), 6) END AS rz FROM (SELECT symbol, bar, close, median(close) OVER w AS med, mad(close) OVER w AS d, count(*) OVER w AS c FROM bars WINDOW w AS {last(48)})")
-frame("day_quantile", W.day_quantile, ["volume", "cut"], ", d AS (SELECT DISTINCT symbol, date_trunc('day', bar) AS day FROM bars), c AS (SELECT d.symbol, d.day, quantile_cont(b.volume, 0.9) AS cut FROM d JOIN bars b ON b.symbol = d.symbol AND b.bar >= d.day - INTERVAL 5 days AND b.bar < d.day GROUP BY 1, 2) SELECT b.symbol, b.bar, b.volume, round(c.cut, 6) AS cut FROM bars b LEFT JOIN c ON c.symbol = b.symbol AND c.day = date_trunc('day', b.bar)")
+frame("day_quantile", lambda b: Q.trailing_quantile(b, "volume", 5, 0.9), ["volume", "cut"], ", d AS (SELECT DISTINCT symbol, date_trunc('day', bar) AS day FROM bars), c AS (SELECT d.symbol, d.day, quantile_cont(b.volume, 0.9) AS cut FROM d JOIN bars b ON b.symbol = d.symbol AND b.bar >= d.day - INTERVAL 5 days AND b.bar < d.day GROUP BY 1, 2) SELECT b.symbol, b.bar, b.volume, round(c.cut, 6) AS cut FROM bars b LEFT JOIN c ON c.symbol = b.symbol AND c.day = date_trunc('day', b.bar)")
 frame(
     "weighted_vwap",
     W.vwap,

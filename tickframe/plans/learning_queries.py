@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickframe.learning import linear as L
 from tickframe.learning import models as M
 from tickframe.operators import frames as W
+from tickframe.operators import quantiles as Q
 from tickframe.plans.queries import BARS, OVER, before, hourly, query
 
 ROWS = f"f AS (SELECT symbol, bar, ln(close / lag(close, 4) OVER {OVER}) AS mom, buy / nullif(volume, 0) - 0.5 AS flow, ln(volume / nullif(avg(volume) OVER {before(24)}, 0)) AS push, ln(lead(close) OVER {OVER} / close) AS y FROM bars), x AS (SELECT * FROM f WHERE mom IS NOT NULL AND flow IS NOT NULL AND y IS NOT NULL)"
@@ -62,7 +63,8 @@ def fold_threshold(spark, sf_dir):
     """The 90 % point of out-of-fold scores of each symbol."""
     rows = features(spark, sf_dir).withColumn("fold", F.dayofmonth("bar") % 3)
     out = L.out_of_fold(rows, "fold", ["mom", "flow"], "y", 10.0)
-    return out.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.percentile("score", F.lit(0.9)), 6).alias("cut"))
+    cuts = Q.percentiles(out, ["symbol"], "score", [0.9]).select("symbol", F.round("value", 6).alias("cut"))
+    return out.groupBy("symbol").agg(F.count("*").alias("n")).join(cuts, "symbol")
 
 
 @query("boosted_scores")

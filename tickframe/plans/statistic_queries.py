@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
+from tickframe.operators import quantiles as Q
 from tickframe.plans.queries import BARS, OVER, PNL, RACE, TICKS, hourly, ledger, query, race, rounded, table, ticks
 from tickframe.plans.reports import NEXT, ahead
 
@@ -99,9 +100,8 @@ def volatility_r2(spark, sf_dir):
 
 @query("percentile_cuts", "SELECT o_orderpriority AS priority, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1")
 def percentile_cuts(spark, sf_dir):
-    cuts = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(cuts.alias("c"))
-    return rows.select("priority", *(F.round(F.col("c")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority")
+    return rounded(Q.percentile_columns(rows, ["priority"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "priority", "p10", "p50", "p90", to=4)
 
 
 @query("edge_pauses", f"{RACE}, s AS (SELECT symbol, hour(bar) // 6 AS part, count(*)::DOUBLE AS n, count(*) FILTER (r > 0)::DOUBLE AS k, sum(r) AS total, sum(r * r) AS q FROM trades GROUP BY 1, 2), h AS (SELECT *, (k / n + 1.96 * 1.96::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(k / n * (1 - k / n) / n + 1.96 * 1.96::DOUBLE / (4 * n * n))) / (1 + 1.96 * 1.96::DOUBLE / n) AS high, total / n + 2 * sqrt(greatest(0, q - total * total / n) / (n - 1) / n) AS top FROM s) SELECT symbol, part, n::BIGINT AS n, round(high, 6) AS high FROM h WHERE n >= 20 AND (high < 0.45 OR top < 0)")

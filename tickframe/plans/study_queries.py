@@ -9,6 +9,7 @@ from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import joins as J
 from tickframe.operators import profiles as V
+from tickframe.operators import quantiles as Q
 from tickframe.operators import recursive as R
 from tickframe.plans.outcome_queries import ATR, NUMBERED, paths
 from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, RACE, before, frame, hourly, last, query, race, rounded, table
@@ -45,7 +46,7 @@ ORACLE_SQL["rms_normed"] = f"WITH RECURSIVE {BARS}, {recursion(N, NORM)} SELECT
 def level_tests(spark, sf_dir):
     """How often a level is touched, and in how many waves: touches more than two bars apart."""
     rows = hourly(spark, sf_dir)
-    level = rows.groupBy("symbol").agg(F.round(F.percentile("close", F.lit(0.5)), 2).alias("level"))
+    level = Q.percentiles(rows, ["symbol"], "close", [0.5]).select("symbol", F.round("value", 2).alias("level"))
     hit = rows.withColumn("i", F.row_number().over(W.order())).join(level, "symbol").where("low <= level and high >= level")
     new = F.coalesce(F.col("i") - F.lag("i").over(Window.partitionBy("symbol").orderBy("i")) > 3, F.lit(True))
     return hit.withColumn("st", new.cast("long")).groupBy("symbol", "level").agg(F.count("*").alias("touches"), F.sum("st").alias("waves"))

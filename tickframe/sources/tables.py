@@ -48,3 +48,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base or tempfile.mkdtemp(prefix='spark-scratch-')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from files in spark.checkpoint.dir, without its lineage; a temporary folder in local mode."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoint"))
+    return df.checkpoint()
