@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickframe.operators import parallel as P
 from tickframe.operators import recursive as R
 from tickframe.plans.queries import BARS, ORACLE_SQL, RACE, TICKS, frame, hourly, query, race, rounded, ticks
 
@@ -37,27 +38,28 @@ W14, W10, E14, E20 = "(1.0::DOUBLE / 14)", "(1.0::DOUBLE / 10)", "(2.0::DOUBLE /
 
 recurrence(
     "seeded_ema",
-    lambda b: R.seeded_ema(b, 20),
+    lambda b: P.seeded_ema(b, 20),
     ["sema20"],
     {"sema20": ("(SELECT avg(m.close) FROM n m WHERE m.symbol = n.symbol AND m.i <= 20)", f"CASE WHEN n.i <= 20 THEN r.sema20 ELSE {mean('n.close', E20, 'sema20')} END")},
     r("sema20"),
 )
 recurrence(
     "atr_kinds",
-    R.atr_kinds,
-    ["rma", "wilder", "exp", "lagged"],
+    P.atr_kinds,
+    ["rma", "wilder", "exp", "lagged", "sma"],
     {
+        "sma": ("0", f"CASE WHEN n.i <= 15 THEN r.sma + n.tr / 14 ELSE {mean('n.tr', E14, 'sma')} END"),
         "rma": ("tr", mean("n.tr", W14, "rma")),
         "w": ("NULL", f"coalesce({mean('n.tr', W14, 'w')}, n.tr)"),
         "exp": ("tr", mean("n.tr", E14, "exp")),
         "slow": ("tr", mean("n.tr", E20, "slow")),
         "lagged": ("NULL", "r.slow"),
     },
-    r("rma", "exp", "lagged") + ", CASE WHEN i > 14 THEN round(w, 6) END AS wilder",
+    r("rma", "exp", "lagged") + ", CASE WHEN i > 14 THEN round(w, 6) END AS wilder, CASE WHEN i > 14 THEN round(sma, 6) END AS sma",
 )
 recurrence(
     "rsi_seeded",
-    R.seeded_rsi,
+    P.seeded_rsi,
     ["srsi"],
     {
         "up": ("0", "CASE WHEN n.i <= 15 THEN r.up + greatest(n.close - n.pc, 0) / 14 ELSE (r.up * 13 + greatest(n.close - n.pc, 0)) / 14 END"),
@@ -68,7 +70,7 @@ recurrence(
 UP, DOWN = "(n.high - r.h)", "(r.l - n.low)"
 recurrence(
     "directional_index",
-    R.directional,
+    P.directional,
     ["pdi", "mdi", "adx"],
     {
         "h": ("high", "n.high"),
@@ -84,7 +86,7 @@ recurrence(
 )
 recurrence(
     "macd",
-    R.macd,
+    P.macd,
     ["macd", "signal", "hist"],
     {
         "a": ("close", mean("n.close", "(2.0::DOUBLE / 13)", "a")),
@@ -127,15 +129,15 @@ recurrence(
 )
 recurrence(
     "heikin_ashi",
-    R.heikin_ashi,
+    P.heikin_ashi,
     ["ha_open", "ha_close"],
     {"ha_open": ("(open + close) / 2", "(r.ha_open + r.ha_close) / 2"), "ha_close": ("(open + high + low + close) / 4", "(n.open + n.high + n.low + n.close) / 4")},
     r("ha_open", "ha_close"),
 )
 recurrence(
     "kalman_trend",
-    R.kalman_trend,
-    ["z", "level"],
+    P.kalman_trend,
+    ["z", "level", "dev"],
     {
         "y": ("ln(close)", "ln(n.close)"),
         "v": ("NULL", "CASE WHEN r.v IS NULL THEN pow(q_y - r.y, 2) ELSE r.v + (2.0::DOUBLE / 101) * (pow(q_y - r.y, 2) - r.v) END"),
@@ -144,13 +146,14 @@ recurrence(
         "a": ("1", "(r.a + 2 * r.b + r.d) * (1 - (r.a + 2 * r.b + r.d) / (r.a + 2 * r.b + r.d + greatest(q_v, 1e-10)))"),
         "b": ("0", "(r.b + r.d) * (1 - (r.a + 2 * r.b + r.d) / (r.a + 2 * r.b + r.d + greatest(q_v, 1e-10)))"),
         "d": ("1", "r.d + 1e-4 * greatest(q_v, 1e-10) - pow(r.b + r.d, 2) / (r.a + 2 * r.b + r.d + greatest(q_v, 1e-10))"),
+        "e": ("NULL", "CASE WHEN r.e IS NULL THEN pow(q_y - q_x, 2) ELSE r.e + (2.0::DOUBLE / 101) * (pow(q_y - q_x, 2) - r.e) END"),
     },
-    "CASE WHEN i > 101 THEN round(s / sqrt(greatest(d, 1e-18)), 4) END AS z, round(exp(x), 4) AS level",
+    "CASE WHEN i > 101 THEN round(s / sqrt(greatest(d, 1e-18)), 4) END AS z, round(exp(x), 4) AS level, CASE WHEN i > 101 THEN round((y - x) / sqrt(greatest(e, 1e-18)), 4) END AS dev",
     to=4,
 )
 recurrence(
     "shock_excitation",
-    R.excitation,
+    P.excitation,
     ["heat", "heat_way"],
     {
         "a": ("tr", mean("n.tr", W14, "a")),
@@ -162,7 +165,7 @@ recurrence(
 )
 recurrence(
     "ew_variance",
-    R.spread,
+    P.spread,
     ["ewvar", "sigma_before"],
     {
         "y": ("ln(close)", "ln(n.close)"),

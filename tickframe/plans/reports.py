@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
-from tickframe.operators import recursive as R
+from tickframe.operators import parallel as P
 from tickframe.plans.queries import BARS, OVER, RACE, TICKS, hourly, query, race, rounded, table, ticks
 
 NEXT = f"r AS (SELECT *, lead(close) OVER {OVER} / close - 1 AS fwd FROM bars), x AS (SELECT * FROM r WHERE fwd IS NOT NULL)"
@@ -133,4 +133,4 @@ RSI = f"WITH {BARS}, d AS (SELECT symbol, bar, close - lag(close) OVER {OVER} AS
 
 @query("wilder_rsi", RSI)
 def wilder_rsi(spark, sf_dir):
-    return rounded(R.wilder_rsi(hourly(spark, sf_dir)), "symbol", "bar", "rsi", to=4)
+    return rounded(P.wilder_rsi(hourly(spark, sf_dir)), "symbol", "bar", "rsi", to=4)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import joins as J
+from tickframe.operators import parallel as P
 from tickframe.operators import profiles as V
 from tickframe.operators import quantiles as Q
 from tickframe.operators import recursive as R
@@ -34,7 +35,7 @@ def structure_breaks(spark, sf_dir):
 
 frame(
     "rms_normed",
-    lambda b: R.normed(W.returns(b), 50),
+    lambda b: P.normed(W.returns(b), 50),
     ["normed"],
     "",
 )
