@@ -15,11 +15,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.operators.quantiles import ordinals
-
 UNIT = "day"
 Compose = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -50,38 +48,6 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _along(rows: DataFrame, keys: list[str], on: str, source: Callable[[pa.RecordBatch], np.ndarray], compose: Compose, exclusive: bool) -> DataFrame:
-    """rows with `map_`: the composition of the maps of the key up to each row; with `past_` up to the row before (null on the first) if exclusive."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, tail = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = _runs(batch, keys)
-            found = prefixes(source(batch), key, compose)
-            first = tuple(batch.column(k)[0] for k in keys)
-            goes_on = open_ == first
-            if goes_on:
-                here = key == 0
-                found[here] = compose(np.repeat(tail[None], here.sum(), 0), found[here])
-            columns = [*batch.columns, _lists(found)]
-            if exclusive:
-                past = np.concatenate([found[:1], found[:-1]])
-                begins = np.diff(key, prepend=-1) != 0
-                if goes_on:
-                    past[0], begins[0] = tail, False
-                lists = _lists(past)
-                columns.append(pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(begins)))
-            yield pa.RecordBatch.from_arrays(columns, names)
-            open_, tail = tuple(batch.column(k)[batch.num_rows - 1] for k in keys), found[-1]
-
-    more = {"map_": "array<double>"} | ({"past_": "array<double>"} if exclusive else {})
-    names = [*rows.columns, *more]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{n}` {t}" for n, t in more.items())])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, on).mapInArrow(run, schema)
-
-
 def _grid(column: pa.Array, width: int) -> np.ndarray:
     """A list column as a matrix; NaN where it is null."""
     out = np.full((len(column), width), np.nan)
@@ -90,26 +56,65 @@ def _grid(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def associative(rows: DataFrame, inputs: list[str], width: int, maps: Callable[..., np.ndarray], compose: Compose, finish: Callable[..., dict[str, np.ndarray]], outputs: list[str], lagged: bool = False, unit: str = UNIT) -> DataFrame:
-    """rows with the columns `outputs` (double) of a recurrence over each symbol's bars.
-
-    maps gives the rows' maps (a row of `width` numbers each) from the inputs
-    as float arrays, null as NaN. finish gives the outputs from the
-    compositions of all maps up to a row, and, if lagged, of those before it
-    (NaN on a symbol's first row); NaN becomes null.
+class _Runs:
+    """Compositions along sorted batches; holds the map of the run that is open."""
+
+    def __init__(self, keys: list[str], compose: Compose):
+        self.keys, self.compose, self.open, self.tail = keys, compose, None, None
+
+    def push(self, batch: pa.RecordBatch, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the runs, the compositions up to each row, and those up to the row before (NaN on a run's first)."""
+        key = _runs(batch, self.keys)
+        found = prefixes(maps, key, self.compose)
+        goes_on = self.open == tuple(batch.column(k)[0] for k in self.keys)
+        if goes_on:
+            here = key == 0
+            found[here] = self.compose(np.repeat(self.tail[None], here.sum(), 0), found[here])
+        past = np.concatenate([found[:1], found[:-1]])
+        past[np.diff(key, prepend=-1) != 0] = np.nan
+        if goes_on:
+            past[0] = self.tail
+        self.open, self.tail = tuple(batch.column(k)[batch.num_rows - 1] for k in self.keys), found[-1]
+        return key, found, past
+
+
+def associative(rows: DataFrame, inputs: list[str], width: int, maps: Callable[..., np.ndarray], compose: Compose, finish: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], outputs: list[str], unit: str = UNIT) -> DataFrame:
+    """rows with the columns `outputs` (double) of a recurrence over each symbol's bars; symbols are not null.
+
+    maps gives the rows' maps (`width` numbers each, the first of them never
+    NaN) from the inputs as float arrays, null as NaN. finish gives the outputs
+    from the compositions of all maps up to each row and of those before it
+    (NaN on a symbol's first row); NaN becomes null. The rows are shuffled
+    once, by slice: the exchange is read for the slices' ends and for the rows.
     """
 
     def source(batch: pa.RecordBatch) -> np.ndarray:
         return maps(*(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in inputs))
 
-    def whole(batch: pa.RecordBatch) -> np.ndarray:
-        return _grid(batch.column("end_"), width)
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, held = _Runs(["symbol", "slice_"], compose), None
+        for batch in batches:
+            if batch.num_rows:
+                before = runs.open
+                key, found, _ = runs.push(batch, source(batch))
+                if held is not None and before != tuple(batch.column(k)[0] for k in runs.keys):
+                    yield held
+                last = np.flatnonzero(np.diff(key, append=key[-1] + 1))
+                whole = pa.RecordBatch.from_arrays([batch.column("symbol").take(pa.array(last)), batch.column("slice_").take(pa.array(last)), _lists(found[last])], ["symbol", "slice_", "end_"])
+                if len(last) > 1:
+                    yield whole.slice(0, len(last) - 1)
+                held = whole.slice(len(last) - 1)
+        if held is not None:
+            yield held
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(["symbol"], compose)
+        for batch in batches:
+            if batch.num_rows:
+                _, _, past = runs.push(batch, _grid(batch.column("end_"), width))
+                lists = _lists(past)
+                yield pa.RecordBatch.from_arrays([batch.column("symbol"), batch.column("slice_"), pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(np.isnan(past[:, 0])))], ["symbol", "slice_", "before_"])
 
-    sliced = rows.withColumn("slice_", F.date_trunc(unit, "bar"))
-    inner = _along(sliced, ["symbol", "slice_"], "bar", source, compose, lagged)
-    ends = inner.groupBy("symbol", "slice_").agg(F.max_by("map_", "bar").alias("end_"))
-    before = _along(ends, ["symbol"], "slice_", whole, compose, True).select("symbol", "slice_", F.col("past_").alias("before_"))
-    met = inner.join(before, ["symbol", "slice_"])
     kept = rows.columns
 
     def after(before: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -119,26 +124,38 @@ def associative(rows: DataFrame, inputs: list[str], width: int, maps: Callable[.
         out[both] = compose(before[both], own[both])
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _Runs(["symbol", "slice_"], compose)
         for batch in batches:
-            past = _grid(batch.column("before_"), width)
-            total = [after(past, _grid(batch.column(c), width)) for c in (("map_", "past_") if lagged else ("map_",))]
-            made = finish(*total)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(made[o], from_pandas=True) for o in outputs)], [*kept, *outputs])
-
+            if batch.num_rows:
+                _, found, past = runs.push(batch, source(batch))
+                before = _grid(batch.column("before_"), width)
+                made = finish(after(before, found), after(before, past))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(made[o], from_pandas=True) for o in outputs)], [*kept, *outputs])
+
+    symbol = rows.schema["symbol"].dataType.simpleString()
+    sliced = rows.withColumn("slice_", F.date_trunc(unit, "bar")).repartition("symbol", "slice_")
+    kind = sliced.schema["slice_"].dataType.simpleString()
+    parts = sliced.sortWithinPartitions("symbol", "slice_", "bar").mapInArrow(ends, f"symbol {symbol}, slice_ {kind}, end_ array<double>")
+    starts = parts.repartition("symbol").sortWithinPartitions("symbol", "slice_").mapInArrow(carried, f"symbol {symbol}, slice_ {kind}, before_ array<double>")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"`{o}` double" for o in outputs)])
-    return met.mapInArrow(run, schema)
+    met = sliced.join(starts, ["symbol", "slice_"]).sortWithinPartitions("symbol", "slice_", "bar")
+    return met.mapInArrow(whole, schema)
+
+
+def before_row(rows: DataFrame, unit: str = UNIT, number: str | None = None, **columns: str) -> DataFrame:
+    """rows with, under each given name, a numeric column's value at the bar before (double), and with the bar's number from 0 (long)."""
+    names, inputs = list(columns), [f"in{i}_" for i in range(len(columns))]
+
+    def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([a[:, :1] + b[:, :1], b[:, 1:]], 1)
 
+    def finish(total: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:
+        return dict(zip(names, past[:, 1:].T)) | ({number: total[:, 0] - 1} if number else {})
 
-def before_row(rows: DataFrame, unit: str = UNIT, **columns: str) -> DataFrame:
-    """rows with, under each given name, a column's value at the bar before: within slices of time, whose first bar takes the last of the slice before."""
-    struct = F.struct(*(F.col(c).alias(n) for n, c in columns.items()))
-    sliced = rows.withColumns({"slice_": F.date_trunc(unit, "bar"), "own_": struct})
-    by_slice = Window.partitionBy("symbol").orderBy("slice_")  # a row a slice
-    ends = sliced.groupBy("symbol", "slice_").agg(F.max_by("own_", "bar").alias("end_")).select("symbol", "slice_", F.lag("end_").over(by_slice).alias("end_"))
-    inner = F.lag("own_").over(Window.partitionBy("symbol", "slice_").orderBy("bar"))
-    out = sliced.withColumn("past_", inner).join(ends, ["symbol", "slice_"])
-    return out.withColumns({n: F.coalesce("past_", "end_")[n] for n in columns}).drop("slice_", "own_", "past_", "end_")
+    fed = rows.withColumns({"in_": F.lit(1.0), **{i: F.col(c).cast("double") for i, c in zip(inputs, columns.values())}})
+    out = associative(fed, ["in_", *inputs], 1 + len(names), lambda *x: np.stack(x, 1), compose, finish, [*names, *([number] if number else [])], unit).drop("in_", *inputs)
+    return out.withColumn(number, F.col(number).cast("long")) if number else out
 
 
 # Means: a map is (keep, add, first, known) for each mean; the value is keep * first + add, and from the first known value on.
@@ -171,7 +188,7 @@ def smoothed(rows: DataFrame, unit: str = UNIT, **columns: tuple[str | Column, f
     fed = rows.withColumns({i: (F.col(c) if isinstance(c, str) else c).cast("double") for i, (c, _) in zip(inputs, columns.values())})
     width, maps, compose, values = means([w for _, w in columns.values()])
     names = list(columns)
-    return associative(fed, inputs, width, maps, compose, lambda total: dict(zip(names, values(total))), names, unit=unit).drop(*inputs)
+    return associative(fed, inputs, width, maps, compose, lambda total, _: dict(zip(names, values(total))), names, unit).drop(*inputs)
 
 
 def lines(rows: DataFrame, keep: list[Column], add: list[Column], names: list[str], unit: str = UNIT) -> DataFrame:
@@ -183,12 +200,12 @@ def lines(rows: DataFrame, keep: list[Column], add: list[Column], names: list[st
     def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.concatenate([a[:, :k] * b[:, :k], b[:, :k] * a[:, k:] + b[:, k:]], 1)
 
-    return associative(fed, inputs, 2 * k, lambda *x: np.stack(x, 1), compose, lambda total: dict(zip(names, total[:, k:].T)), names, unit=unit).drop(*inputs)
+    return associative(fed, inputs, 2 * k, lambda *x: np.stack(x, 1), compose, lambda total, _: dict(zip(names, total[:, k:].T)), names, unit).drop(*inputs)
 
 
-def ranged(bars: DataFrame, unit: str = UNIT) -> DataFrame:
+def ranged(bars: DataFrame, unit: str = UNIT, number: str | None = None, **columns: str) -> DataFrame:
     """bars with the close before (old_) and the true range, which for a symbol's first bar is null (tr_) or its span (first_)."""
-    out = before_row(bars, unit, old_="close")
+    out = before_row(bars, unit, number, old_="close", **columns)
     span = F.col("high") - F.col("low")
     tr = F.when(F.col("old_").isNotNull(), F.greatest(span, F.abs(F.col("high") - F.col("old_")), F.abs(F.col("low") - F.col("old_"))))
     return out.withColumn("tr_", tr).withColumn("first_", F.coalesce("tr_", span))
@@ -196,12 +213,20 @@ def ranged(bars: DataFrame, unit: str = UNIT) -> DataFrame:
 
 def atr_kinds(bars: DataFrame, n: int = 14, unit: str = UNIT) -> DataFrame:
     """The average true range in its forms, as in recursive.atr_kinds, and `sma`: from the simple mean of the first n ranges on (null before)."""
-    rows = ordinals(ranged(bars, unit), "i_", unit)
+    rows = ranged(bars, unit, "i_")
     seed = rows.where(F.col("i_").between(1, n)).groupBy("symbol").agg(F.when(F.count("tr_") == n, F.avg("tr_")).alias("seed_"))
-    rows = smoothed(rows, unit, rma=("first_", 1 / n), _w=("tr_", 1 / n), exp=("first_", 2 / (n + 1)), _slow=("first_", 2 / 21)).join(seed, "symbol", "left")
-    rows = lines(rows, [F.when(F.col("i_") <= n, 0.0).otherwise(1 - 2 / (n + 1))], [F.when(F.col("i_") < n, 0.0).when(F.col("i_") == n, F.col("seed_")).otherwise(F.col("first_") * 2 / (n + 1))], ["_sma"], unit)
-    out = before_row(rows.withColumns({"wilder": F.when(F.col("i_") >= n, F.col("_w")), "sma": F.when(F.col("i_") >= n, F.col("_sma"))}), unit, lagged="_slow")
-    return out.withColumnRenamed("tr_", "tr").drop("i_", "old_", "first_", "_w", "_slow", "_sma", "seed_")
+    w = {"rma": 1 / n, "_w": 1 / n, "exp": 2 / (n + 1), "_slow": 2 / 21}
+    width, maps, compose, values = means(list(w.values()))
+
+    def finish(total: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:
+        return dict(zip(w, values(total))) | {"lagged": values(past)[3]}
+
+    fed = rows.withColumns({"in0_": F.col("first_"), "in1_": F.col("tr_"), "in2_": F.col("first_"), "in3_": F.col("first_")})
+    rows = associative(fed, ["in0_", "in1_", "in2_", "in3_"], width, maps, compose, finish, [*w, "lagged"], unit).join(seed, "symbol", "left")
+    first = F.col("i_") <= n
+    rows = lines(rows, [F.when(first, 0.0).otherwise(1 - 2 / (n + 1))], [F.when(F.col("i_") < n, 0.0).when(first, F.col("seed_")).otherwise(F.col("first_") * 2 / (n + 1))], ["_sma"], unit)
+    out = rows.withColumns({"wilder": F.when(F.col("i_") >= n, F.col("_w")), "sma": F.when(F.col("i_") >= n, F.col("_sma"))})
+    return out.withColumnRenamed("tr_", "tr").drop("i_", "old_", "first_", "_w", "_slow", "_sma", "seed_", "in0_", "in1_", "in2_", "in3_")
 
 
 def share_of(up: Column, down: Column) -> Column:
@@ -218,7 +243,7 @@ def wilder_rsi(bars: DataFrame, n: int = 14, unit: str = UNIT) -> DataFrame:
 
 def seeded_rsi(bars: DataFrame, n: int = 14, unit: str = UNIT) -> DataFrame:
     """RSI whose means start as the simple means of the first n changes; null before."""
-    rows = ordinals(before_row(bars, unit, old_="close"), "i_", unit)
+    rows = before_row(bars, unit, "i_", old_="close")
     change = F.col("close") - F.col("old_")
     rows = rows.withColumns({"gain_": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "loss_": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
     seeds = rows.where(F.col("i_").between(1, n)).groupBy("symbol").agg(F.avg("gain_").alias("up0_"), F.avg("loss_").alias("down0_"))
@@ -241,7 +266,7 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, unit:
 
 def directional(bars: DataFrame, n: int = 14, unit: str = UNIT) -> DataFrame:
     """+DI, -DI and ADX from means with weight 1 / n that start at the first bar."""
-    rows = before_row(ranged(bars, unit), unit, h_="high", l_="low")
+    rows = ranged(bars, unit, None, h_="high", l_="low")
     up, down = F.coalesce(F.col("high") - F.col("h_"), F.lit(0.0)), F.coalesce(F.col("l_") - F.col("low"), F.lit(0.0))
     plus, minus = F.when((up > down) & (up > 0), up).otherwise(0.0), F.when((down > up) & (down > 0), down).otherwise(0.0)
     rows = smoothed(rows, unit, p_=(plus, 1 / n), m_=(minus, 1 / n), t_=("first_", 1 / n))
@@ -253,7 +278,7 @@ def directional(bars: DataFrame, n: int = 14, unit: str = UNIT) -> DataFrame:
 
 def seeded_ema(bars: DataFrame, n: int, column: str = "close", unit: str = UNIT) -> DataFrame:
     """Exponential mean from the simple mean of the first n values on, which is also what the first n rows get; null for shorter symbols."""
-    rows = ordinals(bars, "i_", unit)
+    rows = before_row(bars, unit, "i_")
     seeds = rows.where(F.col("i_") < n).groupBy("symbol").agg(F.when(F.count(F.lit(1)) == n, F.avg(column)).alias("seed_"))
     w, first = 2 / (n + 1), F.col("i_") < n
     rows = rows.join(seeds, "symbol")
@@ -263,10 +288,15 @@ def seeded_ema(bars: DataFrame, n: int, column: str = "close", unit: str = UNIT)
 
 def spread(bars: DataFrame, span: int = 100, unit: str = UNIT) -> DataFrame:
     """Exponentially weighted variance of log returns (1e-10 at least), and the deviation that the bar before had."""
-    rows = before_row(bars.withColumn("y_", F.log("close")), unit, old_="y_")
-    rows = smoothed(rows, unit, v_=(F.pow(F.col("y_") - F.col("old_"), 2), 2 / (span + 1)))
-    rows = before_row(rows.withColumn("ewvar", F.greatest(F.coalesce("v_", F.lit(1e-10)), F.lit(1e-10))), unit, past_var_="ewvar")
-    return rows.withColumn("sigma_before", F.sqrt("past_var_")).drop("y_", "old_", "v_", "past_var_")
+    rows = before_row(bars.withColumn("y_", F.log("close")), unit, "i_", old_="y_").withColumn("in_", F.pow(F.col("y_") - F.col("old_"), 2))
+    width, maps, compose, values = means([2 / (span + 1)])
+
+    def finish(total: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:
+        now, old = (np.fmax(values(x)[0], 1e-10) for x in (total, past))
+        return {"ewvar": now, "sigma_before": np.sqrt(old)}
+
+    out = associative(rows, ["in_"], width, maps, compose, finish, ["ewvar", "sigma_before"], unit)
+    return out.withColumn("sigma_before", F.when(F.col("i_") > 0, F.col("sigma_before"))).drop("y_", "old_", "in_", "i_")
 
 
 def normed(rows: DataFrame, span: int, column: str = "ret", unit: str = UNIT) -> DataFrame:
@@ -317,7 +347,7 @@ def kalman_trend(bars: DataFrame, process: float = 1e-4, span: int = 100, unit:
     An observation's noise is the exponentially weighted variance of log
     returns, 1e-10 at least; the slope's own noise is the share `process` of it.
     """
-    rows = ordinals(before_row(bars.withColumn("y_", F.log("close")), unit, old_="y_"), "i_", unit)
+    rows = before_row(bars.withColumn("y_", F.log("close")), unit, "i_", old_="y_")
     rows = smoothed(rows, unit, v_=(F.pow(F.col("y_") - F.col("old_"), 2), 2 / (span + 1)))
 
     def maps(y: np.ndarray, v: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -327,10 +357,10 @@ def kalman_trend(bars: DataFrame, process: float = 1e-4, span: int = 100, unit:
         first = [none, none, none, none, y, none, one, none, none, one, *[none] * 6]  # the state at a symbol's first bar is given
         return np.where((i == 0)[:, None], np.stack(first, 1), np.stack(later, 1))
 
-    def finish(total: np.ndarray) -> dict[str, np.ndarray]:
+    def finish(total: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
         return {"x_": total[:, 4], "s_": total[:, 5], "d_": total[:, 9]}
 
-    rows = associative(rows, ["y_", "v_", "i_"], 16, maps, _gaussian, finish, ["x_", "s_", "d_"], unit=unit)
+    rows = associative(rows, ["y_", "v_", "i_"], 16, maps, _gaussian, finish, ["x_", "s_", "d_"], unit)
     rows = smoothed(rows.withColumn("left_", F.when(F.col("i_") > 0, F.col("y_") - F.col("x_"))), unit, e_=(F.col("left_") * F.col("left_"), 2 / (span + 1)))
     late = F.col("i_") > span
     rows = rows.withColumns({"z": F.when(late, F.col("s_") / F.sqrt(F.greatest("d_", F.lit(1e-18)))), "level": F.exp("x_"), "dev": F.when(late, F.col("left_") / F.sqrt(F.greatest("e_", F.lit(1e-18))))})
