@@ -9,6 +9,7 @@ import tickframe.plans.feature_queries
 import tickframe.plans.learning_queries
 import tickframe.plans.order_queries
 import tickframe.plans.outcome_queries
+import tickframe.plans.pattern_queries
 import tickframe.plans.recurrences
 import tickframe.plans.relation_queries
 import tickframe.plans.reports
