@@ -12,12 +12,12 @@ N = """n AS MATERIALIZED (SELECT *, row_number() OVER o AS i, lag(close) OVER o
  FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar))"""
 
 
-def recursion(source: str, states: dict[str, tuple[str, str]]) -> str:
-    """The table rec: of each state its value at the first row of n and at a later one, which may use r (the row before), n and, by name with q_, states above it."""
+def recursion(source: str, states: dict[str, tuple[str, str]], rec: str = "rec", rows: str = "n") -> str:
+    """The table rec: of each state its value at the first row of n (or another table of rows) and at a later one, which may use r (the row before), n and, by name with q_, states above it."""
     first = ", ".join(f"({a})::{'DOUBLE' if not k.startswith('k_') else 'INT'} AS {k}" for k, (a, _) in states.items())
     later = ", ".join(f"({b})::{'DOUBLE' if not k.startswith('k_') else 'INT'} AS q_{k}" for k, (_, b) in states.items())
     names = ", ".join(f"q_{k}" for k in states)
-    return f"{source}, rec AS (SELECT symbol, bar, i, {first} FROM n WHERE i = 1 UNION ALL SELECT symbol, bar, i, {names} FROM (SELECT n.symbol, n.bar, n.i, {later} FROM rec r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1))"
+    return f"{source}, {rec} AS (SELECT symbol, bar, i, {first} FROM {rows} WHERE i = 1 UNION ALL SELECT symbol, bar, i, {names} FROM (SELECT n.symbol, n.bar, n.i, {later} FROM {rec} r JOIN {rows} n ON n.symbol = r.symbol AND n.i = r.i + 1))"
 
 
 def recurrence(name, f, columns, states, select, to=6):
