@@ -8,6 +8,7 @@ import tickframe.plans.estimator_queries
 import tickframe.plans.feature_queries
 import tickframe.plans.learning_queries
 import tickframe.plans.line_queries
+import tickframe.plans.null_queries
 import tickframe.plans.order_queries
 import tickframe.plans.outcome_queries
 import tickframe.plans.pattern_queries
