@@ -95,6 +95,21 @@ def test_recall_against_the_alignment_of_all_pairs(spark):
     assert gone >= 0.9 * want > 0
 
 
+def test_every_copy_that_an_earlier_document_has_goes(spark):
+    docs = [(1, "x\na"), (2, "x\np\nx\nq\nx"), (3, "x\nr\nx\ns\nx\nt\nx")]
+    rows = {r.doc_id: r for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[2].n_removed == 1 and sorted(rows[3].text.split("\n")) == ["r", "s", "t", "x"]
+    rnd = random.Random(5)
+    docs = [(i, "\n".join(f"l{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 30)))) for i in range(60)]
+    rows = {r.doc_id: r for r in lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    most = Counter()  # of each line the most copies that an earlier document has
+    for d, t in docs:
+        own = Counter(t.split("\n"))
+        gone = own - Counter(rows[d].text.split("\n") if rows[d].n_removed < len(t.split("\n")) else [])
+        assert all(gone[x] >= min(n, most[x]) and (not gone[x] or most[x]) for x, n in own.items())
+        most |= own
+
+
 def test_line_held_twice_or_in_another_order_by_the_first_document(spark):
     docs = [(1, "x\nP\ny\nP\nz"), (2, "u\nP\nv"), (3, "w\nP\nt"), (4, "a\nQ\nR"), (5, "R\nb\nQ")]
     rows = lines.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()

@@ -1,10 +1,11 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Lines are compared without white space at their ends. Two documents overlap
-if they share a seed: a line, two neighbouring lines, or all lines. For each
-seed every document is paired with the first one (smallest doc_id) that holds
-it, so that pairs grow with the documents and not with the square of a group,
-and no shared seed is passed over. A pair is aligned by patience diff; where a
+if they share a seed: the k-th copy of a line, two neighbouring lines, or all lines.
+For each seed every document is paired with the first one (smallest doc_id)
+that holds it, so that pairs grow with the documents and not with the square
+of a group, and no shared seed is passed over: a document that has a line m
+times meets the first one with it at least k times, for each k up to m. A pair is aligned by patience diff; where a
 stretch has no line that is unique on both sides, the k-th of equal lines is
 matched with the k-th. What is left of both is aligned again (PASSES times;
 single lines that are still common are then matched one by one), so that
@@ -20,11 +21,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.shared import bare, cut
+from tickframe.llm.text import mixed
 
 
 #: Alignments of a pair, one after the other, before what is left in common is matched line by line.
@@ -118,6 +121,24 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("d_id"), batch.column("d_hash"), lists], ["d_id", "d_hash", "dropped"])
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """d_id and d_hash of each document with a hash of each of its lines and the number of its copies before it."""
+    for batch in batches:
+        lists = batch.column("solid")
+        line = lists.flatten().to_numpy().view(np.uint64)
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((line, row))  # stable: copies stay in order
+        new = np.ones(len(order), bool)
+        new[1:] = (line[order[1:]] != line[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
+        first = np.flatnonzero(new)
+        copy = np.empty(len(order), np.uint64)
+        copy[order] = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+        seeds = mixed(line + copy * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(seeds))], [*batch.schema.names, "copies"])
+
+
 #: White space at the ends of lines that does not count.
 WHITE = " \t\r\x0b\x0c"
 
@@ -138,11 +159,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         F.transform(F.arrays_zip(F.slice("solid", 1, F.size("solid") - 1).alias("x"), F.slice("solid", 2, F.size("solid") - 1).alias("y")), lambda p: F.xxhash64(p["x"], p["y"], F.lit(2))),
     ).otherwise(F.array().cast("array<bigint>"))
     keys = F.concat(
-        F.transform(F.array_distinct("solid"), lambda x: F.xxhash64(x, F.lit(1))),
+        "copies",
         F.array_distinct(pairs),
         F.array(F.xxhash64("solid", F.lit(3))),
     )
-    seeds = rows.where(F.exists("lines", lambda x: x != 0)).withColumn("solid", solid).select("d_id", "d_hash", F.explode(keys).alias("seed"))
+    counted = rows.select("d_id", "d_hash", solid.alias("solid")).where("size(solid) > 0").mapInArrow(_copies, "d_id long, d_hash long, solid array<long>, copies array<long>")
+    seeds = counted.select("d_id", "d_hash", F.explode(keys).alias("seed"))
     first = (
         seeds.groupBy("seed")
         .agg(F.min(F.struct("d_id", "d_hash")).alias("p"), F.count("*").alias("n"))
