@@ -158,7 +158,7 @@ def before_row(rows: DataFrame, unit: str = UNIT, number: str | None = None, **c
     return out.withColumn(number, F.col(number).cast("long")) if number else out
 
 
-# Means: a map is (keep, add, first, known) for each mean; the value is keep * first + add, and from the first known value on.
+# Means: a map is (keep, add, first value, count of values) for each mean; the value is keep * first + add.
 
 
 def means(weights: list[float]) -> tuple[int, Callable[..., np.ndarray], Compose, Callable[[np.ndarray], list[np.ndarray]]]:
@@ -173,11 +173,12 @@ def means(weights: list[float]) -> tuple[int, Callable[..., np.ndarray], Compose
 
     def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         (keep, add, first, known), (keep2, add2, first2, known2) = (np.split(x, 4, 1) for x in (a, b))
-        return np.concatenate([keep * keep2, keep2 * add + add2, np.where(known > 0, first, first2), np.maximum(known, known2)], 1)
+        return np.concatenate([keep * keep2, keep2 * add + add2, np.where(known > 0, first, first2), known + known2], 1)
 
     def values(total: np.ndarray) -> list[np.ndarray]:
         keep, add, first, known = np.split(total, 4, 1)
-        return list(np.where(known > 0, keep * first + add, np.nan).T)
+        mean = np.where(known == 1, first, keep * first + add)  # the first value itself, without rounding
+        return list(np.where(known > 0, mean, np.nan).T)
 
     return 4 * k, maps, compose, values
 

@@ -18,6 +18,7 @@ import tickframe.plans.reports
 import tickframe.plans.scalar_queries
 import tickframe.plans.state_queries
 import tickframe.plans.statistic_queries
+import tickframe.plans.strategy_queries
 import tickframe.plans.stream_queries
 import tickframe.plans.study_queries
 import tickframe.plans.trigger_queries  # noqa: F401
