@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +50,34 @@ def fit(rows: DataFrame, features: list[str], target: str, penalty: float) -> Ri
     return Ridge(features, mean, scale, weights, float(base))
 
 
-def pair_weights(sums: DataFrame, penalty: float) -> DataFrame:
-    """Of sums for two features (as gram names them) the slopes _a, _b and _base: the two equations solved as expressions, a model a row."""
-    c, n = F.col, F.col("n")
-    m0, m1, my = c("s0") / n, c("s1") / n, c("y") / n
-    v0, v1, v01 = c("g0_0") / n - m0 * m0, c("g1_1") / n - m1 * m1, c("g0_1") / n - m0 * m1
-    r0, r1 = c("t0") / n - m0 * my, c("t1") / n - m1 * my
-    p0, p1 = v0 * (1 + penalty / n), v1 * (1 + penalty / n)
-    det = p0 * p1 - v01 * v01
-    a, b = (r0 * p1 - r1 * v01) / det, (r1 * p0 - r0 * v01) / det
-    return sums.withColumns({"_a": a, "_b": b}).withColumn("_base", my - F.col("_a") * m0 - F.col("_b") * m1)
+def solved(sums: DataFrame, key: str, k: int, penalty: float) -> DataFrame:
+    """Of sums for k features (as gram names them) a model a row: key, _w (the slopes) and _base.
+
+    A row's k x k system is solved in its task: the covariances, with the share
+    penalty / n of each variance added to it, against those with the target.
+    """
+    names = [*(f"{c}{i}" for c in "st" for i in range(k)), *(f"g{i}_{j}" for i in range(k) for j in range(i, k))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights, bases = [], []
+            for r in batch.to_pylist():
+                n = r["n"]
+                mean = np.array([r[f"s{i}"] for i in range(k)]) / n
+                cov = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n - np.outer(mean, mean)
+                right = np.array([r[f"t{i}"] for i in range(k)]) / n - mean * r["y"] / n
+                w = np.linalg.lstsq(cov + np.diag(np.diag(cov)) * penalty / n, right, rcond=None)[0]
+                weights.append(w.tolist())
+                bases.append(r["y"] / n - float(w @ mean))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(weights, pa.list_(pa.float64())), pa.array(bases, pa.float64())], [key, "_w", "_base"])
+
+    kind = sums.schema[key].dataType.simpleString()
+    return sums.select(key, "n", "y", *names).mapInArrow(run, f"`{key}` {kind}, _w array<double>, _base double")
 
 
 def _scored(rows: DataFrame, models: DataFrame, on: str, features: list[str]) -> DataFrame:
-    own = models.select(on, "_a", "_b", "_base")
-    return rows.join(own, on).withColumn("score", F.col("_a") * F.col(features[0]) + F.col("_b") * F.col(features[1]) + F.col("_base")).drop("_a", "_b", "_base")
+    terms = [F.get("_w", F.lit(i)) * F.col(f) for i, f in enumerate(features)]
+    return rows.join(models, on).withColumn("score", sum(terms, F.col("_base"))).drop("_w", "_base")
 
 
 def walked_forward(rows: DataFrame, period: str, features: list[str], target: str, penalty: float, least: int) -> DataFrame:
@@ -70,7 +85,7 @@ def walked_forward(rows: DataFrame, period: str, features: list[str], target: st
     sums = summed(rows, [period], features, target)
     before = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, -1)  # a row for each period
     past = sums.select(period, *(F.sum(n).over(before).alias(n) for n in gram(features, target))).where(F.col("n") >= least)
-    return _scored(rows, pair_weights(past, penalty), period, features)
+    return _scored(rows, solved(past, period, len(features), penalty), period, features)
 
 
 def out_of_fold(rows: DataFrame, fold: str, features: list[str], target: str, penalty: float) -> DataFrame:
@@ -78,4 +93,4 @@ def out_of_fold(rows: DataFrame, fold: str, features: list[str], target: str, pe
     sums = summed(rows, [fold], features, target)
     every = Window.partitionBy(F.lit(0))  # a row for each fold
     rest = sums.select(fold, *((F.sum(n).over(every) - F.col(n)).alias(n) for n in gram(features, target)))
-    return _scored(rows, pair_weights(rest, penalty), fold, features)
+    return _scored(rows, solved(rest, fold, len(features), penalty), fold, features)

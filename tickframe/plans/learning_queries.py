@@ -67,6 +67,44 @@ def fold_threshold(spark, sf_dir):
     return out.groupBy("symbol").agg(F.count("*").alias("n")).join(cuts, "symbol")
 
 
+WIDE = "count(*)::DOUBLE AS n, sum(y) AS y, " + ", ".join(f"sum({x}) AS s{i}, sum({x} * y) AS t{i}" for i, x in enumerate(("mom", "flow", "push"))) + ", " + ", ".join(f"sum({a} * {b}) AS g{i}{j}" for i, a in enumerate(("mom", "flow", "push")) for j, b in enumerate(("mom", "flow", "push")) if i <= j)
+WIDE_NAMES = ("n", "y", *(f"{c}{i}" for c in "st" for i in range(3)), *(f"g{i}{j}" for i in range(3) for j in range(i, 3)))
+
+
+def determinant(columns: list[list[str]]) -> str:
+    """SQL of the determinant of three columns of three expressions."""
+    (a, d, g), (b, e, h), (c, f, i) = columns
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def cramer(source: str, key: str) -> str:
+    """SQL of three slopes and the base by Cramer's rule, with a penalty of 10."""
+    v = f"SELECT {key}, n, y / n AS my, " + ", ".join(f"s{i} / n AS m{i}, t{i} / n - s{i} / n * y / n AS r{i}" for i in range(3)) + ", " + ", ".join(f"(g{i}{j} / n - s{i} / n * s{j} / n){' * (1 + 10 / n)' if i == j else ''} AS v{i}{j}" for i in range(3) for j in range(i, 3)) + f" FROM {source}"
+    matrix = [[f"v{min(i, j)}{max(i, j)}" for i in range(3)] for j in range(3)]
+    own = ["r0", "r1", "r2"]
+    weights = ", ".join(f"{determinant([own if j == k else matrix[j] for j in range(3)])} / {determinant(matrix)} AS w{k}" for k in range(3))
+    return f"SELECT {key}, w0, w1, w2, my - w0 * m0 - w1 * m1 - w2 * m2 AS base FROM (SELECT *, {weights} FROM ({v}))"
+
+
+WIDE_ROWS = f"{ROWS}, xw AS (SELECT * FROM x WHERE push IS NOT NULL)"
+
+
+@query("walk_forward_wide", f"WITH {BARS}, {WIDE_ROWS}, p AS (SELECT date_trunc('week', bar) AS week, {WIDE} FROM xw GROUP BY 1), c AS (SELECT week, {', '.join(f'sum({n}) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}' for n in WIDE_NAMES)} FROM p), w AS ({cramer('(SELECT * FROM c WHERE n >= 200)', 'week')}) SELECT symbol, bar, round(w0 * mom + w1 * flow + w2 * push + base, 6) AS score FROM xw JOIN w ON w.week = date_trunc('week', xw.bar)")
+def walk_forward_wide(spark, sf_dir):
+    """Scores of each week by three features over the weeks before it."""
+    rows = features(spark, sf_dir).where("push is not null").withColumn("week", F.date_trunc("week", "bar"))
+    return L.walked_forward(rows, "week", ["mom", "flow", "push"], "y", 10.0, 200).select("symbol", "bar", F.round("score", 6).alias("score"))
+
+
+@query("fold_threshold_wide", f"WITH {BARS}, {WIDE_ROWS}, z AS (SELECT *, day(bar) % 3 AS fold FROM xw), p AS (SELECT fold, {WIDE} FROM z GROUP BY 1), c AS (SELECT fold, {', '.join(f'sum({n}) OVER () - {n} AS {n}' for n in WIDE_NAMES)} FROM p), w AS ({cramer('c', 'fold')}), o AS (SELECT symbol, w0 * mom + w1 * flow + w2 * push + base AS score FROM z JOIN w USING (fold)) SELECT symbol, count(*) AS n, round(quantile_cont(score, 0.9), 6) AS cut FROM o GROUP BY 1")
+def fold_threshold_wide(spark, sf_dir):
+    """The 90 % point of out-of-fold scores of three features for each symbol."""
+    rows = features(spark, sf_dir).where("push is not null").withColumn("fold", F.dayofmonth("bar") % 3)
+    out = L.out_of_fold(rows, "fold", ["mom", "flow", "push"], "y", 10.0)
+    cuts = Q.percentiles(out, ["symbol"], "score", [0.9]).select("symbol", F.round("value", 6).alias("cut"))
+    return out.groupBy("symbol").agg(F.count("*").alias("n")).join(cuts, "symbol")
+
+
 @query("boosted_scores")
 def boosted_scores(spark, sf_dir):
     """Gradient-boosted trees on earlier bars, scores of later ones."""
