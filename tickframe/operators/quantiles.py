@@ -84,12 +84,12 @@ def percentile_columns(rows: DataFrame, by: list[str], value: str, shares: dict[
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()))
 
 
-def ordinals(rows: DataFrame, name: str, unit: str = "day") -> DataFrame:
-    """rows with their number (long, from 0) in the time of their symbol: numbered within slices of time, which start after the counts before them."""
+def ordinals(rows: DataFrame, name: str, unit: str = "day", order: str = "bar") -> DataFrame:
+    """rows with their number (long, from 0) in the time of their symbol (by `order`, which rises with bar): numbered within slices of time, which start after the counts before them."""
     slice_ = F.date_trunc(unit, "bar")
     before = Window.partitionBy("symbol").orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
     starts = rows.groupBy("symbol", slice_.alias("slice_")).agg(F.count(F.lit(1)).alias("n_")).select("symbol", "slice_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    inner = F.row_number().over(Window.partitionBy("symbol", "slice_").orderBy("bar")) - 1
+    inner = F.row_number().over(Window.partitionBy("symbol", "slice_").orderBy(order)) - 1
     out = rows.withColumn("slice_", slice_).join(starts, ["symbol", "slice_"])
     return out.withColumn(name, (F.col("start_") + inner).cast("long")).drop("slice_", "start_")
 

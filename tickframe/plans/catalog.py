@@ -16,6 +16,7 @@ import tickframe.plans.recurrences
 import tickframe.plans.relation_queries
 import tickframe.plans.reports
 import tickframe.plans.scalar_queries
+import tickframe.plans.situation_queries
 import tickframe.plans.state_queries
 import tickframe.plans.statistic_queries
 import tickframe.plans.strategy_queries
