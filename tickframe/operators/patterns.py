@@ -28,11 +28,11 @@ def by_side() -> Window:
 
 
 def sided(bars: DataFrame, usual: int = 20) -> DataFrame:
-    """bars once as they are (side 1) and once mirrored (side -1): o, h, l, c, atr, volume over the mean of the `usual` bars before (rel) and number i."""
+    """bars once as they are (side 1) and once mirrored (side -1): o, h, l, c, v, atr, volume over the mean of the `usual` bars before (rel) and number i."""
     rows = W.atr(W.relative_volume(bars, usual))
     long = F.struct(F.lit(1).alias("side"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
     short = F.struct(F.lit(-1).alias("side"), (-F.col("open")).alias("o"), (-F.col("low")).alias("h"), (-F.col("high")).alias("l"), (-F.col("close")).alias("c"))
-    both = rows.select("symbol", "bar", "atr", "rel", F.explode(F.array(long, short)).alias("x")).select("symbol", "x.side", "bar", "x.o", "x.h", "x.l", "x.c", "atr", "rel")
+    both = rows.select("symbol", "bar", "atr", "rel", F.col("volume").alias("v"), F.explode(F.array(long, short)).alias("x")).select("symbol", "x.side", "bar", "x.o", "x.h", "x.l", "x.c", "atr", "rel", "v")
     return both.withColumn("i", F.row_number().over(by_side()))
 
 
@@ -194,3 +194,77 @@ def _latest(found: DataFrame, setup: str, level: Column, goal: Column) -> DataFr
     stop = real(lowest(found) - 0.2 * F.col("at.atr"))
     out = found.select("symbol", "at.bar", "side", F.lit(setup).alias("setup"), F.struct(F.col("bar").alias("began"), real(level).alias("level"), stop.alias("stop"), real(goal).alias("target")).alias("x"))
     return out.groupBy("symbol", "bar", "side", "setup").agg(F.max_by("x", "x.began").alias("x")).select("symbol", "bar", "side", "setup", "x.*")
+
+
+def range_setups(rows: DataFrame, n: int = 48) -> DataFrame:
+    """Setups in a range of the n bars before that is two to eight ranges high: `fade` (a low in its lowest fifth, closing
+    inside its lower half), `break` (a heavy close over it), and a sweep of its floor that closes back, which is a `spring`
+    after a fall of six ranges and with fading volume, and without such a fall a `reclaim`."""
+    w, half = by_side(), n // 2
+    rows = ranges(rows, n)
+    back = by_side().rowsBetween(-3 * n, -n - 1)
+    recent, older = F.avg("v").over(before(half)), F.avg("v").over(by_side().rowsBetween(-2 * half, -half - 1))
+    fell = F.lag("c", n).over(w) - F.max("h").over(back) <= -6 * F.col("atr")
+    rows = rows.withColumns({"fell": F.when(F.count(F.lit(1)).over(back) == 2 * n, fell), "fades": recent < older, "tall": F.col("top") - F.col("floor")})
+    a, tall = F.col("atr"), F.col("tall")
+    inside, middle = tall.between(2 * a, 8 * a), (F.col("floor") + F.col("top")) / 2
+    sweep = (F.col("l") < F.col("floor") - 0.1 * a) & (F.col("c") > F.col("floor"))
+    kinds = {
+        "fade": ((F.col("l") <= F.col("floor") + 0.2 * tall) & (F.col("c") > F.col("floor")) & (F.col("c") < middle), F.col("floor") - 0.3 * a, F.col("top") - 0.1 * tall),
+        "break": ((F.col("c") > F.col("top")) & (F.col("rel") >= 1.5), middle, F.col("top") + tall),
+        "spring": (F.col("fell") & F.col("fades") & sweep, F.col("l") - 0.1 * a, F.col("top")),
+        "reclaim": (~F.col("fell") & sweep, F.col("l") - 0.1 * a, F.col("top")),
+    }
+    found = F.array(*(F.struct(F.lit(k).alias("setup"), test.alias("ok"), real(stop).alias("stop"), real(goal).alias("target")) for k, (test, stop, goal) in kinds.items()))
+    out = rows.where(inside).withColumn("e", F.explode(F.filter(found, lambda e: e["ok"])))
+    return out.select("symbol", "bar", "side", "e.setup", "e.stop", "e.target")
+
+
+def body_fakeouts(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Closes back over the latest known dip after a close under it (later than the bar that made it known)."""
+    rows, w = peaks(rows, k), by_side()
+    known = F.when(F.lag("dip", k).over(w), F.struct(F.lag("l", k).over(w).alias("price"), F.lag("i", k).over(w).alias("i")))
+    rows = rows.withColumn("_k", known).withColumn("d", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"old_c": F.lag("c").over(w), "old_l": F.lag("l").over(w)})
+    found = rows.where((F.col("old_c") < F.col("d.price")) & (F.col("c") > F.col("d.price")) & (F.col("i") - 1 > F.col("d.i") + k) & F.col("atr").isNotNull())
+    return found.select("symbol", "bar", "side", real(F.col("d.price")).alias("level"), real(F.least("l", "old_l") - 0.1 * F.col("atr")).alias("stop"))
+
+
+def stop_hunts(rows: DataFrame, back: int = 120, k: int = 3, deep: float = 0.1, near: float = 0.25) -> DataFrame:
+    """Bars that sweep a known dip of the last `back` bars by `deep` ranges and close over it, where another dip lies within
+    `near` ranges of it; the newest such dip is the level."""
+    rows = peaks(rows, k).withColumn("path", F.collect_list(F.struct("i", "l", "dip")).over(before(back))).where("atr is not null")
+    lows = F.filter("path", lambda x: x["dip"] & (x["i"] <= F.col("i") - k))
+    rows = rows.withColumn("lows", lows)
+    swept = F.filter("lows", lambda p: (F.col("l") < p["l"] - deep * F.col("atr")) & (F.col("c") > p["l"]) & (F.size(F.filter("lows", lambda q: F.abs(q["l"] - p["l"]) <= near * F.col("atr"))) >= 2))
+    rows = rows.withColumn("p", F.try_element_at(swept, F.lit(-1))).where("p is not null")
+    return rows.select("symbol", "bar", "side", real(F.col("p.l")).alias("level"), real(F.col("l") - 0.1 * F.col("atr")).alias("stop"))
+
+
+def impulse_pullbacks(rows: DataFrame, parts: tuple[float, ...] = (0.382, 0.5, 0.618, 0.705, 0.786), back: int = 96, expiry: int = 48, k: int = 3, tall: float = 4.0, deep: float = 0.05) -> DataFrame:
+    """Limit entries into an impulse, when its peak becomes known: from the latest dip before the peak (within `back` bars
+    of now), `tall` ranges high, with no lower low on the way and no higher high since. Levels are parts of the leg off the
+    peak under the close, and the volume-weighted price since the dip. at is the first bar of the next `expiry` whose low is
+    `deep` ranges under the level, before a high over the peak or a close under the stop; null if it is not filled."""
+    rows, w = peaks(rows, k), by_side()
+    rows = rows.withColumns({"new": F.lag("peak", k).over(w), "path": F.collect_list(F.struct("i", "h", "l", "c", "v", "dip")).over(w.rowsBetween(-back, 0)), "next": F.collect_list(F.struct("bar", "h", "l", "c")).over(w.rowsBetween(1, expiry))})
+    rows = rows.where("new and atr is not null").withColumn("peak_i", F.col("i") - k)
+    rows = rows.withColumn("top", F.get(F.filter("path", lambda x: x["i"] == F.col("peak_i")), F.lit(0))["h"])
+    dips = F.filter("path", lambda x: x["dip"] & (x["i"] < F.col("peak_i")))
+    rows = rows.withColumn("d", F.try_element_at(dips, F.lit(-1))).where("d is not null")
+    since = F.filter("path", lambda x: x["i"] >= F.col("d.i"))
+    rows = rows.withColumn("leg", since)
+    lower = F.exists("leg", lambda x: (x["i"] <= F.col("peak_i")) & (x["l"] < F.col("d.l")))
+    higher = F.exists("leg", lambda x: x["h"] > F.col("top"))
+    rows = rows.where((F.col("top") - F.col("d.l") >= tall * F.col("atr")) & ~lower & ~higher)
+    traded = F.aggregate("leg", F.lit(0.0), lambda s, x: s + x["v"])
+    mean = F.aggregate("leg", F.lit(0.0), lambda s, x: s + (x["h"] + x["l"] + x["c"]) / 3 * x["v"]) / F.greatest(traded, F.lit(1e-12))
+    height = F.col("top") - F.col("d.l")
+    levels = F.array(*(F.struct(F.lit(f"fib_{p}").alias("setup"), (F.col("top") - p * height).alias("level")) for p in parts), F.struct(F.lit("vwap").alias("setup"), mean.alias("level")))
+    rows = rows.withColumn("e", F.explode(levels)).where((F.col("e.level") < F.col("c")) & (F.col("e.level") > F.col("d.l")))
+    stop = F.col("d.l") - 0.1 * F.col("atr")
+    hit = first_at(F.col("next"), lambda x: x["l"] <= F.col("e.level") - deep * F.col("atr"))
+    gone = first_at(F.col("next"), lambda x: (x["h"] > F.col("top")) | (x["c"] < stop))
+    rows = rows.withColumns({"hit": hit, "gone": gone, "stop": stop})
+    at = F.when(F.col("gone").isNull() | (F.col("hit") < F.col("gone")), F.get("next", F.col("hit").cast("int") - 1)["bar"])
+    return rows.select("symbol", "bar", "side", "e.setup", real(F.col("e.level")).alias("level"), real(F.col("stop")).alias("stop"), real(F.col("top")).alias("target"), at.alias("at"))

@@ -19,7 +19,7 @@ def next_(n: int) -> str:
 
 
 SIDED = f"""WITH {BARS}, {TR}, rg AS (SELECT *, CASE WHEN count(*) OVER w >= 14 THEN avg(tr) OVER w END AS atr, volume / nullif(avg(volume) OVER {before(20)}, 0) AS rel FROM tr WINDOW w AS {last(14)}),
- sd AS (SELECT symbol, 1 AS side, bar, open AS o, high AS h, low AS l, close AS c, atr, rel FROM rg UNION ALL SELECT symbol, -1, bar, -open, -low, -high, -close, atr, rel FROM rg),
+ sd AS (SELECT symbol, 1 AS side, bar, open AS o, high AS h, low AS l, close AS c, volume AS v, atr, rel FROM rg UNION ALL SELECT symbol, -1, bar, -open, -low, -high, -close, volume, atr, rel FROM rg),
  n AS MATERIALIZED (SELECT *, row_number() OVER {KEY} AS i FROM sd)"""
 
 
@@ -125,3 +125,48 @@ def break_outcomes(spark, sf_dir):
     found = P.break_retests(rows).withColumn("side", F.when(F.col("setup") == "fake", -F.col("side")).otherwise(F.col("side")))
     sums = found.groupBy("symbol", "side").agg(F.count_if(F.col("setup") == "retest").alias("retests"), F.count_if(F.col("setup") == "fake").alias("fakes"))
     return breaks.join(sums, ["symbol", "side"], "left").na.fill(0)
+
+
+RANGED = f"""{SIDED}, g AS (SELECT *, CASE WHEN count(*) OVER p = 48 THEN max(h) OVER p END AS top, CASE WHEN count(*) OVER p = 48 THEN min(l) OVER p END AS flr, avg(v) OVER q AS recent, avg(v) OVER o AS older, CASE WHEN count(*) OVER b = 96 THEN lag(c, 48) OVER {KEY} - max(h) OVER b <= -6 * atr END AS fell FROM n WINDOW p AS {prior(48)}, q AS {prior(24)}, o AS (PARTITION BY symbol, side ORDER BY bar ROWS BETWEEN 48 PRECEDING AND 25 PRECEDING), b AS (PARTITION BY symbol, side ORDER BY bar ROWS BETWEEN 144 PRECEDING AND 49 PRECEDING)), t AS (SELECT *, top - flr AS tall FROM g WHERE top - flr BETWEEN 2 * atr AND 8 * atr)"""
+
+
+@query(
+    "range_setups",
+    f"{RANGED} SELECT symbol, bar, side::INT AS side, 'fade' AS setup, round(side * (flr - 0.3::DOUBLE * atr), 6) AS stop, round(side * (top - 0.1::DOUBLE * tall), 6) AS target FROM t WHERE l <= flr + 0.2::DOUBLE * tall AND c > flr AND c < (flr + top) / 2 UNION ALL SELECT symbol, bar, side, 'break', round(side * (flr + top) / 2, 6), round(side * (top + tall), 6) FROM t WHERE c > top AND rel >= 1.5 UNION ALL SELECT symbol, bar, side, CASE WHEN fell THEN 'spring' ELSE 'reclaim' END, round(side * (l - 0.1::DOUBLE * atr), 6), round(side * top, 6) FROM t WHERE l < flr - 0.1::DOUBLE * atr AND c > flr AND (NOT fell OR (fell AND recent < older))",
+)
+def range_setups(spark, sf_dir):
+    """Fades, breaks, springs and reclaims of the two-day range."""
+    return rounded(P.range_setups(sides(spark, sf_dir)), "symbol", "bar", "side", "setup", "stop", "target")
+
+
+@query(
+    "body_fakeouts",
+    f"{PEAKED}, d AS (SELECT symbol, side, i, i + 3 AS ready, l FROM pk WHERE dip), a AS (SELECT n.*, lag(n.c) OVER w AS oc, lag(n.l) OVER w AS ol, d.l AS price, d.i AS di FROM n ASOF LEFT JOIN d ON d.symbol = n.symbol AND d.side = n.side AND n.i >= d.ready WINDOW w AS (PARTITION BY n.symbol, n.side ORDER BY n.i)) SELECT symbol, bar, side::INT AS side, round(side * price, 6) AS level, round(side * (least(l, ol) - 0.1::DOUBLE * atr), 6) AS stop FROM a WHERE oc < price AND c > price AND i - 1 > di + 3 AND atr IS NOT NULL",
+)
+def body_fakeouts(spark, sf_dir):
+    """Closes beyond the last swing that the next bar takes back."""
+    return rounded(P.body_fakeouts(sides(spark, sf_dir)), "symbol", "bar", "side", "level", "stop")
+
+
+@query(
+    "stop_hunts",
+    f"{PEAKED}, d AS (SELECT symbol, side, i, l FROM pk WHERE dip), q AS (SELECT n.symbol, n.side, n.bar, n.i, n.l, n.atr, d.i AS di, d.l AS price FROM n JOIN d ON d.symbol = n.symbol AND d.side = n.side AND d.i BETWEEN n.i - 120 AND n.i - 3 WHERE n.atr IS NOT NULL AND n.l < d.l - 0.1::DOUBLE * n.atr AND n.c > d.l), e AS (SELECT q.*, row_number() OVER (PARTITION BY q.symbol, q.side, q.i ORDER BY q.di DESC) AS newest FROM q WHERE EXISTS (SELECT 1 FROM d WHERE d.symbol = q.symbol AND d.side = q.side AND d.i BETWEEN q.i - 120 AND q.i - 3 AND d.i <> q.di AND abs(d.l - q.price) <= 0.25::DOUBLE * q.atr)) SELECT symbol, bar, side::INT AS side, round(side * price, 6) AS level, round(side * (l - 0.1::DOUBLE * atr), 6) AS stop FROM e WHERE newest = 1",
+)
+def stop_hunts(spark, sf_dir):
+    """Sweeps of equal lows (or highs) that close back."""
+    return rounded(P.stop_hunts(sides(spark, sf_dir)), "symbol", "bar", "side", "level", "stop")
+
+
+PARTS = (0.382, 0.5, 0.618, 0.705, 0.786)
+IMPULSE = f"""{PEAKED}, u AS (SELECT n.symbol, n.side, n.bar, n.i, n.c, n.atr, p.i AS pi, p.h AS top FROM n JOIN pk p ON p.symbol = n.symbol AND p.side = n.side AND p.i = n.i - 3 AND p.peak WHERE n.atr IS NOT NULL),
+ v AS (SELECT u.*, d.i AS di, d.l AS low, row_number() OVER (PARTITION BY u.symbol, u.side, u.i ORDER BY d.i DESC) AS nth FROM u JOIN pk d ON d.symbol = u.symbol AND d.side = u.side AND d.dip AND d.i < u.pi AND d.i >= u.i - 96),
+ x AS (SELECT v.symbol, v.side, v.bar, v.i, v.c, v.atr, v.top, v.low, sum((m.h + m.l + m.c) / 3 * m.v) / greatest(sum(m.v), 1e-12) AS vwap FROM v JOIN n m ON m.symbol = v.symbol AND m.side = v.side AND m.i BETWEEN v.di AND v.i WHERE nth = 1 AND top - low >= 4 * v.atr GROUP BY ALL HAVING max(m.h) <= top AND min(CASE WHEN m.i <= v.i - 3 THEN m.l END) >= low),
+ e AS (SELECT *, unnest([{', '.join(f"{{'s': 'fib_{p}', 'level': top - {p}::DOUBLE * (top - low)}}" for p in PARTS)}, {{'s': 'vwap', 'level': vwap}}]) AS e FROM x),
+ k AS (SELECT *, e.s AS setup, e.level AS level, low - 0.1::DOUBLE * atr AS stop FROM e WHERE e.level < c AND e.level > low),
+ f AS (SELECT k.symbol, k.side, k.i, k.setup, m.bar AS at, m.l <= k.level - 0.05::DOUBLE * k.atr AS hit, m.h > k.top OR m.c < k.stop AS gone, row_number() OVER (PARTITION BY k.symbol, k.side, k.i, k.setup ORDER BY m.i) AS nth FROM k JOIN n m ON m.symbol = k.symbol AND m.side = k.side AND m.i BETWEEN k.i + 1 AND k.i + 48 WHERE m.l <= k.level - 0.05::DOUBLE * k.atr OR m.h > k.top OR m.c < k.stop)"""
+
+
+@query("impulse_pullbacks", f"{IMPULSE} SELECT k.symbol, k.bar, k.side::INT AS side, k.setup, round(k.side * k.level, 6) AS level, round(k.side * k.stop, 6) AS stop, round(k.side * k.top, 6) AS target, CASE WHEN f.hit AND NOT f.gone THEN f.at END AS at FROM k LEFT JOIN f ON f.symbol = k.symbol AND f.side = k.side AND f.i = k.i AND f.setup = k.setup AND f.nth = 1")
+def impulse_pullbacks(spark, sf_dir):
+    """Fibonacci and anchored-price entries into the last impulse, and when they are filled."""
+    return rounded(P.impulse_pullbacks(sides(spark, sf_dir)), "symbol", "bar", "side", "setup", "level", "stop", "target", "at")
