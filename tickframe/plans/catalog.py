@@ -5,6 +5,7 @@ from __future__ import annotations
 import tickframe.plans.decision_queries
 import tickframe.plans.detectors
 import tickframe.plans.estimator_queries
+import tickframe.plans.family_queries
 import tickframe.plans.feature_queries
 import tickframe.plans.learning_queries
 import tickframe.plans.line_queries
