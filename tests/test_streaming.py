@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tickframe.operators import relations as R
-from tickframe.sources.sinks import KeyedTable, row_id
+from tickframe.sources.sinks import keyed_rows, row_id, upserting
 from tickframe.sources.tables import ticks
 from tickframe.streaming import flow
 
@@ -75,15 +75,19 @@ def test_orders_expire_when_the_watermark_passes(spark, tmp_path):
 
 def test_keyed_sink_is_idempotent_and_never_revises_final_rows(spark, tmp_path):
     schema = "key string, status string, r double"
-    table = KeyedTable(spark, f"{tmp_path}/t", schema, lambda old, new: R.kept_final(old, new, ["key"], "status", ["CLOSED"]))
+    write = upserting(spark, f"{tmp_path}/t", schema, ["key"], lambda old, new: R.kept_final(old, new, ["key"], "status", ["CLOSED"]), 8)
     rows = [[("x", "OPEN", 0.0), ("y", "CLOSED", 1.0)], [("x", "CLOSED", 2.0), ("y", "OPEN", 9.0)], [("x", "OPEN", 7.0), ("z", "OPEN", 3.0)]]
     for k, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        spark.readStream.schema(schema).parquet(f"{tmp_path}/in").writeStream.foreachBatch(table.sink()).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
+        spark.readStream.schema(schema).parquet(f"{tmp_path}/in").writeStream.foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
     want = [("x", "CLOSED", 2.0), ("y", "CLOSED", 1.0), ("z", "OPEN", 3.0)]
-    assert sorted(map(tuple, table.read().collect())) == want
-    table.write(spark.createDataFrame([("x", "OPEN", 5.0)], schema), table.versions()[-1])  # a replayed batch
-    assert sorted(map(tuple, table.read().collect())) == want and len(table.versions()) == 2
+    assert sorted(map(tuple, keyed_rows(spark, f"{tmp_path}/t", schema).collect())) == want
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    write(spark.createDataFrame(rows[2], schema).where("key = 'z'"), 2)  # a batch that comes again
+    assert sorted(map(tuple, keyed_rows(spark, f"{tmp_path}/t", schema).collect())) == want
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    assert len(set(before) - set(after)) == 1 and len(set(before) & set(after)) == len(before) - 1  # other partitions stay
+    write(spark.createDataFrame([], schema), 3)
     ids = [r[0] for r in spark.createDataFrame(rows[0] + rows[0], schema).select(row_id("key", "status")).collect()]
     assert ids[:2] == ids[2:] and ids[0] != ids[1]
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,20 +56,43 @@ def nearest_levels(rows: DataFrame, levels: DataFrame, by: str, price: str) -> D
     return both.withColumns({"below": below, "above": above}).where("_level is null").drop("_level", "_at")
 
 
-def nearest_rows(queries: DataFrame, points: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """The k nearest points (id, vector) of each query (id, vector) by Euclidean distance, ties by id.
+def nearest_rows(queries: DataFrame, points: DataFrame, k: int, block: int = 4096, part: int = 100_000) -> DataFrame:
+    """The k nearest points (id, vector) of each query (id, vector) by Euclidean distance, ties by id; vectors are of one length, null ones are left out.
 
     A stated query set against all points, in blocks: queries are dealt to
-    blocks of a fixed number, every point meets each block, and each task of
-    points keeps k a query; the partial lists are merged by query.
+    blocks of about `block` rows and points to parts of about `part` (16 at
+    least), as many as the counts ask for, and each pair of a block and a part
+    is a group of its own, so no task holds more than one of both. A task passes its points once in batches and keeps k a query; only
+    these lists are written and merged by query.
     """
-    width = F.aggregate(F.zip_with("q", "p", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("q"), F.pmod(F.xxhash64("id"), F.lit(block)).alias("_block"))
-    many = asked.groupBy("_block").agg(F.collect_list(F.struct("query", "q")).alias("asked"))
-    met = points.select(F.col("id").alias("near"), F.col("vector").alias("p")).join(many, F.lit(True)).select("near", "p", F.explode("asked").alias("a")).select("near", "p", "a.query", "a.q")
-    apart = met.where("query <> near").select("query", "near", F.sqrt(width).alias("distance"))
+    queries, points = queries.where("vector is not null"), points.where("vector is not null")
+    asked, parts = max(1, -(-queries.count() // block)), max(16, -(-points.count() // part))
+    own = queries.select(F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", F.col("vector").cast("array<double>").alias("vector"))
+    some = points.select(F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", F.col("vector").cast("array<double>").alias("vector"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.list_flatten(column).to_numpy().reshape(len(column), -1)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        query, near, apart = (np.zeros(0, t) for t in (np.int64, np.int64, float))
+        if len(left) and len(right):
+            ids, q = left.column("id").to_numpy(), matrix(left.column("vector"))
+            for at in range(0, len(right), 1024):  # so many points at once
+                rows = right.slice(at, 1024)
+                other, p = rows.column("id").to_numpy(), matrix(rows.column("vector"))
+                d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2)) if q.shape[0] * p.shape[0] * q.shape[1] <= 1 << 24 else np.stack([np.sqrt(((x - p) ** 2).sum(1)) for x in q])
+                i, j = np.nonzero(ids[:, None] != other[None])
+                query, near, apart = np.concatenate([query, ids[i]]), np.concatenate([near, other[j]]), np.concatenate([apart, d[i, j]])
+                order = np.lexsort((near, apart, query))
+                query, near, apart = query[order], near[order], apart[order]
+                first = np.flatnonzero(np.diff(query, prepend=query[0] - 1 if len(query) else 0))
+                keep = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query))) < k
+                query, near, apart = query[keep], near[keep], apart[keep]
+        return pa.table({"query": pa.array(query), "near": pa.array(near), "distance": pa.array(apart)})
+
+    found = own.groupBy("block", "part").cogroup(some.groupBy("block", "part")).applyInArrow(met, "query long, near long, distance double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "near"))
-    return apart.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def clustered_levels(levels: DataFrame, by: str, tolerance: float) -> DataFrame:

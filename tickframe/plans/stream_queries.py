@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickframe.plans.queries import BARS, TICKS, hourly, query
 from tickframe.sources import files
-from tickframe.sources.sinks import KeyedTable
+from tickframe.sources.sinks import keyed_rows, upserting
 from tickframe.sources.tables import scratch, table
 from tickframe.streaming import flow
 
@@ -38,12 +38,12 @@ def stream_upsert(spark, sf_dir):
         both = old.unionByName(new)
         return both.groupBy("symbol", "user_id").agg(F.max_by(F.struct("ts", "id", "price"), F.struct("ts", "id")).alias("r")).select("symbol", "user_id", "r.*")
 
-    target = KeyedTable(spark, f"{where}/table", schema, newest)
+    write = upserting(spark, f"{where}/table", schema, ["symbol", "user_id"], newest)
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     ticks = raw.select(F.col("event_type").alias("symbol"), "user_id", "ts", F.col("event_id").alias("id"), F.col("value").alias("price"))
-    run = ticks.writeStream.foreachBatch(target.sink()).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    run = ticks.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return target.read().select("symbol", "user_id", "id", "price")
+    return keyed_rows(spark, f"{where}/table", schema).select("symbol", "user_id", "id", "price")
 
 
 @query("range_bars", f"WITH {BARS} SELECT symbol, bar AS start, close FROM bars WHERE bar >= TIMESTAMP '2024-01-10' AND bar + INTERVAL 1 hour <= TIMESTAMP '2024-01-12 12:30:00'")

@@ -1,4 +1,4 @@
-"""Keyed tables as versioned folders, and logs that only grow; for batches and as foreachBatch writers."""
+"""Writers for batches and for foreachBatch: tables by key, of which a batch rewrites only what it touches, and logs that only grow."""
 
 from __future__ import annotations
 
@@ -8,46 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
+#: Partitions of a keyed table, by the hash of its keys.
+PARTS = 64
 
 
-class KeyedTable:
-    """A table that each write makes anew from its last version and a batch: versions are folders v=<n>, the newest
-    complete one counts. A write that dies leaves no marker, so the version before stays the table; a batch
-    that comes again (same id) is passed over, so replays change nothing."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, merge: Merge):
-        self.spark, self.path, self.schema, self.merge = spark, path.rstrip("/"), schema, merge
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def versions(self) -> list[int]:
-        """Numbers of the complete versions; a listing of a few folders."""
-        fs, where = self._fs(self.path)
-        if not fs.exists(where):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(where)]
-        whole = [n for n in names if n.startswith("v=") and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[2:]) for n in whole)
-
-    def read(self) -> DataFrame:
-        known = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={known[-1]}") if known else self.spark.createDataFrame([], self.schema)
-
-    def write(self, batch: DataFrame, number: int) -> None:
-        """Version `number` from the last one and the batch; a number that is there already is not written again."""
-        known = self.versions()
-        if known and number <= known[-1]:
-            return
-        self.merge(self.read(), batch).write.mode("overwrite").parquet(f"{self.path}/v={number}")
-        for old in known[:-1]:  # the last two stay: a reader may still be on the one before
-            fs, where = self._fs(f"{self.path}/v={old}")
-            fs.delete(where, True)
-
-    def sink(self) -> Callable[[DataFrame, int], None]:
-        """For writeStream.foreachBatch: the batch's number names the version."""
-        return lambda batch, number: self.write(batch, number)
+def keyed_rows(spark: SparkSession, path: str, schema: str, parts: list[int] | None = None) -> DataFrame:
+    """The rows of a table that upserting writes, or of some of its partitions; none before its first batch."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, part_ int").parquet(path)
+    return (rows if parts is None else rows.where(F.col("part_").isin(parts))).drop("part_")
+
+
+def upserting(spark: SparkSession, path: str, schema: str, keys: list[str], merge: Merge, parts: int = PARTS) -> Callable[[DataFrame, int], None]:
+    """A writer (batch, number) for writeStream.foreachBatch: merge(old, new) of the rows of those partitions that the batch touches.
+
+    The table lies in `parts` partitions by the hash of the keys; Spark
+    replaces the touched ones (dynamic overwrite). Spark may hand over a batch
+    again after a failure, so merge must give the same rows when a batch comes
+    twice, as upserts by key do.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+    def write(batch: DataFrame, number: int) -> None:
+        touched = [r[0] for r in batch.select(part).distinct().collect()]  # `parts` at most
+        if touched:
+            made = merge(keyed_rows(spark, path, schema, touched), batch).withColumn("part_", part).repartition("part_")
+            made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_").parquet(path)
+
+    return write
 
 
 def appended(events: DataFrame, path: str) -> None:
