@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickframe.operators import families as T
-from tickframe.plans.queries import BARS, OVER, TR, before, hourly, last, query
+from tickframe.operators import joins as J
+from tickframe.operators import parallel as P
+from tickframe.plans.queries import BARS, OVER, RACE, TR, before, hourly, last, query, race, rounded
 
 
 def out(x: str, window: str, n: int, centred: bool) -> str:
@@ -56,3 +58,51 @@ def family_edges(spark, sf_dir):
     found = T.triggers(T.trigger_sides(bars, "view"), 0).join(ahead, ["symbol", "bar"]).where("fwd is not null")
     gain = F.col("side") * F.col("fwd")
     return found.groupBy("family").agg(F.count("*").alias("n"), F.round(F.avg(gain), 6).alias("edge"), F.round(F.avg((gain > 0).cast("double")), 6).alias("hit"))
+
+
+def scan(x: str, weight: str) -> str:
+    """SQL of an exponential mean over a list of all values so far."""
+    return f"list_reduce(list({x}) OVER (PARTITION BY symbol ORDER BY day), lambda a, v: a + (v - a) * {weight})"
+
+
+KNOWN = f"""{RACE}, h AS (SELECT *, hour(bar) AS hr, close / lag(close, 24) OVER {OVER} - 1 AS r24, close / lag(close, 4) OVER {OVER} - 1 AS r4, avg(volume) OVER {last(4)} / nullif(avg(volume) OVER {last(48)}, 0) AS rv, (2 * buy - volume) / nullif(volume, 0) AS rate, stddev_pop(close / open - 1) OVER {last(24)} / nullif(stddev_pop(close / open - 1) OVER {last(96)}, 0) AS volr, avg(close) OVER {last(20)} AS m20, avg(close) OVER {last(50)} AS m50, sum((high + low + close) / 3 * volume) OVER d / nullif(sum(volume) OVER d, 0) AS vwap FROM bars WINDOW d AS (PARTITION BY symbol, date_trunc('day', bar) ORDER BY bar)),
+ dy AS (SELECT symbol, date_trunc('day', bar)::TIMESTAMP AS day, max(high) AS h, min(low) AS l, arg_max(close, bar) AS c FROM bars GROUP BY 1, 2), dt AS (SELECT *, greatest(h - l, abs(h - coalesce(lag(c) OVER w, c)), abs(l - coalesce(lag(c) OVER w, c))) AS tr FROM dy WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+ de AS (SELECT symbol, day + INTERVAL 1 day AS bar, c AS dc, {scan('c', '(2.0::DOUBLE / 21)')} AS e20, {scan('c', '(2.0::DOUBLE / 51)')} AS e50, {scan('tr', '(1.0::DOUBLE / 14)')} AS da FROM dt),
+ ld AS (SELECT bar, r24 AS lead24 FROM h WHERE symbol = 'view'), ev AS (SELECT t.symbol, t.bar, CASE WHEN t.result = 'LOSS' THEN -1 ELSE 1 END AS side, h.* EXCLUDE (symbol, bar), lead24 FROM trades t JOIN h USING (symbol, bar) LEFT JOIN ld USING (bar)),
+ j AS (SELECT ev.*, dc, e20, e50, da FROM ev ASOF LEFT JOIN de ON de.symbol = ev.symbol AND ev.bar >= de.bar)"""
+
+
+@query("event_features", f"WITH {KNOWN.removeprefix('WITH ')} SELECT symbol, bar, side, round(da / close, 6) AS d_pct, CASE WHEN close > m20 AND m20 > m50 THEN 1 WHEN close < m20 AND m20 < m50 THEN -1 ELSE 0 END AS regime, round(volr, 6) AS volr, hr::INT AS hour, (isodow(bar) - 1)::INT AS weekday, round(side * r24, 6) AS own_day, round(side * lead24, 6) AS lead_day, round(side * r4, 6) AS own_four, round(side * rate, 6) AS paid, round(rv, 6) AS rv, round(side * (close - vwap) / da, 6) AS off_vwap, round(side * (close - e50) / da, 6) AS off_mean, side * CASE WHEN dc > e50 AND e20 > e50 THEN 1 WHEN dc < e50 AND e20 < e50 THEN -1 ELSE 0 END AS day_trend FROM j")
+def event_features(spark, sf_dir):
+    """Thirteen features of each event, of the last closed hour and of the last complete day; a lost one is taken as short, so that both sides occur."""
+    w, c = T.W.order(), F.col
+    rows = T.W.vwap(hourly(spark, sf_dir)).withColumn("body", c("close") / c("open") - 1)
+    day = F.date_trunc("day", "bar")
+    days = rows.groupBy("symbol", day.alias("bar")).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar").alias("close"))
+    days = P.smoothed(P.ranged(days, "month"), "month", e20=("close", 2 / 21), e50=("close", 2 / 51), da=("first_", 1 / 14))
+    known = days.select("symbol", (c("bar") + F.expr("interval 1 day")).alias("bar"), c("close").alias("dc"), "e20", "e50", "da")
+
+    def mean(x, n):
+        return F.avg(x).over(T.W.last(n))
+
+    rows = rows.withColumns({"r24": c("close") / F.lag("close", 24).over(w) - 1, "r4": c("close") / F.lag("close", 4).over(w) - 1, "rv": mean("volume", 4) / F.nullif(mean("volume", 48), F.lit(0.0)), "rate": (2 * c("buy") - c("volume")) / F.nullif(c("volume"), F.lit(0.0)), "volr": F.stddev_pop("body").over(T.W.last(24)) / F.nullif(F.stddev_pop("body").over(T.W.last(96)), F.lit(0.0)), "m20": mean("close", 20), "m50": mean("close", 50)})
+    lead = rows.where("symbol = 'view'").select("bar", c("r24").alias("lead24"))
+    events = race(spark, sf_dir).select("symbol", "bar", F.when(c("result") == "LOSS", -1).otherwise(1).alias("side"))
+    met = J.as_of(events.join(rows.drop("n"), ["symbol", "bar"]).join(lead, "bar", "left"), known, "bar", "symbol", ["dc", "e20", "e50", "da"])
+    side = c("side")
+    features = {
+        "d_pct": c("da") / c("close"),
+        "regime": F.when((c("close") > c("m20")) & (c("m20") > c("m50")), 1).when((c("close") < c("m20")) & (c("m20") < c("m50")), -1).otherwise(0),
+        "volr": c("volr"),
+        "hour": F.hour("bar"),
+        "weekday": F.weekday("bar"),
+        "own_day": side * c("r24"),
+        "lead_day": side * c("lead24"),
+        "own_four": side * c("r4"),
+        "paid": side * c("rate"),
+        "rv": c("rv"),
+        "off_vwap": side * (c("close") - c("day_vwap")) / c("da"),
+        "off_mean": side * (c("close") - c("e50")) / c("da"),
+        "day_trend": side * F.when((c("dc") > c("e50")) & (c("e20") > c("e50")), 1).when((c("dc") < c("e50")) & (c("e20") < c("e50")), -1).otherwise(0),
+    }
+    return rounded(met.select("symbol", "bar", "side", *(x.alias(n) for n, x in features.items())), "symbol", "bar", "side", *features)
