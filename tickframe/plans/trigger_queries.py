@@ -255,9 +255,34 @@ def formula_library(spark, sf_dir):
 
 
 
-@query("kalman_acceleration")
+THIRD = {
+    "y": ("ln(close)", "ln(n.close)"),
+    "v": ("NULL", "CASE WHEN r.v IS NULL THEN pow(q_y - r.y, 2) ELSE r.v + (2.0::DOUBLE / 101) * (pow(q_y - r.y, 2) - r.v) END"),
+    "o": ("0", "greatest(q_v, 1e-10)"),
+    "h00": ("0", "r.p00 + r.p11 + 0.25 * r.p22 + 2 * r.p01 + r.p02 + r.p12"),
+    "h01": ("0", "r.p01 + r.p02 + r.p11 + 1.5 * r.p12 + 0.5 * r.p22"),
+    "h02": ("0", "r.p02 + r.p12 + 0.5 * r.p22"),
+    "h11": ("0", "r.p11 + 2 * r.p12 + r.p22"),
+    "h12": ("0", "r.p12 + r.p22"),
+    "h22": ("0", "r.p22 + 1e-6 * q_o"),
+    "w": ("0", "q_h00 + q_o"),
+    "e": ("0", "q_y - r.x - r.s - 0.5 * r.a"),
+    "x": ("ln(close)", "r.x + r.s + 0.5 * r.a + q_h00 / q_w * q_e"),
+    "s": ("0", "r.s + r.a + q_h01 / q_w * q_e"),
+    "a": ("0", "r.a + q_h02 / q_w * q_e"),
+    "p00": ("1", "q_h00 - q_h00 * q_h00 / q_w"),
+    "p01": ("0", "q_h01 - q_h00 * q_h01 / q_w"),
+    "p02": ("0", "q_h02 - q_h00 * q_h02 / q_w"),
+    "p11": ("1", "q_h11 - q_h01 * q_h01 / q_w"),
+    "p12": ("0", "q_h12 - q_h01 * q_h02 / q_w"),
+    "p22": ("1", "q_h22 - q_h02 * q_h02 / q_w"),
+}
+
+
+@query("kalman_acceleration", f"WITH RECURSIVE {BARS}, {recursion(N, THIRD)} SELECT symbol, bar, CASE WHEN i > 101 THEN round(s / sqrt(greatest(p11, 1e-18)), 4) END AS slope_z, CASE WHEN i > 101 THEN round(a / sqrt(greatest(p22, 1e-18)), 4) END AS accel_z FROM rec")
 def kalman_acceleration(spark, sf_dir):
-    return R.kalman_acceleration(hourly(spark, sf_dir)).select("symbol", "bar", "slope_z", "accel_z")
+    """Slope and acceleration of log close over their standard errors."""
+    return rounded(R.kalman_acceleration(hourly(spark, sf_dir)), "symbol", "bar", "slope_z", "accel_z", to=4)
 
 
 def lined(kind: int, name: str) -> str:
