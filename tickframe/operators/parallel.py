@@ -287,17 +287,36 @@ def seeded_ema(bars: DataFrame, n: int, column: str = "close", unit: str = UNIT)
     return rows.withColumn(f"sema{n}", F.when(F.col("seed_").isNotNull(), F.col("mean_"))).drop("i_", "seed_", "mean_")
 
 
+def squared_changes(weight: float) -> tuple[int, Callable[..., np.ndarray], Compose, Callable[[np.ndarray], np.ndarray]]:
+    """Width, maps, composition and values of the exponential mean of squared changes of an input without nulls.
+
+    A map holds its count of rows, its first and last input and the mean of the
+    changes within; composing two adds the change between them. values gives
+    the mean, NaN before the first change.
+    """
+    _, _, join, mean = means([weight])
+
+    def maps(y: np.ndarray, *_: np.ndarray) -> np.ndarray:
+        one, none = np.ones_like(y), np.zeros_like(y)
+        return np.stack([one, y, y, one, none, none, none], 1)
+
+    def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        change = (b[:, 1] - a[:, 2]) ** 2
+        between = np.stack([np.full_like(change, 1 - weight), weight * change, change, np.ones_like(change)], 1)
+        return np.concatenate([a[:, :1] + b[:, :1], a[:, 1:2], b[:, 2:3], join(join(a[:, 3:], between), b[:, 3:])], 1)
+
+    return 7, maps, compose, lambda total: mean(total[:, 3:])[0]
+
+
 def spread(bars: DataFrame, span: int = 100, unit: str = UNIT) -> DataFrame:
     """Exponentially weighted variance of log returns (1e-10 at least), and the deviation that the bar before had."""
-    rows = before_row(bars.withColumn("y_", F.log("close")), unit, "i_", old_="y_").withColumn("in_", F.pow(F.col("y_") - F.col("old_"), 2))
-    width, maps, compose, values = means([2 / (span + 1)])
+    width, maps, compose, values = squared_changes(2 / (span + 1))
 
     def finish(total: np.ndarray, past: np.ndarray) -> dict[str, np.ndarray]:
-        now, old = (np.fmax(values(x)[0], 1e-10) for x in (total, past))
-        return {"ewvar": now, "sigma_before": np.sqrt(old)}
+        now, old = (np.fmax(values(x), 1e-10) for x in (total, past))
+        return {"ewvar": now, "sigma_before": np.where(total[:, 0] > 1, np.sqrt(old), np.nan)}
 
-    out = associative(rows, ["in_"], width, maps, compose, finish, ["ewvar", "sigma_before"], unit)
-    return out.withColumn("sigma_before", F.when(F.col("i_") > 0, F.col("sigma_before"))).drop("y_", "old_", "in_", "i_")
+    return associative(bars.withColumn("y_", F.log("close")), ["y_"], width, maps, compose, finish, ["ewvar", "sigma_before"], unit).drop("y_")
 
 
 def normed(rows: DataFrame, span: int, column: str = "ret", unit: str = UNIT) -> DataFrame:
@@ -348,8 +367,8 @@ def kalman_trend(bars: DataFrame, process: float = 1e-4, span: int = 100, unit:
     An observation's noise is the exponentially weighted variance of log
     returns, 1e-10 at least; the slope's own noise is the share `process` of it.
     """
-    rows = before_row(bars.withColumn("y_", F.log("close")), unit, "i_", old_="y_")
-    rows = smoothed(rows, unit, v_=(F.pow(F.col("y_") - F.col("old_"), 2), 2 / (span + 1)))
+    width, changes, join, values = squared_changes(2 / (span + 1))
+    rows = associative(bars.withColumn("y_", F.log("close")), ["y_"], width, changes, join, lambda total, _: {"i_": total[:, 0] - 1, "v_": values(total)}, ["i_", "v_"], unit)
 
     def maps(y: np.ndarray, v: np.ndarray, i: np.ndarray) -> np.ndarray:
         noise = np.maximum(np.where(i == 0, 1.0, v), 1e-10)
@@ -365,4 +384,4 @@ def kalman_trend(bars: DataFrame, process: float = 1e-4, span: int = 100, unit:
     rows = smoothed(rows.withColumn("left_", F.when(F.col("i_") > 0, F.col("y_") - F.col("x_"))), unit, e_=(F.col("left_") * F.col("left_"), 2 / (span + 1)))
     late = F.col("i_") > span
     rows = rows.withColumns({"z": F.when(late, F.col("s_") / F.sqrt(F.greatest("d_", F.lit(1e-18)))), "level": F.exp("x_"), "dev": F.when(late, F.col("left_") / F.sqrt(F.greatest("e_", F.lit(1e-18))))})
-    return rows.drop("i_", "y_", "old_", "v_", "x_", "s_", "d_", "left_", "e_")
+    return rows.drop("i_", "y_", "v_", "x_", "s_", "d_", "left_", "e_")
