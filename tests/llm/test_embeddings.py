@@ -1,3 +1,5 @@
+import datetime
+
 import numpy as np
 
 from tickframe.llm import embeddings as E
@@ -67,3 +69,11 @@ def test_empty_and_repeated(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = sorted(map(tuple, E.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True)]
+
+
+def test_labels_of_other_types(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.01], "a"), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], None), (5, [0.0, 1.0], "a")]
+    want = {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True)}
+    for kind, of in (("string", lambda x: x), ("double", lambda x: None if x is None else float(ord(x))), ("date", lambda x: None if x is None else datetime.date(2024, 1, ord(x) - 90))):
+        frame = spark.createDataFrame([(i, e, of(g)) for i, e, g in rows], f"vec_id long, embedding array<double>, label {kind}")
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(frame).collect()} == want

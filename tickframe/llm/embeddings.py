@@ -188,7 +188,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     Equal vectors of a label are compared once and counted as often as they
     come. Defined cases: a row whose vector is null, empty, zero or holds a
     null or non-finite component, or whose label is null, links with nothing;
-    vectors of different sizes never link; repeated rows are vectors of their
+    a label may be of any type that can be compared; vectors of different sizes never link; repeated rows are vectors of their
     own that link with each other; an empty table gives an empty result. Of
     vectors only those three columns are read, so others cannot clash.
     """
@@ -204,7 +204,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     bits, bands = banding(most, threshold, miss)
 
     stored = cut(same.select("label", "vec", "copies", "embedding").mapInArrow(lambda x: _coded(x, bits, bands), f"label {kind}, vec long, copies long, embedding array<{part}>, code binary, factor double"))
-    placed = stored.select("vec", "label", F.size("embedding").alias("size"), "code").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long")
+    placed = stored.select("vec", F.xxhash64("label").alias("label"), F.size("embedding").alias("size"), "code").mapInArrow(lambda x: _banded(x, bits, bands), "bucket long, band int, vec long")
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = placed.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
     small = shared.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("meets"), "band", "vec", F.lit(0).alias("block"), F.lit(False).alias("cross"))

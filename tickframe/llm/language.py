@@ -26,6 +26,7 @@ from tickframe.llm.shared import bare, fields_of
 BITS = 18
 #: Labelled rows to learn from, at most: chosen by the hash of doc_id and text, evenly over the languages; of texts of more bytes than LONGEST none.
 SAMPLE, LONGEST = 2400, 1 << 16
+#: Chains that teach: each is put together from one to three runs of neighbouring words of the sample, so that languages change within.
 CHAINS = 4000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -129,7 +130,11 @@ def held_out() -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Model from the text and lang of docs that are not held out; None if no row teaches anything."""
+    """Model from the text and lang of docs that are not held out; None if no row teaches anything.
+
+    At most `sample` rows of at most LONGEST bytes teach, evenly over the
+    languages, through CHAINS chains made of their words.
+    """
     turn = F.xxhash64("doc_id", "text", F.lit(11))
     known = docs.select("doc_id", "text", "lang", turn.alias("turn")).where(F.col("lang").isNotNull() & ~held_out()).where(F.trim("text") != "").where(F.octet_length("text") <= LONGEST)
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language

@@ -45,8 +45,9 @@ BITS = 16
 SAMPLE, LONGEST = 6000, 1 << 16
 #: Chains without a base span that teach, at most; taken at even distances.
 OUTSIDE = 6000
-#: Altered copies of each line with a base span.
-ALTERED = 4
+#: Altered copies of each line with a base span; of one text so many base spans, its first ones, are altered, and of a
+#: line so many characters on either side of the value go with it.
+ALTERED, EACH, AROUND = 4, 8, 400
 _LOW, _UP, _NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = (_NUM + _UP, _NUM + _LOW + _UP, _NUM + _LOW + _UP + "+/", _NUM + _LOW + _UP + "_-", _NUM + "abcdef", _NUM + "ABCDEF")
 
@@ -176,7 +177,7 @@ def altered(text: str, span: tuple[int, int, str], value: tuple[int, int], rnd:
     """The line of a base span with another key word and another value, and where it then holds a secret."""
     low, high = text.rfind("\n", 0, value[0]) + 1, text.find("\n", value[1])
     high = len(text) if high < 0 else high
-    before, after = text[low : value[0]][-400:], text[value[1] : high][:400]
+    before, after = text[low : value[0]][-AROUND:], text[value[1] : high][:AROUND]
     masked = "".join(rnd.choice(_LOW) for _ in range(rnd.randint(3, 10)))
     if span[2] == "assign":
         head = before[: len(before) - (value[0] - span[0])] if value[0] - span[0] <= len(before) else ""
@@ -246,7 +247,7 @@ def _lessons(texts: list[str]) -> Iterator[tuple[pa.Array, list[str], list[list[
         values = [_values(t, s) for t, s in zip(own, spans)]
         yield column, own, values, False
         for text, some, places in zip(own, spans, values):
-            for span, value in zip(some[:8], places[:8]):
+            for span, value in zip(some[:EACH], places[:EACH]):
                 lines += [altered(text, span, value, rnd) for _ in range(ALTERED)]
     for at in range(0, len(lines), 4000):
         own = [t for t, _ in lines[at : at + 4000]]
@@ -284,7 +285,12 @@ def _trained(texts: list[str]) -> Tagger:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """Tagger from at most `sample` rows of docs, of at most LONGEST bytes each; None if there is none."""
+    """Tagger from at most `sample` rows of docs, of at most LONGEST bytes each; None if there is none.
+
+    All base spans of these texts teach; altered lines (ALTERED copies each)
+    come from the first EACH of a text, with AROUND characters on either side,
+    and OUTSIDE chains without a span teach what is none.
+    """
     chosen = sampled(docs.select("doc_id", "text").where(F.octet_length("text").between(1, LONGEST)), sample, "doc_id", "text")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
