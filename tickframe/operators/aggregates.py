@@ -60,11 +60,13 @@ def auc(rows: DataFrame, score: str, label: str, by: str) -> DataFrame:
 def false_discovery(tests: DataFrame, p: str = "p", q: float = 0.1, parts: int = 1024) -> DataFrame:
     """Benjamini-Hochberg: tests (one row for each hypothesis) with rank, limit and verdict.
 
-    p falls into `parts` even intervals; ranks are counted within an interval
-    and start after the tests of the intervals before, a table of `parts` rows
-    at most, so no task sorts all tests.
+    p falls into `parts` even intervals, the first of which is parted again by
+    the logarithm of p, as small p are many; ranks are counted within an
+    interval and start after the tests of the intervals before, a table of a
+    bounded number of rows, so no task sorts all tests.
     """
-    placed = tests.withColumn("_part", F.least(F.floor(F.col(p) * parts), F.lit(parts - 1)).cast("int"))
+    small = F.when(F.col(p) > 0, -F.least(F.floor(-F.log2(F.col(p) * parts)), F.lit(1074))).otherwise(-1075)
+    placed = tests.withColumn("_part", F.when(F.col(p) * parts < 1, small).otherwise(F.least(F.floor(F.col(p) * parts), F.lit(parts - 1))).cast("int"))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     below = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"), F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m"))
