@@ -13,6 +13,7 @@ import tickframe.plans.null_queries
 import tickframe.plans.order_queries
 import tickframe.plans.outcome_queries
 import tickframe.plans.pattern_queries
+import tickframe.plans.pressure_queries
 import tickframe.plans.recurrences
 import tickframe.plans.relation_queries
 import tickframe.plans.reports
