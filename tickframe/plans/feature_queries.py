@@ -53,8 +53,17 @@ frame(
 )
 
 
+#: Weights of the last eleven values for the derivatives of their cubic at its end (numerators and denominator).
+MOTION = {
+    1: ((-525, 258, 529, 431, 107, -300, -647, -791, -589, 102, 1425), 2574),
+    2: ((-120, 42, 108, 103, 52, -20, -88, -127, -112, -18, 180), 858),
+    3: ((-30, 6, 22, 23, 14, 0, -14, -23, -22, -6, 30), 858),
+}
+
+
 def weighted(derivative):
-    return " + ".join(f"lag(close, {10 - i}) OVER {OVER} * ({w!r}::DOUBLE)" for i, w in enumerate(W.end_weights(11, 3, derivative)))
+    numbers, base = MOTION[derivative]
+    return "(" + " + ".join(f"lag(close, {10 - i}) OVER {OVER} * ({w}::DOUBLE)" for i, w in enumerate(numbers)) + f") / {base}"
 
 
 frame("motion", W.motion, ["velocity", "acceleration", "jerk"], f"SELECT symbol, bar, round({weighted(1)}, 4) AS velocity, round({weighted(2)}, 4) AS acceleration, round({weighted(3)}, 4) AS jerk FROM bars", to=4)
