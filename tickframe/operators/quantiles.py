@@ -194,11 +194,13 @@ def expanding_mask(rows: DataFrame, column: str, share: float = 0.1, least: int
     The bounds `high` and `low` are the values at floor(m (1 - share)) and
     floor(m share) of the first m in order, for m = least, least + every, ...:
     a row uses the latest m that lies before it, and none before `least`.
+    Columns of rows named high, low, top or bottom give way to these.
     """
-    own = ordinals(rows.where(F.col(column).isNotNull()), "i_")
+    rows = rows.withColumn("v_", F.col(column).cast("double")).drop("high", "low", "top", "bottom")
+    own = ordinals(rows.where("v_ is not null"), "i_")
     after = F.call_function("div", F.col("i_") - least, F.lit(every))
     own = cut(own.withColumn("k_", F.when(F.col("i_") >= least, after)))
-    values = own.select("symbol", F.coalesce(F.col("k_") + 1, F.lit(0)).cast("long").alias("block"), F.col(column).cast("double").alias("v"))
+    values = own.select("symbol", F.coalesce(F.col("k_") + 1, F.lit(0)).cast("long").alias("block"), F.col("v_").alias("v"))
     marks = own.groupBy("symbol").agg(F.max("k_").alias("top_")).where("top_ is not null")
     marks = marks.select("symbol", F.explode(F.sequence(F.lit(0).cast("long"), "top_")).alias("id")).withColumn("m_", F.col("id") * every + least)
     both = F.array(F.floor(F.col("m_") * (1 - share)), F.floor(F.col("m_") * share))
@@ -207,15 +209,15 @@ def expanding_mask(rows: DataFrame, column: str, share: float = 0.1, least: int
     bounds = found.join(asked.select("symbol", "id", "m_").distinct(), ["symbol", "id"]).groupBy("symbol", F.col("id").alias("k_"))
     is_high, is_low = F.col("rank") == F.floor(F.col("m_") * (1 - share)), F.col("rank") == F.floor(F.col("m_") * share)
     bounds = bounds.agg(F.max(F.when(is_high, F.col("value"))).alias("high"), F.max(F.when(is_low, F.col("value"))).alias("low"))
-    v = F.col(column)
+    v = F.col("v_")
     out = own.join(bounds, ["symbol", "k_"], "left")
-    return out.withColumns({"top": F.coalesce(v >= F.col("high"), F.lit(False)), "bottom": F.coalesce(v <= F.col("low"), F.lit(False))}).drop("k_", "i_")
+    return out.withColumns({"top": F.coalesce(v >= F.col("high"), F.lit(False)), "bottom": F.coalesce(v <= F.col("low"), F.lit(False))}).drop("k_", "i_", "v_")
 
 
 def trailing_quantile(rows: DataFrame, column: str, days: int, share: float) -> DataFrame:
     """rows with `cut`: the exact quantile of the values of the days before a row's own, the same for all rows of a day; null without any."""
     day = F.datediff(F.to_date("bar"), F.lit("1970-01-01").cast("date")).cast("long")
-    own = rows.withColumn("day_", day)
+    own = rows.withColumn("day_", day).drop("cut")
     known = own.where(F.col(column).isNotNull())
     counts = known.groupBy("symbol", "day_").agg(F.count(F.lit(1)).alias("n_"))
     some = own.select("symbol", "day_").distinct().join(counts, ["symbol", "day_"], "left")
