@@ -519,21 +519,35 @@ def smoothers(bars: DataFrame, period: int = 10, gamma: float = 0.7) -> DataFram
     return scanned(bars, start, ["close"], "smooth double, kama double, laguerre double, zlema double")
 
 
-def cooled(events: DataFrame, gap: float) -> DataFrame:
-    """Events (symbol, at in seconds, id) at least gap after the last one kept: a greedy choice for each symbol."""
+def _stretches(batch: pa.RecordBatch, by: str) -> Iterator[tuple[object, int, int]]:
+    """Keys of a sorted batch with the bounds of their rows."""
+    codes = batch.column(by).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    edges = [*np.flatnonzero(np.diff(codes, prepend=codes[0] - 1)).tolist(), len(codes)] if len(codes) else [0]
+    for low, high in zip(edges, edges[1:]):
+        yield batch.column(by)[low].as_py(), low, high
 
-    def start() -> Step:
-        free = -math.inf
 
-        def step(at):
-            nonlocal free
-            keep = at >= free
-            free = at + gap if keep else free
-            return (keep,)
+def cooled(events: DataFrame, gap: float) -> DataFrame:
+    """Events (symbol, at in seconds, id) at least gap after the last one kept: a greedy choice for each symbol.
 
-        return step
+    A task jumps by binary search from one kept event to the next, so it takes a step for each of these.
+    """
 
-    return scanned(events, start, ["at"], "keep_ boolean", on=("at", "id")).where("keep_").drop("keep_")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, -math.inf
+        for batch in batches:
+            at, keep = batch.column("at").to_numpy(), np.zeros(batch.num_rows, bool)
+            for name, low, high in _stretches(batch, "symbol"):
+                if name != key:
+                    key, free = name, -math.inf
+                i = low + int(np.searchsorted(at[low:high], free))
+                while i < high:
+                    keep[i], free = True, at[i] + gap
+                    i = max(i + 1, low + int(np.searchsorted(at[low:high], free)))
+            yield batch.filter(pa.array(keep))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
+    return events.repartition("symbol").sortWithinPartitions("symbol", "at", "id").mapInArrow(run, schema)
 
 
 def without_overlap(trades: DataFrame) -> DataFrame:
@@ -554,21 +568,33 @@ def without_overlap(trades: DataFrame) -> DataFrame:
 
 
 def threshold_bars(ticks: DataFrame, threshold: str, value: str = "value") -> DataFrame:
-    """The number of the bar of each tick (symbol, ts, id): a bar ends with the tick that takes its sum of `value` to the column `threshold`."""
-
-    def start() -> Step:
-        total, number = 0.0, 0
-
-        def step(v, limit):
-            nonlocal total, number
-            total, own = total + v, number
-            if total >= limit:
-                total, number = 0.0, number + 1
-            return (own,)
+    """The number of the bar of each tick (symbol, ts, id): a bar ends with the tick that takes its sum of `value` to the column `threshold`.
 
-        return step
+    A task sums stretches of ticks at once, from each bar's start on, so it takes a step for each bar and stretch.
+    """
+    stretch = 512
 
-    return scanned(ticks, start, [value, threshold], "number long", on=("ts", "id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, number = None, 0.0, 0
+        for batch in batches:
+            v, limit = (batch.column(n).to_numpy(zero_copy_only=False) for n in (value, threshold))
+            out = np.zeros(batch.num_rows, np.int64)
+            for name, i, high in _stretches(batch, "symbol"):
+                if name != key:
+                    key, total, number = name, 0.0, 0
+                while i < high:
+                    to = min(i + stretch, high)
+                    sums = np.cumsum(np.concatenate([[total], v[i:to]]))[1:]
+                    full = np.flatnonzero(sums >= limit[i:to])
+                    if len(full):
+                        to = i + int(full[0]) + 1
+                    out[i:to] = number
+                    total, number = (0.0, number + 1) if len(full) else (sums[-1], number)
+                    i = to
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "number"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ticks.schema.fields), "number long"])
+    return ticks.repartition("symbol").sortWithinPartitions("symbol", "ts", "id").mapInArrow(run, schema)
 
 
 def structure(bars: DataFrame) -> DataFrame:
