@@ -32,9 +32,9 @@ from tickframe.llm.shared import cut
 
 LEAST_DOCUMENTS, TOP = 30, 50
 #: Bytes of text that are counted at once.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Partial rows that a task gathers before it hands them on, and groups that a pass over the runs compares with.
-ROWS, GROUPS, GROUP_BYTES = 1 << 20, 20_000, 4 << 20
+ROWS, GROUPS, GROUP_BYTES = 1 << 19, 20_000, 4 << 20
 #: Numbers that a task holds at once for partial pairs.
 CELLS = 1 << 22
 SMOOTH, WHOLE = 5, 1_000_000_000
