@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickframe.operators import patterns as P
-from tickframe.plans.queries import BARS, OVER, TR, before, hourly, last, query, rounded
+from tickframe.plans.queries import BARS, TR, before, hourly, last, query, rounded
 
 KEY = "(PARTITION BY symbol, side ORDER BY bar)"
 

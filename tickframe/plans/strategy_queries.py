@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickframe.operators import strategies as S
-from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, QUERIES, last
-from tickframe.plans.queries import hourly, query
+from tickframe.plans.queries import BARS, ORACLE_SQL, OVER, QUERIES, hourly, last, query
 from tickframe.plans.recurrences import LINE, N, mean, recursion
 
 W14, W2 = "(1.0::DOUBLE / 14)", "0.5::DOUBLE"
@@ -118,8 +117,7 @@ REVERSION = {
     "m08": (level("cci", -100, True), level("cci", 100, False)),
     "m09": (level("mfi", 20, True), level("mfi", 80, False)),
 }
-NEIGHBOURS = f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)", f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)"
-WIDER = f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)", f"(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)"
+NEIGHBOURS = "(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING)", "(PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)"
 SHAPED = f"""{INDICATED}, fr AS (SELECT *, CASE WHEN count(*) OVER a = 2 AND count(*) OVER b = 2 AND high > max(high) OVER a AND high > max(high) OVER b THEN high END AS fh, CASE WHEN count(*) OVER a = 2 AND count(*) OVER b = 2 AND low < min(low) OVER a AND low < min(low) OVER b THEN low END AS fl FROM i WINDOW a AS {NEIGHBOURS[0]}, b AS {NEIGHBOURS[1]}),
  ff AS (SELECT *, {lag('fh', 2)} AS fh2, {lag('fl', 2)} AS fl2 FROM fr), fg AS (SELECT *, last_value(fh2 IGNORE NULLS) OVER {OVER} AS ftop, last_value(fl2 IGNORE NULLS) OVER {OVER} AS fflr FROM ff),
  mi AS MATERIALIZED (SELECT symbol, s.way, bar, fg.i, CASE WHEN s.way > 0 THEN low ELSE -high END AS l, CASE WHEN s.way > 0 THEN high ELSE -low END AS h, s.way * close AS x, atr FROM fg, (VALUES (1), (-1)) s(way)),
