@@ -52,23 +52,42 @@ def sided(long: Column, short: Column) -> Column:
     return F.when(long, 1).when(short, -1).otherwise(0)
 
 
-def with_indicators(bars: DataFrame) -> DataFrame:
-    """bars with the columns that the strategies read."""
+#: Exponential means that a family reads.
+MEANS = {
+    "trend": ("e9", "e20", "e21", "e50", "e200", "e12", "e26", "p_", "m_", "atr14"),
+    "breakout": ("e20", "atr14"),
+    "reversion": ("e200", "up14_", "dn14_", "up2_", "dn2_"),
+    "action": ("e50", "atr14"),
+    "flow": ("e50", "e200", "e12", "e26", "up14_", "dn14_"),
+}
+
+
+def with_indicators(bars: DataFrame, family: str) -> DataFrame:
+    """bars with the columns that a family of strategies reads; scans run for its own means alone."""
     change = F.coalesce(c("close") - old("close"), F.lit(0.0))
     up, down = F.coalesce(c("high") - old("high"), F.lit(0.0)), F.coalesce(old("low") - c("low"), F.lit(0.0))
     span = F.greatest(c("high") - c("low"), F.abs(c("high") - F.coalesce(old("close"), c("close"))), F.abs(c("low") - F.coalesce(old("close"), c("close"))))
     rows = bars.withColumns({"up_": F.greatest(change, F.lit(0.0)), "dn_": F.greatest(-change, F.lit(0.0)), "plus_": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus_": F.when((down > up) & (down > 0), down).otherwise(0.0), "span_": span, "flow_": F.signum(change) * c("volume")})
     means = {f"e{n}": ("close", 2 / (n + 1)) for n in (9, 20, 21, 50, 200, 12, 26)}
     means |= {f"{x}{n}_": (f"{x}_", 1 / n) for x in ("up", "dn") for n in (14, 2)} | {"p_": ("plus_", 1 / 14), "m_": ("minus_", 1 / 14), "atr14": ("span_", 1 / 14)}
-    rows = P.smoothed(rows, **means).withColumn("line", c("e12") - c("e26"))
-    t = F.greatest("atr14", F.lit(TINY))
-    rows = rows.withColumns({"pdi": 100 * c("p_") / t, "mdi": 100 * c("m_") / t})
-    rows = P.smoothed(rows, signal=("line", 0.2), adx=(100 * F.abs(c("pdi") - c("mdi")) / F.greatest(c("pdi") + c("mdi"), F.lit(TINY)), 1 / 14))
-    rows = R.parabolic(R.supertrend(P.heikin_ashi(rows))).withColumns({f"rsi{n}": 100 - 100 / (1 + c(f"up{n}_") / F.greatest(f"dn{n}_", F.lit(TINY))) for n in (14, 2)})
+    rows = P.smoothed(rows, **{k: means[k] for k in MEANS[family]})
+    if family in ("trend", "flow"):
+        rows = rows.withColumn("line", c("e12") - c("e26"))
+        second = {"signal": ("line", 0.2)}
+        if family == "trend":
+            t = F.greatest("atr14", F.lit(TINY))
+            rows = rows.withColumns({"pdi": 100 * c("p_") / t, "mdi": 100 * c("m_") / t})
+            second["adx"] = (100 * F.abs(c("pdi") - c("mdi")) / F.greatest(c("pdi") + c("mdi"), F.lit(TINY)), 1 / 14)
+        rows = P.smoothed(rows, **second).withColumn("hist", c("line") - c("signal"))
+    if family == "trend":
+        rows = R.parabolic(R.supertrend(P.heikin_ashi(rows))).withColumn("green", (c("ha_close") > c("ha_open")).cast("int"))
+    for n in (14, 2):
+        if f"up{n}_" in MEANS[family]:
+            rows = rows.withColumn(f"rsi{n}", 100 - 100 / (1 + c(f"up{n}_") / F.greatest(f"dn{n}_", F.lit(TINY))))
     rows = W.session_range(rows, 0, 7).withColumnsRenamed({"range_high": "asia_top", "range_low": "asia_floor"})
     rows = W.session_range(rows, 13, 14).withColumnsRenamed({"range_high": "open_top", "range_low": "open_floor"})
-    rows = rows.withColumns({"mid": mean("close", 20), "sd": W.full(F.stddev_pop("close").over(W.last(20)), 20, W.last(20)), "tp": (c("high") + c("low") + c("close")) / 3, "size": F.greatest(c("high") - c("low"), F.lit(TINY)), "body": F.abs(c("close") - c("open")), "hist": c("line") - c("signal"), "mid50": mean("close", 50), "sd50": W.full(F.stddev_pop("close").over(W.last(50)), 50, W.last(50)), "hour": F.hour("bar")})
-    rows = rows.withColumns({"top": c("mid") + 2 * c("sd"), "floor": c("mid") - 2 * c("sd"), "width": 4 * c("sd") / F.greatest("mid", F.lit(TINY)), "keltner_top": c("e20") + 2 * c("atr14"), "keltner_floor": c("e20") - 2 * c("atr14"), "z50": (c("close") - c("mid50")) / F.greatest("sd50", F.lit(TINY))})
+    rows = rows.withColumns({"mid": mean("close", 20), "sd": W.full(F.stddev_pop("close").over(W.last(20)), 20, W.last(20)), "tp": (c("high") + c("low") + c("close")) / 3, "size": F.greatest(c("high") - c("low"), F.lit(TINY)), "body": F.abs(c("close") - c("open")), "mid50": mean("close", 50), "sd50": W.full(F.stddev_pop("close").over(W.last(50)), 50, W.last(50)), "hour": F.hour("bar")})
+    rows = rows.withColumns({"top": c("mid") + 2 * c("sd"), "floor": c("mid") - 2 * c("sd"), "width": 4 * c("sd") / F.greatest("mid", F.lit(TINY)), "z50": (c("close") - c("mid50")) / F.greatest("sd50", F.lit(TINY))})
     rows = rows.withColumns({f"top{n}": highest("high", n) for n in (3, 9, 14, 20, 26, 52, 55)} | {f"low{n}": lowest("low", n) for n in (3, 9, 14, 20, 26, 52, 55)})
     raw = F.coalesce(100 * (c("close") - c("low14")) / F.greatest(c("top14") - c("low14"), F.lit(TINY)), F.lit(50.0))
     day = Window.partitionBy("symbol", F.to_date("bar")).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +97,7 @@ def with_indicators(bars: DataFrame) -> DataFrame:
     rows = rows.withColumns({"raw": raw, "turn": (c("top9") + c("low9")) / 2, "base": (c("top26") + c("low26")) / 2, "wide": (c("top52") + c("low52")) / 2, "vwap": vwap, "square": square, "in_": F.when(c("tp") > old("tp"), money).otherwise(0.0), "out_": F.when(c("tp") < old("tp"), money).otherwise(0.0), "obv": F.sum("flow_").over(W.order().rowsBetween(Window.unboundedPreceding, 0))})
     rows = W.channel_index(rows)
     inner = 1 + W.full(F.sum("in_").over(W.last(14)), 14, W.last(14)) / F.greatest(F.sum("out_").over(W.last(14)), F.lit(TINY))
-    rows = rows.withColumns({"k": mean("raw", 3), "wr": F.when(c("top14").isNotNull(), c("raw") - 100), "vwap_sd": F.sqrt(F.greatest(c("square") - c("vwap") * c("vwap"), F.lit(0.0))), "mfi": 100 - 100 / inner, "cloud_a": F.lag((c("turn") + c("base")) / 2, 26).over(W.order()), "cloud_b": F.lag("wide", 26).over(W.order()), "tight": F.when(c("width") <= lowest("width", 120) * 1.1, 1).otherwise(0), "narrow": F.when(c("size") <= lowest("size", 7), 1).otherwise(0), "usual": mean("volume", 20), "green": (c("ha_close") > c("ha_open")).cast("int")})
+    rows = rows.withColumns({"k": mean("raw", 3), "wr": F.when(c("top14").isNotNull(), c("raw") - 100), "vwap_sd": F.sqrt(F.greatest(c("square") - c("vwap") * c("vwap"), F.lit(0.0))), "mfi": 100 - 100 / inner, "cloud_a": F.lag((c("turn") + c("base")) / 2, 26).over(W.order()), "cloud_b": F.lag("wide", 26).over(W.order()), "tight": F.when(c("width") <= lowest("width", 120) * 1.1, 1).otherwise(0), "narrow": F.when(c("size") <= lowest("size", 7), 1).otherwise(0), "usual": mean("volume", 20)})
     return rows.withColumn("d", mean("k", 3))
 
 
@@ -207,7 +226,9 @@ def _necklines(rows: DataFrame, near: float = 0.3, reach: int = 27) -> DataFrame
 
 def signals(bars: DataFrame, family: str) -> DataFrame:
     """symbol, bar and a column for each strategy of a family: trend, breakout, reversion, action or flow."""
-    rows = with_indicators(bars)
+    rows = with_indicators(bars, family)
+    if family == "breakout":
+        rows = rows.withColumns({"keltner_top": c("e20") + 2 * c("atr14"), "keltner_floor": c("e20") - 2 * c("atr14")})
     if family == "action":
         rows = _with_shapes(rows)
     if family == "flow":
