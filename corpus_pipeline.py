@@ -24,7 +24,7 @@ from tickframe.llm.shared import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 KEEP_FROM = 0.7
-#: Near duplicates of the corpus: word shingles and similarity.
+#: Near duplicates of the corpus beside those that SimHash links: word shingles and similarity.
 SHINGLE, SIMILARITY = 5, 0.8
 
 
@@ -43,7 +43,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates."""
-    return simhash.representatives(docs.select(*COLUMNS), SHINGLE, SIMILARITY)
+    return simhash.representatives(docs.select(*COLUMNS), SHINGLE, SIMILARITY, simhash.THRESHOLD)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,6 +89,15 @@ def test_similarity_is_exact_near_the_threshold(spark):
     assert kept(spark, texts) == low
 
 
+def test_fingerprints_within_two_bits_are_linked(spark):
+    """Each text that near_duplicates puts behind another one goes, also where repeats alone make them alike."""
+    texts = [[f"{x}{i}" for i in range(40)] + ["a", "b", "c"] * 2000 for x in "xyz"] + [["other", "words"], ["yet", "others"]]
+    rows = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.component_id for r in simhash.near_duplicates(rows).collect()} == {0, 3, 4}
+    assert max(jaccard(texts[i], texts[j]) for i, j in ((0, 1), (0, 2), (1, 2))) < 0.8
+    assert {r.doc_id for r in P.near_duplicate_stage(spark, rows, "").collect()} == {0, 3, 4}
+
+
 def folder(spark, tmp_path, docs):
     labels = [(i, 1) for i in range(40)]
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -195,6 +195,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, threshold: int = THRESHOLD) ->
 
 #: Minima in a key of a band.
 MINIMA = 5
+#: Bytes of text whose sets are held at once; workers keep what the largest slice took.
+BYTES = 1 << 19
 
 
 def bands(least: float, miss: float = 1e-5) -> int:
@@ -307,21 +309,23 @@ def _joined(batches: Iterator[pa.RecordBatch], compare: Compare) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
-def _links(placed: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Compare) -> DataFrame:
-    """Links (a, b) that span the components of all alike pairs of nodes with a common anchor.
+def _links(placed: DataFrame, bodies: Callable[[DataFrame], DataFrame], compare: Compare, known: DataFrame) -> DataFrame:
+    """The links known (a, b), and more that span the components of all alike pairs of nodes with a common anchor.
 
-    First every node is compared with the least one of each of its anchors.
+    placed has (anchor, node, part): nodes of one part are connected by known.
+    Every node is first compared with the least one of each of its anchors.
     Anchors whose nodes are then still in several components have all pairs
     of different components compared; anchors of the same nodes count once.
     No pair is passed over unless it is connected already.
     """
-    counts = placed.groupBy("anchor").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = cut(placed.join(counts, "anchor").select("anchor", "node", "least"))
+    counts = placed.groupBy("anchor").agg(F.min("node").alias("least"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    met = cut(placed.join(counts, "anchor").select("anchor", "node", "part", "least"))
     body = cut(bodies(met.select("node").distinct()))
-    pairs = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    pairs = met.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"), "part").distinct()
+    pairs = pairs.join(met.select(F.col("node").alias("b"), F.col("part").alias("other")).distinct(), "b").where("part <> other")
     both = pairs.join(body.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    stars = cut(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, compare), "a long, b long"))
-    part = met.join(components(stars), "node", "left").select("anchor", "node", F.coalesce("component", "node").alias("component"))
+    stars = cut(both.select("a", "b", "x", "y").mapInArrow(lambda x: _alike(x, compare), "a long, b long").unionByName(known))
+    part = met.select("anchor", "node").join(components(stars), "node", "left").select("anchor", "node", F.coalesce("component", "node").alias("component"))
     several = part.groupBy("anchor").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")
     )
@@ -348,12 +352,16 @@ def by_sets(bodies: list[bytes], least: float) -> Callable[[int, np.ndarray], np
     return alike
 
 
-def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """The row of the smallest doc_id of each component of texts of similarity `least` or more.
+def representatives(docs: DataFrame, k: int = 5, least: float = 0.8, threshold: int | None = None) -> DataFrame:
+    """The row of the smallest doc_id of each group of near duplicates.
 
-    Similarity is the Jaccard similarity of the sets of k-word shingles (as
-    64-bit hashes). Keys of minima only propose pairs (one of similarity
-    `least` is missed with probability 1e-5); the exact sets decide.
+    With a threshold (THRESHOLD at most), texts are linked if their SimHash
+    fingerprints differ in at most so many bits, as in near_duplicates: the
+    anchors miss no such pair. Without one and beyond it they are linked at a
+    Jaccard similarity of `least` or more of their sets of k-word shingles (as
+    64-bit hashes): fingerprints of texts that similar can lie apart. Keys of minima only propose these pairs
+    (one of similarity `least` is missed with probability 1e-5); the exact
+    sets decide. A group is all that links reach.
     Defined cases: null and empty texts and texts without a word are one
     group; of equal rows of one doc_id one stays; a row with a null doc_id
     stays only if its group has no other; texts are read whole; all columns of
@@ -365,29 +373,41 @@ def representatives(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFram
     hashed = docs.select("doc_id", "text", F.xxhash64(*every).alias("row_hash"), F.struct(*every).alias("row"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, size=BYTES):
             n = part.num_rows
+            fp = pa.array(np.zeros(n, np.int64) if threshold is None else fingerprints(part.column("text")).view(np.int64))
             row, shingle = shingle_sets(part.column("text"), k)
             known = identities(row, shingle, n).view(np.int64)
             keys = pa.array(band_keys(row, shingle, n, number), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), pa.array(known[:, 0]), pa.array(known[:, 1]), keys], ["doc_id", "row_hash", "upper", "lower", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), fp, pa.array(known[:, 0]), pa.array(known[:, 1]), keys], ["doc_id", "row_hash", "fp", "upper", "lower", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.chunks(batches):
+        for part in T.chunks(batches, size=BYTES):
             row, shingle = shingle_sets(part.column("text"), k)
             bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["node", "body"])
 
-    rows = hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, upper long, lower long, keys array<long>")
-    nodes = rows.groupBy("upper", "lower").agg(F.first("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low"))
-    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "keys", "low"))
+    rows = hashed.select("doc_id", "row_hash", "text").mapInArrow(prints, "doc_id long, row_hash long, fp long, upper long, lower long, keys array<long>")
+    # Texts of one set can have several fingerprints, as signs and repeats count there: a row for each.
+    low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")).alias("low")
+    each = cut(rows.groupBy("upper", "lower", "fp").agg(F.first("keys").alias("keys"), low))
+    nodes = each.groupBy("upper", "lower").agg(F.first("keys").alias("keys"), F.min("low").alias("low"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "upper", "lower", "keys", "low"))
 
     def bodies(wanted: DataFrame) -> DataFrame:
         at = nodes.join(wanted, "node", "left_semi").select("node", F.col("low.doc_id").alias("of_id"), F.col("low.row_hash").alias("of_hash"))
         own = hashed.join(at, (F.col("row_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id")))
         return own.select("node", "text").dropDuplicates(["node"]).mapInArrow(sets, "node long, body binary")
 
-    parts = components(_links(nodes.select(F.explode("keys").alias("anchor"), "node"), bodies, lambda x: by_sets(x, least)))
+    if threshold is None:
+        near = nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    else:
+        near = each.join(components(links(each, threshold)).withColumnRenamed("node", "fp"), "fp", "left")
+        near = near.join(nodes.select("upper", "lower", "node"), ["upper", "lower"]).select(F.coalesce("component", "fp").alias("group"), "node")
+        near = near.join(near.groupBy("group").agg(F.min("node").alias("b")), "group").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+        near = cut(near)
+    first = nodes.join(components(near), "node", "left").select("node", F.coalesce("component", "node").alias("part"), "keys")
+    parts = components(_links(first.select(F.explode("keys").alias("anchor"), "node", "part"), bodies, lambda x: by_sets(x, least), near))
     named = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "low")
     kept = named.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("kept_id"), F.col("low.row_hash").alias("kept_hash"))
     found = hashed.join(kept, (F.col("row_hash") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
