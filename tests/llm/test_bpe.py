@@ -115,3 +115,20 @@ def test_odd_rows(spark):
     assert np.array_equal(codec.encode_all([])[1], [])
     clash = spark.createDataFrame([(1, "a cat", 5, "x")], "doc_id long, text string, Ids int, decoded string")
     assert [tuple(r) for r in bpe.encoded(clash, PATH).select("text", "decoded").collect()] == [("a cat", "a</w> cat</w>")]
+
+
+def test_known_pieces(monkeypatch):
+    """Pieces met before have the same ids, also those that differ in a zero byte, are too long or find no room."""
+    monkeypatch.setattr(bpe, "LIMIT", 64)
+    codec, rnd = bpe.Codec(PATH), random.Random(3)
+    signs = "abzéж漢\0'!-"
+    words = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 24))) for _ in range(150)] + ["!", "!\0", "!\0\0", "a" * 15, "a" * 16, "x" * 7, "x" * 8, "x" * 9]
+    first = None
+    for _ in range(3):
+        ids, sizes = codec.encode_all(words)
+        assert np.split(ids, np.cumsum(sizes)[:-1])[3].tolist() == codec.text_ids(words[3])
+        assert ids.tolist() == [i for w in words for i in codec.text_ids(w)]
+        assert first is None or ids.tolist() == first
+        first = ids.tolist()
+    assert len(codec.known.count) == 64
+    assert (codec.known.found(codec.known.words) >= 0).all()

@@ -13,7 +13,7 @@ open piece, emits its stable tokens (all, where the piece ends) and goes on
 from the first symbol that no emitted token covers. All pieces of a block of
 text pass it together, each in a lane of its own, so that a lane's memory is
 bounded by the merge list, whatever a piece's length, and short pieces take
-one step. Long texts are read in blocks that end before white space.
+one step. Short pieces met before are known with their tokens. Long texts are read in blocks that end before white space.
 
 Decoding. A state machine takes token ids block by block and gives text: either
 token texts joined by spaces, as a tokenizer file without a decoder has it, or
@@ -43,6 +43,8 @@ LATE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Characters of a long text that are read at once.
 BLOCK = 1 << 19
+#: Pieces of up to KEY bytes are kept with their tokens from block to block, LIMIT of them; all others are encoded in each block anew.
+KEY, LIMIT = 15, 1 << 17
 #: The parts of a tokenizer file that this encoder knows; files with others are refused.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = [
@@ -259,6 +261,65 @@ def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), size, np.cumsum(size) - size
 
 
+def _words(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each piece: the bytes and size of one of up to KEY bytes, zeros for a longer one."""
+    at = np.concatenate([data, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(at) - 7, "<u8", at, strides=(1,))
+    full = np.uint64(2**64 - 1)
+    head, rest = np.minimum(size, 8).astype(np.uint64), np.maximum(size - 8, 0)
+    out = np.zeros((2, len(size)), np.uint64)
+    out[0] = eight[begin] & (full >> (np.uint64(64) - np.uint64(8) * head))
+    out[1] = size.astype(np.uint64) << np.uint64(56)
+    more = np.flatnonzero((rest > 0) & (size <= KEY))
+    out[1, more] |= eight[begin[more] + 8] & (full >> (np.uint64(64) - np.uint64(8) * rest[more].astype(np.uint64)))
+    out[:, size > KEY] = 0
+    return out
+
+
+class Known:
+    """Tokens of pieces met before, up to LIMIT of them, by their words; an open hash table of arrays."""
+
+    def __init__(self):
+        self.words, self.slots = np.zeros((2, 0), np.uint64), np.full(4 * LIMIT, -1, np.int32)
+        self.tokens, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _slot(self, words: np.ndarray) -> np.ndarray:
+        mixed = (words[0] ^ (words[1] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return (mixed >> np.uint64(40)).astype(np.int64) & (len(self.slots) - 1)
+
+    def found(self, words: np.ndarray) -> np.ndarray:
+        """Index of each piece, -1 if it is not known."""
+        out = np.full(words.shape[1], -1, np.int64)
+        if not len(self.count):
+            return out
+        slot, open_ = self._slot(words), np.arange(len(out))
+        own = words
+        while len(open_):
+            seen = self.slots[slot]
+            hit = (seen >= 0) & (self.words[0, seen] == own[0]) & (self.words[1, seen] == own[1])
+            out[open_[hit]] = seen[hit]
+            on = np.flatnonzero(~hit & (seen >= 0))
+            slot, open_, own = (slot[on] + 1) & (len(self.slots) - 1), open_[on], own[:, on]
+        return out
+
+    def add(self, words: np.ndarray, fit: np.ndarray, tokens: np.ndarray, count: np.ndarray) -> None:
+        """Those of the pieces that fit, which are not known yet, while there is room."""
+        keep = np.flatnonzero(fit)[: LIMIT - len(self.count)]
+        if not len(keep):
+            return
+        kept = np.zeros(len(count), bool)
+        kept[keep] = True
+        at, have = np.arange(len(self.count), len(self.count) + len(keep)), words[:, keep]
+        self.words = np.concatenate([self.words, have], axis=1)
+        self.tokens, self.count = np.concatenate([self.tokens, tokens[np.repeat(kept, count)]]), np.concatenate([self.count, count[keep]])
+        slot = self._slot(have)
+        while len(at):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = at[free]
+            left = self.slots[slot] != at
+            slot, at = (slot[left] + 1) & (len(self.slots) - 1), at[left]
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file."""
 
@@ -281,6 +342,7 @@ class Codec:
         self.symbols = np.array([len(self.token.get(i, "").removesuffix(END)) for i in range(max(self.token) + 1)])
         self.piece = regex.compile(SPLITTER[0]["pattern"]["Regex"].replace(r"\s", _SPACES))
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.known = Known()
         self.inner = np.array([self.vocabulary[c] for c in letters], np.int32)
         self.last = np.array([self.vocabulary[c + END] for c in letters], np.int32)
         names = [self.token.get(i, "") for i in range(max(self.token) + 1)]
@@ -314,17 +376,19 @@ class Codec:
         before = np.concatenate([[SPACE], kind[:-1]])
         start = (kind != SPACE) & ((kind != before) | (kind == NUMBER))
         padded = np.concatenate([points, [10, 10]])
-        one, two = padded[1:-1], padded[2:]
-        mark = (points == ord("'")) & (before != OTHER)
-        short = mark & np.isin(one, [ord(c) for c in "stmd"])
-        long = mark & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
-        for found, size in ((short, 2), (long, 3)):
-            at = np.flatnonzero(found)
+        mark = np.flatnonzero((points == ord("'")) & (before != OTHER))
+        one, two = padded[mark + 1], padded[mark + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        for at, size in ((mark[short], 2), (mark[long], 3)):
             for inside in range(1, size):
                 start[at + inside] = False
             start[(at + size)[kind[at + size] != SPACE]] = True
-        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
-        place = np.concatenate([[0], np.cumsum(width)])
+        width = np.ones(len(points), np.uint8)
+        for more in (0x80, 0x800, 0x10000):
+            width += points >= more
+        place = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(width, out=place[1:])
         first = np.flatnonzero(start)
         stop = np.flatnonzero(np.append(start[1:] | (kind[1:] == SPACE), True) & (kind != SPACE))
         lines = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -334,13 +398,25 @@ class Codec:
         """Ids of all texts, and how many each has."""
         marked = {i: self.text_ids(t) for i, t in enumerate(texts) if self.marks.search(t)}
         data, begin, end, first = self.split(["" if i in marked else plain(t) for i, t in enumerate(texts)])
-        some, which = _different(data, begin, end)
-        size = (end - begin)[some]
-        bytes_at = np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        symbols = self.inner[data[bytes_at]]
-        tail = np.cumsum(size) - 1
-        symbols[tail] = self.last[data[bytes_at[tail]]]
-        tokens, count = lanes(self.merges, symbols, size, self.symbols)
+        words = _words(data, begin, end - begin)
+        which = self.known.found(words)
+        new = np.flatnonzero(which < 0)
+        tokens, count = self.known.tokens, self.known.count
+        if len(new):
+            size = (end - begin)[new]
+            stop = np.cumsum(size)
+            data = data[np.repeat(begin[new] - stop + size, size) + np.arange(stop[-1])]
+            begin = stop - size
+            some, like = _different(data, begin, stop)
+            size = size[some]
+            bytes_at = np.repeat(begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            symbols = self.inner[data[bytes_at]]
+            tail = np.cumsum(size) - 1
+            symbols[tail] = self.last[data[bytes_at[tail]]]
+            made, more = lanes(self.merges, symbols, size, self.symbols)
+            which[new] = like + len(count)
+            tokens, count = np.concatenate([tokens, made]), np.concatenate([count, more])
+            self.known.add(words[:, new[some]], size <= KEY, made, more)
         at = np.cumsum(count) - count
         many = count[which]
         flat = tokens[np.repeat(at[which] - np.cumsum(many) + many, many) + np.arange(many.sum())]

@@ -55,8 +55,8 @@ def parted(runs: Iterable[tuple[int, np.ndarray]], size: int, end: int) -> Itera
         held = held[len(held) // size * size :]
 
 
-def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int = END) -> DataFrame:
-    """For each piece the document's columns but `text`, and piece (int, from 0), start (ids before it), length, ids and ids_crc32.
+def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int = END, with_ids: bool = True) -> DataFrame:
+    """For each piece the document's columns but `text`, and piece (int, from 0), start (ids before it), length, ids (unless left out) and ids_crc32.
 
     path is a tokenizer file that executors can read, None the word-level file
     of the installed `public_tokenizers` package. A null or empty text has one
@@ -67,6 +67,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int
     docs = bare(docs, "piece", "start", "length", "ids", "ids_crc32")
     kept = bare(docs, "text")
     names = kept.columns
+    outputs = ["piece", "start", "length", *["ids"] * with_ids, "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path
@@ -85,10 +86,12 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int
             row, piece = (np.array([m[k] for m in made], np.int64) for k in (0, 1))
             ids = [m[2] for m in made]
             length = np.array([len(x) for x in ids], np.int64)
-            at = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
             crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-            columns = [pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length), pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids), pa.int32())), pa.array(crc, pa.int64())]
-            return pa.RecordBatch.from_arrays([*others.take(pa.array(row)).columns, *columns], [*others.schema.names, "piece", "start", "length", "ids", "ids_crc32"])
+            columns = [pa.array(piece, pa.int32()), pa.array(piece * size), pa.array(length)]
+            if with_ids:
+                at = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(ids), pa.int32())))
+            return pa.RecordBatch.from_arrays([*others.take(pa.array(row)).columns, *columns, pa.array(crc, pa.int64())], [*others.schema.names, *outputs])
 
         for part in T.chunks(batches, size=BLOCK):
             others = part.select(names)
@@ -103,7 +106,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, end: int
                 yield batch_of(others, made)
 
     columns = f"{fields_of(kept)}, " if kept.columns else ""
-    return docs.mapInArrow(run, f"{columns}`piece` int, `start` long, `length` long, `ids` array<int>, `ids_crc32` long")
+    return docs.mapInArrow(run, f"{columns}`piece` int, `start` long, `length` long, {'`ids` array<int>, ' * with_ids}`ids_crc32` long")
 
 
 def filled(left: list[int], open_: int, size: int) -> tuple[dict[int, int], dict[int, int]]:

@@ -95,8 +95,8 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    placed = packing.placed(cut(pieces.drop("ids")), ["doc_id", "piece"])
+    pieces = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    placed = packing.placed(cut(pieces), ["doc_id", "piece"])
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
