@@ -24,6 +24,33 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def tasks_of(spark, group, run):
+    """What run returns, and the number of tasks that Spark ran for it."""
+    spark.sparkContext.setJobGroup(group, group)
+    out, status = run(), spark.sparkContext.statusTracker()
+    spark.sparkContext._jsc.clearJobGroup()
+    stages = {s for job in status.getJobIdsForGroup(group) for s in status.getJobInfo(job).stageIds}
+    return out, sum(x.numCompletedTasks for x in map(status.getStageInfo, stages) if x)
+
+
+@pytest.mark.parametrize("held", [100_000, 50])
+def test_rounds_of_components_have_tasks_by_their_links(spark, monkeypatch, held):
+    """Few links leave few files, however many shuffle partitions there are; chains, a star and a ring in one task and in several."""
+    monkeypatch.setattr(shared, "LINKS", held, raising=False)
+    links = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(60)] + [(200 + i, 200 + (i + 1) % 20) for i in range(20)]
+    keys = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows, tasks = tasks_of(spark, f"components-{held}", lambda: shared.components(spark.createDataFrame(links, "a long, b long")).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.node: r.component for r in rows} == {x: 0 if x <= 40 else 100 if x < 200 else 200 for link in links for x in link}
+    assert held == 50 or tasks < 400
+
+
 def test_a_cluster_needs_a_shared_folder():
     def session(master, folder):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))

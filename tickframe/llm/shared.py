@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,6 +68,18 @@ def sampled(rows: DataFrame, sample: int, *by: str) -> DataFrame:
     return one.orderBy(F.pmod(turn, F.lit(1 << 30)), turn).limit(sample).select("row.*")
 
 
+#: Links that a task of components takes; fewer are not dealt out.
+LINKS = 100_000
+
+
+def _lowest(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows (a, b) and m, the least b of their a, in so many tasks."""
+    rows = rows.coalesce(tasks)
+    if tasks == 1:  # a join would deal both sides out over all shuffle partitions
+        return rows.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return rows.join(rows.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), "a").coalesce(tasks)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): rows (node, component).
 
@@ -74,29 +87,31 @@ def components(links: DataFrame) -> DataFrame:
     row; a node in no link has none. Alternating large-star and small-star
     steps: each is an aggregation (combined before its shuffle) and a join
     whose one side has a row per node, so that Spark can split hot nodes.
+    A round has a task for each LINKS links and not for each shuffle
+    partition: the rounds are many, and each task leaves files.
     """
     edges = cut(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     )
-    before = None
+    tasks, before = max(1, math.ceil(edges.count() / LINKS)), None
+    edges = edges.coalesce(tasks)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = _lowest(both, tasks).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b")
         edges = cut(
-            large.join(small, "a")
+            _lowest(large.distinct(), tasks)
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.*")
             .where("a <> b")
+            .coalesce(tasks)
             .distinct()
+            .coalesce(tasks)
         )
         now = edges.agg(F.count("*"), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().coalesce(tasks)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
