@@ -175,13 +175,13 @@ def trend_lines(bars: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def double_bottoms(bars: DataFrame, tolerance: float = 0.1, least: int = 5, k: int = 3) -> DataFrame:
-    """Floors (lowest of k bars on both sides) within the tolerance of the floor before, `least` bars after it at least."""
+    """Floors (lowest of k bars on both sides) within the tolerance of the floor before, `least` bars after it at least; none is within a share of a floor at 0."""
     numbered = bars.withColumn("i", F.row_number().over(order()))
     left, right = order().rowsBetween(-k, -1), order().rowsBetween(1, k)
     whole = (F.count(F.lit(1)).over(left) == k) & (F.count(F.lit(1)).over(right) == k)
     floors = numbered.withColumn("ok", whole & (F.col("low") < F.min("low").over(left)) & (F.col("low") < F.min("low").over(right))).where("ok")
     floors = floors.withColumns({"first_low": F.lag("low").over(order()), "apart": F.col("i") - F.lag("i").over(order())})
-    return floors.where((F.col("apart") >= least) & (F.abs(F.col("low") / F.col("first_low") - 1) <= tolerance))
+    return floors.where((F.col("apart") >= least) & (F.abs(F.try_divide("low", "first_low") - 1) <= tolerance))
 
 
 def setup_flags(bars: DataFrame) -> DataFrame:
