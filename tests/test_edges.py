@@ -40,3 +40,11 @@ def test_double_bottoms_after_a_floor_at_zero(spark, tmp_path):
     lows = [5, 4, 3, 0, 3, 4, 5, 4, 3, 0, 3, 4, 5, 4, 3, 2, 3, 4, 5, 4, 3, 2.1, 3, 4, 5]
     got, want = against_sql(spark, tmp_path, "double_bottoms", "events", events([(h, "view", p, 1) for h, p in enumerate(lows)]))
     assert got == want and len(got) == 1
+
+
+def test_range_regime_of_days_from_zero(spark, tmp_path):
+    """Days whose lowest price is 0 have an infinite range, those at 0 all day none that is a number."""
+    found = [(h, "view", p, 1) for h, p in ((0, 0.0), (1, 3.0), (24, 2.0), (25, 3.0), (48, 0.0), (49, 0.0), (72, -2.0), (73, 1.0))] + [(26, "click", 1.0, 1), (27, "click", 30.0, 1)]
+    got, want = against_sql(spark, tmp_path, "range_regime", "events", events(found))
+    assert got == want and len(got) == 4
+    assert sorted(r["regime"] for r in QUERIES["range_regime"](spark, str(tmp_path)).collect()) == ["extreme", "extreme", "low", "normal"]

@@ -14,6 +14,11 @@ def to_step(value: Column, step: float, way: str = "floor") -> Column:
     return {"floor": F.floor, "ceil": F.ceil, "round": F.round}[way](n).cast("double") * step
 
 
+def ratio(value: Column, by: Column) -> Column:
+    """value / by of doubles as IEEE has it: infinite over 0, and NaN for 0 / 0, where Spark's division is an error."""
+    return F.when(by == 0, value * F.pow(by, F.lit(-1.0))).otherwise(value / by)
+
+
 def nearest_round(price: Column) -> Column:
     """The nearest multiple of half the price's power of ten; null for prices of 0 and less."""
     unit = F.pow(F.lit(10.0), F.floor(F.log10(price))) / 2

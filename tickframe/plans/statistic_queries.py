@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickframe.functions.scalars import ratio
 from tickframe.operators import aggregates as A
 from tickframe.operators import frames as W
 from tickframe.operators import quantiles as Q
@@ -248,7 +249,7 @@ def quintile_table(spark, sf_dir):
 @query("range_regime", f"WITH {BARS}, d AS (SELECT symbol, date_trunc('day', bar)::TIMESTAMP AS day, (max(high) - min(low)) / min(low) AS span FROM bars GROUP BY 1, 2), a AS (SELECT day, avg(span) AS mean FROM d GROUP BY 1) SELECT day, round(mean, 4) AS mean, CASE WHEN mean > 60 THEN 'extreme' WHEN mean > 20 THEN 'high' WHEN mean > 8 THEN 'normal' ELSE 'low' END AS regime FROM a")
 def range_regime(spark, sf_dir):
     """Mean daily range of all symbols and its regime."""
-    d = hourly(spark, sf_dir).groupBy("symbol", F.date_trunc("day", "bar").alias("day")).agg(((F.max("high") - F.min("low")) / F.min("low")).alias("span"))
+    d = hourly(spark, sf_dir).groupBy("symbol", F.date_trunc("day", "bar").alias("day")).agg(ratio(F.max("high") - F.min("low"), F.min("low")).alias("span"))
     a = d.groupBy("day").agg(F.avg("span").alias("mean"))
     regime = F.when(F.col("mean") > 60, "extreme").when(F.col("mean") > 20, "high").when(F.col("mean") > 8, "normal").otherwise("low")
     return a.select("day", F.round("mean", 4).alias("mean"), regime.alias("regime"))
