@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tests.test_queries import rows
+from tickframe.operators.profiles import overlap_profile
 from tickframe.plans.catalog import ORACLE_SQL, QUERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -48,3 +49,30 @@ def test_range_regime_of_days_from_zero(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "range_regime", "events", events(found))
     assert got == want and len(got) == 4
     assert sorted(r["regime"] for r in QUERIES["range_regime"](spark, str(tmp_path)).collect()) == ["extreme", "extreme", "low", "normal"]
+
+
+def test_profiles_add_in_the_order_of_time(spark):
+    """Bins that the same bars cover tie but for the last digit, which must not depend on how rows lie."""
+    found = [("view", START + dt.timedelta(hours=h), 0.0, 2.4 + 0.1 * (h % 7), 10.0 / (h + 3)) for h in range(200)]
+    kind = "symbol string, bar timestamp_ntz, low double, high double, volume double"
+    want = [0.0] * 24
+    width = max(b[3] for b in found) / 24
+    for _, _, low, high, volume in found:
+        for i in range(24):
+            over = min(high, i * width + width) - max(low, i * width)
+            want[i] += volume * over / (high - low) if over > 0 else 0.0
+    for rows_ in (found, found[::-1], found[::3] + found[1::3] + found[2::3]):
+        got = {r.bin: r.v for r in overlap_profile(spark.createDataFrame(rows_, kind).repartition(3, "bar"), 24, "symbol").collect()}
+        assert [got[i] for i in range(24)] == want
+
+
+def against_one_thread(spark, name):
+    """The rows of a query and of its SQL at sf0.1; by several threads the SQL adds in any order, and tied bins come out at random."""
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE VIEW events AS SELECT * FROM read_parquet('/root/testdata/sf0.1/events.parquet')")
+    return rows(QUERIES[name](spark, "/root/testdata/sf0.1").toPandas()), rows(con.execute(ORACLE_SQL[name]).df())
+
+
+def test_control_path_of_tied_bins(spark):
+    got, want = against_one_thread(spark, "control_path")
+    assert got == want and len(got) == 3534

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,18 @@ def place(price: Column, bins: int) -> Column:
 
 
 def overlap_profile(bars: DataFrame, bins: int, *by: str) -> DataFrame:
-    """Volume of each bin: a bar's volume is shared over the bins in proportion to its overlap with them."""
+    """Volume of each bin: a bar's volume is shared over the bins in proportion to its overlap with them.
+
+    A bin's volumes are added in the order of time, as a running sum. Bins that
+    the same bars cover hold the same volume, and the last digit, on which the
+    order acts, would tell at random which of them is the largest.
+    """
     rows = ranged(bars, bins, *by).withColumn("bin", F.explode(F.sequence(place(F.col("low"), bins), place(F.col("high"), bins))))
     low = F.col("base") + F.col("bin") * F.col("width")
     overlap = F.least(F.col("high"), low + F.col("width")) - F.greatest(F.col("low"), low)
     part = F.when(overlap > 0, F.col("volume") * overlap / F.greatest(F.col("high") - F.col("low"), F.lit(1e-8))).otherwise(0.0)
-    return rows.groupBy(*by, "base", "width", "bin").agg(F.sum(part).alias("v"))
+    so_far = F.sum(part).over(Window.partitionBy(*by, "bin").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("v", so_far).groupBy(*by, "base", "width", "bin").agg(F.max_by("v", "bar").alias("v"))
 
 
 def value_area(profile: DataFrame, bins: int, share: float, *by: str) -> DataFrame:
