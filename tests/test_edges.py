@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tests.test_queries import rows
-from tickframe.operators.profiles import overlap_profile
+from tickframe.operators.profiles import overlap_profile, value_area
 from tickframe.plans.catalog import ORACLE_SQL, QUERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -51,19 +51,25 @@ def test_range_regime_of_days_from_zero(spark, tmp_path):
     assert sorted(r["regime"] for r in QUERIES["range_regime"](spark, str(tmp_path)).collect()) == ["extreme", "extreme", "low", "normal"]
 
 
+def tied(spark):
+    """Bars of ten symbols that all cover the lowest bins of 24: frames of them in several orders, the width of a symbol's bins, and its volumes added in the order of time."""
+    found = [(f"s{s}", START + dt.timedelta(hours=h), 0.01 * ((h + s) % 3), 142.65 + 1.37 * (h * (s + 3) % 11), float(1 + (h * 7 + s) % 13)) for s in range(10) for h in range(200)]
+    width = {f"s{s}": max(b[3] for b in found if b[0] == f"s{s}") / 24 for s in range(10)}
+    want = {f"s{s}": [0.0] * 24 for s in range(10)}
+    for symbol, _, low, high, volume in found:
+        for i in range(24):
+            over = min(high, i * width[symbol] + width[symbol]) - max(low, i * width[symbol])
+            want[symbol][i] += volume * over / (high - low) if over > 0 else 0.0
+    orders = found, found[::-1], found[::3] + found[1::3] + found[2::3]
+    return [spark.createDataFrame(o, "symbol string, bar timestamp_ntz, low double, high double, volume double").repartition(3, "bar") for o in orders], width, want
+
+
 def test_profiles_add_in_the_order_of_time(spark):
     """Bins that the same bars cover tie but for the last digit, which must not depend on how rows lie."""
-    found = [("view", START + dt.timedelta(hours=h), 0.0, 2.4 + 0.1 * (h % 7), 10.0 / (h + 3)) for h in range(200)]
-    kind = "symbol string, bar timestamp_ntz, low double, high double, volume double"
-    want = [0.0] * 24
-    width = max(b[3] for b in found) / 24
-    for _, _, low, high, volume in found:
-        for i in range(24):
-            over = min(high, i * width + width) - max(low, i * width)
-            want[i] += volume * over / (high - low) if over > 0 else 0.0
-    for rows_ in (found, found[::-1], found[::3] + found[1::3] + found[2::3]):
-        got = {r.bin: r.v for r in overlap_profile(spark.createDataFrame(rows_, kind).repartition(3, "bar"), 24, "symbol").collect()}
-        assert [got[i] for i in range(24)] == want
+    frames, _, want = tied(spark)
+    for bars in frames:
+        got = {(r.symbol, r.bin): r.v for r in overlap_profile(bars, 24, "symbol").collect()}
+        assert got == {(s, i): v for s, volumes in want.items() for i, v in enumerate(volumes)}
 
 
 def against_one_thread(spark, name):
@@ -76,3 +82,16 @@ def against_one_thread(spark, name):
 def test_control_path_of_tied_bins(spark):
     got, want = against_one_thread(spark, "control_path")
     assert got == want and len(got) == 3534
+
+
+def test_value_area_of_tied_bins(spark):
+    frames, width, want = tied(spark)
+    assert all(sum(v > max(volumes) * (1 - 1e-12) for v in volumes) > 1 for volumes in want.values())
+    for bars in frames:
+        got = {r.symbol: r.poc for r in value_area(overlap_profile(bars, 24, "symbol"), 24, 0.7, "symbol").collect()}
+        assert got == {s: (volumes.index(max(volumes)) + 0.5) * width[s] for s, volumes in want.items()}
+
+
+def test_value_area_against_one_thread(spark):
+    got, want = against_one_thread(spark, "value_area")
+    assert got == want and len(got) == 5
