@@ -11,9 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import rows
+from tickframe.functions.formulas import evaluated
 from tickframe.operators.profiles import overlap_profile, value_area
 from tickframe.operators.relations import nearest_rows
 from tickframe.plans.catalog import ORACLE_SQL, QUERIES
+from tickframe.plans.queries import rounded
+from tickframe.plans.state_queries import EQUATIONS
 
 START = dt.datetime(2024, 1, 1)
 
@@ -128,3 +131,23 @@ def test_nearest_rows_of_many_pairs_end_in_time(spark, tmp_path):
     start = time.monotonic()
     assert nearest_rows(points.where("id < 1500"), points, 5).count() == 7500
     assert time.monotonic() - start < 25
+
+
+def test_symbolic_equations_where_tanh_is_nearly_one(spark):
+    steps = [-1.7 - n / 100 for n in range(31)]
+    found = [(f"{x} {y} {z}", x, z, y) for x in [*steps, 40.0] for y in [*steps, 0.5] for z in (-1.0, 0.0, 1.0)]
+    got = rounded(evaluated(spark.createDataFrame(found, "symbol string, s4 double, s12 double, s24 double"), EQUATIONS), "symbol", *EQUATIONS).toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE g (symbol VARCHAR, s4 DOUBLE, s12 DOUBLE, s24 DOUBLE, start INT, known BOOL DEFAULT TRUE)")
+    con.executemany("INSERT INTO g (symbol, s4, s12, s24) VALUES (?, ?, ?, ?)", found)
+    want = con.execute("WITH p AS (" + ORACLE_SQL["symbolic_equations"].split(", p AS (")[1]).df().drop(columns="bar")
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["symbolic_equations", "size_coherence"])
+def test_slopes_of_bars_that_fall_to_nothing(spark, tmp_path, name):
+    """One symbol falls to next to nothing late in a day, so that exp overflows, and one ends at 0."""
+    tiny = [(h, "tiny", 100.0 if h < 24 * 9 else 500.0 if h % 24 < 20 else 1e-3, 1) for h in range(24 * 12)]
+    none = [(h, "none", 0.0 if h > 24 * 8 else 5.0 + h % 7, 1) for h in range(24 * 16)]
+    got, want = against_sql(spark, tmp_path, name, "events", events(tiny + none))
+    assert got == want and len(got) > 300

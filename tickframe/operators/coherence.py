@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.functions.scalars import ratio
 from tickframe.operators import frames as W
 from tickframe.operators.joins import as_of
 
 
 def slopes(bars: DataFrame, n: int) -> DataFrame:
-    """Slope of close over the last n bars as a share of the close; null until there are n."""
+    """Slope of close over the last n bars as a share of the close, infinite or NaN at 0; null until there are n."""
     numbered = bars.withColumn("n_", F.row_number().over(W.order()).cast("double"))
-    return numbered.withColumn("slope", W.full(F.regr_slope("close", "n_").over(W.last(n)) / F.col("close"), n, W.last(n))).drop("n_")
+    return numbered.withColumn("slope", W.full(ratio(F.regr_slope("close", "n_").over(W.last(n)), F.col("close")), n, W.last(n))).drop("n_")
 
 
 def aligned(axis: DataFrame, sizes: dict[str, tuple[DataFrame, str]], n: int) -> DataFrame:
@@ -30,8 +31,8 @@ def aligned(axis: DataFrame, sizes: dict[str, tuple[DataFrame, str]], n: int) ->
 
 def coherence(rows: DataFrame, weights: dict[str, float], slow: str, fast: str) -> DataFrame:
     """rows with what the named slopes agree on: `coherence` (weighted mean of signs), `agreement` (share of the larger
-    sign), `magnitude` (mean over mean of sizes) and `regime`; null where a slope is unknown."""
-    signs = {k: F.signum(k) for k in weights}
+    sign), `magnitude` (mean over mean of sizes) and `regime`; null where a slope is unknown. NaN has the sign 0 and is over 0, as in SQL."""
+    signs = {k: F.when(F.isnan(k), 0.0).otherwise(F.signum(k)) for k in weights}
     known = F.lit(True)
     for k in weights:
         known = known & F.col(k).isNotNull()
@@ -40,7 +41,7 @@ def coherence(rows: DataFrame, weights: dict[str, float], slow: str, fast: str)
         return sum(parts[1:], parts[0])
 
     weighted = added([signs[k] * w for k, w in weights.items()]) / sum(weights.values())
-    ups, downs = (added([(signs[k] == way).cast("int") for k in weights]) for way in (1.0, -1.0))
+    ups, downs = added([(F.col(k) > 0).cast("int") for k in weights]), added([(F.col(k) < 0).cast("int") for k in weights])
     sizes = added([F.abs(k) for k in weights])
     magnitude = F.when(sizes > 0, F.abs(added([F.col(k) for k in weights])) / sizes).otherwise(0.0)
     out = rows.withColumns({"coherence": F.when(known, weighted), "agreement": F.when(known, F.greatest(ups, downs) / len(weights)), "magnitude": F.when(known, magnitude)})
